@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechjobs.llm.fingerprints import fingerprint_edits
+from speechjobs.llm.langid import identify, train
 from speechjobs.llm.mixing import mix_sources
+from speechjobs.llm.packing import pack_documents
 from speechjobs.llm.sharding import assign_shards
+from speechjobs.llm.topk import exact_top_k
 from speechjobs.llm.url_filters import filter_captures, host_of, url_keys
 
 
@@ -81,5 +84,34 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(facts, 24, text_col="text_crc32").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op3_document_fingerprints, op4_url_filters, op6_source_mix, op7_shards)}
-ORACLE_SQL = {"op4_url_filters": OP4_SQL}
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.c::DOUBLE[], v.c::DOUBLE[])::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.c) = len(v.c) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+QUALIFY rank <= 5
+"""
+
+
+def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
+    model = train(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    return identify(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id)
+}
+ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op5_exact_top_k": OP5_SQL}
