@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechjobs.llm.fingerprints import fingerprint_edits
 from speechjobs.llm.langid import identify, train
 from speechjobs.llm.mixing import mix_sources
+from speechjobs.llm.near_dedup import near_duplicates
 from speechjobs.llm.packing import pack_documents
 from speechjobs.llm.sharding import assign_shards
 from speechjobs.llm.topk import exact_top_k
@@ -110,8 +111,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id)
+    for f in (op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup)
 }
 ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op5_exact_top_k": OP5_SQL}
