@@ -7,15 +7,14 @@ from functools import lru_cache
 import numpy as np
 
 #: Odd, so that powers have inverses modulo 2^64. Fixed values.
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(bits: int, base: int) -> np.ndarray:
     """base^0 .. base^(2^bits) modulo 2^64."""
     steps = np.full((1 << bits) + 1, base, np.uint64)
@@ -37,10 +36,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class PrefixHashes:
     """Prefix hashes of a byte string; the hash of any substring follows from two of them."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * powers(len(data), BASE)[:-1], out=self.prefix[1:])
-        self.inverse = powers(len(data), INVERSE)
+        np.cumsum((data + np.uint64(1)) * powers(len(data), base)[:-1], out=self.prefix[1:])
+        self.inverse = powers(len(data), pow(base, -1, 1 << 64))
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Hashes of substrings, the same wherever the substring stands."""

@@ -11,6 +11,7 @@ from speechjobs.llm.mixing import mix_sources
 from speechjobs.llm.near_dedup import near_duplicates
 from speechjobs.llm.packing import pack_documents
 from speechjobs.llm.sharding import assign_shards
+from speechjobs.llm.suffix_dedup import digest, remove_repeats
 from speechjobs.llm.topk import exact_top_k
 from speechjobs.llm.url_filters import filter_captures, host_of, url_keys
 
@@ -19,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
@@ -117,6 +122,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup)
+    for f in (op2_suffix_array_dedup, op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup)
 }
 ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op5_exact_top_k": OP5_SQL}
