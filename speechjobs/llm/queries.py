@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechjobs.llm.ctw import score_corpus
 from speechjobs.llm.fingerprints import fingerprint_edits
 from speechjobs.llm.langid import identify, train
 from speechjobs.llm.mixing import mix_sources
@@ -20,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -122,6 +127,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_suffix_array_dedup, op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup)
+    for f in (op1_ctw_scores, op2_suffix_array_dedup, op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup)
 }
 ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op5_exact_top_k": OP5_SQL}
