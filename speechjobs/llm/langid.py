@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
     """
     names, table, uses = model
     shared = docs.sparkSession.sparkContext.broadcast((names, table, uses))
-    kept = [f.name for f in docs.schema if f.name in (id_col, *keep)]
+    kept = [f.name for f in docs.schema if f.name in (id_col, *keep) and f.name not in ("lang_pred", "score", "spans")]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table, uses = shared.value

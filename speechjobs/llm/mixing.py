@@ -31,6 +31,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     )
 
 
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as ``mixed``, the result of mix_sources(), says."""
+    copies = mixed.filter("copies > 0").select(F.col("key").alias("__k"), F.col("source").alias("__s"), F.col("copies").alias("__copies")).distinct()
+    keyed = docs.withColumn("__key", row_key(docs, id_col, text_col))
+    joined = keyed.join(copies, (F.col("__key") == F.col("__k")) & F.col(source_col).eqNullSafe(F.col("__s")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7,
     size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", merit: Column | None = None, rows_per_task: int = 20_000,
@@ -46,15 +54,17 @@ def mix_sources(
     No task sees a whole source: ranks fall into buckets, bucket sums find the bucket in which the cut lies, and
     only that bucket's rows are sorted.
 
-    Returns one row for each row of ``docs``: id, text's ``size``, ``source``, ``source_size``, ``target``, ``copies``.
+    Returns one row for each row of ``docs``: id, text's ``size``, ``source``, ``source_size``, ``target``, ``copies``,
+    ``key`` (hash of the row's id, or of its text where there is none; with the source it decides the copies).
 
     Defined cases: null text has size 0; null source is a source; rows that repeat an id are taken together; rows
     without an id are told apart by their text; sizes all 0 give targets 0; an empty table gives an empty table;
     further columns are ignored.
     """
     e = F.lit(1.0) if merit is None else F.greatest(F.coalesce(merit.cast("double"), F.lit(0.0)), F.lit(0.0))
-    uniform = (F.shiftrightunsigned(row_key(docs, id_col, text_col, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))).alias("size"), e.alias("merit"), uniform.alias("u")), "mix-rows")
+    key = row_key(docs, id_col, text_col)
+    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    rows = written(docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))).alias("size"), e.alias("merit"), uniform.alias("u")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("merit")).alias("__merit"), F.count("*").alias("__n"))
     targets = source_targets(sizes, weights, share, most)
 
@@ -77,8 +87,8 @@ def mix_sources(
     need = with_source(sums.withColumns({"__upto": F.sum("__words").over(upto), "__all": F.sum("__sure").over(Window.partitionBy("source"))}), targets.select("source", "target")).withColumn("__need", F.col("target") - F.col("__all"))
     cut = need.filter("bucket is not null and __upto >= __need").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("__need") - F.col("__upto") + F.col("__words")).alias("need")), "bucket").alias("cut"))
     edge = with_source(planned, cut).filter("bucket = cut.bucket")
-    before = Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("rank", "key").rowsBetween(Window.unboundedPreceding, -1)
     last = edge.withColumn("__before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter(F.col("__before") + F.col("size") / 2 <= F.col("cut.need")).groupBy("source").agg(F.max("rank").alias("__last"))
     chosen = with_source(with_source(planned, cut), last)
     extra = F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut.bucket")) | F.coalesce((F.col("bucket") == F.col("cut.bucket")) & (F.col("rank") <= F.col("__last")), F.lit(False)))
-    return chosen.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")).alias("copies"))
+    return chosen.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")).alias("copies"), "key")

@@ -68,12 +68,12 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [])
         for hashes in shingle_sets(batch["text"].to_pylist()):
             low = signature(hashes) if len(hashes) else None
             for column, value in zip(out, (len(hashes), blake2b(hashes.tobytes(), digest_size=16).digest(), low if low is None else bands(low), low if low is None else low.astype(np.uint16).tobytes()), strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_pydict({"id": batch["id"], "n": pa.array(out[0], pa.int64()), "digest": pa.array(out[1], pa.binary()), "bands": pa.array(out[2], pa.list_(pa.int64())), "signature": pa.array(out[3], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"id": batch["id"], "tie": batch["tie"], "n": pa.array(out[0], pa.int64()), "digest": pa.array(out[1], pa.binary()), "bands": pa.array(out[2], pa.list_(pa.int64())), "signature": pa.array(out[3], pa.binary())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        buckets by a join, larger ones block against block. So no link between different texts depends on which
        member led a bucket.
 
-    Returns one row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``.
+    Returns one row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``,
+    ``tie`` (xxhash64 of the text, which tells rows without an id apart).
 
     Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing; a text of
     fewer than five words is one shingle; repeated rows are linked; rows that repeat an id are one document with all
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_col), 3))
     numbered = docs.select(number.alias("id"), F.col(text_col).alias("text"))
-    sketched = written(numbered.mapInArrow(_sketch, "id long, n long, digest binary, bands array<long>, signature binary"), "sketches")
+    sketched = written(numbered.withColumn("tie", F.xxhash64("text")).mapInArrow(_sketch, "id long, tie long, n long, digest binary, bands array<long>, signature binary"), "sketches")
     sets = sketched.filter("n > 0").groupBy("digest").agg(F.min("id").alias("node"))
     # node is the number of one row of the set; that row brings the signature
     own = written(sketched.filter("n > 0").select(F.col("id").alias("node"), "bands", "signature").join(sets.select("node"), "node", "left_semi"), "nodes")
@@ -203,10 +204,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = _confirmed(waiting, written(hashes, "sets"), links)
     groups = components(links)
     labels = sets.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    found = sketched.select("id", "n", "digest").join(labels, "digest", "left")
+    found = sketched.select("id", "tie", "n", "digest").join(labels, "digest", "left")
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     component = F.when(F.col("component").isNull(), real("id")).otherwise(real("component"))
-    return found.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    return found.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), "tie")
 
 
 def _confirmed(waiting: DataFrame, hashes: DataFrame, links: DataFrame) -> DataFrame:

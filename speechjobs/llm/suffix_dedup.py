@@ -213,7 +213,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows. What is to go returns to the chunks of documents, where it is cut out. Copies of any number cost a task
     one fragment, so no bucket grows with a group of copies. The texts are shuffled once, for fetching and cutting.
 
-    Returns the columns of ``docs`` with ``kept`` (binary: the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``
+    Returns the columns of ``docs`` with ``kept`` (binary: the remaining bytes), ``kept_text`` (the same as a string,
+    without characters of which a part is gone), ``n_bytes``, ``n_removed`` and ``n_spans``
     (maximal removed runs).
 
     Defined cases: null is empty; texts under WINDOW bytes stay whole; rows that repeat id and text are one document:
@@ -321,7 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(np.frombuffer(r, np.uint8)[~covered].tobytes() if b > a else r)
             counts.append(int(covered.sum()))
             runs.append(int((np.diff(covered, prepend=False) & covered).sum()))
-        new = {"kept": pa.array(kept, pa.binary()), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "n_removed": pa.array(counts, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
+        new = {"kept": pa.array(kept, pa.binary()), "kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "n_removed": pa.array(counts, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
         return pa.table({c: texts[c] for c in names if c not in new} | new)
 
     text = keyed.select(F.col(text_col).alias("text"), "__id", "__tie", "__chunk")
@@ -329,8 +330,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = settled.filter(F.col("kind") == COMPARE)
     sorted_ = text.groupBy("__chunk").cogroup(asked.groupBy("__chunk")).applyInArrow(fetch, "bucket int, data binary, text binary").groupBy("bucket").applyInArrow(sort, "__chunk int, data binary")
     removed = settled.filter(F.col("kind") == REMOVE).select("__chunk", "data").union(sorted_)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("kept", "n_bytes", "n_removed", "n_spans"))
-    return keyed.groupBy("__chunk").cogroup(removed.groupBy("__chunk")).applyInArrow(cut, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("kept", "kept_text", "n_bytes", "n_removed", "n_spans"))
+    return keyed.groupBy("__chunk").cogroup(removed.groupBy("__chunk")).applyInArrow(cut, f"{fields}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long")
 
 
 def _joined(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
