@@ -131,7 +131,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "linked": pa.array(linked, pa.bool_())})
+        yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"]}).filter(pa.array(linked, pa.bool_()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,11 +168,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Every text gives its shingle set, MinHash signature and band buckets; documents of one set become one node.
     2. Each bucket links its members to its smallest one, a star rather than all pairs. Signatures of these candidates
        are compared batch by batch and pairs are dropped by the posterior bound.
-    3. Candidates between different groups are confirmed on full shingle sets, for each node the most similar first;
-       those within a group that is already connected need no test.
+    3. What is left is confirmed on full shingle sets, and connected documents are put into groups.
     4. Buckets that still hold several groups have all their other pairs between groups tested the same way: small
        buckets by a join, larger ones block against block. So no link between different texts depends on which
-       member led a bucket.
+       member led a bucket; pairs within a group that is already connected need no test.
 
     Returns one row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``,
     ``tie`` (xxhash64 of the text, which tells rows without an id apart).
@@ -182,7 +181,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their links; rows without an id belong to the group of their links, have no ``component_id`` when no member has
     an id, and are then kept; an empty table gives an empty table; further columns are ignored.
     """
-    spark = docs.sparkSession
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_col), 3))
     numbered = docs.select(number.alias("id"), F.col(text_col).alias("text"))
     sketched = written(numbered.withColumn("tie", F.xxhash64("text")).mapInArrow(_sketch, "id long, tie long, n long, digest binary, bands array<long>, signature binary"), "sketches")
@@ -195,13 +193,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     star = keyed.join(leaders, "key").filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     waiting = _candidates(star, signatures)
-    links = spark.createDataFrame([], "a long, b long")
+    links = None
     for every_pair in (False, True):
         if every_pair:
             waiting = _candidates(_between_groups(keyed, components(links), signatures), signatures)
         fresh = waiting.select(F.col("a").alias("node")).union(waiting.select("b")).distinct()
         hashes = fresh.join(numbered, F.col("node") == F.col("id")).select("node", "text").mapInArrow(_sets, "node long, hashes binary")
-        links = _confirmed(waiting, written(hashes, "sets"), links)
+        found = _confirmed(waiting, written(hashes, "sets"))
+        links = links.union(found) if every_pair else found
     groups = components(links)
     labels = sets.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found = sketched.select("id", "tie", "n", "digest").join(labels, "digest", "left")
@@ -210,22 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), "tie")
 
 
-def _confirmed(waiting: DataFrame, hashes: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those of the candidates that hold on full sets, until all candidates lie within groups."""
+def _confirmed(waiting: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Those of the candidates that are links on full sets."""
     one, two = (hashes.select(F.col("node").alias(n), F.col("hashes").alias(s)) for n, s in (("a", "one"), ("b", "two")))
-    tried = None
-    while True:
-        if tried is not None:
-            groups = components(links)
-            ga, gb = (groups.select(F.col("node").alias(n), F.col("component").alias(g)) for n, g in (("a", "ga"), ("b", "gb")))
-            left = waiting.join(tried, ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left")
-            waiting = written(left.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b", "matches"), "waiting")
-        if waiting.isEmpty():
-            return links
-        chosen = waiting.groupBy("b").agg(F.min_by("a", F.struct(-F.col("matches"), "a")).alias("a"))
-        tried = written(chosen.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long, linked boolean"), "tried")
-        links = written(links.union(tried.filter("linked").select("a", "b")), "links")
-        tried = tried.select("a", "b")
+    return written(waiting.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long"), "links")
 
 
 def _between_groups(keyed: DataFrame, groups: DataFrame, signatures: DataFrame) -> DataFrame:
