@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -30,10 +29,6 @@ BEGIN, END = 0xFE, 0xFF
 WORK_BYTES = 2 << 20
 #: Distinct strings that a task holds before it sends their counts.
 HELD = 2_000_000
-#: The model goes to the tasks in slices of about this many nodes; more nodes make more slices, not larger ones.
-SLICE_NODES = 4_000_000
-#: Slots of a task's cache of byte probabilities.
-CACHE_BITS = 22
 
 
 def byte_strings(raw: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -124,21 +119,23 @@ def build_tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Tree:
-    """A slice of the nodes, for looking up many bytes at once."""
+    """Some of the nodes, for looking up many strings at once."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``levels``: for each depth the sorted keys, estimates and weights."""
-        self.depth, self.levels = len(levels) - 1, levels
-        self.keys, self.values = np.zeros(1 << CACHE_BITS, np.uint64), np.zeros(1 << CACHE_BITS)
+    def __init__(self, depth: np.ndarray, key: np.ndarray, one: np.ndarray, own: np.ndarray, deepest: int = DEPTH):
+        self.levels = []
+        for d in range(deepest + 1):
+            rows = np.flatnonzero(depth == d)
+            rows = rows[np.argsort(key[rows])]
+            self.levels.append((key[rows].astype(np.uint64), one[rows].astype(float), own[rows].astype(float)))
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each string's last byte after the others."""
+        """log10 probability of each string's last byte after the others. Where a context was never met, a bit has 1/2."""
         total = np.zeros(len(codes))
         byte = (codes & np.uint64(255)).astype(np.int64)
         for k in range(8):
             at = (byte + 256) >> (8 - k)
             one = np.full(len(codes), 0.5)
-            for d in range(self.depth, -1, -1):
+            for d in range(len(self.levels) - 1, -1, -1):
                 keys, estimate, own = self.levels[d]
                 if len(keys):
                     key = (((codes >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | at.astype(np.uint64)
@@ -147,152 +144,143 @@ class Tree:
             total += np.log10(np.where((byte >> (7 - k)) & 1, one, 1 - one))
         return total
 
-    def cached(self, codes: np.ndarray) -> np.ndarray:
-        """log10() through a table of the strings met before."""
-        slot = (mix(codes) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        known = self.keys[slot] == codes + np.uint64(1)
-        out = np.where(known, self.values[slot], 0)
-        if not known.all():
-            new = np.unique(codes[~known])
-            value = self.log10(new)
-            out[~known] = value[np.searchsorted(new, codes[~known])]
-            slot = (mix(new) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            self.keys[slot], self.values[slot] = new + np.uint64(1), value
-        return out
-
-
-def score_texts(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, slice_nodes: int = SLICE_NODES) -> DataFrame:
-    """(id, tie, score, bytes) for each distinct id and text: ``score`` is the log10 probability of the whole text and its
-    end, ``bytes`` the bytes scored, ``tie`` the text's xxhash64.
-
-    The tree goes out by broadcast in slices of bounded size, cut by the two bytes before; every slice also has the nodes
-    of depth 0 and 1 (65,535 at most). Bytes of a slice's contexts are scored with it; with several slices each text is
-    read once for each, and the parts are summed.
-    """
-    spark = docs.sparkSession
-    slices = max(1, -(-nodes.count() // slice_nodes))
-    near = lambda x: (x * 40503 // 16) % slices
-    of_node = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 24) - 1)), 8)
-
-    def scorer(s: int):
-        part = nodes if slices == 1 else nodes.filter((F.col("depth") < 2) | (F.shiftright(of_node * 40503, 4) % slices == s))
-        table = part.select("depth", "key", F.col("one").cast("float"), F.col("own").cast("float")).toArrow()
-        levels = []
-        for d in range(depth + 1):
-            level = table.filter(pc.equal(table["depth"], d)).sort_by("key")
-            levels.append((level["key"].to_numpy().astype(np.uint64), level["one"].to_numpy(), level["own"].to_numpy()))
-        shared = spark.sparkContext.broadcast(levels)
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = Tree(shared.value)
-            for batch in batches:
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
-                total, lengths = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
-                for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
-                    codes, doc = byte_strings([raw[r] for r in rows], depth)
-                    lengths[rows] = np.bincount(doc, minlength=len(rows)) - 1
-                    if slices > 1:
-                        mine = near(((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)) == s
-                        codes, doc = codes[mine], doc[mine]
-                    total[rows] = np.bincount(doc, tree.cached(codes), len(rows))
-                yield pa.RecordBatch.from_pydict({"id": batch["id"], "tie": batch["tie"], "score": total, "bytes": lengths})
-
-        return score
-
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    parts = None
-    for s in range(slices):
-        part = base.mapInArrow(scorer(s), f"id {base.schema['id'].dataType.simpleString()}, tie long, score double, bytes long")
-        parts = part if parts is None else parts.union(part)
-    # repeated rows have equal parts: their number is divided out
-    return parts.groupBy("id", "tie").agg((F.sum("score") * slices / F.count("*")).alias("score"), F.max("bytes").alias("bytes"))
-
-
-def unigram_scores(docs: DataFrame, id_col: str, text_col: str, training: Column, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``n_known``, ``train_tokens`` and ``base_score`` of the add-one unigram model.
-
-    Texts are dealt into chunks; a chunk sends each distinct word's training count once to the bucket of the word's
-    64-bit hash, buckets add up and answer in the order in which they were asked. A word that is everywhere is one entry for
-    each chunk, so no bucket is hot. The texts are shuffled once.
+
+def lookup(codes: np.ndarray, known: np.ndarray, bits: int = 20) -> np.ndarray:
+    """Place of each code in ``known`` (sorted, holds them all): through a table of slots, else by binary search."""
+    slot_of = lambda x: (mix(x) >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, np.int64)
+    table[slot_of(known)] = np.arange(len(known))
+    at = table[slot_of(codes)]
+    miss = np.flatnonzero(known[at] != codes)
+    at[miss] = np.searchsorted(known, codes[miss])
+    return at
+
+
+def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+    """Score every whole text with context-tree weighting and with an add-one unigram base, both learned from the texts
+    that are not held out. A-Z are lowered.
+
+    Texts are dealt into chunks by a hash of the id. A chunk sends each of its distinct words, with its training count, to
+    the bucket of the word's 64-bit hash, and each of its distinct byte strings to the bucket of the two bytes before the
+    last one. Word buckets add up counts; string buckets hold that part of the tree and compute probabilities. They
+    answer in the order in which they were asked, and the chunk sums up its texts. A word or string that is everywhere is
+    one entry for each chunk, so no bucket is hot; nothing of the model goes through the driver or to all tasks. The
+    texts are shuffled once.
+
+    Returns id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10), ``bytes`` (scored)
+    and ``bits_per_byte`` (the end of the text counts as a byte).
+
+    Defined cases: null text is empty; an empty text is its end alone; rows with a null id, for which ``held_out`` is
+    null, are learned from; repeated rows count and are scored each; with nothing to learn from every bit costs one bit;
+    an empty table gives an empty table; further columns are ignored.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    chunks = int(max(1, -(-total // chunk_bytes)))
+    chunks = int(max(1, -(-total // max(chunk_bytes, total >> 20))))
+    pairs, salts = min(chunks, 1 << 16), -(-chunks // (1 << 16))
     number = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(chunks)).cast("int")
-    base = docs.drop("n_tokens", "n_known", "train_tokens", "base_score")
-    keyed = base.withColumns({"__train": F.coalesce(training, F.lit(False)), "__chunk": number})
+    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), number.alias("chunk"))
+    nodes = build_tree(written(count_strings(keyed.filter("not held_out")), "strings"))
+
+    # buckets: 0 .. chunks - 1 of words, then (pair bucket, salt) of strings; the salt is the chunk's
+    pair = (F.shiftright("key", 8).bitwiseAND(F.lit((1 << 16) - 1)) * 40503 / 16).cast("long") % pairs
+    last = F.shiftright("key", 8).bitwiseAND(F.lit(255))
+    places = (
+        F.when(F.col("depth") == 0, F.sequence(F.lit(0).cast("long"), F.lit(pairs - 1).cast("long")))
+        .when(F.col("depth") == 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: ((last + b * 256) * 40503 / 16).cast("long") % pairs)))
+        .otherwise(F.array(pair))
+    )
+    spread = nodes.select("depth", "key", F.col("one").cast("float").alias("one"), F.col("own").cast("float").alias("own"), F.explode(places).alias("pair"))
+    spread = spread.select("depth", "key", "one", "own", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "pair").select((F.lit(chunks) + F.col("pair") * salts + F.col("salt")).cast("int").alias("bucket"), "depth", "key", "one", "own")
 
-    def distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct word hashes, grouped by bucket; each word's place among them; each word's text."""
-        data, start, end, doc = tokens([t or "" for t in texts.to_pylist()])
+    def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Distinct word hashes in the order of buckets; each word's place among them; each word's text."""
+        data, start, end, doc = tokens(texts)
         words, which = np.unique(token_hashes(data, start, end), return_inverse=True)
         order = np.argsort(words % np.uint64(chunks), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return words[order], place[which], doc
 
+    def strings_of(raw: list[bytes]) -> np.ndarray:
+        """Distinct strings, sorted."""
+        found = np.zeros(0, np.uint64)
+        for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
+            codes = np.sort(byte_strings([raw[r] for r in rows])[0])
+            found = np.union1d(found, codes[np.flatnonzero(np.diff(codes, prepend=~codes[:1]))])
+        return found
+
+    def string_bucket(codes: np.ndarray, chunk: int) -> np.ndarray:
+        near = ((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64) * 40503 // 16 % pairs
+        return chunks + near * salts + chunk % salts
+
+    def cut(by: np.ndarray) -> list[tuple[int, int]]:
+        edges = np.append(np.flatnonzero(np.diff(by, prepend=-1)), len(by)).tolist()
+        return list(zip(edges[:-1], edges[1:], strict=True))
+
     def ask(table: pa.Table) -> pa.Table:
-        words, which, doc = distinct(table["text"])
-        counts = np.bincount(which, table["__train"].to_numpy()[doc], len(words)).astype(np.int64)
+        texts, chunk = table["text"].to_pylist(), table["chunk"][0].as_py()
+        words, which, doc = words_of(texts)
+        counts = np.bincount(which, ~table["held_out"].to_numpy()[doc], len(words)).astype(np.int64)
         bucket = (words % np.uint64(chunks)).astype(np.int64)
-        edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-        rows = [(int(bucket[a]), table["__chunk"][0].as_py(), words[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "words", "counts"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
-        words, which = np.unique(np.concatenate(sent), return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        np.add.at(counts, which, np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]))
-        parts = np.split(counts[which], np.cumsum([len(x) for x in sent])[:-1])
-        n = len(parts)
+        rows = [(int(bucket[a]), chunk, words[a:b].tobytes(), counts[a:b].tobytes()) for a, b in cut(bucket)]
+        codes = strings_of([t.encode("utf-8", "surrogatepass") for t in texts])
+        bucket = string_bucket(codes, chunk)
+        order = np.argsort(bucket, kind="stable")
+        codes, bucket = codes[order], bucket[order]
+        rows += [(int(bucket[a]), chunk, codes[a:b].tobytes(), b"") for a, b in cut(bucket)]
+        columns = zip(*rows, strict=True)
+        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "keys", "counts"])
+
+    def answer(asked: pa.Table, tree: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
+        kinds, n_types, n_tokens = pa.binary(), [0] * len(sent), [0] * len(sent)
+        parts: list[np.ndarray] = []
+        if sent:
+            keys, which = np.unique(np.concatenate(sent), return_inverse=True)
+            if asked["bucket"][0].as_py() < chunks:
+                values = np.zeros(len(keys), np.int64)
+                np.add.at(values, which, np.concatenate([np.frombuffer(x, np.int64) for x in asked["counts"].to_pylist()]))
+                n_types[0], n_tokens[0] = int((values > 0).sum()), int(values.sum())
+            else:
+                values = Tree(*(tree[c].to_numpy() for c in ("depth", "key", "one", "own"))).log10(keys).astype(np.float32)
+            parts = np.split(values[which], np.cumsum([len(x) for x in sent])[:-1])
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "data": pa.array([p.tobytes() for p in parts], kinds), "types": pa.array(n_types, pa.int64()), "tokens": pa.array(n_tokens, pa.int64())})
+
+    def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        n, chunk = texts.num_rows, texts["chunk"][0].as_py()
+        order = np.argsort(answers["bucket"].to_numpy(), kind="stable")
+        bucket, data = answers["bucket"].to_numpy()[order], answers["data"].to_pylist()
+        blobs = [data[i] for i in order]
+        n_words = int((bucket < chunks).sum())
+        _, which, doc = words_of(texts["text"].to_pylist())
+        counts = np.frombuffer(b"".join(blobs[:n_words]), np.int64)[which]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts["text"].to_pylist()]
+        codes = strings_of(raw)
+        value = np.empty(len(codes))
+        value[np.argsort(string_bucket(codes, chunk), kind="stable")] = np.frombuffer(b"".join(blobs[n_words:]), np.float32)
+        score, length = np.zeros(n), np.zeros(n, np.int64)
+        for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
+            mine, of = byte_strings([raw[r] for r in rows])
+            score[rows] = np.bincount(of, value[lookup(mine, codes)], len(rows))
+            length[rows] = np.bincount(of, minlength=len(rows)) - 1
         return pa.table({
-            "__chunk": table["chunk"], "bucket": table["bucket"], "counts": pa.array([p.tobytes() for p in parts], pa.binary()),
-            "types": pa.array([int((counts > 0).sum())] + [0] * (n - 1), pa.int64()), "tokens": pa.array([int(counts.sum())] + [0] * (n - 1), pa.int64()),
+            "id": texts["id"], "held_out": texts["held_out"], "n": np.bincount(doc, minlength=n).astype(np.int64), "known": np.bincount(doc, counts > 0, n).astype(np.int64),
+            "logs": np.bincount(doc, np.log10(counts + 1.0), n), "score": score, "bytes": length,
         })
 
-    names = base.columns
-
-    def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        by = np.argsort(answers["bucket"].to_numpy(), kind="stable")
-        blobs = answers["counts"].to_pylist()
-        _, which, doc = distinct(texts[text_col])
-        counts = np.frombuffer(b"".join(blobs[i] for i in by), np.int64)[which]
-        n = texts.num_rows
-        new = {"n_words": np.bincount(doc, minlength=n).astype(np.int64), "n_known": np.bincount(doc, counts > 0, n).astype(np.int64), "logs": np.bincount(doc, np.log10(counts + 1.0), n)}
-        return pa.table({c: texts[c] for c in names} | {"__train": texts["__train"]} | {f"__{k}": pa.array(v) for k, v in new.items()})
-
-    asked = keyed.select(F.col(text_col).alias("text"), "__train", "__chunk").groupBy("__chunk").applyInArrow(ask, "bucket int, chunk int, words binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "__chunk int, bucket int, counts binary, types long, tokens long")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    summed = keyed.groupBy("__chunk").cogroup(answers.select("__chunk", "bucket", "counts").groupBy("__chunk")).applyInArrow(add, f"{fields}, __train boolean, __n_words long, __n_known long, __logs double")
-    figures = answers.filter("types > 0").select(F.lit(None).cast("boolean").alias("__train"), F.col("types").alias("__n_words"), F.col("tokens").alias("__n_known"), F.lit(None).cast("double").alias("__logs"))
-    both = written(summed.drop(text_col).unionByName(figures, allowMissingColumns=True), "unigrams")
-    words, types, ends = both.agg(F.sum(F.when(F.col("__train").isNull(), F.col("__n_known"))), F.sum(F.when(F.col("__train").isNull(), F.col("__n_words"))), F.count_if("__train")).first()
+    asked = keyed.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, data binary, types long, tokens long")
+    kind = keyed.schema["id"].dataType.simpleString()
+    summed = keyed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "data").groupBy("chunk")).applyInArrow(add, f"id {kind}, held_out boolean, n long, known long, logs double, score double, bytes long")
+    figures = answers.filter("types > 0").select(F.col("types").alias("n"), F.col("tokens").alias("known"))
+    both = written(summed.unionByName(figures, allowMissingColumns=True), "scores")
+    is_text = F.col("held_out").isNotNull()
+    words, types, ends = both.agg(F.sum(F.when(~is_text, F.col("known"))), F.sum(F.when(~is_text, F.col("n"))), F.count_if(~F.col("held_out"))).first()
     # the end of a text is a token too: one in each training text
     n, v = (words or 0) + ends, (types or 0) + (ends > 0)
-    per_token = F.log10(F.lit(float(n + v + 1)))
-    return both.filter("__train is not null").select(
-        *[c for c in names if c != text_col], (F.col("__n_words") + 1).alias("n_tokens"), (F.col("__n_known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("__logs") + F.log10(F.lit(float(ends + 1))) - (F.col("__n_words") + 1) * per_token).alias("base_score"),
-    )
-
-
-def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text with context-tree weighting and the unigram base, both learned from the texts that are
-    not held out. A-Z are lowered.
-
-    Returns id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10), ``bytes`` and
-    ``bits_per_byte`` (the end of the text counts as a byte).
-
-    Defined cases: null text is empty; an empty text is its end alone; rows with a null id, for which ``held_out`` is
-    null, are learned from; repeated rows count and are scored each; with nothing to learn from every bit costs one bit;
-    an empty table gives an empty table; further columns are ignored.
-    """
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    nodes = build_tree(written(count_strings(base.filter("not held_out")), "strings"))
-    scores = score_texts(base, nodes, id_col).alias("s")
-    words = unigram_scores(base.withColumn("tie", F.xxhash64("text")), id_col, "text", ~F.col("held_out")).alias("w")
-    both = words.join(scores, F.col(f"w.{id_col}").eqNullSafe(F.col("s.id")) & (F.col("w.tie") == F.col("s.tie")))
+    base = F.col("logs") + F.log10(F.lit(float(ends + 1))) - (F.col("n") + 1) * F.log10(F.lit(float(n + v + 1)))
     bits = -F.col("score") * float(np.log2(10)) / (F.col("bytes") + 1)
-    return both.select(f"w.{id_col}", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bytes", bits.alias("bits_per_byte"))
+    return both.filter(is_text).select(
+        F.col("id").alias(id_col), "held_out", (F.col("n") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        base.alias("base_score"), "score", "bytes", bits.alias("bits_per_byte"),
+    )
