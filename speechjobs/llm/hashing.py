@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Odd, so that powers have inverses modulo 2^64. Fixed values.
 BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -67,3 +69,10 @@ def runs_of(sizes: np.ndarray, most: int) -> list[np.ndarray]:
         return []
     group = np.cumsum(sizes) // most
     return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a Python worker holds few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -7,12 +7,11 @@ from hashlib import blake2b
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechjobs.llm.hashing import mix, runs_of, token_hashes, tokens
+from speechjobs.llm.hashing import mix, runs_of, sliced, token_hashes, tokens
 from speechjobs.llm.common import written
 
 #: Words in a shingle, and the least similarity of a link in percent.
@@ -24,9 +23,9 @@ SIGNATURE = BANDS * ROWS
 BATCH = 16
 #: A candidate is dropped once the posterior probability of a similarity of 75 % or more is below this.
 MISS = 1e-6
-#: Pairs of a bucket with more members than this are compared in blocks of BLOCK x BLOCK instead of by a join.
-SMALL_BUCKET, BLOCK = 32, 1024
-WORK_BYTES = 4 << 20
+#: Members of a bucket are compared in blocks of this many.
+BLOCK = 512
+WORK_BYTES = 2 << 20
 #: Rows without an id get numbers from here on.
 NO_ID = 1 << 62
 
@@ -67,7 +66,7 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         out: tuple[list, ...] = ([], [], [], [])
         for hashes in shingle_sets(batch["text"].to_pylist()):
             low = signature(hashes) if len(hashes) else None
@@ -77,7 +76,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         yield pa.RecordBatch.from_pydict({"node": batch["node"], "hashes": pa.array((h.tobytes() for h in shingle_sets(batch["text"].to_pylist())), pa.binary())})
 
 
@@ -124,13 +123,17 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "matches": matches}).filter(pa.array(matches >= 0))
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sets are linked."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked = []
-        for one, two in zip(batch["one"].to_pylist(), batch["two"].to_pylist(), strict=True):
-            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        linked = [similar(np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)) for one, two in zip(batch["one"], batch["two"], strict=True)]
         yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"]}).filter(pa.array(linked, pa.bool_()))
 
 
@@ -166,12 +169,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Groups of documents connected by links of at least 75 % equal word shingles.
 
     1. Every text gives its shingle set, MinHash signature and band buckets; documents of one set become one node.
-    2. Each bucket links its members to its smallest one, a star rather than all pairs. Signatures of these candidates
-       are compared batch by batch and pairs are dropped by the posterior bound.
+    2. Each bucket pairs its members with one of them, its hub: a star rather than all pairs. A group of many copies
+       has different hubs in its many buckets, so few stars connect it. Signatures of these candidates are compared
+       batch by batch and pairs are dropped by the posterior bound.
     3. What is left is confirmed on full shingle sets, and connected documents are put into groups.
-    4. Buckets that still hold several groups have all their other pairs between groups tested the same way: small
-       buckets by a join, larger ones block against block. So no link between different texts depends on which
-       member led a bucket; pairs within a group that is already connected need no test.
+    4. Buckets that still hold several groups have all their other pairs between groups tested in the same way, block
+       against block within tasks, which give links only. So no link between different texts depends on which
+       member was a bucket's hub; pairs within a group that is already connected need no test.
 
     Returns one row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``,
     ``tie`` (xxhash64 of the text, which tells rows without an id apart).
@@ -187,20 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sketched.filter("n > 0").groupBy("digest").agg(F.min("id").alias("node"))
     # node is the number of one row of the set; that row brings the signature
     own = written(sketched.filter("n > 0").select(F.col("id").alias("node"), "bands", "signature").join(sets.select("node"), "node", "left_semi"), "nodes")
-    keyed = own.select("node", F.explode("bands").alias("key"))
-    signatures = own.select("node", "signature")
-
-    leaders = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).filter("members > 1")
-    star = keyed.join(leaders, "key").filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    waiting = _candidates(star, signatures)
-    links = None
-    for every_pair in (False, True):
-        if every_pair:
-            waiting = _candidates(_between_groups(keyed, components(links), signatures), signatures)
-        fresh = waiting.select(F.col("a").alias("node")).union(waiting.select("b")).distinct()
-        hashes = fresh.join(numbered, F.col("node") == F.col("id")).select("node", "text").mapInArrow(_sets, "node long, hashes binary")
-        found = _confirmed(waiting, written(hashes, "sets"))
-        links = links.union(found) if every_pair else found
+    # a bucket's hub is its member of the least hash with the bucket: buckets of the same members have different hubs
+    keyed = own.select("node", F.posexplode("bands").alias("band", "key"))
+    rank = F.struct(F.xxhash64("node", "key").alias("rank"), "node")
+    hubs = keyed.groupBy("key").agg(F.min(rank)["node"].alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    shared = written(keyed.join(hubs, "key"), "buckets")
+    star = shared.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    # texts are shuffled once, for the sets of all documents that share a bucket; the list of them grows with the corpus
+    members = shared.select("node").distinct().hint("merge")
+    hashes = written(numbered.join(members, F.col("id") == F.col("node")).select("node", "text").mapInArrow(_sets, "node long, hashes binary"), "sets")
+    first = _confirmed(_candidates(star, own.select("node", "signature")), hashes)
+    links = first.union(_between_groups(shared, components(first), own, hashes))
     groups = components(links)
     labels = sets.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found = sketched.select("id", "tie", "n", "digest").join(labels, "digest", "left")
@@ -215,33 +216,36 @@ def _confirmed(waiting: DataFrame, hashes: DataFrame) -> DataFrame:
     return written(waiting.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long"), "links")
 
 
-def _between_groups(keyed: DataFrame, groups: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of bucket members of different groups, without the pairs of each bucket's leader."""
-    member = keyed.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-    mixed = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("node").alias("lead"), F.count("*").alias("members")).filter("low < high and members > 2")
-    open_ = member.join(mixed.select("key", "lead", "members"), "key").filter("node > lead")
-    few = open_.filter(F.col("members") <= SMALL_BUCKET).select("key", "node", "group")
-    other = few.select("key", F.col("node").alias("b"), F.col("group").alias("other"))
-    pairs = few.join(other, "key").filter("node < b and group <> other").select(F.col("node").alias("a"), "b")
+def _between_groups(shared: DataFrame, groups: DataFrame, own: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Links between bucket members of different groups; the pairs of each bucket's hub were tested before.
 
-    many = open_.filter(F.col("members") > SMALL_BUCKET)
+    A bucket's members fall into blocks by hash, and each pair of blocks is one piece of work that holds two blocks and
+    gives links only. A pair is tested in the first bucket it shares, and not once its groups are connected.
+    """
+    member = shared.join(groups, "node", "left").select("key", "band", "node", "hub", "members", F.coalesce("component", "node").alias("group"))
+    mixed = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
+    open_ = member.filter("members > 2 and node <> hub").join(mixed, "key", "left_semi")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    many = many.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    # block i meets block j >= i; every member goes to all pairs that its block is in
-    placed = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "node", "group", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    placed = placed.join(signatures, "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        rows, columns = np.flatnonzero(pdf["mine"] == i), np.flatnonzero(pdf["mine"] == j)
-        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint16).reshape(-1, SIGNATURE)
-        node, group = pdf["node"].to_numpy(), pdf["group"].to_numpy()
-        out = []
-        for r in rows:
+    dealt = open_.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    # block i meets block j >= i: every member goes to all pairs that its block is in
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "node", "group", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    full = placed.join(own.select("node", "bands", "signature"), "node").join(hashes, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, group, mine = (table[c].to_numpy().copy() for c in ("node", "group", "mine"))
+        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
+        sig, sets = _signatures(table["signature"]), [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        columns = np.flatnonzero(mine == j)
+        out: list[tuple[int, int]] = []
+        for r in np.flatnonzero(mine == i).tolist():
             with_ = columns[(group[columns] != group[r]) & ((node[columns] > node[r]) | (i != j))]
+            with_ = with_[~(keys[with_] == keys[r]).any(1)]
             with_ = with_[bayes(np.broadcast_to(sig[r], (len(with_), SIGNATURE)), sig[with_]) >= 0]
-            out.append(np.column_stack([np.minimum(node[r], node[with_]), np.maximum(node[r], node[with_])]))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+            for c in with_.tolist():
+                if group[c] != group[r] and similar(sets[r], sets[c]):
+                    out.append((min(node[r], node[c]), max(node[r], node[c])))
+                    group[group == group[c]] = group[r]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return pairs.union(placed.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")).distinct()
+    return written(full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "more-links")
