@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from speechjobs.llm.common import written
-from speechjobs.llm.hashing import LOWER, mix, runs_of, token_hashes, tokens
+from speechjobs.llm.hashing import LOWER, mix, runs_of, sliced, token_hashes, tokens
 
 #: Bytes of context.
 DEPTH = 5
@@ -68,7 +68,7 @@ def count_strings(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
             for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
                 new = np.sort(byte_strings([raw[r] for r in rows], depth)[0])

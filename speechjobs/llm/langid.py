@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechjobs.llm.hashing import sliced
+
 #: First code points of script ranges; a range ends where the next one begins.
 SCRIPTS = {
     0x0000: "Latin", 0x0370: "Greek", 0x0400: "Cyrillic", 0x0530: "Armenian", 0x0590: "Hebrew", 0x0600: "Arabic", 0x0780: "Other", 0x0900: "Devanagari",
@@ -25,7 +27,7 @@ SWITCH_PENALTY = 8.0
 #: A language uses a script if at least this share of its letters is in it.
 LEAST_SHARE = 1e-3
 #: Characters that a task works on at once; a longer text is one piece of work.
-WORK_CHARS = 2_000_000
+WORK_CHARS = 1_000_000
 UNKNOWN = "und"
 
 
@@ -89,7 +91,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             langs = np.array(batch["lang"].to_pylist(), object)
             texts = batch["text"].to_pylist()
             for rows in _pieces_of(texts):
@@ -174,7 +176,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table, uses = shared.value
         allowed = np.where(uses.any(1)[:, None], uses, True) if names else uses
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             texts = batch["__text"].to_pylist()
             pred, share, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[]] * len(texts)
             for rows in _pieces_of(texts) if names else ():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechjobs.llm.common import written
-from speechjobs.llm.hashing import SECOND_BASE, PrefixHashes, mix, runs_of
+from speechjobs.llm.hashing import SECOND_BASE, PrefixHashes, mix, runs_of, sliced
 
 WINDOW, ANCHOR = 100, 32
 #: Bytes of text whose fragments are worked out at once, and for which they are gathered before they are sent.
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["at", "kind", "chunk", "data"])
 
         held, size = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
             facts = {k: batch[f"__{k}"].to_numpy() for k in ("id", "tie", "chunk")}
             for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
