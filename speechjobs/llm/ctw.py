@@ -26,7 +26,7 @@ DEPTH = 5
 #: Bytes that stand before and after a text; UTF-8 does not use them.
 BEGIN, END = 0xFE, 0xFF
 #: A task works on this much text at once.
-WORK_BYTES = 2 << 20
+WORK_BYTES = 1 << 20
 #: Distinct strings that a task holds before it sends their counts.
 HELD = 2_000_000
 
@@ -194,8 +194,13 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
         """Distinct word hashes in the order of buckets; each word's place among them; each word's text."""
-        data, start, end, doc = tokens(texts)
-        words, which = np.unique(token_hashes(data, start, end), return_inverse=True)
+        hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for rows in runs_of(np.array([len(t) for t in texts]), WORK_BYTES):
+            data, start, end, doc = tokens([texts[r] for r in rows])
+            hashes.append(token_hashes(data, start, end))
+            docs.append(rows[doc])
+        doc = np.concatenate(docs)
+        words, which = np.unique(np.concatenate(hashes), return_inverse=True)
         order = np.argsort(words % np.uint64(chunks), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))

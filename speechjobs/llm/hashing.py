@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +15,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int, base: int) -> np.ndarray:
-    """base^0 .. base^(2^bits) modulo 2^64."""
-    steps = np.full((1 << bits) + 1, base, np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps)
+_known: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    return _powers(max(16, int(n).bit_length()), base)[: n + 1]
+    """base^0 .. base^n modulo 2^64; the longest list of each base is kept."""
+    if len(_known.get(base, ())) <= n:
+        steps = np.full((n // (1 << 18) + 1 << 18) + 1, base, np.uint64)
+        steps[0] = 1
+        _known[base] = np.cumprod(steps)
+    return _known[base][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ BATCH = 16
 MISS = 1e-6
 #: Members of a bucket are compared in blocks of this many.
 BLOCK = 512
-WORK_BYTES = 2 << 20
+WORK_BYTES = 1 << 20
 #: Rows without an id get numbers from here on.
 NO_ID = 1 << 62
 

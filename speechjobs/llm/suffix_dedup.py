@@ -21,7 +21,7 @@ from speechjobs.llm.hashing import SECOND_BASE, PrefixHashes, mix, runs_of, slic
 
 WINDOW, ANCHOR = 100, 32
 #: Bytes of text whose fragments are worked out at once, and for which they are gathered before they are sent.
-WORK_BYTES, FLUSH_BYTES = 2 << 20, 8 << 20
+WORK_BYTES, FLUSH_BYTES = 1 << 20, 8 << 20
 REMOVE, COMPARE = 0, 1
 #: Columns of what tasks send each other, in this order, one after the other in a binary value. A document is known by
 #: ``id`` and a hash ``tie`` of its text, for ids that repeat.
