@@ -52,8 +52,8 @@ def judge(checked: DataFrame, seen: DataFrame, cap: int = K.MAX_TAKES_PER_CONTRI
 
 
 def _walk(ranked: DataFrame, cap: int) -> DataFrame:
-    """Exact statuses where ids are shared by contributors: contributors and digests that touch such ids are walked in
-    order, grouped by what connects them; all others are settled as sets."""
+    """Exact statuses where ids are shared by contributors: contributors that shared ids connect are walked in order, each
+    connected set on its own; all others are settled as sets."""
     people = ranked.select("digest", "contributor").distinct()
     several = people.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     tied = people.join(several, "digest", "left_semi").select("contributor").distinct()
@@ -77,11 +77,23 @@ def _walk(ranked: DataFrame, cap: int) -> DataFrame:
                 out.append(ADDED)
         return pdf.assign(status=out)[["path", "pos", "status"]]
 
-    # contributors who share ids are few and hostile; their takes are one group
-    walked = rest.select("path", "pos", "digest", "contributor").groupBy(F.lit(1)).applyInPandas(walk, "path string, pos int, status string")
+    sets = _connected(rest.select("digest", "contributor").distinct())
+    walked = rest.select("path", "pos", "digest", "contributor").join(sets, "contributor").groupBy("set").applyInPandas(walk, "path string, pos int, status string")
     return settled.unionByName(rest.join(walked, ["path", "pos"]))
 
 
+def _connected(pairs: DataFrame) -> DataFrame:
+    """(contributor, set): contributors that shared digests connect have the same set, named by its least contributor."""
+    label, before = pairs.select("contributor").distinct().withColumn("set", F.col("contributor")), None
+    while True:
+        low = pairs.join(label, "contributor").groupBy("digest").agg(F.min("set").alias("set"))
+        label = pairs.join(low, "digest").groupBy("contributor").agg(F.min("set").alias("set"))
+        now = label.agg(F.sum(F.xxhash64("contributor", "set").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return label
+        before = now
+
+
 def routed(judged: DataFrame) -> DataFrame:
     """(kind, key, country, contributor, features): added takes, once for each totals key they join."""
     added = judged.filter(F.col("status") == ADDED).withColumn("route", route(F.col("country"), F.col("region"), F.col("target_accent"), F.col("natural_voice")))
@@ -155,7 +167,8 @@ def ingest_summary(run: Run, feature_set: str, dry_run: bool = False, rebuilt: b
     refused = named(j.filter(F.col("status") == REFUSED), "reason").select(F.col("m").alias("refused"))
     skipped = named(run.skipped, "reason").select(F.col("m").alias("files_skipped"))
     kinds = run.added.agg(F.coalesce(F.sum(F.when((F.col("kind") == "native") & ~F.col("key").contains("-"), F.col("added"))), F.lit(0)).alias("added_native"), F.coalesce(F.sum(F.when(F.col("kind") == "attempt", F.col("added"))), F.lit(0)).alias("added_attempts"))
-    countries = run.countries.agg(F.array_sort(F.collect_list(F.struct(*run.countries.columns))).alias("countries")) if run.countries else None
+    by_name = lambda a, b: F.when(a["country"] < b["country"], -1).otherwise(1)
+    countries = run.countries.agg(F.array_sort(F.collect_list(F.struct(*run.countries.columns)), by_name).alias("countries"))
     head = takes.select(F.lit(feature_set).alias("feature_set"), F.lit(dry_run).alias("dry_run"), F.lit(rebuilt).alias("rebuilt"), "*")
     # every part is a single row
     return head.crossJoin(kinds).crossJoin(refused).crossJoin(skipped).crossJoin(countries)

@@ -323,7 +323,7 @@ def value_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, fp / (fp + tn) AS false_alarm_rate, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1, tp + fn AS positives, fp + tn AS negatives FROM (
+    """SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(fp / nullif(fp + tn, 0), 0) AS false_alarm_rate, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, tp + fn AS positives, fp + tn AS negatives FROM (
        SELECT count(*) FILTER (n_chars < 600 AND quality = 0) AS tp, count(*) FILTER (n_chars < 600 AND quality <> 0) AS fp, count(*) FILTER (n_chars >= 600 AND quality = 0) AS fn, count(*) FILTER (n_chars >= 600 AND quality <> 0) AS tn FROM ratings)""",
     _RATINGS,
 )

@@ -60,7 +60,7 @@ def test_score_of_known_attempts(spark):
     ship = one(spark, "SH IH1 P", "S IY1 P", 0.9, 0.9, None)
     assert [p.status for p in ship.phoneme_results] == ["error", "error", "correct"] and ship.metrics.accuracy == 33 and ship.metrics.completeness == 100
     stood = one(spark, "S T UW1 D", "S UW1 D", 0.9, 0.9, None)
-    assert [(e.type, e.index) for e in stood.errors] == [("delete", 1)] and stood.metrics.completeness == 75
+    assert [(e["type"], e["index"]) for e in stood.errors] == [("delete", 1)] and stood.metrics.completeness == 75
     assert one(spark, "K", "AA B K D IY F", 0.9, 0.9, None).wer == 5.0
     assert [one(spark, "K AE1 T", "K AE1 T", 0.97, 0.95, n).score for n in (0.5, 4.2, -1.0)] == [7.0, 10.0, 4.0]
     assert one(spark, "V IH1 N", "TH AO1 T", 0.6, 0.5, 0.95).score == 3.0
