@@ -24,8 +24,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     order = Window.orderBy(limit / F.col("__w"), F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum(limit).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("__w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    leveled = weighted.withColumns({"__level": level, "__limit": limit})
-    free = F.when(F.col("__level") * F.col("__w") <= F.col("__limit"), F.struct((F.col("__limit") / F.col("__w")).alias("at"), F.col("__level").alias("level")))
+    leveled = weighted.withColumns({"__level": level, "__limit": limit, "__nth": F.row_number().over(order)})
+    free = F.when(F.col("__level") * F.col("__w") <= F.col("__limit"), F.struct(F.col("__nth").alias("nth"), F.col("__level").alias("level")))
     return leveled.withColumn("__free", F.min(free).over(everything)).select(
         "source", "source_size", F.coalesce(F.least(F.col("__limit"), F.col("__free.level") * F.col("__w")), F.col("__limit")).alias("target")
     )
