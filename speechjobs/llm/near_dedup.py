@@ -229,7 +229,7 @@ def _between_groups(shared: DataFrame, groups: DataFrame, own: DataFrame, hashes
     dealt = open_.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     # block i meets block j >= i: every member goes to all pairs that its block is in
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "node", "group", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = placed.join(own.select("node", "bands", "signature"), "node").join(hashes, "node")
+    full = placed.join(own.select("node", "bands", "signature").join(hashes, "node"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         node, group, mine = (table[c].to_numpy().copy() for c in ("node", "group", "mine"))
