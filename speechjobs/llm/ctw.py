@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from speechjobs.llm.common import written
-from speechjobs.llm.hashing import LOWER, mix, runs_of, sliced, token_hashes, tokens
+from speechjobs.llm.hashing import LOWER, distinct, mix, runs_of, sliced, token_hashes, tokens
 
 #: Bytes of context.
 DEPTH = 5
@@ -210,8 +210,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         """Distinct strings, sorted."""
         found = np.zeros(0, np.uint64)
         for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
-            codes = np.sort(byte_strings([raw[r] for r in rows])[0])
-            found = np.union1d(found, codes[np.flatnonzero(np.diff(codes, prepend=~codes[:1]))])
+            found = distinct(np.concatenate([found, distinct(byte_strings([raw[r] for r in rows])[0])]))
         return found
 
     def string_bucket(codes: np.ndarray, chunk: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechjobs.llm.hashing import mix, runs_of, sliced, token_hashes, tokens
+from speechjobs.llm.hashing import distinct, mix, runs_of, sliced, token_hashes, tokens
 from speechjobs.llm.common import written
 
 #: Words in a shingle, and the least similarity of a link in percent.
@@ -45,7 +45,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         full = mix(sum((words[i : i + n] * PLACES[i] for i in range(WORDS)), np.zeros(n, np.uint64)))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= WORDS:
-                yield np.unique(full[a : b - WORDS + 1])
+                yield distinct(full[a : b - WORDS + 1])
             elif b > a:
                 yield mix((words[a:b] * PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
             else:
