@@ -348,8 +348,8 @@ def test_scores(spark, docs, empty):
     expected = sorted((repr(i), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in rows)
     assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == expected
     assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got) and all(r.held_out == (r.doc_id in (2, 9)) for r in got)
-    near, far = (next(r for r in got if r.doc_id == i) for i in (2, 9))  # held out: a near copy of a learned text, and a new one
-    assert near.bits_per_byte < far.bits_per_byte and ctw.score_corpus(empty, held).count() == 0
+    near = next(r for r in got if r.doc_id == 2)  # held out, but a near copy of learned texts; with nothing learned it costs 8
+    assert near.bits_per_byte < 4 and ctw.score_corpus(empty, held).count() == 0
     nothing = ctw.score_corpus(docs.filter("doc_id = 7"), F.lit(True)).collect()
     assert all(r.bits_per_byte == pytest.approx(8.0, rel=1e-5) and r.n_known == 0 for r in nothing)
 
