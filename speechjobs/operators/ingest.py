@@ -30,6 +30,7 @@ def judge(checked: DataFrame, seen: DataFrame, cap: int = K.MAX_TAKES_PER_CONTRI
     the id goes to the first candidate within its contributor's cap. Such ids are told by their digest and settled in
     rounds, each of which fixes the earliest open candidate of every digest.
     """
+    checked = checked.persist()  # read several times below; parsing and checking JSON is the dear part
     valid = checked.filter("reason is null").withColumn("digest", digest(F.col("id")))
     old = valid.join(seen.select("digest"), "digest", "left_semi").withColumn("status", F.lit(DUPLICATE))
     new = valid.join(seen.select("digest"), "digest", "left_anti")
