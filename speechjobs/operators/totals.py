@@ -8,10 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from speechjobs.operators.cohorts import splits
+
 SCHEMA = "kind string, key string, count long, total array<double>, outer array<double>"
 
 
@@ -195,3 +197,31 @@ def landing_report(groups: DataFrame, reference: DataFrame, features: int) -> Da
     target = F.when(F.col("key").contains(">"), F.substring_index("key", ">", -1))
     out = far.groupBy("key").agg(F.first("count").alias("takes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("accent", "distance")))).alias("distance_to"), F.min_by("accent", F.struct("distance", "accent")).alias("closest"))
     return out.select("key", "takes", F.when(target.isNotNull(), "attempt").otherwise("native").alias("kind"), target.alias("target"), "distance_to", "closest", F.when(F.map_contains_key("distance_to", F.coalesce(target, F.lit(""))), F.col("closest") == target).alias("lands_on_target"))
+
+
+def reference_totals(windows: DataFrame, speakers: DataFrame, groups: dict[str, str], projection: Projection, features: int) -> DataFrame:
+    """Totals of native speakers of each practice accent, from (speaker_id, stats) windows.
+
+    ``groups``: practice accent -> the speakers' accent that stands for it.
+    """
+    names = F.create_map(*[x for accent, group in groups.items() for x in (F.lit(group), F.lit(accent))])
+    placed = windows.join(speakers, "speaker_id").withColumn("key", names[F.col("accent")]).filter("key is not null")
+    return totals_of(project(placed, projection).select(F.lit("reference").alias("kind"), "key", "features"), features)
+
+
+def held_out_check(vectors: DataFrame, features: int, cap: int = 120) -> DataFrame:
+    """(part, classes, balanced_accuracy) of a classifier made of totals alone.
+
+    ``vectors``: speaker_id, accent, part ('window' or 'clip'), seq, features. Speakers of a class that are held out (every
+    fourth) test it; of the others the first ``cap`` windows each are folded in.
+    """
+    split = splits(vectors.select("speaker_id", "accent").distinct()).select("speaker_id", (F.col("split") == "test").alias("test"))
+    placed = vectors.join(split, "speaker_id")
+    nth = F.row_number().over(Window.partitionBy("speaker_id").orderBy("seq"))
+    train = placed.filter("not test and part = 'window'").withColumn("n", nth).filter(F.col("n") <= cap)
+    model = fit_classifier(totals_of(train.select(F.lit("accent").alias("kind"), F.col("accent").alias("key"), "features"), features))
+    if model is None:
+        raise ValueError("at least two accents are needed")
+    tested = classify(placed.filter("test"), model)
+    recalls = tested.groupBy("part", "accent").agg(F.avg((F.col("accent") == F.col("prediction")).cast("int")).alias("recall"))
+    return recalls.groupBy("part").agg(F.count("*").alias("classes"), F.avg("recall").alias("balanced_accuracy"))

@@ -207,3 +207,15 @@ def test_running_totals_are_idempotent(spark, tmp_path):
     fold(df.filter("key <> 'A'"), 1)
     fold(df.filter("key <> 'A'"), 1)
     assert {r.key: r["count"] for r in totals.load_totals(spark, str(tmp_path / "s" / "v2"), SET).collect()} == dict.fromkeys("ABC", 20)
+
+
+def test_held_out_check_and_reference(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"{a}{s}", a, part, i, (rng.normal(size=4) + k * 3).tolist()) for k, a in enumerate("xy") for s in range(8) for part in ("window", "clip") for i in range(6)]
+    df = spark.createDataFrame(rows, "speaker_id string, accent string, part string, seq int, features array<double>")
+    got = {r.part: r for r in totals.held_out_check(df, 4).collect()}
+    assert got["window"].classes == 2 and got["clip"].balanced_accuracy > 0.9
+    stats = df.withColumnRenamed("features", "stats").drop("accent")
+    speakers = df.select("speaker_id", "accent").distinct()
+    made = totals.reference_totals(stats, speakers, {"ga": "x"}, totals.fit_projection(stats, 4, 2), 2).collect()
+    assert [(r.kind, r.key, r["count"], len(r.outer)) for r in made] == [("reference", "ga", 96, 4)]
