@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if asked.num_rows:
-            raw = {(i, t): (x or "").encode("utf-8", "surrogatepass") for i, t, x in zip(*(texts[k].to_pylist() for k in ("__id", "__tie", "text")), strict=True)}
+            raw = {(i, t): (x or "").encode("utf-8", "surrogatepass") for i, t, x in zip(*(texts[k].to_pylist() for k in ("__id", "__tie", text_col)), strict=True)}
             for bucket, blob in zip(asked["bucket"].to_pylist(), asked["data"].to_pylist(), strict=True):
                 f = _unpack([blob], SOUGHT)
                 cut = [raw[i, t][s : s + n + WINDOW - 1] for i, t, s, n in zip(*(f[k].tolist() for k in ("id", "tie", "start", "n")), strict=True)]
@@ -328,7 +328,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = keyed.select(F.col(text_col).alias("text"), "__id", "__tie", "__chunk")
     settled = written(text.mapInArrow(find, "at int, kind int, chunk int, data binary").groupBy("at").applyInArrow(settle, "__chunk int, kind int, bucket int, data binary"), "settled")
     asked = settled.filter(F.col("kind") == COMPARE)
-    sorted_ = text.groupBy("__chunk").cogroup(asked.groupBy("__chunk")).applyInArrow(fetch, "bucket int, data binary, text binary").groupBy("bucket").applyInArrow(sort, "__chunk int, data binary")
+    # the same columns as for cutting below, so that both read one shuffle of the texts
+    sorted_ = keyed.groupBy("__chunk").cogroup(asked.groupBy("__chunk")).applyInArrow(fetch, "bucket int, data binary, text binary").groupBy("bucket").applyInArrow(sort, "__chunk int, data binary")
     removed = settled.filter(F.col("kind") == REMOVE).select("__chunk", "data").union(sorted_)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("kept", "kept_text", "n_bytes", "n_removed", "n_spans"))
     return keyed.groupBy("__chunk").cogroup(removed.groupBy("__chunk")).applyInArrow(cut, f"{fields}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long")
