@@ -85,14 +85,17 @@ def fragments(raw: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
-def _first_of(keys: list[np.ndarray], order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort by keys, then by ``order_by``: the order, group heads in that order, group number of each sorted row."""
+def _first_of(keys: list[np.ndarray], order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are the first of their keys by ``order_by``, and the rest. Rows that are equal in everything come from
+    repeated rows of the table and are one."""
     order = np.lexsort([*reversed(order_by), *reversed(keys)])
-    head = np.zeros(len(order), bool)
+    head, new = np.zeros(len(order), bool), np.zeros(len(order), bool)
     head[:1] = True
     for k in keys:
         head[1:] |= k[order][1:] != k[order][:-1]
-    return order, head, np.cumsum(head) - 1
+    for k in order_by:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order[head], order[~head & new]
 
 
 def merge_sort(hashes: PrefixHashes, data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +236,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             f = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             bucket = (f["anchor"] >> np.uint64(32)).astype(np.int64) % chunks
             f["anchor"] = f["anchor"] & np.uint64(0xFFFFFFFF)
-            order, head, _ = _first_of([bucket, f["anchor"], f["frag"], f["check"]], [f["id"], f["tie"], f["start"]])
-            own, again = order[head], order[~head]
+            own, again = _first_of([bucket, f["anchor"], f["frag"], f["check"]], [f["id"], f["tie"], f["chunk"], f["start"]])
             rows = [(b, COMPARE, b, blob) for b, blob in _split({k: v[own] for k, v in f.items()}, FRAGMENT, bucket[own])]
             gone = {k: f[k][again] for k, _ in DOC}
             rows += [(c, REMOVE, c, blob) for c, blob in _split(_joined(gone), DOC, _joined(gone)["chunk"])]
@@ -262,10 +264,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         f = _unpack([d for d, k in zip(data, kind.tolist(), strict=True) if k == COMPARE], FRAGMENT)
         if len(f["id"]):
             bucket = table["at"][0].as_py()
-            order, head, _ = _first_of([f["anchor"], f["frag"], f["check"]], [f["id"], f["tie"], f["start"]])
-            gone = _joined({k: f[k][order[~head]] for k, _ in DOC})
+            firsts, again = _first_of([f["anchor"], f["frag"], f["check"]], [f["id"], f["tie"], f["chunk"], f["start"]])
+            gone = _joined({k: f[k][again] for k, _ in DOC})
             out += [(c, REMOVE, -1, blob) for c, blob in _split(gone, DOC, gone["chunk"])]
-            firsts = order[head]
             anchor = f["anchor"][firsts]
             _, which, several = np.unique(anchor, return_inverse=True, return_counts=True)
             ask = {k: f[k][firsts[several[which] > 1]] for k, _ in SOUGHT}

@@ -302,6 +302,17 @@ def test_suffix_dedup(spark, docs, empty):
     assert len(odd) == len(corpus()) and len({bytes(r["kept"]) for r in odd if r.doc_id == 7}) == 1 and suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Rows that repeat id and text get the result of one document, in one partition or several; so do those without an id."""
+    first, second = words(150, 31), words(90, 32)
+    unique = [(1, first), (2, second + " " + first[100:400] + " " + second), (None, words(120, 33) + " " + second[:250])]
+    expected = without_repeats(unique)
+    for partitions in (1, 6):
+        df = spark.createDataFrame(unique * 3, "doc_id long, text string").repartition(partitions)
+        got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df, chunk_bytes=2000)).collect()]
+        assert sorted(got, key=repr) == sorted([*expected.items()] * 3, key=repr)
+
+
 def test_merge_sort_of_suffixes():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
