@@ -29,6 +29,8 @@ BEGIN, END = 0xFE, 0xFF
 WORK_BYTES = 1 << 20
 #: Distinct strings that a task holds before it sends their counts.
 HELD = 2_000_000
+#: Stands for a share of nothing, so that it can carry a sign as a 32-bit float.
+TINY = 1e-37
 
 
 def byte_strings(raw: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,8 @@ def _log_kt(zeros: pd.Series, ones: pd.Series) -> pd.Series:
 
 def build_tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """All nodes (depth, key, one, own): key is the context's bytes and the decision, ``one`` the estimate that the bit
-    is 1, ``own`` the weight of this estimate against the deeper ones.
+    is 1, ``own`` the weight of this estimate against the deeper ones. Of each share x and 1 - x the smaller one is
+    given, with a minus if it is 1 - x, so that a share next to 1 loses nothing as a 32-bit float.
 
     Depth by depth from the deepest: counts and the children's ln probabilities are summed by the shorter context.
     """
@@ -103,17 +106,19 @@ def build_tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     at = F.call_function("shiftright", F.col("byte") + 256, 8 - F.col("k"))
     bit = F.call_function("shiftright", F.col("byte"), 7 - F.col("k")) % 2
     level = each.groupBy((F.col("context") * 256 + at).alias("key")).agg(F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("ones"))
-    level = level.withColumn("weighted", _log_kt("zeros", "ones")).withColumn("own", F.lit(1.0))
+    level = level.withColumn("weighted", _log_kt("zeros", "ones")).withColumn("own", F.lit(-TINY))
     nodes = None
     for d in range(depth, -1, -1):
         if d < depth:
             level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
             level = level.withColumn("kt", _log_kt("zeros", "ones"))
             ahead = F.col("below") - F.col("kt")
-            own = 1 / (1 + F.exp(F.least(ahead, F.lit(700.0))))
+            less = F.greatest(1 / (1 + F.exp(F.least(F.abs(ahead), F.lit(700.0)))), F.lit(TINY))
+            own = F.when(ahead > 0, less).otherwise(-less)
             level = level.withColumns({"weighted": F.greatest("below", "kt") + F.log1p(F.exp(-F.abs(ahead))) - F.log(F.lit(2.0)), "own": own})
         level = written(level.select("key", "zeros", "ones", "weighted", "own"), f"tree-{d}")
-        part = level.select(F.lit(d).alias("depth"), "key", ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("one"), "own")
+        rare = (F.least("zeros", "ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+        part = level.select(F.lit(d).alias("depth"), "key", F.when(F.col("ones") <= F.col("zeros"), rare).otherwise(-rare).alias("one"), "own")
         nodes = part if nodes is None else nodes.union(part)
     return nodes
 
@@ -130,19 +135,23 @@ class Tree:
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each string's last byte after the others. Where a context was never met, a bit has 1/2."""
-        total = np.zeros(len(codes))
+        total = np.ones(len(codes))
         byte = (codes & np.uint64(255)).astype(np.int64)
         for k in range(8):
             at = (byte + 256) >> (8 - k)
-            one = np.full(len(codes), 0.5)
+            bit = (byte >> (7 - k)) & 1
+            share = np.full(len(codes), 0.5)
             for d in range(len(self.levels) - 1, -1, -1):
                 keys, estimate, own = self.levels[d]
                 if len(keys):
                     key = (((codes >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | at.astype(np.uint64)
                     i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    one = np.where(keys[i] == key, own[i] * estimate[i] + (1 - own[i]) * one, one)
-            total += np.log10(np.where((byte >> (7 - k)) & 1, one, 1 - one))
-        return total
+                    # the share of the bit that came, never as 1 less the other
+                    mine, weight = np.where(bit, estimate[i], -estimate[i]), own[i]
+                    mixed = np.where(weight > 0, weight, 1 + weight) * np.where(mine > 0, mine, 1 + mine) + np.where(weight > 0, 1 - weight, -weight) * share
+                    share = np.where(keys[i] == key, mixed, share)
+            total *= share
+        return np.log10(total)
 
 
 def lookup(codes: np.ndarray, known: np.ndarray, bits: int = 20) -> np.ndarray:

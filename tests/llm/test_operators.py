@@ -350,6 +350,17 @@ def test_ctw_tree_sums_to_one(spark, docs):
         assert (10 ** tree.log10(np.array([context + x for x in range(256)], np.uint64))).sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def test_ctw_of_a_bit_never_seen(spark):
+    """As 32-bit floats, as they are shipped, nodes still tell 1e9 ones from certainty, and so do bits that are zero."""
+    for seen, other in ((b"e", b"%"), (b"%", b"e")):  # they part at the second bit
+        counts = spark.createDataFrame([(int.from_bytes(b"abcde" + seen, "big"), 10**9)], "code long, n long")
+        nodes = ctw.build_tree(counts).select("depth", "key", F.col("one").cast("float").alias("one"), F.col("own").cast("float").alias("own")).toPandas()
+        tree = ctw.Tree(*(nodes[c].to_numpy() for c in ("depth", "key", "one", "own")))
+        got = tree.log10(np.array([int.from_bytes(b"abcde" + x, "big") for x in (seen, other)], np.uint64))
+        assert got[0] == pytest.approx(8 * math.log10(1 - 0.5 / (10**9 + 1)), rel=1e-5)
+        assert got[1] == pytest.approx(math.log10(0.5 / (10**9 + 1)) + 6 * math.log10(0.5), rel=1e-6)
+
+
 def test_scores(spark, docs, empty):
     held = F.col("doc_id").isin(2, 9)
     got = ctw.score_corpus(docs, held, chunk_bytes=4000).collect()
