@@ -4,7 +4,7 @@ Every window of WINDOW bytes has an anchor, the ANCHOR-byte string in it with th
 anchors at equal places, so only windows of one anchor need to be compared, wherever they are. A run of windows with
 one anchor is a fragment. Fragments that are equal as a whole are settled by their hashes of 96 bits and their place
 around the anchor's hash; where one anchor has several different fragments, their texts are fetched and the windows are
-sorted as suffixes.
+sorted as suffixes. Where it has very many, each window is a fragment of its own with its own hash for an anchor.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WINDOW, ANCHOR = 100, 32
 #: Bytes of text whose fragments are worked out at once, and for which they are gathered before they are sent.
 WORK_BYTES, FLUSH_BYTES = 1 << 20, 8 << 20
 REMOVE, COMPARE = 0, 1
+#: Fragments that one anchor may have, about, before its windows go apart; slots of counters for each chunk of text.
+HOT, SLOTS = 8192, 64
 #: Columns of what tasks send each other, in this order, one after the other in a binary value. A document is known by
 #: ``id`` and a hash ``tie`` of its text, for ids that repeat.
 DOC = [("id", "i8"), ("tie", "u4"), ("chunk", "i4"), ("start", "u4"), ("n", "u4")]
@@ -52,9 +54,15 @@ def _split(columns: dict[str, np.ndarray], kinds: list[tuple[str, str]], by: np.
         yield int(by[rows[0]]), _pack(columns, kinds, rows)
 
 
-def fragments(raw: list[bytes]) -> dict[str, np.ndarray]:
+def slot_of(anchor: np.ndarray, slots: int) -> np.ndarray:
+    """The counter of each anchor."""
+    return ((anchor >> np.uint64(16)) % np.uint64(slots)).astype(np.int64)
+
+
+def fragments(raw: list[bytes], hot: np.ndarray | None = None, slots: int = 1) -> dict[str, np.ndarray]:
     """All fragments of some texts: ``doc`` (number of the text), ``start`` and ``n`` (its windows), ``off`` (of the
-    anchor from the start), ``anchor``, ``frag`` and ``check`` (hashes)."""
+    anchor from the start), ``anchor``, ``frag`` and ``check`` (hashes). In ``hot`` slots each window is a fragment, and
+    a hash of the window stands for the anchor."""
     sizes = np.array([len(r) for r in raw])
     data = np.frombuffer(b"".join(raw), np.uint8)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -77,11 +85,18 @@ def fragments(raw: list[bytes]) -> dict[str, np.ndarray]:
     head = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
     begin, n = starts[head], np.diff(head, append=len(starts))
     at, doc = at[head], doc[head]
+    apart = np.isin(slot_of(grams[at], slots), hot) if hot is not None and len(hot) else np.zeros(len(at), bool)
+    if apart.any():
+        parts = np.where(apart, n, 1)
+        of = np.repeat(np.arange(len(n)), parts)
+        begin = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at, doc, apart = at[of], doc[of], apart[of]
+        n = np.where(apart, 1, n[of])
     place = ((at - begin) * 256 + n).astype(np.uint64)
-    second = PrefixHashes(data, SECOND_BASE)
+    second = mix(PrefixHashes(data, SECOND_BASE).of(begin, n + WINDOW - 1) + place)
     return {
-        "doc": doc, "start": begin - bounds[doc], "n": n, "off": at - begin, "anchor": grams[at],
-        "frag": mix(hashes.of(begin, n + WINDOW - 1) + place), "check": mix(second.of(begin, n + WINDOW - 1) + place) >> np.uint64(32),
+        "doc": doc, "start": begin - bounds[doc], "n": n, "off": at - begin, "anchor": np.where(apart, mix(second), grams[at]),
+        "frag": mix(hashes.of(begin, n + WINDOW - 1) + place), "check": second >> np.uint64(32),
     }
 
 
@@ -207,14 +222,16 @@ def repeated_windows(found: dict[str, np.ndarray], texts: list[bytes]) -> dict[s
     return {k: found[k][which] for k in ("id", "tie", "chunk")} | {"start": found["start"][which] + gone[head] - place[which], "n": np.diff(head, append=len(gone))}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, hot_fragments: int = HOT) -> DataFrame:
     """Remove from every whole text, as UTF-8 bytes, each byte covered by a string of WINDOW bytes that also starts
     earlier: in a document with a smaller id, or earlier in the same document. Strings are judged on the input.
 
     Tasks find the fragments of their texts, settle equal ones among themselves and send the rest, packed, to the bucket
     of the anchor. Buckets settle equal fragments; of anchors with different fragments they fetch the texts and sort the
     windows. What is to go returns to the chunks of documents, where it is cut out. Copies of any number cost a task
-    one fragment, so no bucket grows with a group of copies. The texts are shuffled once, for fetching and cutting.
+    one fragment, so no bucket grows with a group of copies. A first pass counts the fragments of anchors, by slots; in
+    slots of more than ``hot_fragments`` all windows go to buckets of their own hash, so no bucket grows with the
+    surroundings of a common line. The texts are shuffled once, for fetching and cutting.
 
     Returns the columns of ``docs`` with ``kept`` (binary: the remaining bytes), ``kept_text`` (the same as a string,
     without characters of which a part is gone), ``n_bytes``, ``n_removed`` and ``n_spans``
@@ -231,10 +248,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(last))
     keyed = docs.withColumns({"__id": number, "__tie": tie.bitwiseAND(F.lit((1 << 32) - 1)), "__chunk": F.pmod(F.xxhash64(number, F.when(number == last, tie)), F.lit(chunks)).cast("int")})
 
+    slots = SLOTS * chunks
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(slots, np.int64), [], 0
+
+        def add() -> None:
+            frag, slot = (np.concatenate(x) for x in zip(*held, strict=True))
+            np.add.at(counts, slot[np.unique(frag, return_index=True)[1]], 1)
+
+        for batch in sliced(batches):
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
+            for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
+                found = fragments([raw[r] for r in rows])
+                held.append((found["frag"], slot_of(found["anchor"], slots)))
+                size += int(found["n"].sum())
+                if size >= FLUSH_BYTES:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"slot": some, "n": counts[some]})
+
+    text = keyed.select(F.col(text_col).alias("text"), "__id", "__tie", "__chunk")
+    crowded = text.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > hot_fragments).collect()
+    hot = np.array(sorted(r["slot"] for r in crowded), np.int64)
+    # as many more buckets as windows that go apart fill
+    buckets = chunks + sum(r["n"] for r in crowded) * (WINDOW - ANCHOR + 1) // (1 << 20)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held: list[dict]) -> pa.RecordBatch:
             f = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            bucket = (f["anchor"] >> np.uint64(32)).astype(np.int64) % chunks
+            bucket = (f["anchor"] >> np.uint64(32)).astype(np.int64) % buckets
             f["anchor"] = f["anchor"] & np.uint64(0xFFFFFFFF)
             own, again = _first_of([bucket, f["anchor"], f["frag"], f["check"]], [f["id"], f["tie"], f["chunk"], f["start"]])
             rows = [(b, COMPARE, b, blob) for b, blob in _split({k: v[own] for k, v in f.items()}, FRAGMENT, bucket[own])]
@@ -247,11 +293,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
             facts = {k: batch[f"__{k}"].to_numpy() for k in ("id", "tie", "chunk")}
             for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
-                found = fragments([raw[r] for r in rows])
+                found = fragments([raw[r] for r in rows], hot, slots)
                 if len(found["doc"]):
                     owner = rows[found.pop("doc")]
                     held.append(found | {k: v[owner] for k, v in facts.items()})
-                    size += int(found["n"].sum())
+                    size += max(int(found["n"].sum()), 8 * len(owner))
                 if size >= FLUSH_BYTES:
                     yield send(held)
                     held, size = [], 0
@@ -326,7 +372,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         new = {"kept": pa.array(kept, pa.binary()), "kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "n_removed": pa.array(counts, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
         return pa.table({c: texts[c] for c in names if c not in new} | new)
 
-    text = keyed.select(F.col(text_col).alias("text"), "__id", "__tie", "__chunk")
     settled = written(text.mapInArrow(find, "at int, kind int, chunk int, data binary").groupBy("at").applyInArrow(settle, "__chunk int, kind int, bucket int, data binary"), "settled")
     asked = settled.filter(F.col("kind") == COMPARE)
     # the same columns as for cutting below, so that both read one shuffle of the texts

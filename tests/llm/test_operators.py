@@ -313,6 +313,24 @@ def test_suffix_dedup_of_repeated_rows(spark):
         assert sorted(got, key=repr) == sorted([*expected.items()] * 3, key=repr)
 
 
+def test_suffix_dedup_spreads_a_common_line(spark):
+    """A line in many surroundings: no anchor keeps many fragments, and no window is lost."""
+    line, longer = words(9, 41)[:40], words(40, 42)[:150]
+    texts = [f"{words(30, 1000 + k)} {line} {words(30, 5000 + k)} {longer} {words(20, 9000 + k % 40)}" for k in range(300)]
+    raw = [t.encode() for t in texts]
+    plain = suffix_dedup.fragments(raw)
+    slot = suffix_dedup.slot_of(plain["anchor"], 1 << 16)
+    hot = np.flatnonzero(np.bincount(slot) > 50)
+    # what is sent of them: one row for each different fragment
+    most = lambda f: max(Counter(a for a, _ in set(zip(f["anchor"].tolist(), f["frag"].tolist()))).values())
+    apart = suffix_dedup.fragments(raw, hot, 1 << 16)
+    assert most(plain) > 50 >= most(apart) and apart["n"].sum() == plain["n"].sum()
+    rows = [*enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df, chunk_bytes=20000, hot_fragments=50)).collect()}
+    assert got == without_repeats(rows)
+
+
 def test_merge_sort_of_suffixes():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
