@@ -137,24 +137,35 @@ def kept_by_length(measured: DataFrame, group: str, rule: str, threshold: int, t
     return measured.filter(F.size(target).isin(*lengths)).groupBy(group, F.size(target).alias("length")).agg(F.count("*").alias("n"), F.avg((F.col(rule) >= threshold).cast("int")).alias("kept"))
 
 
-def wrong_targets(pairs: DataFrame, slack: float = 0.25, tries: int = 4, id_col: str = "id", target: str = "target", heard: str = "heard") -> DataFrame:
-    """Each transcription with a target of another word, of a length within ``slack`` of its own.
+def wrong_targets(pairs: DataFrame, slack: float = 0.25, id_col: str = "id", target: str = "target", heard: str = "heard") -> DataFrame:
+    """(id, target, heard): each transcription with a target of another word, of a length within ``slack`` of its own.
 
-    Distinct targets are numbered within their length; a row picks a length and a number by arithmetic on its id, so the
-    pairing is one equality join and reruns agree. A pick that is the row's own target is replaced by the next try.
-    Lengths are few and the list of their counts is one small array.
+    Distinct targets are numbered by length and spelling. A row looks at those of fitting lengths as a ring and goes from its
+    own place to another one, by arithmetic on its id, so the pairing is two equality joins, reruns agree, and no row meets
+    its own target. Lengths are few; the list of their counts is one small array. Every row stays: where no other target
+    fits, the target is null.
     """
     own = F.array_join(strip_all(F.col(target)), " ")
-    words = pairs.select(own.alias("other"), F.size(target).alias("length")).distinct()
-    numbered = words.withColumn("nth", F.row_number().over(Window.partitionBy("length").orderBy("other")) - 1)
+    words = pairs.select(own.alias("word"), F.size(target).alias("length")).distinct()
+    numbered = words.withColumn("nth", F.row_number().over(Window.partitionBy("length").orderBy("word")) - 1)
     counts = words.groupBy("length").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("length", "n"))).alias("counts"))
-    rows = pairs.withColumn("__own", own).crossJoin(counts).withColumn("fit", F.filter("counts", lambda c: F.abs(c["length"] - F.size(target)) <= F.lit(slack) * F.size(target)))
-    total = F.aggregate("fit", F.lit(0).cast("long"), lambda s, c: s + c["n"])
-    tried = rows.withColumn("total", total).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("at", (F.col(id_col) * 31 + F.col("try") * 17) % F.col("total"))
-    step = lambda s, c: F.when(s["left"] < 0, s).when(s["left"] < c["n"], F.struct(c["length"].alias("length"), s["left"].alias("nth"), F.lit(-1).cast("long").alias("left"))).otherwise(F.struct(s["length"].alias("length"), s["nth"].alias("nth"), (s["left"] - c["n"]).alias("left")))
-    picked = tried.withColumn("pick", F.aggregate("fit", F.struct(F.lit(-1).alias("length"), F.lit(-1).cast("long").alias("nth"), F.col("at").alias("left")), step))
-    hits = picked.join(numbered, (F.col("pick.length") == numbered["length"]) & (F.col("pick.nth") == numbered["nth"])).filter(F.col("other") != F.col("__own"))
-    return hits.groupBy(id_col).agg(F.min_by(F.struct(F.split("other", " ").alias("target"), F.col(heard).alias("heard")), "try").alias("p")).select(id_col, "p.*")
+    sums = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    places = numbered.crossJoin(counts).withColumn("fit", F.filter("counts", lambda c: F.abs(c["length"] - F.col("length")) <= F.lit(slack) * F.col("length")))
+    places = places.select("word", "length", "fit", sums(F.col("fit")).alias("total"), (sums(F.filter("fit", lambda c: c["length"] < F.col("length"))) + F.col("nth")).alias("place"))
+    rows = pairs.select(F.col(id_col).alias("id"), F.col(heard).alias("heard"), own.alias("word"), F.size(target).alias("length")).join(places, ["word", "length"])
+    at = (F.col("place") + 1 + F.pmod(F.col("id") * 31, F.col("total") - 1)) % F.col("total")
+
+    def step(s: Column, c: Column) -> Column:
+        """Go through the lengths until the place falls into one."""
+        here = F.struct(c["length"].alias("length"), s["left"].alias("nth"), F.lit(-1).cast("long").alias("left"))
+        on = F.struct(s["length"].alias("length"), s["nth"].alias("nth"), (s["left"] - c["n"]).alias("left"))
+        return F.when(s["left"] < 0, s).when(s["left"] < c["n"], here).otherwise(on)
+
+    begin = F.struct(F.lit(-1).alias("length"), F.lit(-1).cast("long").alias("nth"), at.alias("left"))
+    picked = rows.withColumn("pick", F.when(F.col("total") > 1, F.aggregate("fit", begin, step)))
+    other = numbered.select(F.col("word").alias("other"), F.col("length").alias("__length"), F.col("nth").alias("__nth"))
+    found = picked.join(other, (F.col("pick.length") == F.col("__length")) & (F.col("pick.nth") == F.col("__nth")), "left")
+    return found.select(F.col("id").alias(id_col), F.split("other", " ").alias("target"), "heard")
 
 
 def compare_runs(one: DataFrame, two: DataFrame, key: str = "utt_id") -> DataFrame:

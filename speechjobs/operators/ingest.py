@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from speechjobs import constants as K
 from speechjobs.functions.gates import route
 from speechjobs.operators.totals import SCHEMA, load_totals, merge_totals, partial_totals, save_totals
+from speechjobs.sources.shared import discard, written
 
 ADDED, DUPLICATE, OVER_CAP, REFUSED = "added", "duplicate", "over_cap", "refused"
 
@@ -26,73 +28,58 @@ def judge(checked: DataFrame, seen: DataFrame, cap: int = K.MAX_TAKES_PER_CONTRI
     duplicate; the first of an id counts, unless its contributor already has ``cap`` takes; an id that was over the cap
     is not remembered, so a repeat of it by the same contributor is over the cap again.
 
-    With one id under several contributors the order matters: each contributor's first take of an id is a candidate, and
-    the id goes to the first candidate within its contributor's cap. Such ids are told by their digest and settled in
-    rounds, each of which fixes the earliest open candidate of every digest.
+    Each contributor's first take of an id is a candidate. Where no id is shared by contributors a candidate counts if it is
+    among its contributor's first ``cap``. Else the order matters, and settle_candidates() decides in rounds. Either way a
+    take is then the one that counted, later than it (duplicate) or earlier (over the cap).
     """
-    checked = checked.persist()  # read several times below; parsing and checking JSON is the dear part
-    valid = checked.filter("reason is null").withColumn("digest", digest(F.col("id")))
-    old = valid.join(seen.select("digest"), "digest", "left_semi").withColumn("status", F.lit(DUPLICATE))
-    new = valid.join(seen.select("digest"), "digest", "left_anti")
-    order = ["path", "pos"]
-    mine = Window.partitionBy("digest", "contributor").orderBy(*order)
-    ranked = new.withColumn("__own", F.row_number().over(mine))
-    firsts = ranked.filter("__own = 1")
-    held = firsts.withColumn("__nth", F.row_number().over(Window.partitionBy("contributor").orderBy(*order)))
-    shared = firsts.groupBy("digest").agg(F.count("*").alias("__people")).filter("__people > 1")
-    if shared.isEmpty():
-        fate = held.select("digest", "contributor", F.when(F.col("__nth") <= cap, ADDED).otherwise(OVER_CAP).alias("__fate"))
-        joined = ranked.join(fate, ["digest", "contributor"])
-        status = F.when(F.col("__fate") == OVER_CAP, OVER_CAP).when(F.col("__own") == 1, ADDED).otherwise(DUPLICATE)
-        done = joined.withColumn("status", status)
+    own_names = [*checked.columns, "digest", "status"]
+    valid = F.col("reason").isNull()
+    # parsing and checking is the dear part and several passes follow: it is done once
+    named = written(checked.withColumn("digest", F.when(valid, digest(F.col("id")))), "checked")
+    order = F.struct("path", "pos")
+    known = seen.select(F.col("digest").alias("__seen")).distinct()
+    marked = named.join(known, F.col("digest") == F.col("__seen"), "left")
+    firsts = marked.filter("reason is null and __seen is null").groupBy("digest", "contributor").agg(F.min(order).alias("at"))
+    several = firsts.groupBy("digest").agg(F.count("*").alias("people")).agg(F.max("people")).first()[0] or 0
+    if several > 1:
+        counted = settle_candidates(firsts, cap)
     else:
-        done = _walk(ranked, cap)
-    names = [*checked.columns, "digest", "status"]
-    refused = checked.filter("reason is not null").withColumns({"digest": F.lit(None).cast("string"), "status": F.lit(REFUSED)})
-    return refused.select(names).unionByName(old.select(names)).unionByName(done.select(names))
-
-
-def _walk(ranked: DataFrame, cap: int) -> DataFrame:
-    """Exact statuses where ids are shared by contributors: contributors that shared ids connect are walked in order, each
-    connected set on its own; all others are settled as sets."""
-    people = ranked.select("digest", "contributor").distinct()
-    several = people.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    tied = people.join(several, "digest", "left_semi").select("contributor").distinct()
-    plain = ranked.join(tied, "contributor", "left_anti")
-    nth = Window.partitionBy("contributor").orderBy("path", "pos")
-    fate = plain.filter("__own = 1").withColumn("__fate", F.when(F.row_number().over(nth) <= cap, ADDED).otherwise(OVER_CAP)).select("digest", "contributor", "__fate")
-    settled = plain.join(fate, ["digest", "contributor"]).withColumn("status", F.when(F.col("__fate") == OVER_CAP, OVER_CAP).when(F.col("__own") == 1, ADDED).otherwise(DUPLICATE)).drop("__fate")
-    rest = ranked.join(tied, "contributor", "left_semi")
-
-    def walk(pdf):
-        pdf = pdf.sort_values(["path", "pos"])
-        seen, used, out = set(), {}, []
-        for d, c in zip(pdf["digest"], pdf["contributor"], strict=True):
-            if d in seen:
-                out.append(DUPLICATE)
-            elif used.get(c, 0) >= cap:
-                out.append(OVER_CAP)
-            else:
-                seen.add(d)
-                used[c] = used.get(c, 0) + 1
-                out.append(ADDED)
-        return pdf.assign(status=out)[["path", "pos", "status"]]
-
-    sets = _connected(rest.select("digest", "contributor").distinct())
-    walked = rest.select("path", "pos", "digest", "contributor").join(sets, "contributor").groupBy("set").applyInPandas(walk, "path string, pos int, status string")
-    return settled.unionByName(rest.join(walked, ["path", "pos"]))
-
-
-def _connected(pairs: DataFrame) -> DataFrame:
-    """(contributor, set): contributors that shared digests connect have the same set, named by its least contributor."""
-    label, before = pairs.select("contributor").distinct().withColumn("set", F.col("contributor")), None
+        counted = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("contributor").orderBy("at"))).filter(F.col("nth") <= cap).select("digest", "at")
+    counted = counted.select(F.col("digest").alias("__digest"), F.col("at").alias("__at"))
+    status = (
+        F.when(~valid, REFUSED).when(F.col("__seen").isNotNull() | F.coalesce(order > F.col("__at"), F.lit(False)), DUPLICATE)
+        .when(order == F.col("__at"), ADDED).otherwise(OVER_CAP)
+    )
+    return marked.join(counted, F.col("digest") == F.col("__digest"), "left").withColumn("status", status).select(own_names)
+
+
+def settle_candidates(firsts: DataFrame, cap: int) -> DataFrame:
+    """(digest, at): the candidate of each digest that counts, from (digest, contributor, at), exactly as in a walk by ``at``.
+
+    Rounds of windows over the open candidates. With the candidates before it of the same digest and of the same
+    contributor, one is out if its digest is taken or if ``cap`` takes surely count before it, and counts if no earlier one
+    of its digest is open and fewer than ``cap`` of its contributor's count or are open. Every round decides at least the
+    earliest open candidate, and all that hang on no open one; the state is written between rounds.
+    """
+    same, mine = (Window.partitionBy(k).orderBy("at").rowsBetween(Window.unboundedPreceding, -1) for k in ("digest", "contributor"))
+    open_, won = F.col("counts").isNull(), F.coalesce("counts", F.lit(False))
+    before = lambda test, window: F.coalesce(F.sum(test.cast("long")).over(window), F.lit(0))
+    state = written(firsts.select("digest", "contributor", "at", F.lit(None).cast("boolean").alias("counts")), "candidates")
+    counted = []
     while True:
-        low = pairs.join(label, "contributor").groupBy("digest").agg(F.min("set").alias("set"))
-        label = pairs.join(low, "digest").groupBy("contributor").agg(F.min("set").alias("set"))
-        now = label.agg(F.sum(F.xxhash64("contributor", "set").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return label
-        before = now
+        near = state.select("*", before(won, same).alias("taken"), before(open_, same).alias("rivals"), before(won, mine).alias("least"), before(open_, mine).alias("more"))
+        out = (F.col("taken") > 0) | (F.col("least") >= cap)
+        fate = F.when(out, False).when((F.col("rivals") == 0) & (F.col("least") + F.col("more") < cap), True)
+        judged = written(near.select("digest", "contributor", "at", F.coalesce("counts", fate).alias("counts")), "candidates")
+        discard(state)
+        counted.append(judged.filter("counts").select("digest", "at"))
+        left = judged.filter("counts is null")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, counted).distinct()
+        # what the open ones depend on: all candidates of their digests and contributors
+        digests, people = left.select("digest").distinct(), left.select("contributor").distinct()
+        keep = judged.join(digests.withColumn("__d", F.lit(True)), "digest", "left").join(people.withColumn("__c", F.lit(True)), "contributor", "left")
+        state = written(keep.filter("__d or __c").select(*state.columns), "candidates")
 
 
 def routed(judged: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechjobs import constants as K
@@ -303,15 +303,26 @@ def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def match_rule_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.attempts(spark, sf_dir).select("id", F.col("target_phonemes").alias("target"), F.col("predicted_phonemes").alias("heard"))
-    wrong = evaluation.wrong_targets(pairs)
+    wrong = evaluation.wrong_targets(pairs).filter("target is not null")
     both = pairs.withColumn("group", F.concat(F.lit("variant "), (F.col("id") % 5).cast("string"))).unionByName(wrong.withColumn("group", F.lit("wrong")))
     return evaluation.choose_rule(evaluation.pass_rates(evaluation.match_measures(both), ("group",)), "group", "wrong")
 
 
-@query()
+_HEARD = """
+heard AS (SELECT id, word, t, s, n, CASE n WHEN 0 THEN t WHEN 1 THEN t[2:] WHEN 2 THEN list_transform(t, lambda p: CASE WHEN regexp_matches(p, '[012]$') THEN 'AH0' ELSE p END)
+          WHEN 3 THEN list_append(t, 'T') ELSE list_transform(t, lambda p: CASE WHEN p = 'R' THEN 'L' ELSE p END) END AS h FROM attempts)"""
+_PLACED = """
+known AS (SELECT DISTINCT array_to_string(s, ' ') AS w, len(s) AS length FROM attempts),
+ring AS (SELECT a.w, b.w AS other, row_number() OVER (PARTITION BY a.w ORDER BY b.length, b.w) - 1 AS k, count(*) OVER (PARTITION BY a.w) AS total FROM known a JOIN known b ON abs(b.length - a.length) <= 0.25 * a.length),
+mispaired AS (
+  SELECT h.id, h.n, o.other, h.h, own.total FROM heard h JOIN ring own ON own.w = array_to_string(h.s, ' ') AND own.other = own.w
+  LEFT JOIN ring o ON own.total > 1 AND o.w = own.w AND o.k = (own.k + 1 + (h.id * 31) % nullif(own.total - 1, 0)) % own.total)"""
+
+
+@query("SELECT id, other AS target, array_to_string(h, ' ') AS heard FROM mispaired", _ATTEMPTS, _HEARD, _PLACED)
 def wrong_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.attempts(spark, sf_dir).select("id", F.col("target_phonemes").alias("target"), F.col("predicted_phonemes").alias("heard"))
-    return evaluation.wrong_targets(pairs)
+    return evaluation.wrong_targets(pairs).select("id", F.array_join("target", " ").alias("target"), F.array_join("heard", " ").alias("heard"))
 
 
 @query(
@@ -513,4 +524,5 @@ def pooled_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = views.read(spark, sf_dir, "lineitem").withColumns({"id": F.col("l_linenumber"), "created": F.col("l_orderkey")})
     kept = history.stored_within_cap(lines, "l_suppkey", "created", K.MAX_TAKES_PER_CONTRIBUTOR)
-    return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 9).alias("mean"), F.lit(40).alias("most"))
+    numbered = kept.withColumn("k", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")))
+    return numbered.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 9).alias("mean"), F.max("k").alias("most"))

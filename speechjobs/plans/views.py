@@ -1,6 +1,6 @@
 """Domain views on the TPC-H-like, event and text tables: attempts, takes, frames, levels, words.
 
-The same definitions in SQL, for DuckDB, stand in oracles.py.
+The same definitions in SQL, for DuckDB, stand in queries.py.
 """
 
 from __future__ import annotations

@@ -85,6 +85,9 @@ def test_statuses_equal_a_walk(spark, shared):
     seen = spark.createDataFrame([(x,) for x in old], "id string").select(ingest.digest(F.col("id")).alias("digest"))
     got = [r.status for r in ingest.judge(checked, seen, 5).orderBy("path", "pos").collect()]
     assert got == walked(rows, 5, old)
+    chained = [(f"{i % 3}.json", i, uuid(i // 2), uuid((i + 1) // 2 % 9, "c000")) for i in range(40)]  # each shares an id with the next
+    checked = spark.createDataFrame([(p, i, None, d, c) for p, i, d, c in chained], "path string, pos int, reason string, id string, contributor string")
+    assert [r.status for r in ingest.judge(checked, seen, 2).orderBy("path", "pos").collect()] == walked(chained, 2, old)
 
 
 def test_ingest_rebuild_and_dry_run(spark, tmp_path):

@@ -97,7 +97,12 @@ def test_wrong_targets(spark):
     pairs = spark.createDataFrame([(i, [c, "AE1", "T"][: 2 + i % 2], ["K"]) for i, c in enumerate("KPSTRMBD" * 4)], "id long, target array<string>, heard array<string>")
     own = {r.id: [x.rstrip("012") for x in r.target] for r in pairs.collect()}
     got = {r.id: r.target for r in evaluation.wrong_targets(pairs, slack=0.5).collect()}
-    assert len(got) >= 30 and all(got[i] != own[i] for i in got)
+    assert set(got) == set(own) and all(got[i] and got[i] != own[i] for i in got)
+    few = spark.createDataFrame([(1, ["K", "AE1"], ["K"]), (2, ["K", "AE1"] * 4, ["K"])], "id long, target array<string>, heard array<string>")
+    assert [r.target for r in evaluation.wrong_targets(few).collect()] == [None, None]
+    for n in (2, 3, 5, 17, 18):  # any number of targets
+        some = spark.createDataFrame([(i, [x, "AE1"], ["K"]) for i, x in enumerate("BDFGHKLMNPRSTVWYZ" + "JX")][:n], "id long, target array<string>, heard array<string>")
+        assert all(r.target and r.target[0] != r.own for r in evaluation.wrong_targets(some).join(some.selectExpr("id", "target[0] as own"), "id").collect())
 
 
 def test_frames(spark):
