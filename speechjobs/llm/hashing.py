@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Odd, so that powers have inverses modulo 2^64. Fixed values.
-BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Odd, so that powers have inverses modulo 2^64. Fixed value.
+BASE = 0x9E3779B97F4A7C15
+#: Primes below 2^31 and a base for each. Fixed values.
+PRIMES = ((2147483647, 1103515245), (2147483629, 1664525101))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,6 +57,33 @@ class PrefixHashes:
         return (self.prefix[start + length] - self.prefix[start]) * self.inverse[start]
 
 
+def prime_powers(n: int, base: int, prime: int) -> np.ndarray:
+    """base^0 .. base^n modulo a prime below 2^31, by doubling."""
+    key = (base, prime)
+    if len(_known.get(key, ())) <= n:
+        out = np.ones(1, np.uint64)
+        while len(out) <= n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+        _known[key] = out
+    return _known[key][: n + 1]
+
+
+class PrimeHashes:
+    """Prefix hashes modulo two primes, 62 bits together. Texts of up to 2^32 bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.parts = []
+        for prime, base in PRIMES:
+            prefix = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data + np.uint64(1)) * prime_powers(len(data), base, prime)[:-1] % np.uint64(prime), out=prefix[1:])
+            self.parts.append((np.uint64(prime), prefix % np.uint64(prime), prime_powers(len(data), pow(base, -1, prime), prime)))
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Hashes of substrings, the same wherever the substring stands."""
+        one, two = ((prefix[start + length] + prime - prefix[start]) % prime * inverse[start] % prime for prime, prefix, inverse in self.parts)
+        return one << np.uint64(31) | two
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts, A-Z lowered: bytes of all texts, start and end of each word, and its text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]

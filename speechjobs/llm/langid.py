@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from speechjobs.llm.hashing import sliced
 
@@ -29,6 +30,11 @@ LEAST_SHARE = 1e-3
 #: Characters that a task works on at once; a longer text is one piece of work.
 WORK_CHARS = 1_000_000
 UNKNOWN = "und"
+#: Languages that a model may have: it is FEATURES numbers for each, on the driver and in every task.
+MOST_LANGUAGES = 256
+#: Languages whose counters a task of the training holds before it sends them.
+HELD_LANGUAGES = 32
+SPAN = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("lang", StringType())])
 
 
 @cache
@@ -82,13 +88,23 @@ def _pieces_of(texts: list[str | None]) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else ()
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probability of each trigram counter and language, and which scripts each language uses.
 
     Counts cover all rows with a text and a language. Tasks add up in arrays, Spark sums these by language and counter;
     the model that comes to the driver is FEATURES numbers for each language, whatever the number of documents.
+
+    Defined cases: rows without a text or a language are not learned from; repeated rows count; an empty table, or one
+    without labels, gives a model without languages; a column of more than ``most_languages`` values is refused before
+    anything is collected, for it holds something else than languages, and none of its values can be left out;
+    further columns are ignored, whatever their names.
     """
 
+    def send(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "at": at.astype(np.int32), "n": counts[at]})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in sliced(batches, 2000):
@@ -103,11 +119,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
                     seen = np.bincount(words.feature[np.repeat(mine, words.sizes)], minlength=FEATURES)
                     script = np.bincount(words.script[mine], words.sizes[mine], len(SCRIPT_NAMES)).astype(np.int64)
                     total[name] = total.get(name, 0) + np.concatenate([seen, script])
-        for name, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "at": at.astype(np.int32), "n": counts[at]})
+                if len(total) > HELD_LANGUAGES:
+                    yield from send(total)
+                    total = {}
+        yield from send(total)
 
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = rows.select("lang").distinct().count()
+    if known > most_languages:
+        raise ValueError(f"{lang_col} has {known} values; a model of languages may have {most_languages}")
     table = rows.mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(table["lang"].unique())
     counts = np.zeros((FEATURES + len(SCRIPT_NAMES), len(names)))
@@ -167,9 +187,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
 
     Defined cases: null and empty texts and texts without a letter are ``und`` with score 0 and no spans, and so is every
     text when no language was learned; equal shares go to the first language by name; repeated rows are labelled each;
-    an empty table gives an empty table.
+    an empty table gives an empty table; columns of ``docs`` that are called like the new ones give way to them, and columns
+    not named in ``keep`` are left out.
     """
     names, table, uses = model
+    # at most MOST_LANGUAGES x FEATURES numbers, see train()
     shared = docs.sparkSession.sparkContext.broadcast((names, table, uses))
     kept = [f.name for f in docs.schema if f.name in (id_col, *keep) and f.name not in ("lang_pred", "score", "spans")]
 
@@ -198,5 +220,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
             yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(share), "spans": pa.array(spans, kind)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(label, f"{schema}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    schema = StructType([*docs.select(*(F.col(f"`{c}`") for c in kept)).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("spans", ArrayType(SPAN))])
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).alias("__text")).mapInArrow(label, schema)

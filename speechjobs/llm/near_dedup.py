@@ -8,11 +8,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
+from speechjobs.llm.common import discard, written
 from speechjobs.llm.hashing import distinct, mix, runs_of, sliced, token_hashes, tokens
-from speechjobs.llm.common import written
 
 #: Words in a shingle, and the least similarity of a link in percent.
 WORDS, PERCENT = 5, 75
@@ -26,8 +27,10 @@ MISS = 1e-6
 #: Members of a bucket are compared in blocks of this many.
 BLOCK = 512
 WORK_BYTES = 1 << 20
-#: Rows without an id get numbers from here on.
-NO_ID = 1 << 62
+#: Rows of one set of shingles are spread over groups of about this many.
+ROWS_PER_SALT = 20_000
+#: Integer ids compare as unsigned numbers once this bit is flipped.
+SIGN = -(1 << 63)
 
 _random = np.random.default_rng(20240101)
 MULTIPLIERS = _random.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +75,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = signature(hashes) if len(hashes) else None
             for column, value in zip(out, (len(hashes), blake2b(hashes.tobytes(), digest_size=16).digest(), low if low is None else bands(low), low if low is None else low.astype(np.uint16).tobytes()), strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_pydict({"id": batch["id"], "tie": batch["tie"], "n": pa.array(out[0], pa.int64()), "digest": pa.array(out[1], pa.binary()), "bands": pa.array(out[2], pa.list_(pa.int64())), "signature": pa.array(out[3], pa.binary())})
+        known = {c: batch[c] for c in ("number", "tie", "row", "seed")}
+        yield pa.RecordBatch.from_pydict(known | {"n": pa.array(out[0], pa.int64()), "digest": pa.array(out[1], pa.binary()), "bands": pa.array(out[2], pa.list_(pa.int64())), "signature": pa.array(out[3], pa.binary())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +84,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"node": batch["node"], "hashes": pa.array((h.tobytes() for h in shingle_sets(batch["text"].to_pylist())), pa.binary())})
 
 
+def encode_id(number: Column, kind: DataType) -> Column:
+    """An id as bytes that sort as the ids do: integers by value, all others by their text. Null stays null."""
+    if isinstance(kind, IntegralType):
+        body = F.unhex(F.lpad(F.hex(number.cast("long").bitwiseXOR(F.lit(SIGN))), 16, "0"))
+    else:
+        body = F.encode(number.cast("string"), "UTF-8")
+    return F.concat(F.lit(b"\x00"), body)
+
+
+def decode_id(node: Column, kind: DataType) -> Column:
+    """The id that encode_id() made bytes of; null for nodes without one."""
+    body = F.substring(node, 2, 1 << 30)
+    if isinstance(kind, IntegralType):
+        value = F.conv(F.hex(body), 16, -10).cast("long").bitwiseXOR(F.lit(SIGN)).cast(kind)
+    else:
+        value = F.decode(body, "UTF-8").cast(kind)
+    return F.when(F.substring(node, 1, 1) == F.lit(b"\x00"), value)
+
+
 def least_matches(compared: int, percent: int = PERCENT, miss: float = MISS) -> int:
     """Fewest equal values among ``compared`` with which a pair stays.
 
@@ -138,10 +161,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of an undirected edge list (a, b) can reach.
+    """(node, component): the smallest node that each node of an undirected edge list (a, b) can reach. Nodes are of any
+    type that sorts; a null in an edge drops it, and an empty list gives an empty table.
 
     Alternating star operations: every node's larger neighbours are hung on its smallest neighbour, then its smaller
-    ones, until nothing changes. Only minima are aggregated, so a node of any degree is spread over tasks.
+    ones, until nothing changes. Only minima are aggregated, so a node of any degree is spread over tasks. Each round's
+    table replaces the one before.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -152,7 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
         hung = large.join(least, F.col("a") == F.col("c"))
         small = hung.select("a", F.col("m").alias("b")).union(hung.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = written(small, "edges")
+        last, edges = edges, written(small, "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -162,13 +188,14 @@ def components(edges: DataFrame) -> DataFrame:
 def _candidates(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs (a, b) that Bayesian verification leaves, with their equal signature values."""
     one, two = (signatures.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("a", "one"), ("b", "two")))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_prune, "a long, b long, matches long"), "candidates")
+    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_prune, "a binary, b binary, matches long"), "candidates")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents connected by links of at least 75 % equal word shingles.
 
-    1. Every text gives its shingle set, MinHash signature and band buckets; documents of one set become one node.
+    1. Every text gives its shingle set, MinHash signature and band buckets; documents of one set become one node, named
+       by the smallest id among them.
     2. Each bucket pairs its members with one of them, its hub: a star rather than all pairs. A group of many copies
        has different hubs in its many buckets, so few stars connect it. Signatures of these candidates are compared
        batch by batch and pairs are dropped by the posterior bound.
@@ -177,20 +204,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        against block within tasks, which give links only. So no link between different texts depends on which
        member was a bucket's hub; pairs within a group that is already connected need no test.
 
+    Groups return to the rows by the set and a salt, so a set that a third of all rows have is spread over many tasks.
+
     Returns one row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``,
-    ``tie`` (xxhash64 of the text, which tells rows without an id apart).
+    ``tie`` (xxhash64 of the text, which tells rows without an id apart), ``group`` (binary; null for an empty set).
 
     Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing; a text of
     fewer than five words is one shingle; repeated rows are linked; rows that repeat an id are one document with all
     their links; rows without an id belong to the group of their links, have no ``component_id`` when no member has
-    an id, and are then kept; an empty table gives an empty table; further columns are ignored.
+    an id, and are then kept; any integer is an id, and ids of other types go by their text; an empty table gives an
+    empty table; further columns are ignored, whatever their names.
     """
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_col), 3))
-    numbered = docs.select(number.alias("id"), F.col(text_col).alias("text"))
-    sketched = written(numbered.withColumn("tie", F.xxhash64("text")).mapInArrow(_sketch, "id long, tie long, n long, digest binary, bands array<long>, signature binary"), "sketches")
-    sets = sketched.filter("n > 0").groupBy("digest").agg(F.min("id").alias("node"))
-    # node is the number of one row of the set; that row brings the signature
-    own = written(sketched.filter("n > 0").select(F.col("id").alias("node"), "bands", "signature").join(sets.select("node"), "node", "left_semi"), "nodes")
+    kind = docs.schema[id_col].dataType
+    number, tie = encode_id(F.col(id_col), kind), F.xxhash64(F.col(text_col))
+    numbered = docs.select(number.alias("number"), F.col(text_col).alias("text"), tie.alias("tie"), F.xxhash64(F.lit("row"), number, tie).alias("row"))
+    # written once, the seed stays what it is and tells even equal rows apart
+    sketched = written(numbered.withColumn("seed", F.monotonically_increasing_id()).mapInArrow(_sketch, "number binary, tie long, row long, seed long, n long, digest binary, bands array<long>, signature binary"), "sketches")
+    # one node for each set; any row of the set brings the signature, and later the text
+    any_row = [F.first(c).alias(c) for c in ("bands", "signature", "row", "tie")]
+    sets = sketched.filter("n > 0").groupBy("digest").agg(F.min("number").alias("number"), *any_row)
+    own = written(sets.withColumn("node", F.coalesce("number", F.concat(F.lit(b"\xff"), F.col("digest")))).drop("number"), "nodes")
     # a bucket's hub is its member of the least hash with the bucket: buckets of the same members have different hubs
     keyed = own.select("node", F.posexplode("bands").alias("band", "key"))
     rank = F.struct(F.xxhash64("node", "key").alias("rank"), "node")
@@ -198,54 +231,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = written(keyed.join(hubs, "key"), "buckets")
     star = shared.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     # texts are shuffled once, for the sets of all documents that share a bucket; the list of them grows with the corpus
-    members = shared.select("node").distinct().hint("merge")
-    hashes = written(numbered.join(members, F.col("id") == F.col("node")).select("node", "text").mapInArrow(_sets, "node long, hashes binary"), "sets")
+    members = shared.select("node").distinct().join(own.select("node", "row", "tie"), "node").hint("merge")
+    texts = numbered.groupBy("row", "tie").agg(F.first("text").alias("text"))
+    hashes = written(texts.join(members, ["row", "tie"]).select("node", "text").mapInArrow(_sets, "node binary, hashes binary"), "sets")
     first = _confirmed(_candidates(star, own.select("node", "signature")), hashes)
     links = first.union(_between_groups(shared, components(first), own, hashes))
     groups = components(links)
-    labels = sets.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    found = sketched.select("id", "tie", "n", "digest").join(labels, "digest", "left")
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    component = F.when(F.col("component").isNull(), real("id")).otherwise(real("component"))
-    return found.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), "tie")
+    labels = own.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("group"))
+    salts = -(-sketched.count() // ROWS_PER_SALT)
+    salted = sketched.withColumn("salt", F.pmod(F.xxhash64("number", "seed"), F.lit(max(1, salts))))
+    spread = salted.filter("n > 0").select("digest", "salt").distinct().join(labels, "digest")
+    found = salted.select("number", "tie", "n", "digest", "salt").join(spread, ["digest", "salt"], "left")
+    own_id, component = decode_id(F.col("number"), kind), F.when(F.col("group").isNull(), decode_id(F.col("number"), kind)).otherwise(decode_id(F.col("group"), kind))
+    return found.select(own_id.alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(own_id == component, component.isNull()).alias("kept"), "tie", "group")
 
 
 def _confirmed(waiting: DataFrame, hashes: DataFrame) -> DataFrame:
     """Those of the candidates that are links on full sets."""
     one, two = (hashes.select(F.col("node").alias(n), F.col("hashes").alias(s)) for n, s in (("a", "one"), ("b", "two")))
-    return written(waiting.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long"), "links")
+    return written(waiting.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm, "a binary, b binary"), "links")
 
 
 def _between_groups(shared: DataFrame, groups: DataFrame, own: DataFrame, hashes: DataFrame) -> DataFrame:
     """Links between bucket members of different groups; the pairs of each bucket's hub were tested before.
 
-    A bucket's members fall into blocks by hash, and each pair of blocks is one piece of work that holds two blocks and
-    gives links only. A pair is tested in the first bucket it shares, and not once its groups are connected.
+    A bucket's members fall into blocks by hash: a group of BLOCK members and more has blocks of its own, all others
+    share blocks. Each pair of blocks that can hold a pair of different groups is one piece of work, so a bucket that is
+    nearly one group sends its members to the few blocks of the others. Signatures go first; sets follow for the members
+    of surviving pairs only. A pair is tested in the first bucket it shares, and not once its groups are connected.
     """
-    member = shared.join(groups, "node", "left").select("key", "band", "node", "hub", "members", F.coalesce("component", "node").alias("group"))
+    member = shared.filter("members > 2").join(groups, "node", "left").select("key", "band", "node", "hub", F.coalesce("component", "node").alias("group"))
     mixed = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
-    open_ = member.filter("members > 2 and node <> hub").join(mixed, "key", "left_semi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = open_.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    # block i meets block j >= i: every member goes to all pairs that its block is in
-    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "node", "group", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = placed.join(own.select("node", "bands", "signature").join(hashes, "node"), "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, group, mine = (table[c].to_numpy().copy() for c in ("node", "group", "mine"))
+    open_ = member.filter("node <> hub").join(mixed, "key", "left_semi")
+    # blocks of each bucket: first those of the large groups one after the other, then the shared ones
+    sizes = open_.groupBy("key", "group").agg(F.count("*").alias("n"))
+    large, blocks = F.col("n") >= BLOCK, F.ceil(F.col("n") / BLOCK).cast("int")
+    order = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    alone = sizes.filter(large).select("key", "group", blocks.alias("blocks"), F.coalesce(F.sum(blocks).over(order), F.lit(0)).cast("int").alias("first"))
+    totals = sizes.groupBy("key").agg(F.coalesce(F.sum(F.when(large, blocks)), F.lit(0)).cast("int").alias("pure"), F.ceil(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)) / BLOCK).cast("int").alias("rest"))
+    places = sizes.join(alone, ["key", "group"], "left").join(totals, "key").select(
+        "key", "group", F.coalesce("first", "pure").alias("first"), F.coalesce("blocks", "rest").alias("blocks"), F.col("blocks").isNotNull().alias("alone"), (F.col("pure") + F.col("rest")).alias("all"),
+    )
+    dealt = open_.join(places, ["key", "group"]).withColumn("mine", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda b: ~F.col("alone") | (b < F.col("first")) | (b >= F.col("first") + F.col("blocks")))
+    placed = dealt.withColumn("other", F.explode(met)).select("key", "band", "node", "group", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    work = placed.join(own.select("node", "bands", "signature"), "node")
+
+    def pairs_of(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of the first block, rows of the second whose signatures agree and whose group was another one."""
+        node, group, mine = (np.array(table[c].to_pylist(), object) for c in ("node", "group", "mine"))
         i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
-        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
-        sig, sets = _signatures(table["signature"]), [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        keys, sig = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band], _signatures(table["signature"])
         columns = np.flatnonzero(mine == j)
-        out: list[tuple[int, int]] = []
         for r in np.flatnonzero(mine == i).tolist():
             with_ = columns[(group[columns] != group[r]) & ((node[columns] > node[r]) | (i != j))]
             with_ = with_[~(keys[with_] == keys[r]).any(1)]
             with_ = with_[bayes(np.broadcast_to(sig[r], (len(with_), SIGNATURE)), sig[with_]) >= 0]
+            if len(with_):
+                yield r, with_
+
+    def survive(table: pa.Table) -> pa.Table:
+        rows = sorted({x for r, with_ in pairs_of(table) for x in (r, *with_.tolist())})
+        return table.take(pa.array(rows, pa.int64())).select(NEEDED)
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        node, group = table["node"].to_pylist(), np.array(table["group"].to_pylist(), object)
+        out: list[tuple[bytes, bytes]] = []
+        for r, with_ in pairs_of(table):
             for c in with_.tolist():
                 if group[c] != group[r] and similar(sets[r], sets[c]):
                     out.append((min(node[r], node[c]), max(node[r], node[c])))
                     group[group == group[c]] = group[r]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
-    return written(full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "more-links")
+    NEEDED = ["key", "band", "node", "group", "mine", "i", "j", "bands", "signature"]
+    left = written(work.groupBy("key", "i", "j").applyInArrow(survive, "key long, band int, node binary, group binary, mine int, i int, j int, bands array<long>, signature binary"), "survivors")
+    return written(left.join(hashes, "node").groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary"), "more-links")

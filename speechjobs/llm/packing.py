@@ -2,105 +2,156 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Sequence
+from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from speechjobs.llm.common import WORD, row_key
+from speechjobs.llm.common import WORD, row_key, word_count, written
 
 #: Permitted sequence lengths in words.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-#: Words at which attention costs as much as the rest, for the cost of a sequence.
-ATTENTION = 16384
+#: The cost of a sequence: a part that is the same for every sequence, in words, and the length at which attention costs as
+#: much as the rest. Short sequences pay the first, long ones the second.
+OVERHEAD, ATTENTION = 128, 16384
+#: Words of a group of documents that is packed on its own: at most, and at least where there are tasks to spare.
+GROUP_WORDS, LEAST_WORDS = 2_000_000, 100_000
+#: Where texts go through the packer, groups are dealt by bytes rather than by words.
+BYTES_A_WORD = 6
+
+_word = re.compile(WORD)
 
 
 def cost(length: int) -> float:
-    """Cost of one sequence: linear work and attention, which grows with the square."""
-    return length * (1 + length / ATTENTION)
+    """Cost of one sequence: its own overhead, linear work, and attention, which grows with the square."""
+    return OVERHEAD + length * (1 + length / ATTENTION)
 
 
 def _best_fit(sizes: Sequence[int], opened: Sequence[int]) -> tuple[list[int], list[int]]:
-    """Bin of each size (given in falling order), and each bin's contents. A new bin has the cheapest length, by cost
-    for each word, among the ``opened`` ones that hold the piece."""
+    """Bin of each size (given in falling order), and each bin's contents.
+
+    A size goes to the open bin that it leaves the least room in. Where none holds it, a new bin gets the length of the
+    least cost for each word that it is expected to hold: the size itself and, in the rest, what is still to come of
+    sizes that fit there and for which the open bins have no room.
+    """
+    falling = [-s for s in sizes]
+    tail = np.concatenate([np.cumsum(np.asarray(sizes, np.int64)[::-1])[::-1], [0]]).tolist()
     free: list[tuple[int, int]] = []  # free words and number of each open bin, sorted
+    room = 0
     bins: list[int] = []
     at = []
-    for size in sizes:
+    for i, size in enumerate(sizes):
         k = bisect_left(free, (size, -1))
         if k < len(free):
             space, b = free.pop(k)
+            room -= space
         else:
-            space, b = min((x for x in opened if x >= size), key=lambda x: (cost(x) / x, x)), len(bins)
+
+            def for_each_word(x: int) -> tuple[float, int]:
+                gap = x - size  # noqa: B023
+                coming = tail[max(i + 1, bisect_left(falling, -gap))] if gap else 0  # noqa: B023
+                return cost(x) / (size + min(gap, max(0, coming - room))), x  # noqa: B023
+
+            space, b = min((x for x in opened if x >= size), key=for_each_word), len(bins)
             bins.append(0)
         bins[b] += size
         at.append(b)
         if space > size:
             insort(free, (space - size, b))
+            room += space - size
     return at, bins
 
 
 def pack_sizes(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[int], list[int]]:
     """Bin of each size and the length of each bin.
 
-    Best fit in falling order of size. The lengths are optimised jointly: for every permitted length the packing is tried
-    with new bins of that length (longer ones only for pieces that need them), all bins are then downsized to the
-    smallest permitted length that holds their contents, and the plan of least total cost stays.
+    Best fit in falling order of size, ties by place. The lengths are optimised jointly: for every set of the permitted
+    lengths that holds the largest size, the packing is tried with new bins of these lengths only; all bins are then
+    downsized to the smallest permitted length that holds their contents, and the plan of least total cost stays (of equal
+    ones the first, fewer lengths before more).
     """
     lengths = sorted(lengths)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    falling = [sizes[i] for i in order]
     best = None
-    for low in lengths:
-        opened = [x for x in lengths if x >= low]
-        falling = [sizes[i] for i in order]
-        at, bins = _best_fit(falling, opened)
-        shrunk = [lengths[bisect_left(lengths, x)] for x in bins]
-        total = sum(map(cost, shrunk))
-        if best is None or total < best[0]:
-            best = total, at, shrunk
+    for n in range(1, len(lengths) + 1):
+        for opened in combinations(lengths, n):
+            if falling and opened[-1] >= falling[0]:
+                at, bins = _best_fit(falling, opened)
+                shrunk = [lengths[bisect_left(lengths, x)] for x in bins]
+                total = sum(map(cost, shrunk))
+                if best is None or total < best[0]:
+                    best = total, at, shrunk
     where = [0] * len(sizes)
-    for i, b in zip(order, best[1], strict=True):
+    for i, b in zip(order, best[1] if best else (), strict=True):
         where[i] = b
-    return where, best[2]
+    return where, best[2] if best else []
+
 
+def _cut(text: str, first: int, words: int, total: int) -> str:
+    """The part of a text from one word to another, with the white space between them."""
+    if words == total:
+        return text
+    spans = [m.span() for m in _word.finditer(text)][first : first + words]
+    return text[spans[0][0] : spans[-1][1]]
 
-def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc_id", text_col: str = "text", group_words: int = 2_000_000) -> DataFrame:
+
+def pack_documents(
+    docs: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc_id", text_col: str = "text", group_words: int = GROUP_WORDS, with_text: bool = False
+) -> DataFrame:
     """Pack all words of all documents into sequences of permitted lengths.
 
-    Documents are dealt by a hash of the row into groups of about ``group_words`` words; each group is packed on its own,
-    so packing is spread over the cluster and a task holds one group's numbers. A document longer than the longest length
-    is cut into pieces of that length and a rest. Only numbers pass through the packer, texts do not.
+    Documents are dealt by a hash of the row into groups of at most about ``group_words`` words, smaller ones where there
+    are shuffle partitions to spare; each group is packed on its own, so packing is spread over the cluster and a task
+    holds one group. A document longer than the longest length is cut into pieces of that length and a rest. Words are
+    counted once; texts pass through the packer only for ``with_text``, and groups are then sized by bytes.
 
-    Returns one row for each piece: id, ``piece`` (from 0), ``first_word``, ``words``, ``bin`` (string, unique in the
-    table), ``bin_length`` (permitted length), ``bin_words`` (words in the bin), ``bin_start`` (place in the bin).
+    Returns one row for each piece: id, ``row_id`` (string, one for each row of ``docs``), ``piece`` (from 0), ``first_word``,
+    ``words``, ``bin`` (string, unique in the table), ``bin_length`` (permitted length), ``bin_words`` (words in the bin),
+    ``bin_start`` (place in the bin) and, for ``with_text``, ``text`` (of the piece). The pieces of a bin in the order of
+    ``bin_start`` are its sequence.
 
     Defined cases: null texts and texts without words have no pieces; rows that repeat an id, or an id and a text, are
     packed each on its own and share their id; null ids are kept as null; an empty table gives an empty table; further
-    columns are ignored.
+    columns are ignored, whatever their names.
     """
     longest = max(lengths)
-    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("id"), words.alias("n"), row_key(docs, id_col, text_col).alias("key")).filter("n > 0")
-    total = docs.agg(F.sum(words)).first()[0] or 0
-    groups = int(max(1, -(-total // group_words)))
-    dealt = sized.select("id", "n", "key", F.pmod("key", F.lit(groups)).cast("int").alias("pack"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "n"], kind="stable")
-        ids, counts = pdf["id"].tolist(), pdf["n"].tolist()
-        pieces = [(i, k, first, min(longest, n - first)) for i, n in zip(ids, counts, strict=True) for k, first in enumerate(range(0, n, longest))]
-        where, shrunk = pack_sizes([p[3] for p in pieces], lengths)
-        used = [0] * len(shrunk)
-        rows = []
-        for (i, k, first, n), b in zip(pieces, where, strict=True):
-            rows.append((i, k, first, n, f"{pdf['pack'].iat[0]}-{b}", shrunk[b], used[b]))
+    columns = [F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("n"), row_key(docs, id_col, text_col).alias("key")]
+    sized = docs.select(*columns, *([F.col(text_col).alias("text")] if with_text else [])).filter("n > 0")
+    if not with_text:
+        sized = written(sized, "sizes")
+        total = sized.agg(F.sum("n")).first()[0] or 0
+    else:
+        total = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BYTES_A_WORD
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = int(max(1, -(-total // group_words), min(tasks, -(-total // min(LEAST_WORDS, group_words)))))
+    dealt = sized.withColumn("pack", F.pmod("key", F.lit(groups)).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.take(np.lexsort((table["n"].to_numpy(), table["key"].to_numpy())))
+        pieces = [(row, k, first, min(longest, n - first)) for row, n in enumerate(table["n"].to_pylist()) for k, first in enumerate(range(0, n, longest))]
+        row, piece, first, words = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+        where, shrunk = pack_sizes(words.tolist(), lengths)
+        used, start = [0] * len(shrunk), []
+        for b, n in zip(where, words.tolist(), strict=True):
+            start.append(used[b])
             used[b] += n
-        out = pd.DataFrame(rows, columns=["id", "piece", "first_word", "words", "bin", "bin_length", "bin_start"])
-        out["bin_words"] = [used[b] for b in where]
-        return out
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    packed = dealt.withColumn("id", F.col("id").cast("string")).groupBy("pack").applyInPandas(pack, "id string, piece int, first_word long, words long, bin string, bin_length int, bin_start long, bin_words long")
-    return packed.select(F.col("id").cast(kind).alias(id_col), "piece", "first_word", "words", "bin", "bin_length", "bin_words", "bin_start")
+        pack_id = table["pack"][0].as_py()
+        out = {
+            "id": table["id"].take(row), "row_id": [f"{pack_id}-{r}" for r in row.tolist()], "piece": piece.astype(np.int32), "first_word": first, "words": words, "bin": [f"{pack_id}-{b}" for b in where],
+            "bin_length": np.array([shrunk[b] for b in where], np.int32), "bin_words": np.array([used[b] for b in where], np.int64), "bin_start": np.array(start, np.int64),
+        }
+        if with_text:
+            counts = table["n"].to_pylist()
+            out["text"] = pa.array((_cut(table["text"][r].as_py(), f, w, counts[r]) for r, f, w in zip(row.tolist(), first.tolist(), words.tolist(), strict=True)), pa.string())
+        return pa.table(out)
+
+    kinds = {"row_id": StringType(), "piece": IntegerType(), "first_word": LongType(), "words": LongType(), "bin": StringType(), "bin_length": IntegerType(), "bin_words": LongType(), "bin_start": LongType()}
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *(StructField(c, t) for c, t in kinds.items()), *([StructField("text", StringType())] if with_text else [])])
+    return dealt.groupBy("pack").applyInArrow(pack, schema).withColumnRenamed("id", id_col)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from speechjobs.llm.ctw import score_corpus
 from speechjobs.llm.fingerprints import fingerprint_edits
 from speechjobs.llm.langid import identify, train
-from speechjobs.llm.mixing import mix_sources
+from speechjobs.llm.mixing import merit_of_length, mix_sources
 from speechjobs.llm.near_dedup import near_duplicates
 from speechjobs.llm.packing import pack_documents
 from speechjobs.llm.sharding import assign_shards
@@ -84,7 +84,7 @@ FROM captures c LEFT JOIN ranked r ON c.page_id = r.page_id AND r.nth = 1
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(documents(spark, sf_dir))
+    mixed = mix_sources(documents(spark, sf_dir), merit=merit_of_length())
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 

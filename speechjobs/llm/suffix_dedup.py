@@ -2,9 +2,10 @@
 
 Every window of WINDOW bytes has an anchor, the ANCHOR-byte string in it with the least hash. Equal windows have equal
 anchors at equal places, so only windows of one anchor need to be compared, wherever they are. A run of windows with
-one anchor is a fragment. Fragments that are equal as a whole are settled by their hashes of 96 bits and their place
-around the anchor's hash; where one anchor has several different fragments, their texts are fetched and the windows are
-sorted as suffixes. Where it has very many, each window is a fragment of its own with its own hash for an anchor.
+one anchor is a fragment. Of an anchor that occurs more than once the texts of all fragments are fetched: fragments that are
+equal byte by byte are settled as a whole, and the windows of different ones are sorted as suffixes. Where an anchor has
+very many fragments, each window is a fragment of its own with its own hash for an anchor. Hashes only bring together
+what may be equal; nothing is removed whose bytes were not compared.
 """
 
 from __future__ import annotations
@@ -15,21 +16,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from speechjobs.llm.common import written
-from speechjobs.llm.hashing import SECOND_BASE, PrefixHashes, mix, runs_of, sliced
+from speechjobs.llm.hashing import PrefixHashes, PrimeHashes, mix, runs_of, sliced
 
 WINDOW, ANCHOR = 100, 32
 #: Bytes of text whose fragments are worked out at once, and for which they are gathered before they are sent.
 WORK_BYTES, FLUSH_BYTES = 1 << 20, 8 << 20
+#: Bytes of fragments that are sorted at once; a larger anchor is one piece of work.
+SORT_BYTES = 2 << 20
 REMOVE, COMPARE = 0, 1
 #: Fragments that one anchor may have, about, before its windows go apart; slots of counters for each chunk of text.
 HOT, SLOTS = 8192, 64
+#: Bits of an anchor's hash that choose it, over the place of the anchor: the same for every length of text.
+PLACE_BITS = np.uint64(32)
 #: Columns of what tasks send each other, in this order, one after the other in a binary value. A document is known by
 #: ``id`` and a hash ``tie`` of its text, for ids that repeat.
 DOC = [("id", "i8"), ("tie", "u4"), ("chunk", "i4"), ("start", "u4"), ("n", "u4")]
-FRAGMENT = [*DOC, ("off", "u1"), ("anchor", "u4"), ("frag", "u8"), ("check", "u4")]
-SOUGHT = [*DOC, ("off", "u1"), ("anchor", "u4")]
+FRAGMENT = [*DOC, ("off", "u1"), ("anchor", "u4")]
 
 
 def _pack(columns: dict[str, np.ndarray], kinds: list[tuple[str, str]], rows: np.ndarray) -> bytes:
@@ -61,8 +66,8 @@ def slot_of(anchor: np.ndarray, slots: int) -> np.ndarray:
 
 def fragments(raw: list[bytes], hot: np.ndarray | None = None, slots: int = 1) -> dict[str, np.ndarray]:
     """All fragments of some texts: ``doc`` (number of the text), ``start`` and ``n`` (its windows), ``off`` (of the
-    anchor from the start), ``anchor``, ``frag`` and ``check`` (hashes). In ``hot`` slots each window is a fragment, and
-    a hash of the window stands for the anchor."""
+    anchor from the start), ``anchor`` and ``frag`` (hashes) and ``at`` (place in all texts, one after the other). In ``hot``
+    slots each window is a fragment, and a hash of the window stands for the anchor."""
     sizes = np.array([len(r) for r in raw])
     data = np.frombuffer(b"".join(raw), np.uint8)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -70,18 +75,17 @@ def fragments(raw: list[bytes], hot: np.ndarray | None = None, slots: int = 1) -
     first = np.concatenate([[0], np.cumsum(np.maximum(sizes - WINDOW + 1, 0))])
     starts = np.arange(len(doc)) - first[doc] + bounds[doc]
     if not len(starts):
-        return {k: np.zeros(0, np.int64) for k in ("doc", "start", "n", "off")} | {k: np.zeros(0, np.uint64) for k in ("anchor", "frag", "check")}
+        return {k: np.zeros(0, np.int64) for k in ("doc", "start", "n", "off", "at")} | {k: np.zeros(0, np.uint64) for k in ("anchor", "frag")}
     hashes = PrefixHashes(data)
     grams = mix(hashes.of(np.arange(len(data) - ANCHOR + 1), ANCHOR))
-    low = np.uint64((1 << max(22, len(data).bit_length())) - 1)
-    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    least = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
     width, span = 1, WINDOW - ANCHOR + 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if span > width:
         least = np.minimum(least[: -(span - width)], least[span - width :])
-    at = (least[starts] & low).astype(np.int64)
+    at = (least[starts] & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64)
     head = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
     begin, n = starts[head], np.diff(head, append=len(starts))
     at, doc = at[head], doc[head]
@@ -92,17 +96,15 @@ def fragments(raw: list[bytes], hot: np.ndarray | None = None, slots: int = 1) -
         begin = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
         at, doc, apart = at[of], doc[of], apart[of]
         n = np.where(apart, 1, n[of])
-    place = ((at - begin) * 256 + n).astype(np.uint64)
-    second = mix(PrefixHashes(data, SECOND_BASE).of(begin, n + WINDOW - 1) + place)
-    return {
-        "doc": doc, "start": begin - bounds[doc], "n": n, "off": at - begin, "anchor": np.where(apart, mix(second), grams[at]),
-        "frag": mix(hashes.of(begin, n + WINDOW - 1) + place), "check": second >> np.uint64(32),
-    }
+    frag = mix(hashes.of(begin, n + WINDOW - 1) + ((at - begin) * 256 + n).astype(np.uint64))
+    # windows that go apart meet by their own hash, at place 0
+    off = np.where(apart, 0, at - begin)
+    return {"doc": doc, "start": begin - bounds[doc], "n": n, "off": off, "anchor": np.where(apart, mix(frag), grams[at]), "frag": frag, "at": begin}
 
 
-def _first_of(keys: list[np.ndarray], order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are the first of their keys by ``order_by``, and the rest. Rows that are equal in everything come from
-    repeated rows of the table and are one."""
+def _first_of(keys: list[np.ndarray], order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that are the first of their keys by ``order_by``; the rest; and the first row of each of the rest. Rows that are
+    equal in everything come from repeated rows of the table and are one."""
     order = np.lexsort([*reversed(order_by), *reversed(keys)])
     head, new = np.zeros(len(order), bool), np.zeros(len(order), bool)
     head[:1] = True
@@ -110,10 +112,25 @@ def _first_of(keys: list[np.ndarray], order_by: list[np.ndarray]) -> tuple[np.nd
         head[1:] |= k[order][1:] != k[order][:-1]
     for k in order_by:
         new[1:] |= k[order][1:] != k[order][:-1]
-    return order[head], order[~head & new]
+    again = ~head & new
+    leads = order[head][np.cumsum(head) - 1] if len(order) else order
+    return order[head], order[again], leads[again]
 
 
-def merge_sort(hashes: PrefixHashes, data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def equal_fragments(found: dict[str, np.ndarray], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with the first fragment, by document and start, of each anchor, place and text, and the rest, which repeat one.
+    The texts themselves are compared."""
+    first: dict[tuple, int] = {}
+    again, facts = [], list(zip(*(found[k].tolist() for k in ("id", "tie", "chunk", "start")), strict=True))
+    order = sorted(range(len(texts)), key=facts.__getitem__)
+    for r, anchor, off in zip(order, found["anchor"][order].tolist(), found["off"][order].tolist(), strict=True):
+        lead = first.setdefault((anchor, off, texts[r]), r)
+        if facts[lead] != facts[r]:
+            again.append(r)
+    return np.array(list(first.values()), np.int64), np.array(again, np.int64)
+
+
+def merge_sort(hashes: PrimeHashes, data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort suffixes (places in ``data``, compared up to ``length`` bytes) within groups; ``group`` must be rising.
 
     Bottom-up merge sort of all groups side by side. Two suffixes are compared by their longest common extension, which
@@ -167,25 +184,22 @@ def merge_sort(hashes: PrefixHashes, data: np.ndarray, suffix: np.ndarray, group
     return order, equal
 
 
-def _confirm_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether places ``a`` and ``b`` hold the same ``length`` bytes. A pair right after one that was compared in full
-    needs only its last byte."""
-    order = np.lexsort((a, a - b))
-    x, y = a[order], b[order]
-    follows = np.zeros(len(x), bool)
-    follows[1:] = (np.diff(x) == 1) & (np.diff(y) == 1)
-    same = data[x + length - 1] == data[y + length - 1]
-    heads = np.flatnonzero(~follows)
-    for i in range(length - 1):
-        same[heads] &= data[x[heads] + i] == data[y[heads] + i]
-    # a row holds if its head and all rows between do
-    run = np.cumsum(~follows) - 1
-    failed = np.flatnonzero(~same)
-    first_bad = np.full(len(heads) + 1, len(x))
-    np.minimum.at(first_bad, run[failed], failed)
-    out = np.zeros(len(x), bool)
-    out[order] = np.arange(len(x)) < first_bad[run]
-    return out
+def verified(data: np.ndarray, suffix: np.ndarray, order: np.ndarray, group: np.ndarray, length: int, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Compare the bytes of all neighbours of a sort: whether each row equals the row before in its group, and the groups in
+    which two rows are in the wrong order, because hashes collided."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    equal, wrong = np.zeros(len(order), bool), []
+    neighbours = np.flatnonzero(group[1:] == group[:-1]) + 1
+    for k in range(0, len(neighbours), at_once):
+        rows = neighbours[k : k + at_once]
+        one, two = windows[suffix[order[rows - 1]]], windows[suffix[order[rows]]]
+        differs = one != two
+        at, apart = differs.argmax(1), differs.any(1)
+        here = np.arange(len(rows))
+        right = np.where(apart, one[here, at] < two[here, at], order[rows - 1] < order[rows])
+        equal[rows] = ~apart
+        wrong.append(group[rows[~right]])
+    return equal, np.unique(np.concatenate(wrong)) if wrong else np.zeros(0, np.int64)
 
 
 def repeated_windows(found: dict[str, np.ndarray], texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -204,16 +218,14 @@ def repeated_windows(found: dict[str, np.ndarray], texts: list[bytes]) -> dict[s
     several = size[group] > 1
     of, i, group = of[several], i[several], group[several]
     suffix = place[of] + i
-    order, equal = merge_sort(PrefixHashes(data), data, suffix, group, WINDOW)
-    rows = np.flatnonzero(equal)
-    good = _confirm_equal(data, suffix[order[rows - 1]], suffix[order[rows]], WINDOW)
-    if not good.all():  # hashes that collided: their groups are told apart by their bytes
-        for g in np.unique(group[rows[~good]]):
-            mine = np.flatnonzero(group == g)
-            text = [data[s : s + WINDOW].tobytes() for s in suffix[mine].tolist()]
-            exact = sorted(range(len(mine)), key=text.__getitem__)
-            order[mine] = mine[exact]
-            equal[mine] = [k > 0 and text[exact[k]] == text[exact[k - 1]] for k in range(len(mine))]
+    order, _ = merge_sort(PrimeHashes(data), data, suffix, group, WINDOW)
+    equal, wrong = verified(data, suffix, order, group, WINDOW)
+    for g in wrong:  # hashes that collided: the group is sorted by its bytes
+        mine = np.flatnonzero(group == g)
+        text = [data[s : s + WINDOW].tobytes() for s in suffix[mine].tolist()]
+        exact = sorted(range(len(mine)), key=text.__getitem__)
+        order[mine] = mine[exact]
+        equal[mine] = [k > 0 and text[exact[k]] == text[exact[k - 1]] for k in range(len(mine))]
     # sorting is stable, so the first of equal windows is the first by document and start
     gone = np.sort(suffix[order[equal]])
     owner = np.searchsorted(place, gone, "right") - 1
@@ -226,12 +238,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove from every whole text, as UTF-8 bytes, each byte covered by a string of WINDOW bytes that also starts
     earlier: in a document with a smaller id, or earlier in the same document. Strings are judged on the input.
 
-    Tasks find the fragments of their texts, settle equal ones among themselves and send the rest, packed, to the bucket
-    of the anchor. Buckets settle equal fragments; of anchors with different fragments they fetch the texts and sort the
-    windows. What is to go returns to the chunks of documents, where it is cut out. Copies of any number cost a task
-    one fragment, so no bucket grows with a group of copies. A first pass counts the fragments of anchors, by slots; in
-    slots of more than ``hot_fragments`` all windows go to buckets of their own hash, so no bucket grows with the
-    surroundings of a common line. The texts are shuffled once, for fetching and cutting.
+    Tasks find the fragments of their texts, settle among themselves those that are equal byte by byte, and send the rest,
+    packed, to the bucket of the anchor. Of anchors that come more than once, buckets fetch the texts, settle equal
+    fragments and sort the windows of different ones. What is to go returns to the chunks of documents, where it is cut
+    out. Copies of any number cost a task one fragment, so no bucket grows with a group of copies. A first pass counts the
+    fragments of anchors, by slots; in slots of more than ``hot_fragments`` all windows go to buckets of their own hash, so
+    no bucket grows with the surroundings of a common line. The texts are shuffled once, for fetching and cutting.
 
     Returns the columns of ``docs`` with ``kept`` (binary: the remaining bytes), ``kept_text`` (the same as a string,
     without characters of which a part is gone), ``n_bytes``, ``n_removed`` and ``n_spans``
@@ -239,7 +251,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Defined cases: null is empty; texts under WINDOW bytes stay whole; rows that repeat id and text are one document:
     each gets its result; rows that repeat an id with other texts are ordered by a hash of the text; rows without
-    an id come after all others, in the order of that hash; an empty table gives an empty table.
+    an id come after all others, in the order of that hash; ids are integers; an empty table gives an empty table;
+    columns that are called like the new ones are replaced, all others are kept, whatever their names and types.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     chunks = int(max(1, -(-total // chunk_bytes)))
@@ -278,17 +291,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = chunks + sum(r["n"] for r in crowded) * (WINDOW - ANCHOR + 1) // (1 << 20)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(held: list[dict]) -> pa.RecordBatch:
+        def send(held: list[dict], blocks: list[bytes]) -> pa.RecordBatch:
             f = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             bucket = (f["anchor"] >> np.uint64(32)).astype(np.int64) % buckets
             f["anchor"] = f["anchor"] & np.uint64(0xFFFFFFFF)
-            own, again = _first_of([bucket, f["anchor"], f["frag"], f["check"]], [f["id"], f["tie"], f["chunk"], f["start"]])
+            own, again, lead = _first_of([bucket, f["anchor"], f["off"], f["frag"]], [f["id"], f["tie"], f["chunk"], f["start"]])
+            block, begin, end = f["block"].tolist(), f["at"].tolist(), (f["at"] + f["n"] + WINDOW - 1).tolist()
+            same = np.array([blocks[block[r]][begin[r] : end[r]] == blocks[block[x]][begin[x] : end[x]] for r, x in zip(again.tolist(), lead.tolist(), strict=True)], bool)
+            own = np.concatenate([own, again[~same]])  # hashes that collided
             rows = [(b, COMPARE, b, blob) for b, blob in _split({k: v[own] for k, v in f.items()}, FRAGMENT, bucket[own])]
-            gone = {k: f[k][again] for k, _ in DOC}
-            rows += [(c, REMOVE, c, blob) for c, blob in _split(_joined(gone), DOC, _joined(gone)["chunk"])]
+            gone = _joined({k: f[k][again[same]] for k, _ in DOC})
+            rows += [(c, REMOVE, c, blob) for c, blob in _split(gone, DOC, gone["chunk"])]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["at", "kind", "chunk", "data"])
 
-        held, size = [], 0
+        held, blocks, size = [], [], 0
         for batch in sliced(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
             facts = {k: batch[f"__{k}"].to_numpy() for k in ("id", "tie", "chunk")}
@@ -296,27 +312,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found = fragments([raw[r] for r in rows], hot, slots)
                 if len(found["doc"]):
                     owner = rows[found.pop("doc")]
-                    held.append(found | {k: v[owner] for k, v in facts.items()})
+                    held.append(found | {k: v[owner] for k, v in facts.items()} | {"block": np.full(len(owner), len(blocks))})
+                    blocks.append(b"".join(raw[r] for r in rows))
                     size += max(int(found["n"].sum()), 8 * len(owner))
                 if size >= FLUSH_BYTES:
-                    yield send(held)
-                    held, size = [], 0
+                    yield send(held, blocks)
+                    held, blocks, size = [], [], 0
         if held:
-            yield send(held)
+            yield send(held, blocks)
 
     def settle(table: pa.Table) -> pa.Table:
-        kind, data = table["kind"].to_numpy(), table["data"].to_pylist()
-        out = [(c, REMOVE, -1, d) for c, k, d in zip(table["chunk"].to_pylist(), kind.tolist(), data, strict=True) if k == REMOVE]
-        f = _unpack([d for d, k in zip(data, kind.tolist(), strict=True) if k == COMPARE], FRAGMENT)
+        """Asks for the texts of anchors that more than one fragment has."""
+        kind, data = table["kind"].to_pylist(), table["data"].to_pylist()
+        out = [(c, REMOVE, -1, d) for c, k, d in zip(table["chunk"].to_pylist(), kind, data, strict=True) if k == REMOVE]
+        f = _unpack([d for d, k in zip(data, kind, strict=True) if k == COMPARE], FRAGMENT)
         if len(f["id"]):
             bucket = table["at"][0].as_py()
-            firsts, again = _first_of([f["anchor"], f["frag"], f["check"]], [f["id"], f["tie"], f["chunk"], f["start"]])
-            gone = _joined({k: f[k][again] for k, _ in DOC})
-            out += [(c, REMOVE, -1, blob) for c, blob in _split(gone, DOC, gone["chunk"])]
-            anchor = f["anchor"][firsts]
-            _, which, several = np.unique(anchor, return_inverse=True, return_counts=True)
-            ask = {k: f[k][firsts[several[which] > 1]] for k, _ in SOUGHT}
-            out += [(c, COMPARE, bucket, blob) for c, blob in _split(ask, SOUGHT, ask["chunk"])]
+            order = np.lexsort((f["start"], f["tie"], f["id"], f["anchor"]))
+            new = np.ones(len(order), bool)  # rows that repeat in the table are one
+            new[1:] = np.any([f[k][order][1:] != f[k][order][:-1] for k in ("anchor", "id", "tie", "start")], 0)
+            rows = order[new]
+            _, which, several = np.unique(f["anchor"][rows], return_inverse=True, return_counts=True)
+            ask = {k: f[k][rows[several[which] > 1]] for k, _ in FRAGMENT}
+            out += [(c, COMPARE, bucket, blob) for c, blob in _split(ask, FRAGMENT, ask["chunk"])]
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["__chunk", "kind", "bucket", "data"])
 
@@ -325,30 +343,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if asked.num_rows:
             raw = {(i, t): (x or "").encode("utf-8", "surrogatepass") for i, t, x in zip(*(texts[k].to_pylist() for k in ("__id", "__tie", text_col)), strict=True)}
             for bucket, blob in zip(asked["bucket"].to_pylist(), asked["data"].to_pylist(), strict=True):
-                f = _unpack([blob], SOUGHT)
+                f = _unpack([blob], FRAGMENT)
                 cut = [raw[i, t][s : s + n + WINDOW - 1] for i, t, s, n in zip(*(f[k].tolist() for k in ("id", "tie", "start", "n")), strict=True)]
                 out.append((bucket, blob, b"".join(cut)))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "data", "text"])
 
     def sort(table: pa.Table) -> pa.Table:
-        f = _unpack(table["data"].to_pylist(), SOUGHT)
+        f = _unpack(table["data"].to_pylist(), FRAGMENT)
         both = b"".join(table["text"].to_pylist())
-        ends = np.cumsum(f["n"].astype(np.int64) + WINDOW - 1).tolist()
-        texts = [both[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        lengths = f["n"].astype(np.int64) + WINDOW - 1
+        ends = np.cumsum(lengths)
         # whole anchors at a time, so that memory holds
         by = np.argsort(f["anchor"], kind="stable")
-        _, sizes = np.unique(f["anchor"][by], return_counts=True)
-        edges = np.concatenate([[0], np.cumsum(sizes)])
+        head = np.flatnonzero(np.diff(f["anchor"][by].astype(np.int64), prepend=-1))
+        edges = np.append(head, len(by))
         out = []
-        for part in runs_of(sizes, 8192):
+        for part in runs_of(np.add.reduceat(lengths[by], head) if len(by) else by, SORT_BYTES):
             rows = by[edges[part[0]] : edges[part[-1] + 1]]
-            gone = repeated_windows({k: v[rows] for k, v in f.items()}, [texts[r] for r in rows])
+            texts = [both[b - n : b] for b, n in zip(ends[rows].tolist(), lengths[rows].tolist(), strict=True)]
+            own = {k: v[rows] for k, v in f.items()}
+            firsts, again = equal_fragments(own, texts)
+            gone = _joined({k: own[k][again] for k, _ in DOC})
             out += _split(gone, DOC, gone["chunk"])
+            _, which, several = np.unique(own["anchor"][firsts], return_inverse=True, return_counts=True)
+            firsts = firsts[several[which] > 1]
+            if len(firsts):
+                gone = repeated_windows({k: v[firsts] for k, v in own.items()}, [texts[r] for r in firsts.tolist()])
+                out += _split(gone, DOC, gone["chunk"])
         columns = list(zip(*out, strict=True)) if out else [[], []]
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["__chunk", "data"])
 
-    names = docs.columns
+    new_types = {"kept": BinaryType(), "kept_text": StringType(), "n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType()}
+    names = [c for c in docs.columns if c not in new_types]
 
     def cut(texts: pa.Table, removed: pa.Table) -> pa.Table:
         f = _unpack(removed["data"].to_pylist() if removed.num_rows else [], DOC)
@@ -370,15 +397,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             counts.append(int(covered.sum()))
             runs.append(int((np.diff(covered, prepend=False) & covered).sum()))
         new = {"kept": pa.array(kept, pa.binary()), "kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "n_removed": pa.array(counts, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
-        return pa.table({c: texts[c] for c in names if c not in new} | new)
+        return pa.table({c: texts[c] for c in names} | new)
 
     settled = written(text.mapInArrow(find, "at int, kind int, chunk int, data binary").groupBy("at").applyInArrow(settle, "__chunk int, kind int, bucket int, data binary"), "settled")
     asked = settled.filter(F.col("kind") == COMPARE)
     # the same columns as for cutting below, so that both read one shuffle of the texts
     sorted_ = keyed.groupBy("__chunk").cogroup(asked.groupBy("__chunk")).applyInArrow(fetch, "bucket int, data binary, text binary").groupBy("bucket").applyInArrow(sort, "__chunk int, data binary")
     removed = settled.filter(F.col("kind") == REMOVE).select("__chunk", "data").union(sorted_)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("kept", "kept_text", "n_bytes", "n_removed", "n_spans"))
-    return keyed.groupBy("__chunk").cogroup(removed.groupBy("__chunk")).applyInArrow(cut, f"{fields}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long")
+    schema = StructType([*(docs.schema[c] for c in names), *(StructField(c, t) for c, t in new_types.items())])
+    return keyed.groupBy("__chunk").cogroup(removed.groupBy("__chunk")).applyInArrow(cut, schema)
 
 
 def _joined(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

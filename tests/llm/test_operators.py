@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small tables with nulls, ties, repeats, empty and long texts."""
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -118,12 +119,54 @@ def test_mixing(spark, docs, empty):
     assert all(abs(taken[s] - target[s]) <= 60 for s in by_source)
     again = mixing.mix_sources(df.repartition(7), rows_per_task=100)
     assert {(r.doc_id, r.copies) for r in again.collect()} == {(r.doc_id, r.copies) for r in got}
-    assert mixing.apply_mix(df, again).count() == sum(r.copies for r in got)
+    mix = mixing.Mix().fit(df, 100)
+    assert Counter(r.doc_id for r in mixing.apply_mix(df, mix).collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
     odd = mixing.mix_sources(docs).collect()
     assert len(odd) == len(corpus()) and all(r.copies <= 2 for r in odd)
     assert mixing.mix_sources(empty).count() == 0 and all(r.target == 0 for r in mixing.mix_sources(docs.filter("doc_id in (5, 6)")).collect())
 
 
+def mixed_plainly(rows, targets, merit, most, numbers):
+    """Copies by id: the level of a source by halving, then ranks of all its documents in one list."""
+    copies = {}
+    for source in {s for *_, s in rows}:
+        own = [(i, n, 2 ** (round(math.log2(merit(n)) * mixing.MERIT_STEPS) / mixing.MERIT_STEPS)) for i, n, s in rows if s == source]
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(n * min(most, level * m) for _, n, m in own) < targets[source] else (low, level)
+        expected = {i: min(most, low * m) for i, _, m in own}
+        copies |= {i: math.floor(expected[i] + 1e-7) for i, *_ in own}
+        need = targets[source] - sum(n * copies[i] for i, n, _ in own)
+        odds = lambda p: p / (1 - p)
+        taken = 0
+        for _, i, n in sorted((odds(numbers[i]) / odds(expected[i] - copies[i]), i, n) for i, n, _ in own if expected[i] - copies[i] > 1e-7):
+            if taken + n / 2 > need:
+                break
+            taken += n
+            copies[i] += 1
+    return copies
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_mixing_equals_plain_pareto_sampling(spark, monkeypatch, many):
+    if many:  # as if the sources were too many to be broadcast
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rng = np.random.default_rng(4)
+    rows = [(i, words(int(rng.lognormal(3, 1)) + 1, i), None if (s := int(rng.choice(5, p=[0.5, 0.3, 0.1, 0.07, 0.03]))) == 4 else f"s{s}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_size = F.log2(F.regexp_count("text", F.lit(r"\S+")) + F.lit(1.0))
+    got = {r.doc_id: r for r in mixing.mix_sources(df, rows_per_task=50, merit=by_size).collect()}
+    numbers = {r.doc_id: r["__u"] for r in df.withColumns(mixing.Mix().facts(df)).collect()}
+    sized = [(i, len(WORD.findall(t)), s) for i, t, s in rows]
+    totals = Counter()
+    for _, n, s in sized:
+        totals[s] += n
+    expected = mixed_plainly(sized, targets_by_rounds(totals, (3, 1, 2), 1.5, 2), lambda n: math.log2(n + 1), 2, numbers)
+    assert {i: r.copies for i, r in got.items()} == expected
+    assert {0, 1, 2} == set(expected.values())
+
+
 def test_mixing_prefers_merit(spark):
     df = spark.createDataFrame([(i, "a b c", "s") for i in range(2000)] + [(i, "d e f", "t") for i in range(2000, 4000)], "doc_id long, text string, source string")
     got = mixing.mix_sources(df, weights=(1, 1), share=0.5, merit=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)).collect()
@@ -131,6 +174,15 @@ def test_mixing_prefers_merit(spark):
     assert 2.3 < kept[0] / kept[1] < 3.9
 
 
+def test_source_targets_of_many_sources(spark):
+    rng = np.random.default_rng(5)
+    sizes = {f"s{i:04d}": int(rng.integers(1, 1000)) for i in range(2000)} | {None: 50}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(df, (3, 1, 2), 1.5, 2).collect()}
+    expected = targets_by_rounds(sizes, (3, 1, 2), 1.5, 2)
+    assert len(got) == len(sizes) and all(got[s] == pytest.approx(expected[s]) for s in sizes)
+
+
 def test_fingerprints(spark, docs, empty):
     got = fingerprints.fingerprint_edits(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), task_bytes=2000).collect()
     texts = {i: t or "" for i, t, *_ in corpus() if i is not None}
@@ -188,11 +240,60 @@ def test_packing(spark, docs, empty):
             total, length = sum(w for _, w in mine), next(r.bin_length for r in rows if r.bin == b)
             assert total <= length and length == min(x for x in lengths if x >= total)
     assert packing.pack_documents(empty).count() == 0
+    full = packing.pack_documents(docs, lengths, with_text=True).collect()
+    texts = Counter()
+    for r in sorted(full, key=lambda r: r.piece):
+        assert len(WORD.findall(r.text)) == r.words
+        texts[r.row_id] += r.words
+    assert len(texts) == sum(bool(WORD.findall(t or "")) for _, t, *_ in corpus())
+    long = sorted((r for r in full if r.doc_id == 12), key=lambda r: r.piece)
+    assert [w for r in long for w in WORD.findall(r.text)] == WORD.findall(dict((i, t) for i, t, *_ in corpus())[12])
+
+
+def packed_plainly(sizes, lengths):
+    """Every set of lengths in turn; bins and what is still to come are looked through one by one."""
+    plans = []
+    for n in range(1, len(lengths) + 1):
+        for opened in itertools.combinations(sorted(lengths), n):
+            if max(sizes) > max(opened):
+                continue
+            left, bins, where = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [], {}
+            while left:
+                i = left.pop(0)
+                fits = [(c - sum(m), b) for b, (c, m) in enumerate(bins) if c - sum(m) >= sizes[i]]
+                if fits:
+                    b = min(fits)[1]
+                else:
+                    room = sum(c - sum(m) for c, m in bins)
+                    worth = lambda x: sizes[i] + min(x - sizes[i], max(0, sum(sizes[j] for j in left if sizes[j] <= x - sizes[i]) - room))
+                    bins.append((min((packing.cost(x) / worth(x), x) for x in opened if x >= sizes[i])[1], []))
+                    b = len(bins) - 1
+                bins[b][1].append(sizes[i])
+                where[i] = b
+            shrunk = [min(x for x in lengths if x >= sum(m)) for _, m in bins]
+            plans.append((sum(map(packing.cost, shrunk)), len(plans), [where[i] for i in range(len(sizes))], shrunk))
+    return min(plans)[2:]
+
+
+def test_packing_equals_plain_best_fit():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 60):
+        for _ in range(4):
+            sizes = np.minimum(rng.lognormal(6, 1.3, n).astype(int) + 1, 8192).tolist()
+            assert packing.pack_sizes(sizes) == packed_plainly(sizes, packing.LENGTHS)
+    assert packing.pack_sizes([]) == ([], [])
+
+
+def test_packing_weighs_the_cost():
+    # plenty of small pieces: the overhead speaks against the shortest length, attention against the longest
+    lengths = Counter(packing.pack_sizes([40] * 5000)[1])
+    assert lengths.most_common(1)[0][0] in (1024, 2048)
+    assert packing.pack_sizes([40])[1] == [512]
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 8192, 400).tolist()
     where, shrunk = packing.pack_sizes(sizes)
     naive = sum(packing.cost(min(x for x in packing.LENGTHS if x >= s)) for s in sizes)
-    assert sum(map(packing.cost, shrunk)) <= naive and len(where) == 400
+    assert sum(map(packing.cost, shrunk)) < 0.97 * naive and len(where) == 400
 
 
 def test_language_id(spark, docs, empty):
@@ -210,6 +311,48 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0 and langid.identify(docs, model).count() == len(corpus())
 
 
+def test_language_model_refuses_too_many(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="40 values"):
+        langid.train(df, most_languages=39)
+    names, table, _ = langid.train(df, most_languages=40)  # more than a task holds at once
+    assert len(names) == 40 and np.allclose(np.exp(table).sum(0), 1, atol=1e-3)
+
+
+def test_language_id_equals_counting_by_hand(spark):
+    """Word scores, spans and shares again from plain dictionaries of trigrams."""
+    rng = np.random.default_rng(9)
+    letters = {"aa": list("abcdefgh"), "bb": list("defghijk"), "cc": list("бвгдежз")}
+    word = lambda lang: "".join(rng.choice(letters[lang], int(rng.integers(2, 8))))
+    rows = [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 8)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(i, " ".join(word(lang) for lang, n in mix for _ in range(n))) for i, mix in enumerate([[("aa", 12)], [("aa", 9), ("bb", 14)], [("cc", 5), ("bb", 9)], [("bb", 1)]])]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+
+    def trigrams(w):
+        padded = [0, *map(ord, w), 0]
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            x = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ c * 0x165667B19E3779F9) % 2**64
+            yield x * 0xD6E8FEB86659FD93 % 2**64 >> 48
+
+    counts = {lang: Counter(f for _, t, l in rows if l == lang for w in t.split() for f in trigrams(w)) for lang in letters}
+    chance = {lang: lambda f, c=c, n=sum(c.values()): math.log((c[f] + 0.5) / (n + 0.5 * langid.FEATURES)) for lang, c in counts.items()}
+    for i, t in tests:
+        best, words_ = {}, t.split()
+        for k, w in enumerate(words_):
+            allowed = ["cc"] if w[0] >= "а" else ["aa", "bb"]
+            own = {lang: sum(chance[lang](f) for f in trigrams(w)) for lang in allowed}
+            best = {lang: max(((v - langid.SWITCH_PENALTY * (lang != last[-1]) if last else v, [*last, lang]) for v, last in best.values()), key=lambda x: x[0]) if best else (0.0, [lang]) for lang in allowed}
+            best = {lang: (v + own[lang], path) for lang, (v, path) in best.items()}
+        path = max(best.values(), key=lambda x: x[0])[1]
+        share = Counter()
+        for w, lang in zip(words_, path):
+            share[lang] += len(w)
+        top, n = share.most_common(1)[0]
+        assert (got[i].lang_pred, round(got[i].score, 9)) == (top, round(n / share.total(), 9))
+        assert [s.lang for s in got[i].spans] == [k for k, _ in itertools.groupby(path)]
+
+
 def test_viterbi_equals_all_labellings():
     rng = np.random.default_rng(2)
     score, doc = rng.normal(size=(12, 3)) * 3, np.array([0] * 5 + [2] * 6 + [3])
@@ -261,6 +404,37 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(linked_components(rows))
 
 
+def test_near_duplicates_of_any_ids(spark):
+    """Ids next to 2^63, negative ones and strings; many rows without an id but with one text."""
+    base, other = words(80, 1, 10**6), words(80, 2, 10**6)
+    big = (1 << 62) + 5
+    rows = [(big, base), (big + 1, base), ((1 << 63) - 1, base + " more"), (-(1 << 63), other), (-3, other + " more"), (5, words(80, 3, 10**6))] + [(None, words(80, 4, 10**6))] * 50
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {big: (big, True), big + 1: (big, False), (1 << 63) - 1: (big, False), -(1 << 63): (-(1 << 63), True), -3: (-(1 << 63), False), 5: (5, True), None: (None, True)}
+    assert len(got) == len(rows) and len({r.group for r in got if r.doc_id is None}) == 1
+    named = [(f"d{i}", t) for i, (_, t) in enumerate(rows[:6])] + [("", base), (None, base)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(named, "name string, body string").withColumn("group", F.lit(1)), "name", "body").collect()
+    assert {r["name"]: r.component_id for r in got} == {"d0": "", "d1": "", "d2": "", "": "", None: "", "d3": "d3", "d4": "d3", "d5": "d5"}
+
+
+def test_near_duplicates_in_mixed_buckets(spark, monkeypatch):
+    """Blocks of a few members: large groups have blocks of their own, and all links between groups are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(3):  # groups that are about 60 % to 80 % alike
+        base = words(200, 21, 10**6).split()
+        for p in range(g * 8):
+            base[p * 8] = f"g{g}p{p}"
+        for i in range(40 if g == 0 else 12):
+            t = list(base)
+            for p in rng.integers(200, size=int(rng.integers(1, 6))):
+                t[p] = f"z{rng.integers(10**6)}"
+            rows.append((int(rng.integers(10**9)), " ".join(t)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(linked_components(rows))
+
+
 def test_bayes_keeps_links():
     assert near_dedup.least_matches(128) < 96 and near_dedup.LIMITS == sorted(near_dedup.LIMITS)
     rng = np.random.default_rng(0)
@@ -331,6 +505,47 @@ def test_suffix_dedup_spreads_a_common_line(spark):
     assert got == without_repeats(rows)
 
 
+def test_suffix_dedup_with_hashes_that_collide(spark, monkeypatch):
+    """Hashes of two bits in tasks, and of a few bits in the sort: nothing is removed but what is equal."""
+    real = suffix_dedup.fragments
+
+    def poor(raw, hot=None, slots=1):
+        found = real(raw, hot, slots)
+        return found | {"frag": found["frag"] % np.uint64(4)}
+
+    monkeypatch.setattr(suffix_dedup, "fragments", poor)
+    shared = [words(60, 50 + k) for k in range(4)]
+    rows = [(i, f"{words(20, 100 + i)} {shared[i % 4]} {words(20, 200 + i)} {shared[i % 3]}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df, chunk_bytes=3000)).collect()}
+    assert got == without_repeats(rows)
+
+    of = suffix_dedup.PrimeHashes.of
+    monkeypatch.setattr(suffix_dedup.PrimeHashes, "of", lambda self, start, length: of(self, start, length) % np.uint64(8))
+    texts = [t.encode() for _, t in rows]
+    found = real(texts)
+    number = np.arange(len(found["doc"]))
+    parts = [texts[d][s : s + n + suffix_dedup.WINDOW - 1] for d, s, n in zip(found["doc"].tolist(), found["start"].tolist(), found["n"].tolist())]
+    columns = {"id": found["doc"], "tie": 0 * number, "chunk": 0 * number, "start": found["start"], "n": found["n"], "off": found["off"], "anchor": found["anchor"] & np.uint64(0xFFFFFFFF)}
+    own = suffix_dedup.repeated_windows(columns, parts)
+    gone = {(d, s + k) for d, s, n in zip(own["id"].tolist(), own["start"].tolist(), own["n"].tolist()) for k in range(n)}
+    seen, expected = set(), set()
+    for d, t in enumerate(texts):
+        for s in range(len(t) - 99):
+            expected |= {(d, s)} if t[s : s + 100] in seen else set()
+            seen.add(t[s : s + 100])
+    assert gone == expected
+
+
+def test_prime_hashes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 5000).astype(np.uint8)
+    hashes, text = suffix_dedup.PrimeHashes(data), data.tobytes()
+    a, b = rng.integers(0, 4900, (2, 3000))
+    for n in (1, 5, 9):
+        assert ((hashes.of(a, n) == hashes.of(b, n)) == [text[x : x + n] == text[y : y + n] for x, y in zip(a.tolist(), b.tolist())]).all()
+
+
 def test_merge_sort_of_suffixes():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
