@@ -92,7 +92,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = documents(spark, sf_dir).select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), F.lit("key").alias("law")
     )
-    return assign_shards(facts, 24, text_col="text_crc32").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return assign_shards(facts, 24, text_col="text_crc32", ties=("size", "text_crc32")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +33,20 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, MOST_JUMPS))), start, step)["last"].cast("int")
 
 
-def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 10_000) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 10_000, ties: Sequence[str] = ()) -> DataFrame:
     """Add ``shard``, ``slot`` (gapless from 0 in each shard) and ``grown_shard`` (the shard with one shard more).
 
     Slots follow a hash order: each shard is cut into parts of about ``rows_per_task`` rows, numbered on their own and
     moved by the count of the parts before, so no task sees a whole shard.
 
-    Defined cases: a null id is keyed by its text; rows with the same id share a shard and get slots of their own; a
-    null text is allowed; an empty table gives an empty table; columns of the input that are called like the new ones
+    Defined cases: a null id is keyed by its text; rows with the same id share a shard and get slots of their own, in the
+    order of the columns named in ``ties`` (rows equal in these too are told apart by nothing and may swap slots); a null text is allowed; an empty table gives an empty table; columns of the input that are called like the new ones
     are replaced, others are kept.
     """
     parts = max(1, -(-df.count() // (shards * rows_per_task)))
     keyed = df.withColumn("__key", row_key(df, id_col, text_col))
     keyed = keyed.withColumns({"shard": jump_shard(F.col("__key"), shards), "grown_shard": jump_shard(F.col("__key"), shards + 1), "__part": F.pmod(F.xxhash64("__key", F.lit("part")), F.lit(parts)).cast("int")})
-    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("shard", "__part").orderBy("__key", F.col(id_col))).cast("long"))
+    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("shard", "__part").orderBy("__key", F.col(id_col), *ties)).cast("long"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("shard", "__part").agg(F.count("*").alias("__rows")).select("shard", "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     joined = numbered.join(offsets, ["shard", "__part"]).withColumn("slot", F.col("__before") + F.col("__nth") - 1)

@@ -59,6 +59,16 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_top_k_of_large_and_repeated_ids(spark):
+    """Neighbouring ids above 2^53, some of them repeated, with equal vectors."""
+    base = 1 << 53
+    rows = [(base + i, [1.0, 2.0]) for i in range(4)] + [(base, [1.0, 2.0]), (base + 1, [1.0, 2.0]), (-(1 << 63), [3.0, 1.0]), ((1 << 63) - 1, [0.5, 0.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == base, 5, block_rows=3).collect()]
+    one = 256 * 256
+    ties = sorted([base + 1, base + 2, base + 3, -(1 << 63)])
+    assert sorted(got) == [(base, k + 1, v, 5 * one) for k, v in enumerate(ties)] + [(base, 5, (1 << 63) - 1, one // 2)]
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     vectors = rng.integers(-9, 9, (4000, 2)).astype(float)
@@ -66,6 +76,7 @@ def test_threshold_stops_early():
     lists = topk.SortedLists(np.arange(4000), vectors)
     ids, scores = lists.search(np.array([3.0, 2.0]), -1, 1)
     assert ids.tolist() == [17] and scores.tolist() == [2500.0]
+    assert lists.search(np.array([3.0, 2.0]), -1, 5, 2500.0)[0].tolist() == [17] and not len(lists.search(np.array([3.0, 2.0]), -1, 5, 2501.0)[0])
 
 
 def test_sharding(spark, docs, empty):
@@ -84,6 +95,26 @@ def test_sharding(spark, docs, empty):
     assert sharding.assign_shards(empty, 3).count() == 0
 
 
+def test_jumps_equal_a_plain_walk(spark):
+    keys = spark.range(300).select(F.xxhash64("id").alias("key"))
+    draws = keys.select("key", F.array(*[F.xxhash64("key", F.lit(i)) for i in range(1, 41)]).alias("draws"), *[sharding.jump_shard(F.col("key"), n).alias(f"s{n}") for n in (1, 2, 24, 25, 40)])
+    for r in draws.collect():
+        for n in (1, 2, 24, 25, 40):
+            at, last, i = 0, -1, 0
+            while at < n:
+                last = at
+                at = math.floor((at + 1) * 2.0**31 / (((r.draws[i] % 2**64) >> 33) + 1))
+                i += 1
+            assert r[f"s{n}"] == last
+
+
+def test_slots_are_the_same_again(spark):
+    rows = [(i % 3, f"text {i}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long")
+    runs = [sorted(map(tuple, sharding.assign_shards(df.repartition(n), 4, ties=("size",), rows_per_task=5).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]
+
+
 def targets_by_rounds(sizes, weights, share, most):
     """Shares by weight, capped, with the excess shared again until nothing is above."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
@@ -209,6 +240,56 @@ def test_fingerprints_are_homomorphic(spark):
     assert row.order and row["add"] and row.take and not row.same and 0.6 < row.near < 1
 
 
+def test_fingerprints_equal_plain_sums(spark):
+    """Sums, prints and likeness again by hand; only the hashes of paragraphs are asked of Spark. Some lanes wrap."""
+    rng = np.random.default_rng(12)
+    texts = ["", "one. two! three", "one. two! three\r\n\nfour", "\n".join(f"p{i}" for i in rng.integers(30, size=80)), "a\n" * 40_000]
+    split = [[x for x in re.split(fingerprints.PARAGRAPH_END, t) if x] for t in texts]
+    paragraphs = sorted({p for ps in split for p in ps})
+    hashed = {r.p: [x % 2**64 for x in r.h] for r in spark.createDataFrame([(p,) for p in paragraphs], "p string").select("p", F.array(*[F.xxhash64(F.lit(i), "p") for i in range(fingerprints.WIDTH)]).alias("h")).collect()}
+
+    def lanes(ps):
+        total = [0] * (2 * fingerprints.WIDTH)
+        for p, times in Counter(ps).items():
+            for i, h in enumerate(hashed[p]):
+                total[2 * i] += times * (h & 0xFFFF)
+                total[2 * i + 1] += times * (h >> 32 & 0xFFFF)
+        return [x % fingerprints.MODULUS for x in total]
+
+    def near(a, b):
+        x, y = ([v - len(ps) * 32767.5 for v in lanes(ps)] for ps in (a, b))
+        dot = lambda p, q: sum(u * w for u, w in zip(p, q))
+        return 1.0 if lanes(a) == lanes(b) and len(a) == len(b) else max(0.0, min(1.0, dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)))) if a and b else 0.0
+
+    v, p = fingerprints.multiset_vector, fingerprints.paragraphs
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumns({"v": v(F.col("t")), "n": p(F.col("t"))})
+    for r in df.select("i", "n", fingerprints.fingerprint(F.col("v"), F.col("n")).alias("print")).collect():
+        values = lanes(split[r.i])
+        assert r.n == len(split[r.i]) and r.print == f"{r.n:08x}" + "".join(f"{values[2 * k + 1]:08x}{values[2 * k]:08x}" for k in range(fingerprints.WIDTH))
+    pairs = df.crossJoin(df.select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("n").alias("m")))
+    for r in pairs.select("i", "j", fingerprints.likeness(F.col("v"), F.col("n"), F.col("w"), F.col("m")).alias("near")).collect():
+        assert r.near == pytest.approx(near(split[r.i], split[r.j]), abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_follow_any_ids(spark, kind):
+    """Repeated and missing ids, of integers and strings, over many ranges: every row's next is the one that comes next."""
+    rng = np.random.default_rng(13)
+    ids = [int(x) for x in rng.integers(-(10**12), 10**12, 60)]
+    rows = [(i, words(20, k)) for k, i in enumerate(ids + ids[:6] + [None] * 12)] + [(ids[0], words(20, 0)), (None, "")]
+    rows = [(None if i is None else i if kind == "long" else f"d{i}", t) for i, t in rows]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumn("range", F.lit("clash")).repartition(5)
+    got = fingerprints.fingerprint_edits(df, task_bytes=300).collect()
+    ties = {r.text: r.tie for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    line = sorted([r for r in rows if r[0] is not None], key=lambda r: ties[r[1]])
+    line = sorted(line, key=lambda r: r[0], reverse=True) + sorted([r for r in rows if r[0] is None], key=lambda r: ties[r[1]])
+    expected = []
+    for k, (i, t) in enumerate(line):
+        third = len(t) // 3
+        expected.append((repr(i), len(t), hashlib.sha256((t[: len(t) - third] + line[(k + 1) % len(line)][1][:third]).encode()).hexdigest()))
+    assert sorted((repr(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(expected)
+
+
 def test_url_filters(spark):
     assert spark.createDataFrame([("https://u@A.b.Example.org:80/p/q?x",)], "u string").select(url_filters.url_keys(F.col("u"))).first()[0] == ["a.b.example.org/p", "a.b.example.org", "b.example.org", "example.org"]
     pages = [(1, "http://a.x.org/p", "2024-03-05"), (2, "http://x.org", "2024-01-01"), (3, None, "2024-03-05"), (4, "nonsense", "2024-03-05"), (5, "http://a.x.org/p", None), (6, "http://a.x.org/p", "2024-05-01"), (6, "http://a.x.org/p", "2024-05-01"), (7, "http://a.x.org/p", "2024-06-01")]
