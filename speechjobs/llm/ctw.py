@@ -3,8 +3,11 @@
 A byte is eight binary decisions; each decision (the bits before it in the byte) has a context tree over the bytes
 before. A node at depth d, for d bytes of context, holds how often its decision was 0 and 1, which gives its
 Krichevsky-Trofimov estimate. The weighted probability of a node mixes, half and half, its own estimate and the product
-of its children's weighted probabilities; for the next bit this makes a mixture of the estimates of all depths.
-Everything follows from the counts of strings of DEPTH + 1 bytes, which Spark gathers over all training texts.
+of its children's weighted probabilities; for the next bit this makes a mixture of the estimates of all depths. A node
+that was met once is a leaf: below it all estimates are the same, and no tails are kept.
+
+Everything follows from the counts of strings of DEPTH + 1 bytes over all training texts. They lie in buckets of the NEAR
+bytes before the last one, which hold all nodes from depth NEAR on; what is above is small and goes to the buckets.
 """
 
 from __future__ import annotations
@@ -14,31 +17,52 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from speechjobs.llm.common import written
 from speechjobs.llm.hashing import LOWER, distinct, mix, runs_of, sliced, token_hashes, tokens
 
-#: Bytes of context.
-DEPTH = 5
+#: Bytes of context: with the byte itself a string fills 64 bits.
+DEPTH = 7
+#: Bytes of context that name a bucket.
+NEAR = 3
 #: Bytes that stand before and after a text; UTF-8 does not use them.
 BEGIN, END = 0xFE, 0xFF
 #: A task works on this much text at once.
 WORK_BYTES = 1 << 20
-#: Distinct strings that a task holds before it sends their counts.
-HELD = 2_000_000
-#: Stands for a share of nothing, so that it can carry a sign as a 32-bit float.
-TINY = 1e-37
+#: Distinct strings that a task holds before it sends their counts, and strings asked of one bucket's task, about.
+HELD, ASKED = 4_000_000, 6_000_000
+#: Most buckets; their sizes are what the driver learns of them.
+MOST_BUCKETS = 1 << 16
+#: Answers are square roots of -log10 p in steps of 1 / SCALE, of 24 bits.
+SCALE = 2.0**20
 
 
-def byte_strings(raw: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text, and its end: the number made of ``depth`` bytes before and the byte, and its text.
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones, compressed; sorted numbers take little room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
-    What is scored is the sequence of words, so each run of white space is one space and none is at the ends.
-    """
-    raw = [b" ".join(r.split()) for r in raw]
+
+def expand(data: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def squeeze_logs(x: np.ndarray) -> bytes:
+    """log10 probabilities above -256, to about 1e-6."""
+    return squeeze(np.rint(np.sqrt(-x) * SCALE).astype(np.uint32))
+
+
+def expand_logs(data: bytes) -> np.ndarray:
+    return -((expand(data, np.uint32) / SCALE) ** 2)
+
+
+def byte_strings(raw: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text, and its end: the number made of ``depth`` bytes before and the byte, and its text. Bytes
+    are taken as they are, but for A-Z."""
     head = bytes([BEGIN]) * depth
     data = LOWER[np.frombuffer(b"".join(x for r in raw for x in (head, r, bytes([END]))), np.uint8)]
     sizes = np.array([len(r) + 1 for r in raw])
@@ -65,28 +89,129 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - np.log(np.pi)
 
 
-def count_strings(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(code, n): how often each string of ``depth`` + 1 bytes occurs in all texts; null texts count as empty."""
+def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings, sorted, and their counts."""
+    both, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(both, kind="stable")
+    both, n = both[order], n[order]
+    at = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+    return both[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def near_bucket(codes: np.ndarray, buckets: int, near: int) -> np.ndarray:
+    context = (codes >> np.uint64(8)) & np.uint64((1 << (8 * near)) - 1)
+    return (mix(context + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
+def slices(by: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    edges = np.append(np.flatnonzero(np.diff(by, prepend=by[:1] - 1)), len(by)).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def count_strings(docs: DataFrame, buckets: int = 1, text_col: str = "text", near: int = NEAR) -> DataFrame:
+    """(bucket, n, codes, counts): how often each string occurs in all texts, packed, in one or more rows for a bucket;
+    ``n`` is their number. Null texts count as empty."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold() -> None:
+            held[:] = [merged(*map(list, zip(*held, strict=True)))]
+
+        def send() -> pa.RecordBatch:
+            fold()
+            codes, counts = held.pop()
+            bucket = near_bucket(codes, buckets, near)
+            order = np.argsort(bucket, kind="stable")
+            codes, counts, bucket = codes[order], counts[order], bucket[order]
+            rows = [(int(bucket[a]), b - a, squeeze(codes[a:b]), squeeze(counts[a:b])) for a, b in slices(bucket)]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "codes", "counts"])
+
         for batch in sliced(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
             for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
-                new = np.sort(byte_strings([raw[r] for r in rows], depth)[0])
+                new = np.sort(byte_strings([raw[r] for r in rows])[0])
                 at = np.flatnonzero(np.diff(new, prepend=~new[:1]))
-                both, n = np.concatenate([codes, new[at]]), np.concatenate([counts, np.diff(at, append=len(new))])
-                order = np.argsort(both, kind="stable")
-                both, n = both[order], n[order]
-                at = np.flatnonzero(np.diff(both, prepend=~both[:1]))
-                codes, counts = both[at], np.add.reduceat(n, at)
-                if len(codes) >= HELD:
-                    yield pa.RecordBatch.from_pydict({"code": codes.view(np.int64), "n": counts})
-                    codes, counts = codes[:0], counts[:0]
-        if len(codes):
-            yield pa.RecordBatch.from_pydict({"code": codes.view(np.int64), "n": counts})
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+                held.append((new[at], np.diff(at, append=len(new))))
+                if len(held) >= 16:
+                    fold()
+                    if len(held[0][0]) >= HELD:
+                        yield send()
+        if held:
+            yield send()
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, n long, codes binary, counts binary")
+
+
+def decisions(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each string at bit ``k`` of its byte, and the bit: the bits before it with a 1 in front, then the bytes of
+    context from the nearest on. Nodes of depth d share the first 1 + d bytes of their keys."""
+    byte = codes & np.uint64(255)
+    at = (byte + np.uint64(256)) >> np.uint64(8 - k)
+    return (at << np.uint64(56)) | ((codes >> np.uint64(8)).byteswap() >> np.uint64(8)), ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+
+
+def climb(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, to: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes depth by depth, from the deepest to depth ``to``: (depth, keys, zeros, ones, ln of the weighted probability, ln
+    of the children's product over the own estimate), from sorted keys with counts."""
+    weighted = ahead = np.zeros(0)
+    for d in range(DEPTH, to - 1, -1):
+        if d < DEPTH:
+            key = key >> np.uint64(8)
+        head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        key, zeros, ones = key[head], np.add.reduceat(zeros, head), np.add.reduceat(ones, head)
+        own = log_kt(zeros, ones)
+        if d == DEPTH:
+            weighted, ahead = own, np.full(len(key), -np.inf)
+        else:
+            weighted, ahead = mixed(own, np.add.reduceat(weighted, head), zeros + ones)
+        yield d, key, zeros, ones, weighted, ahead
+
+
+def mixed(own: np.ndarray, below: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of half the own estimate and half the children's product, and how far the children are ahead; leaves have none."""
+    ahead = np.where(n > 1, below - own, -np.inf)
+    return np.where(n > 1, np.maximum(below, own) + np.log1p(np.exp(-np.abs(below - own))) - np.log(2.0), own), ahead
+
+
+def predict(codes: np.ndarray, counts: np.ndarray, upper: dict[int, tuple[np.ndarray, ...]], near: int = NEAR) -> np.ndarray:
+    """log10 probability of each string's last byte after the others, from the counts (0: not learned) of all strings of
+    some buckets, and the nodes above: ``upper`` has (keys, zeros, ones, ahead) for each depth below ``near``.
+
+    From the shortest context on, a met node hands 1 / (1 + e^ahead) of the weight to its own estimate and the rest to the
+    next longer context; what is left where a context was never met goes to a half.
+    """
+    total = np.zeros(len(codes))
+    for k in range(8):
+        key, bit = decisions(codes, k)
+        order = np.argsort(key)
+        key, bit, n = key[order], bit[order], counts[order]
+        share = np.full(len(codes), 0.5)
+
+        def blend(share: np.ndarray, row: np.ndarray, zeros: np.ndarray, ones: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+            met = zeros + ones
+            with np.errstate(over="ignore"):
+                own, rest = 1 / (1 + np.exp(ahead)), 1 / (1 + np.exp(-ahead))
+            # a decision that was never met leaves the share as it is
+            own, rest = np.where(met > 0, own, 0.0), np.where(met > 0, rest, 1.0)
+            mine = np.where(bit, ones[row], zeros[row])  # noqa: B023
+            return own[row] * (mine + 0.5) / (met[row] + 1) + rest[row] * share
+
+        row_key = key
+        for d, _, zeros, ones, _, ahead in climb(key, n * (1 - bit), n * bit, near):
+            if d < DEPTH:
+                row_key = row_key >> np.uint64(8)
+            share = blend(share, np.cumsum(np.diff(row_key, prepend=~row_key[:1]) != 0) - 1, zeros, ones, ahead)
+        for d in range(near - 1, -1, -1):
+            row_key = row_key >> np.uint64(8)
+            keys, zeros, ones, ahead = upper[d]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, row_key), len(keys) - 1)
+                there = keys[at] == row_key
+                share = np.where(there, blend(share, at, zeros, ones, ahead), share)
+        total[order] += np.log10(share)
+    return total
 
 
 @F.pandas_udf(DoubleType())
@@ -94,112 +219,88 @@ def _log_kt(zeros: pd.Series, ones: pd.Series) -> pd.Series:
     return pd.Series(log_kt(zeros.to_numpy(), ones.to_numpy()))
 
 
-def build_tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """All nodes (depth, key, one, own): key is the context's bytes and the decision, ``one`` the estimate that the bit
-    is 1, ``own`` the weight of this estimate against the deeper ones. Of each share x and 1 - x the smaller one is
-    given, with a minus if it is 1 - x, so that a share next to 1 loses nothing as a 32-bit float.
-
-    Depth by depth from the deepest: counts and the children's ln probabilities are summed by the shorter context.
-    """
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    each = counts.select((F.shiftright("code", 8)).alias("context"), (F.col("code").bitwiseAND(F.lit(255))).alias("byte"), "n", bits.alias("k"))
-    at = F.call_function("shiftright", F.col("byte") + 256, 8 - F.col("k"))
-    bit = F.call_function("shiftright", F.col("byte"), 7 - F.col("k")) % 2
-    level = each.groupBy((F.col("context") * 256 + at).alias("key")).agg(F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("ones"))
-    level = level.withColumn("weighted", _log_kt("zeros", "ones")).withColumn("own", F.lit(-TINY))
-    nodes = None
-    for d in range(depth, -1, -1):
-        if d < depth:
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-            level = level.withColumn("kt", _log_kt("zeros", "ones"))
-            ahead = F.col("below") - F.col("kt")
-            less = F.greatest(1 / (1 + F.exp(F.least(F.abs(ahead), F.lit(700.0)))), F.lit(TINY))
-            own = F.when(ahead > 0, less).otherwise(-less)
-            level = level.withColumns({"weighted": F.greatest("below", "kt") + F.log1p(F.exp(-F.abs(ahead))) - F.log(F.lit(2.0)), "own": own})
-        level = written(level.select("key", "zeros", "ones", "weighted", "own"), f"tree-{d}")
-        rare = (F.least("zeros", "ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-        part = level.select(F.lit(d).alias("depth"), "key", F.when(F.col("ones") <= F.col("zeros"), rare).otherwise(-rare).alias("one"), "own")
-        nodes = part if nodes is None else nodes.union(part)
-    return nodes
-
-
-class Tree:
-    """Some of the nodes, for looking up many strings at once."""
-
-    def __init__(self, depth: np.ndarray, key: np.ndarray, one: np.ndarray, own: np.ndarray, deepest: int = DEPTH):
-        self.levels = []
-        for d in range(deepest + 1):
-            rows = np.flatnonzero(depth == d)
-            rows = rows[np.argsort(key[rows])]
-            self.levels.append((key[rows].astype(np.uint64), one[rows].astype(float), own[rows].astype(float)))
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each string's last byte after the others. Where a context was never met, a bit has 1/2."""
-        total = np.ones(len(codes))
-        byte = (codes & np.uint64(255)).astype(np.int64)
-        for k in range(8):
-            at = (byte + 256) >> (8 - k)
-            bit = (byte >> (7 - k)) & 1
-            share = np.full(len(codes), 0.5)
-            for d in range(len(self.levels) - 1, -1, -1):
-                keys, estimate, own = self.levels[d]
-                if len(keys):
-                    key = (((codes >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | at.astype(np.uint64)
-                    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    # the share of the bit that came, never as 1 less the other
-                    mine, weight = np.where(bit, estimate[i], -estimate[i]), own[i]
-                    mixed = np.where(weight > 0, weight, 1 + weight) * np.where(mine > 0, mine, 1 + mine) + np.where(weight > 0, 1 - weight, -weight) * share
-                    share = np.where(keys[i] == key, mixed, share)
-            total *= share
-        return np.log10(total)
-
-
-def lookup(codes: np.ndarray, known: np.ndarray, bits: int = 20) -> np.ndarray:
-    """Place of each code in ``known`` (sorted, holds them all): through a table of slots, else by binary search."""
-    slot_of = lambda x: (mix(x) >> np.uint64(64 - bits)).astype(np.int64)
-    table = np.zeros(1 << bits, np.int64)
-    table[slot_of(known)] = np.arange(len(known))
-    at = table[slot_of(codes)]
-    miss = np.flatnonzero(known[at] != codes)
-    at[miss] = np.searchsorted(known, codes[miss])
-    return at
-
-
-def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def upper_nodes(strings: DataFrame, near: int = NEAR) -> DataFrame:
+    """Nodes (depth, key, zeros, ones, ahead) of the depths below ``near``. Each bucket of (bucket, codes, counts) gives its
+    nodes of depth ``near``; counts and ln probabilities are then summed by the shorter context, depth by depth."""
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, counts in zip(batch["codes"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                codes, counts = expand(codes, np.uint64), expand(counts, np.int64)
+                for k in range(8):
+                    key, bit = decisions(codes, k)
+                    order = np.argsort(key)
+                    *_, (_, at, zeros, ones, weighted, _) = climb(key[order], (counts * (1 - bit))[order], (counts * bit)[order], near)
+                    yield pa.RecordBatch.from_pydict({"key": at.astype(np.int64), "zeros": zeros, "ones": ones, "weighted": weighted})
+
+    level = strings.select("codes", "counts").mapInArrow(nodes, "key long, zeros long, ones long, weighted double")
+    found = None
+    for d in range(near - 1, -1, -1):
+        sums = level.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        sums = sums.withColumn("own", _log_kt("zeros", "ones"))
+        several, gap = F.col("zeros") + F.col("ones") > 1, F.abs(F.col("below") - F.col("own"))
+        weighted = F.when(several, F.greatest("below", "own") + F.log1p(F.exp(-gap)) - F.log(F.lit(2.0))).otherwise(F.col("own"))
+        ahead = F.when(several, F.col("below") - F.col("own")).otherwise(F.lit(float("-inf")))
+        level = written(sums.select("key", "zeros", "ones", weighted.alias("weighted"), ahead.alias("ahead")), f"tree-{d}")
+        part = level.select(F.lit(d).alias("depth"), "key", "zeros", "ones", "ahead")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def upper_arrays(table: pa.Table, near: int = NEAR) -> dict[int, tuple[np.ndarray, ...]]:
+    """The nodes of a table by depth, sorted."""
+    depth, columns = table["depth"].to_numpy(), [table[c].to_numpy() for c in ("key", "zeros", "ones", "ahead")]
+    out = {}
+    for d in range(near):
+        rows = np.flatnonzero(depth == d)
+        rows = rows[np.argsort(columns[0][rows])]
+        out[d] = (columns[0][rows].astype(np.uint64), *(c[rows] for c in columns[1:]))
+    return out
+
+
+def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, near: int = NEAR) -> DataFrame:
     """Score every whole text with context-tree weighting and with an add-one unigram base, both learned from the texts
-    that are not held out. A-Z are lowered.
+    that are not held out. A-Z are lowered, all other bytes are scored as they are.
 
     Texts are dealt into chunks by a hash of the id. A chunk sends each of its distinct words, with its training count, to
-    the bucket of the word's 64-bit hash, and each of its distinct byte strings to the bucket of the two bytes before the
-    last one. Word buckets add up counts; string buckets hold that part of the tree and compute probabilities. They
+    the bucket of the word's 64-bit hash, and each of its distinct byte strings to the bucket of the ``near`` bytes before
+    the last one. Word buckets add up counts; string buckets hold that part of the tree and compute probabilities. They
     answer in the order in which they were asked, and the chunk sums up its texts. A word or string that is everywhere is
-    one entry for each chunk, so no bucket is hot; nothing of the model goes through the driver or to all tasks. The
-    texts are shuffled once.
+    one entry for each chunk; buckets of which much is asked, by the counts of the first pass, are split by chunks into
+    several that hold the same strings. Nothing of the model goes through the driver but the number of strings of each of
+    at most MOST_BUCKETS buckets. The texts are shuffled once.
 
-    Returns id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10), ``bytes`` (scored)
+    Returns id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10), ``bytes`` (of the text)
     and ``bits_per_byte`` (the end of the text counts as a byte).
 
     Defined cases: null text is empty; an empty text is its end alone; rows with a null id, for which ``held_out`` is
     null, are learned from; repeated rows count and are scored each; with nothing to learn from every bit costs one bit;
-    an empty table gives an empty table; further columns are ignored.
+    an empty table gives an empty table; further columns are ignored, whatever their names.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     chunks = int(max(1, -(-total // max(chunk_bytes, total >> 20))))
-    pairs, salts = min(chunks, 1 << 16), -(-chunks // (1 << 16))
+    buckets = min(chunks, MOST_BUCKETS)
     number = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(chunks)).cast("int")
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), number.alias("chunk"))
-    nodes = build_tree(written(count_strings(keyed.filter("not held_out")), "strings"))
-
-    # buckets: 0 .. chunks - 1 of words, then (pair bucket, salt) of strings; the salt is the chunk's
-    pair = (F.shiftright("key", 8).bitwiseAND(F.lit((1 << 16) - 1)) * 40503 / 16).cast("long") % pairs
-    last = F.shiftright("key", 8).bitwiseAND(F.lit(255))
-    places = (
-        F.when(F.col("depth") == 0, F.sequence(F.lit(0).cast("long"), F.lit(pairs - 1).cast("long")))
-        .when(F.col("depth") == 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: ((last + b * 256) * 40503 / 16).cast("long") % pairs)))
-        .otherwise(F.array(pair))
-    )
-    spread = nodes.select("depth", "key", F.col("one").cast("float").alias("one"), F.col("own").cast("float").alias("own"), F.explode(places).alias("pair"))
-    spread = spread.select("depth", "key", "one", "own", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "pair").select((F.lit(chunks) + F.col("pair") * salts + F.col("salt")).cast("int").alias("bucket"), "depth", "key", "one", "own")
+
+    def gather(table: pa.Table) -> pa.Table:
+        codes, counts = merged([expand(x, np.uint64) for x in table["codes"].to_pylist()], [expand(x, np.int64) for x in table["counts"].to_pylist()])
+        return pa.table({"bucket": table["bucket"][:1], "asked": pa.array([sum(table["n"].to_pylist())], pa.int64()), "codes": pa.array([squeeze(codes)], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary())})
+
+    strings = written(count_strings(keyed.filter("not held_out"), buckets, near=near).groupBy("bucket").applyInArrow(gather, "bucket int, asked long, codes binary, counts binary"), "strings")
+    # a bucket's number, and in how many parts its questions are split
+    salts = np.ones(buckets, np.int64)
+    for r in strings.select("bucket", "asked").collect():  # at most MOST_BUCKETS rows
+        salts[r["bucket"]] = -(-r["asked"] // ASKED)
+    first = chunks + np.cumsum(salts) - salts
+    parts = docs.sparkSession.createDataFrame(pd.DataFrame({"at": np.arange(buckets), "first": first, "salts": salts}))
+
+    # buckets: 0 .. chunks - 1 of words, then (bucket, salt) of strings; the salt is the chunk's
+    spread = F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("salts") - 1).cast("int"))).alias("bucket")
+    none = lambda kind: F.lit(None).cast(kind)
+    learned = strings.join(F.broadcast(parts), F.col("bucket") == F.col("at")).select(spread, none("int").alias("depth"), none("long").alias("key"), none("long").alias("zeros"), none("long").alias("ones"), none("double").alias("ahead"), "codes", "counts")
+    above = upper_nodes(strings, near).crossJoin(F.broadcast(parts)).select(spread, "depth", "key", "zeros", "ones", "ahead", none("binary").alias("codes"), none("binary").alias("counts"))
+    tree = learned.unionByName(above)
 
     def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
         """Distinct word hashes in the order of buckets; each word's place among them; each word's text."""
@@ -217,47 +318,48 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     def strings_of(raw: list[bytes]) -> np.ndarray:
         """Distinct strings, sorted."""
-        found = np.zeros(0, np.uint64)
+        found = [np.zeros(0, np.uint64)]
         for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
-            found = distinct(np.concatenate([found, distinct(byte_strings([raw[r] for r in rows])[0])]))
-        return found
+            found.append(distinct(byte_strings([raw[r] for r in rows])[0]))
+        return distinct(np.concatenate(found))
 
     def string_bucket(codes: np.ndarray, chunk: int) -> np.ndarray:
-        near = ((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64) * 40503 // 16 % pairs
-        return chunks + near * salts + chunk % salts
-
-    def cut(by: np.ndarray) -> list[tuple[int, int]]:
-        edges = np.append(np.flatnonzero(np.diff(by, prepend=-1)), len(by)).tolist()
-        return list(zip(edges[:-1], edges[1:], strict=True))
+        near_one = near_bucket(codes, buckets, near)
+        return first[near_one] + chunk % salts[near_one]
 
     def ask(table: pa.Table) -> pa.Table:
         texts, chunk = table["text"].to_pylist(), table["chunk"][0].as_py()
         words, which, doc = words_of(texts)
         counts = np.bincount(which, ~table["held_out"].to_numpy()[doc], len(words)).astype(np.int64)
         bucket = (words % np.uint64(chunks)).astype(np.int64)
-        rows = [(int(bucket[a]), chunk, words[a:b].tobytes(), counts[a:b].tobytes()) for a, b in cut(bucket)]
+        rows = [(int(bucket[a]), chunk, squeeze(words[a:b]), squeeze(counts[a:b])) for a, b in slices(bucket)]
         codes = strings_of([t.encode("utf-8", "surrogatepass") for t in texts])
         bucket = string_bucket(codes, chunk)
         order = np.argsort(bucket, kind="stable")
         codes, bucket = codes[order], bucket[order]
-        rows += [(int(bucket[a]), chunk, codes[a:b].tobytes(), b"") for a, b in cut(bucket)]
+        rows += [(int(bucket[a]), chunk, squeeze(codes[a:b]), b"") for a, b in slices(bucket)]
         columns = zip(*rows, strict=True)
         return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "keys", "counts"])
 
     def answer(asked: pa.Table, tree: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
-        kinds, n_types, n_tokens = pa.binary(), [0] * len(sent), [0] * len(sent)
-        parts: list[np.ndarray] = []
+        sent = [expand(x, np.uint64) for x in asked["keys"].to_pylist()]
+        n_types, n_tokens = [0] * len(sent), [0] * len(sent)
+        parts: list[bytes] = []
         if sent:
             keys, which = np.unique(np.concatenate(sent), return_inverse=True)
+            edges = np.cumsum([0, *map(len, sent)])
             if asked["bucket"][0].as_py() < chunks:
                 values = np.zeros(len(keys), np.int64)
-                np.add.at(values, which, np.concatenate([np.frombuffer(x, np.int64) for x in asked["counts"].to_pylist()]))
+                np.add.at(values, which, np.concatenate([expand(x, np.int64) for x in asked["counts"].to_pylist()]))
                 n_types[0], n_tokens[0] = int((values > 0).sum()), int(values.sum())
+                parts = [squeeze(values[which[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             else:
-                values = Tree(*(tree[c].to_numpy() for c in ("depth", "key", "one", "own"))).log10(keys).astype(np.float32)
-            parts = np.split(values[which], np.cumsum([len(x) for x in sent])[:-1])
-        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "data": pa.array([p.tobytes() for p in parts], kinds), "types": pa.array(n_types, pa.int64()), "tokens": pa.array(n_tokens, pa.int64())})
+                packed = tree.filter(pa.compute.is_valid(tree["codes"]))
+                codes, counts = merged([keys, *(expand(x, np.uint64) for x in packed["codes"].to_pylist())], [np.zeros(len(keys), np.int64), *(expand(x, np.int64) for x in packed["counts"].to_pylist())])
+                logs = predict(codes, counts, upper_arrays(tree.filter(pa.compute.is_valid(tree["depth"])), near), near)
+                values = logs[np.searchsorted(codes, keys)]
+                parts = [squeeze_logs(values[which[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "data": pa.array(parts, pa.binary()), "types": pa.array(n_types, pa.int64()), "tokens": pa.array(n_tokens, pa.int64())})
 
     def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
         n, chunk = texts.num_rows, texts["chunk"][0].as_py()
@@ -266,15 +368,16 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         blobs = [data[i] for i in order]
         n_words = int((bucket < chunks).sum())
         _, which, doc = words_of(texts["text"].to_pylist())
-        counts = np.frombuffer(b"".join(blobs[:n_words]), np.int64)[which]
+        counts = np.concatenate([np.zeros(0, np.int64), *(expand(x, np.int64) for x in blobs[:n_words])])[which]
         raw = [t.encode("utf-8", "surrogatepass") for t in texts["text"].to_pylist()]
         codes = strings_of(raw)
         value = np.empty(len(codes))
-        value[np.argsort(string_bucket(codes, chunk), kind="stable")] = np.frombuffer(b"".join(blobs[n_words:]), np.float32)
+        value[np.argsort(string_bucket(codes, chunk), kind="stable")] = np.concatenate([np.zeros(0), *map(expand_logs, blobs[n_words:])])
         score, length = np.zeros(n), np.zeros(n, np.int64)
         for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
             mine, of = byte_strings([raw[r] for r in rows])
-            score[rows] = np.bincount(of, value[lookup(mine, codes)], len(rows))
+            by = np.argsort(mine)  # in this order the places in codes rise
+            score[rows] = np.bincount(of[by], value[np.searchsorted(codes, mine[by])], len(rows))
             length[rows] = np.bincount(of, minlength=len(rows)) - 1
         return pa.table({
             "id": texts["id"], "held_out": texts["held_out"], "n": np.bincount(doc, minlength=n).astype(np.int64), "known": np.bincount(doc, counts > 0, n).astype(np.int64),
@@ -282,9 +385,10 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         })
 
     asked = keyed.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, data binary, types long, tokens long")
-    kind = keyed.schema["id"].dataType.simpleString()
-    summed = keyed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "data").groupBy("chunk")).applyInArrow(add, f"id {kind}, held_out boolean, n long, known long, logs double, score double, bytes long")
+    answers = asked.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, data binary, types long, tokens long")
+    figures_of = {"n": LongType(), "known": LongType(), "logs": DoubleType(), "score": DoubleType(), "bytes": LongType()}
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("held_out", BooleanType()), *(StructField(c, t) for c, t in figures_of.items())])
+    summed = keyed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "data").groupBy("chunk")).applyInArrow(add, schema)
     figures = answers.filter("types > 0").select(F.col("types").alias("n"), F.col("tokens").alias("known"))
     both = written(summed.unionByName(figures, allowMissingColumns=True), "scores")
     is_text = F.col("held_out").isNotNull()

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, on small tables with nulls, ties, repeats, empty and long texts."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -638,41 +639,107 @@ def test_merge_sort_of_suffixes():
     assert equal.tolist() == [k > 0 and group[expected[k]] == group[expected[k - 1]] and text(suffix[expected[k]]) == text(suffix[expected[k - 1]]) for k in range(700)]
 
 
-def test_ctw_equals_sequential_mixture():
-    """Two bits of context depth, done by hand: the mixture predicted from counts is the ratio of weighted probabilities."""
-    def weighted(history, d, depth):
-        ones = sum(b for _, b in history)
-        own = math.exp(ctw.log_kt(np.array([len(history) - ones]), np.array([ones]))[0])
-        if d == depth:
-            return own
-        children = {}
-        for c, b in history:
-            children.setdefault(c[-1 - d], []).append((c, b))
-        product = math.prod(weighted(h, d + 1, depth) for h in children.values())
-        return 0.5 * own + 0.5 * product
-
-    assert math.exp(ctw.log_kt(np.array([1]), np.array([1]))[0]) == pytest.approx(1 / 8)
-    history = [("ab", 1), ("bb", 0), ("ab", 1), ("ba", 1), ("ab", 0)]
-    assert weighted(history + [("ab", 1)], 0, 2) + weighted(history + [("ab", 0)], 0, 2) == pytest.approx(weighted(history, 0, 2))
-
-
-def test_ctw_tree_sums_to_one(spark, docs):
-    nodes = ctw.build_tree(ctw.count_strings(docs)).toPandas()
-    tree = ctw.Tree(*(nodes[c].to_numpy() for c in ("depth", "key", "one", "own")))
-    for before in (b"w1 w2", b"zzzzz", bytes([ctw.BEGIN]) * 5):
-        context = int.from_bytes(before, "big") << 8
-        assert (10 ** tree.log10(np.array([context + x for x in range(256)], np.uint64))).sum() == pytest.approx(1.0, abs=1e-6)
+def ctw_plainly(texts, queries):
+    """log10 probability of the last byte of each (context, byte), by recursion over lists of what followed each context."""
+    met = {}
+    for t in texts:
+        padded = bytes([ctw.BEGIN]) * ctw.DEPTH + t + bytes([ctw.END])
+        for i in range(ctw.DEPTH, len(padded)):
+            for d in range(ctw.DEPTH + 1):
+                for k in range(8):
+                    met.setdefault((padded[i - d : i], k, padded[i] >> (8 - k)), []).append(padded[i] >> (7 - k) & 1)
+
+    def log_own(bits):
+        total, seen = 0.0, [0, 0]
+        for b in bits:
+            total += math.log((seen[b] + 0.5) / (sum(seen) + 1))
+            seen[b] += 1
+        return total
+
+    @functools.cache
+    def weigh(context, k, prefix):
+        """(own, below): ln of the own estimate, and of the product of the children's mixtures."""
+        bits = met[context, k, prefix]
+        if len(context) == ctw.DEPTH or len(bits) == 1:
+            return log_own(bits), None
+        below = 0.0
+        for c in range(256):
+            if (bytes([c]) + context, k, prefix) in met:
+                own, rest = weigh(bytes([c]) + context, k, prefix)
+                below += own if rest is None else math.log((math.exp(own - max(own, rest)) + math.exp(rest - max(own, rest))) / 2) + max(own, rest)
+        return log_own(bits), below
+
+    def share(context, d, k, prefix, bit):
+        node = context[len(context) - d :]
+        if d > ctw.DEPTH or (node, k, prefix) not in met:
+            return 0.5
+        own, below = weigh(node, k, prefix)
+        bits = met[node, k, prefix]
+        mine = (bits.count(bit) + 0.5) / (len(bits) + 1)
+        if below is None:
+            return mine
+        top = 1 / (1 + math.exp(below - own))
+        return top * mine + (1 - top) * share(context, d + 1, k, prefix, bit)
+
+    return [sum(math.log10(share(c, 0, k, x >> (8 - k), x >> (7 - k) & 1)) for k in range(8)) for c, x in queries]
+
+
+CTW_TEXTS = ["the cat sat on the mat. the cat sat.", "a  b\n\nc\t d", "the mat sat on the cat", "", "é ü the", "the cat sat on the mat. the cat sat."]
+
+
+def test_ctw_equals_recursive_weighting():
+    """Bytes as they are; contexts met and not met; the nodes above the buckets cut off and given."""
+    raw = [t.encode() for t in CTW_TEXTS]
+    codes, counts = np.unique(ctw.byte_strings(raw)[0], return_counts=True)
+    more = np.setdiff1d(ctw.byte_strings([b"the bat sat on a mat", b"zzz"])[0], codes)
+    union, n = ctw.merged([codes, more], [counts, 0 * more.astype(np.int64)])
+    levels = {d: ([], [], [], []) for d in range(ctw.NEAR)}
+    for k in range(8):
+        key, bit = ctw.decisions(codes, k)
+        order = np.argsort(key)
+        for d, at, zeros, ones, _, ahead in ctw.climb(key[order], (counts * (1 - bit))[order], (counts * bit)[order]):
+            if d < ctw.NEAR:
+                for column, x in zip(levels[d], (at, zeros, ones, ahead)):
+                    column.append(x)
+    upper = {d: tuple(np.concatenate(x) for x in columns) for d, columns in levels.items()}
+    upper = {d: tuple(x[np.argsort(columns[0])] for x in columns) for d, columns in upper.items()}
+    got = ctw.predict(union, n, upper)
+    split = [(int(c).to_bytes(8, "big")[:7], int(c) & 255) for c in union]
+    assert got == pytest.approx(ctw_plainly(raw, split), abs=1e-9)
+    for context in (b"the cat", b"qqqqqqq"):
+        whole = np.array([int.from_bytes(context, "big") << 8 | x for x in range(256)], np.uint64)
+        every, n = ctw.merged([codes, whole], [counts, np.zeros(256, np.int64)])
+        assert (10 ** ctw.predict(every, n, upper)[np.searchsorted(every, whole)]).sum() == pytest.approx(1.0, abs=1e-9)
+
+
+def test_scores_equal_recursive_weighting(spark, monkeypatch):
+    """Through Spark, with many chunks and buckets, some of them split."""
+    monkeypatch.setattr(ctw, "ASKED", 12)
+    rows = list(enumerate(CTW_TEXTS + ["the bat sat on a mat", "THE\tcat"]))
+    held = F.col("doc_id") >= len(CTW_TEXTS)
+    got = {r.doc_id: r for r in ctw.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), held, chunk_bytes=30).collect()}
+    for i, t in rows:
+        padded = bytes([ctw.BEGIN]) * 7 + t.translate(LOWER).encode() + bytes([ctw.END])
+        expected = sum(ctw_plainly([x.encode() for x in CTW_TEXTS], [(padded[j - 7 : j], padded[j]) for j in range(7, len(padded))]))
+        assert got[i].bytes == len(t.encode()) and got[i].score == pytest.approx(expected, rel=1e-6)
+        assert got[i].bits_per_byte == pytest.approx(-got[i].score * math.log2(10) / (got[i].bytes + 1))
+    assert got[1].score != pytest.approx(ctw_plainly([x.encode() for x in CTW_TEXTS], [(b"\xfe" * 7, ctw.END)])[0])
 
 
-def test_ctw_of_a_bit_never_seen(spark):
-    """As 32-bit floats, as they are shipped, nodes still tell 1e9 ones from certainty, and so do bits that are zero."""
+def test_ctw_of_a_bit_never_seen():
+    """1e9 ones are told from certainty, and so are bits that are zero."""
+    none = {d: (np.zeros(0, np.uint64), *[np.zeros(0)] * 3) for d in range(ctw.NEAR)}
     for seen, other in ((b"e", b"%"), (b"%", b"e")):  # they part at the second bit
-        counts = spark.createDataFrame([(int.from_bytes(b"abcde" + seen, "big"), 10**9)], "code long, n long")
-        nodes = ctw.build_tree(counts).select("depth", "key", F.col("one").cast("float").alias("one"), F.col("own").cast("float").alias("own")).toPandas()
-        tree = ctw.Tree(*(nodes[c].to_numpy() for c in ("depth", "key", "one", "own")))
-        got = tree.log10(np.array([int.from_bytes(b"abcde" + x, "big") for x in (seen, other)], np.uint64))
-        assert got[0] == pytest.approx(8 * math.log10(1 - 0.5 / (10**9 + 1)), rel=1e-5)
-        assert got[1] == pytest.approx(math.log10(0.5 / (10**9 + 1)) + 6 * math.log10(0.5), rel=1e-6)
+        codes = np.array([int.from_bytes(b"abcdefg" + x, "big") for x in (seen, other)], np.uint64)
+        order = np.argsort(codes)
+        logs = np.empty(2)
+        logs[order] = ctw.predict(codes[order], np.array([10**9, 0])[order], none)
+        sent = ctw.expand_logs(ctw.squeeze_logs(logs))
+        assert logs[0] == pytest.approx(8 * math.log10(1 - 0.5 / (10**9 + 1)), rel=1e-5)
+        assert logs[1] == pytest.approx(math.log10(1 - 0.5 / (10**9 + 1)) + math.log10(0.5 / (10**9 + 1)) + 6 * math.log10(0.5), rel=1e-6)
+        assert sent == pytest.approx(logs, abs=1e-5)
+    tiny = np.array([-40.0, 0.0, -1e-12, -15.9, -16.1])
+    assert ctw.expand_logs(ctw.squeeze_logs(tiny)) == pytest.approx(tiny, abs=1e-5) and len(ctw.expand_logs(ctw.squeeze_logs(tiny[:0]))) == 0
 
 
 def test_scores(spark, docs, empty):
