@@ -33,8 +33,8 @@ NEAR = 3
 BEGIN, END = 0xFE, 0xFF
 #: A task works on this much text at once.
 WORK_BYTES = 1 << 20
-#: Distinct strings that a task holds before it sends their counts, and strings asked of one bucket's task, about.
-HELD, ASKED = 4_000_000, 6_000_000
+#: Text that a task holds before it sends the counts of its strings, and strings asked of one bucket's task, about.
+HELD_BYTES, ASKED = 12 << 20, 6_000_000
 #: Most buckets; their sizes are what the driver learns of them.
 MOST_BUCKETS = 1 << 16
 #: Answers are square roots of -log10 p in steps of 1 / SCALE, of 24 bits.
@@ -60,18 +60,18 @@ def expand_logs(data: bytes) -> np.ndarray:
     return -((expand(data, np.uint32) / SCALE) ** 2)
 
 
-def byte_strings(raw: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text, and its end: the number made of ``depth`` bytes before and the byte, and its text. Bytes
+def byte_strings(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text, and its end: the number made of DEPTH bytes before and the byte, and its text. Bytes
     are taken as they are, but for A-Z."""
-    head = bytes([BEGIN]) * depth
+    head = bytes([BEGIN]) * DEPTH
     data = LOWER[np.frombuffer(b"".join(x for r in raw for x in (head, r, bytes([END]))), np.uint8)]
-    sizes = np.array([len(r) + 1 for r in raw])
+    sizes = np.array([len(r) + 1 for r in raw], np.int64)
     doc = np.repeat(np.arange(len(raw)), sizes)
-    at = np.arange(len(doc)) + (doc + 1) * depth
-    code = np.zeros(len(data) - depth if len(data) else 0, np.uint64)
-    for i in range(depth + 1):
-        code = (code << np.uint64(8)) | data[i : i + len(code)]
-    return code[at - depth], doc
+    if not len(data):
+        return np.zeros(0, np.uint64), doc
+    # the eight bytes from each place on, read as one number
+    code = np.ndarray(len(data) - DEPTH, ">u8", data.tobytes(), strides=(1,)).astype(np.uint64)
+    return code[np.arange(len(doc)) + doc * DEPTH], doc
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -83,12 +83,48 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - down
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     z, o = np.asarray(zeros, float), np.asarray(ones, float)
     return log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - np.log(np.pi)
 
 
+#: Values for small counts, which most nodes have.
+SMALL = 128
+_small = _log_kt(*np.indices((SMALL, SMALL)))
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
+    out = _small[np.minimum(zeros, SMALL - 1).astype(np.int64), np.minimum(ones, SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero((zeros >= SMALL) | (ones >= SMALL))
+    out[large] = _log_kt(zeros[large], ones[large])
+    return out
+
+
+class Places:
+    """Finds the places of codes in ``known`` (distinct, sorted): through two tables of slots, else by binary search."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.bits = known, min(24, max(8, len(known).bit_length() + 1))
+        self.tables = []
+        for nth in (0, 1):
+            table = np.zeros(1 << self.bits, np.int32)
+            table[self.slot(known, nth)] = np.arange(len(known), dtype=np.int32)
+            self.tables.append(table)
+
+    def slot(self, codes: np.ndarray, nth: int) -> np.ndarray:
+        return ((mix(codes) >> np.uint64(64 - self.bits * (nth + 1))) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Places of codes that are all known."""
+        at = self.tables[0][self.slot(codes, 0)]
+        open_ = np.flatnonzero(self.known[at] != codes)
+        at[open_] = self.tables[1][self.slot(codes[open_], 1)]
+        open_ = open_[self.known[at[open_]] != codes[open_]]
+        at[open_] = np.searchsorted(self.known, codes[open_])
+        return at
+
+
 def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings, sorted, and their counts."""
     both, n = np.concatenate(codes), np.concatenate(counts)
@@ -113,33 +149,29 @@ def count_strings(docs: DataFrame, buckets: int = 1, text_col: str = "text", nea
     """(bucket, n, codes, counts): how often each string occurs in all texts, packed, in one or more rows for a bucket;
     ``n`` is their number. Null texts count as empty."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fold() -> None:
-            held[:] = [merged(*map(list, zip(*held, strict=True)))]
-
-        def send() -> pa.RecordBatch:
-            fold()
-            codes, counts = held.pop()
-            bucket = near_bucket(codes, buckets, near)
-            order = np.argsort(bucket, kind="stable")
-            codes, counts, bucket = codes[order], counts[order], bucket[order]
-            rows = [(int(bucket[a]), b - a, squeeze(codes[a:b]), squeeze(counts[a:b])) for a, b in slices(bucket)]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "codes", "counts"])
+    def send(held: list[bytes]) -> pa.RecordBatch:
+        every = byte_strings(held)[0]
+        every.sort()
+        at = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+        codes, counts = every[at], np.diff(at, append=len(every))
+        bucket = near_bucket(codes, buckets, near)
+        order = np.argsort(bucket, kind="stable")
+        codes, counts, bucket = codes[order], counts[order], bucket[order]
+        rows = [(int(bucket[a]), b - a, squeeze(codes[a:b]), squeeze(counts[a:b])) for a, b in slices(bucket)]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "codes", "counts"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in sliced(batches):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
-            for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
-                new = np.sort(byte_strings([raw[r] for r in rows])[0])
-                at = np.flatnonzero(np.diff(new, prepend=~new[:1]))
-                held.append((new[at], np.diff(at, append=len(new))))
-                if len(held) >= 16:
-                    fold()
-                    if len(held[0][0]) >= HELD:
-                        yield send()
+            for text in batch["text"].to_pylist():
+                held.append((text or "").encode("utf-8", "surrogatepass"))
+                size += len(held[-1])
+                if size >= HELD_BYTES:
+                    yield send(held)
+                    held, size = [], 0
         if held:
-            yield send()
+            yield send(held)
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, n long, codes binary, counts binary")
 
@@ -215,7 +247,7 @@ def predict(codes: np.ndarray, counts: np.ndarray, upper: dict[int, tuple[np.nda
 
 
 @F.pandas_udf(DoubleType())
-def _log_kt(zeros: pd.Series, ones: pd.Series) -> pd.Series:
+def _log_kt_of(zeros: pd.Series, ones: pd.Series) -> pd.Series:
     return pd.Series(log_kt(zeros.to_numpy(), ones.to_numpy()))
 
 
@@ -237,7 +269,7 @@ def upper_nodes(strings: DataFrame, near: int = NEAR) -> DataFrame:
     found = None
     for d in range(near - 1, -1, -1):
         sums = level.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-        sums = sums.withColumn("own", _log_kt("zeros", "ones"))
+        sums = sums.withColumn("own", _log_kt_of("zeros", "ones"))
         several, gap = F.col("zeros") + F.col("ones") > 1, F.abs(F.col("below") - F.col("own"))
         weighted = F.when(several, F.greatest("below", "own") + F.log1p(F.exp(-gap)) - F.log(F.lit(2.0))).otherwise(F.col("own"))
         ahead = F.when(several, F.col("below") - F.col("own")).otherwise(F.lit(float("-inf")))
@@ -346,19 +378,19 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         n_types, n_tokens = [0] * len(sent), [0] * len(sent)
         parts: list[bytes] = []
         if sent:
-            keys, which = np.unique(np.concatenate(sent), return_inverse=True)
-            edges = np.cumsum([0, *map(len, sent)])
+            keys = distinct(np.concatenate(sent))
             if asked["bucket"][0].as_py() < chunks:
-                values = np.zeros(len(keys), np.int64)
-                np.add.at(values, which, np.concatenate([expand(x, np.int64) for x in asked["counts"].to_pylist()]))
+                places = Places(keys)
+                which = [places.of(x) for x in sent]
+                values = sum(np.bincount(w, expand(x, np.int64), len(keys)) for w, x in zip(which, asked["counts"].to_pylist(), strict=True)).astype(np.int64)
                 n_types[0], n_tokens[0] = int((values > 0).sum()), int(values.sum())
-                parts = [squeeze(values[which[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                parts = [squeeze(values[w]) for w in which]
             else:
                 packed = tree.filter(pa.compute.is_valid(tree["codes"]))
                 codes, counts = merged([keys, *(expand(x, np.uint64) for x in packed["codes"].to_pylist())], [np.zeros(len(keys), np.int64), *(expand(x, np.int64) for x in packed["counts"].to_pylist())])
                 logs = predict(codes, counts, upper_arrays(tree.filter(pa.compute.is_valid(tree["depth"])), near), near)
-                values = logs[np.searchsorted(codes, keys)]
-                parts = [squeeze_logs(values[which[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                places = Places(codes)
+                parts = [squeeze_logs(logs[places.of(x)]) for x in sent]
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "data": pa.array(parts, pa.binary()), "types": pa.array(n_types, pa.int64()), "tokens": pa.array(n_tokens, pa.int64())})
 
     def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -373,11 +405,10 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         codes = strings_of(raw)
         value = np.empty(len(codes))
         value[np.argsort(string_bucket(codes, chunk), kind="stable")] = np.concatenate([np.zeros(0), *map(expand_logs, blobs[n_words:])])
-        score, length = np.zeros(n), np.zeros(n, np.int64)
+        places, score, length = Places(codes), np.zeros(n), np.zeros(n, np.int64)
         for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
             mine, of = byte_strings([raw[r] for r in rows])
-            by = np.argsort(mine)  # in this order the places in codes rise
-            score[rows] = np.bincount(of[by], value[np.searchsorted(codes, mine[by])], len(rows))
+            score[rows] = np.bincount(of, value[places.of(mine)], len(rows))
             length[rows] = np.bincount(of, minlength=len(rows)) - 1
         return pa.table({
             "id": texts["id"], "held_out": texts["held_out"], "n": np.bincount(doc, minlength=n).astype(np.int64), "known": np.bincount(doc, counts > 0, n).astype(np.int64),
