@@ -150,7 +150,11 @@ def count_strings(docs: DataFrame, buckets: int = 1, text_col: str = "text", nea
     ``n`` is their number. Null texts count as empty."""
 
     def send(held: list[bytes]) -> pa.RecordBatch:
-        every = byte_strings(held)[0]
+        every, end = np.empty(sum(len(r) + 1 for r in held), np.uint64), 0
+        for rows in runs_of(np.array([len(r) for r in held]), WORK_BYTES):
+            new = byte_strings([held[r] for r in rows])[0]
+            every[end : end + len(new)] = new
+            end += len(new)
         every.sort()
         at = np.flatnonzero(np.diff(every, prepend=~every[:1]))
         codes, counts = every[at], np.diff(at, append=len(every))
@@ -290,7 +294,7 @@ def upper_arrays(table: pa.Table, near: int = NEAR) -> dict[int, tuple[np.ndarra
     return out
 
 
-def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, near: int = NEAR) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12 << 20, near: int = NEAR) -> DataFrame:
     """Score every whole text with context-tree weighting and with an add-one unigram base, both learned from the texts
     that are not held out. A-Z are lowered, all other bytes are scored as they are.
 
