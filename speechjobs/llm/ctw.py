@@ -34,7 +34,7 @@ BEGIN, END = 0xFE, 0xFF
 #: A task works on this much text at once.
 WORK_BYTES = 1 << 20
 #: Text that a task holds before it sends the counts of its strings, and strings asked of one bucket's task, about.
-HELD_BYTES, ASKED = 12 << 20, 6_000_000
+HELD_BYTES, ASKED = 8 << 20, 3_000_000
 #: Most buckets; their sizes are what the driver learns of them.
 MOST_BUCKETS = 1 << 16
 #: Answers are square roots of -log10 p in steps of 1 / SCALE, of 24 bits.
@@ -125,12 +125,27 @@ class Places:
         return at
 
 
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a new value."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct values of some arrays, which are given up."""
+    every = np.concatenate(parts)
+    parts.clear()
+    every.sort()
+    return every[heads(every)]
+
+
 def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings, sorted, and their counts."""
     both, n = np.concatenate(codes), np.concatenate(counts)
     order = np.argsort(both, kind="stable")
     both, n = both[order], n[order]
-    at = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+    at = heads(both)
     return both[at], np.add.reduceat(n, at) if len(at) else n
 
 
@@ -156,8 +171,9 @@ def count_strings(docs: DataFrame, buckets: int = 1, text_col: str = "text", nea
             every[end : end + len(new)] = new
             end += len(new)
         every.sort()
-        at = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+        at = heads(every)
         codes, counts = every[at], np.diff(at, append=len(every))
+        del every, at
         bucket = near_bucket(codes, buckets, near)
         order = np.argsort(bucket, kind="stable")
         codes, counts, bucket = codes[order], counts[order], bucket[order]
@@ -195,7 +211,7 @@ def climb(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, to: int = 0) ->
     for d in range(DEPTH, to - 1, -1):
         if d < DEPTH:
             key = key >> np.uint64(8)
-        head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        head = heads(key)
         key, zeros, ones = key[head], np.add.reduceat(zeros, head), np.add.reduceat(ones, head)
         own = log_kt(zeros, ones)
         if d == DEPTH:
@@ -294,7 +310,7 @@ def upper_arrays(table: pa.Table, near: int = NEAR) -> dict[int, tuple[np.ndarra
     return out
 
 
-def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12 << 20, near: int = NEAR) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, near: int = NEAR) -> DataFrame:
     """Score every whole text with context-tree weighting and with an add-one unigram base, both learned from the texts
     that are not held out. A-Z are lowered, all other bytes are scored as they are.
 
@@ -346,18 +362,19 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
             hashes.append(token_hashes(data, start, end))
             docs.append(rows[doc])
         doc = np.concatenate(docs)
-        words, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        every = np.concatenate(hashes)
+        words = joined(hashes)
         order = np.argsort(words % np.uint64(chunks), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return words[order], place[which], doc
+        return words[order], place[Places(words).of(every)], doc
 
     def strings_of(raw: list[bytes]) -> np.ndarray:
         """Distinct strings, sorted."""
         found = [np.zeros(0, np.uint64)]
         for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
             found.append(distinct(byte_strings([raw[r] for r in rows])[0]))
-        return distinct(np.concatenate(found))
+        return joined(found)
 
     def string_bucket(codes: np.ndarray, chunk: int) -> np.ndarray:
         near_one = near_bucket(codes, buckets, near)
@@ -378,14 +395,14 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "keys", "counts"])
 
     def answer(asked: pa.Table, tree: pa.Table) -> pa.Table:
-        sent = [expand(x, np.uint64) for x in asked["keys"].to_pylist()]
+        sent = asked["keys"].to_pylist()
         n_types, n_tokens = [0] * len(sent), [0] * len(sent)
         parts: list[bytes] = []
         if sent:
-            keys = distinct(np.concatenate(sent))
+            keys = joined([expand(x, np.uint64) for x in sent])
             if asked["bucket"][0].as_py() < chunks:
                 places = Places(keys)
-                which = [places.of(x) for x in sent]
+                which = [places.of(expand(x, np.uint64)) for x in sent]
                 values = sum(np.bincount(w, expand(x, np.int64), len(keys)) for w, x in zip(which, asked["counts"].to_pylist(), strict=True)).astype(np.int64)
                 n_types[0], n_tokens[0] = int((values > 0).sum()), int(values.sum())
                 parts = [squeeze(values[w]) for w in which]
@@ -394,7 +411,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
                 codes, counts = merged([keys, *(expand(x, np.uint64) for x in packed["codes"].to_pylist())], [np.zeros(len(keys), np.int64), *(expand(x, np.int64) for x in packed["counts"].to_pylist())])
                 logs = predict(codes, counts, upper_arrays(tree.filter(pa.compute.is_valid(tree["depth"])), near), near)
                 places = Places(codes)
-                parts = [squeeze_logs(logs[places.of(x)]) for x in sent]
+                parts = [squeeze_logs(logs[places.of(expand(x, np.uint64))]) for x in sent]
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "data": pa.array(parts, pa.binary()), "types": pa.array(n_types, pa.int64()), "tokens": pa.array(n_tokens, pa.int64())})
 
     def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
