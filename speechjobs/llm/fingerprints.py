@@ -119,7 +119,6 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     placed = id_ranges(base, task_bytes)
-    placed = placed.withColumns({"vector": multiset_vector(F.col("text")), "n": paragraphs(F.col("text"))})
     # The first row of each range, one for each of at most 2 * MOST_RANGES ranges. The range before, which need not have rows,
     # is the next lower number that has.
     top = F.struct((~F.col("id").isNull()).alias("has"), "id", (-F.col("tie").cast("decimal(20,0)")).alias("tie"))
@@ -128,9 +127,10 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     last = F.max("range").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select(F.col("range").alias("__range"), F.col("top.id").alias("__id"), (-F.col("top.tie")).cast("long").alias("__tie"), F.coalesce(F.lag("range").over(turn), last).alias("__before"))
     same = (F.col("range") == F.col("__range")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie"))
-    columns = ["id", "text", "tie", "range", "vector", "n"]
-    heads = placed.join(F.broadcast(firsts), same).groupBy("__before").agg(*[F.first(c).alias(c) for c in ("id", "text", "tie", "vector", "n")])
-    both = placed.select(*columns, F.lit(0).alias("ghost")).unionByName(heads.select("id", "text", "tie", F.col("__before").alias("range"), "vector", "n", F.lit(1).alias("ghost")))
+    heads = placed.join(F.broadcast(firsts), same).groupBy("__before").agg(*[F.first(c).alias(c) for c in ("id", "text", "tie")])
+    both = placed.select("id", "text", "tie", "range", F.lit(0).alias("ghost")).unionByName(heads.select("id", "text", "tie", F.col("__before").alias("range"), F.lit(1).alias("ghost")))
+    # each text's vector once, before the texts are shuffled
+    both = both.withColumns({"vector": multiset_vector(F.col("text")), "n": paragraphs(F.col("text"))})
     falling = Window.partitionBy("range").orderBy("ghost", F.col("id").desc_nulls_last(), "tie")
     following = both.select("*", *[F.lead(c).over(falling).alias(f"next_{c}") for c in ("text", "vector", "n")]).filter("ghost = 0")
     chars = F.char_length("text")
