@@ -343,10 +343,15 @@ def detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.detection(flags).withColumn("f1", F.round("f1", 9))
 
 
-@query()
+@query(
+    """SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(fp / nullif(fp + tn, 0), 0) AS false_alarm_rate, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, tp + fn AS positives, fp + tn AS negatives FROM (
+       SELECT count(*) FILTER (f AND w) AS tp, count(*) FILTER (f AND NOT w) AS fp, count(*) FILTER (NOT f AND w) AS fn, count(*) FILTER (NOT f AND NOT w) AS tn FROM (
+       SELECT (n = 1 AND i = 1) OR (n = 2 AND regexp_matches(t[i], '[012]$') AND s[i] <> 'AH') OR (n = 4 AND t[i] = 'R') AS f, (id + i - 1) % 4 < 3 AS w FROM attempts, unnest(generate_series(1, len(t))) AS u(i)))""",
+    _ATTEMPTS,
+)
 def sound_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.attempts(spark, sf_dir).withColumn("scores", F.transform("target_phonemes", lambda p, i: ((F.col("id") + i) % 4) / 2.0))
-    return evaluation.detection(evaluation.sound_flags(a, "target_phonemes", "predicted_phonemes", "scores"))
+    return evaluation.detection(evaluation.sound_flags(a, "target_phonemes", "predicted_phonemes", "scores")).withColumn("f1", F.round("f1", 9))
 
 
 @query("SELECT source, count(*) AS n, round(corr(quality, n_chars), 6) AS pearson, round(avg(abs(quality - n_chars)), 6) AS mae FROM ratings GROUP BY source", _RATINGS)
@@ -503,11 +508,16 @@ def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.word_error_rates(a, ("accent",), "r", "h").withColumns({"wer": F.round("wer", 9), "score": F.round("score", 9)})
 
 
-@query()
+@query(
+    """SELECT id AS utt_id, unnest([0, 1])::INT AS nth, unnest([array_to_string(t[1:2], ' '), array_to_string(t[3:], ' ')]) AS target,
+       unnest(CASE WHEN n = 1 THEN [array_to_string(h[1:1], ' '), array_to_string(h[2:], ' ')] ELSE [array_to_string(h[1:2], ' '), array_to_string(h[3:], ' ')] END) AS heard FROM heard""",
+    _ATTEMPTS,
+    _HEARD,
+)
 def cut_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("target_phonemes")
     a = views.attempts(spark, sf_dir).select(F.col("id").alias("utt_id"), F.array(F.slice(t, 1, 2), F.slice(t, F.lit(3), F.size(t))).alias("words"), F.col("predicted_phonemes").alias("predicted"))
-    return evaluation.cut_words(a)
+    return evaluation.cut_words(a).withColumns({"target": F.array_join("target", " "), "heard": F.array_join("heard", " ")})
 
 
 @query(
