@@ -229,16 +229,23 @@ def ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_jobs.collapse(frames, 0).withColumns({"top": F.round("top", 6), "lead": F.round("lead", 6)})
 
 
-@query()
+@query(
+    """SELECT take_id, coalesce(phonemes, '') AS phonemes, coalesce(starts, '') AS starts, coalesce(ends, '') AS ends, round(coalesce(confidence, 0), 6) AS confidence, round(coalesce(margin, 0), 6) AS margin FROM (SELECT DISTINCT take_id FROM won)
+       LEFT JOIN (SELECT take_id, string_agg('S' || token, ' ' ORDER BY frame) AS phonemes, string_agg(2 * frame, ' ' ORDER BY frame) AS starts, string_agg(2 * until, ' ' ORDER BY frame) AS ends FROM (
+         SELECT *, coalesce(lead(frame) OVER (PARTITION BY take_id ORDER BY frame), least(frame + 6, n_frames)) AS until FROM kept WHERE token <> 63) GROUP BY take_id) USING (take_id)
+       LEFT JOIN (SELECT take_id, avg(1 / total) AS confidence, avg((1 - exp(second - peak)) / total) AS margin FROM kept GROUP BY take_id) USING (take_id)""",
+    """won AS (SELECT vec_id // 25 AS take_id, (vec_id % 25)::INT AS frame, embedding::DOUBLE[] AS l, list_max(embedding::DOUBLE[]) AS peak, (list_position(embedding, list_max(embedding)) - 1)::INT AS token FROM embeddings)""",
+    """kept AS (SELECT *, list_sum(list_transform(l, lambda x: exp(x - peak))) AS total, list_reverse_sort(l)[2] AS second FROM (
+       SELECT *, lag(token) OVER (PARTITION BY take_id ORDER BY frame) AS before, count(*) OVER (PARTITION BY take_id) AS n_frames FROM won) WHERE token IS DISTINCT FROM before AND token <> 0)""",
+)
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame_jobs.decode(views.frames(spark, sf_dir), {i: f"S{i}" for i in range(64)}, (63,), 0)
+    frames = views.frames(spark, sf_dir).withColumn("logits", F.col("logits").cast("array<double>"))
+    found = frame_jobs.decode(frames, {i: f"S{i}" for i in range(64)}, (63,), 0)
+    hundredths = lambda side: F.array_join(F.transform("spans", lambda s: F.round(s[side] * 100).cast("int").cast("string")), " ").alias(f"{side}s")
+    return found.select("take_id", F.array_join("phonemes", " ").alias("phonemes"), hundredths("start"), hundredths("end"), F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"))
 
 
-@query(
-    """SELECT rec_id, min(frame)::INT AS first, max(frame)::INT AS last, bool_or(speech) AS found FROM (
-       SELECT b.rec_id, b.frame, CASE WHEN n < 4 THEN false WHEN peak - floor < 6 THEN floor > -35 ELSE coalesce(b.frame BETWEEN r.first AND r.last, false) END AS speech
-       FROM base b LEFT JOIN regions r USING (rec_id)) WHERE speech GROUP BY rec_id""",
-    """levels AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, (least(floor(value), 79) - 80)::DOUBLE AS level_db FROM events),
+_LEVELS = """levels AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, (least(floor(value), 79) - 80)::DOUBLE AS level_db FROM events),
 facts AS (SELECT rec_id, len(s) AS n, s[floor(0.1 * (len(s) - 1))::INT + 1] AS floor, s[floor(0.95 * (len(s) - 1))::INT + 1] AS peak FROM (SELECT rec_id, list_sort(list(level_db)) AS s FROM levels GROUP BY rec_id)),
 base AS (SELECT * FROM levels JOIN facts USING (rec_id)),
 islands AS (SELECT *, frame - row_number() OVER (PARTITION BY rec_id ORDER BY frame) AS island FROM base WHERE level_db > greatest(floor + 6, peak - 32)),
@@ -247,14 +254,29 @@ marked AS (SELECT *, (coalesce(frame - lag(frame) OVER (PARTITION BY rec_id ORDE
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY frame) AS part FROM marked),
 parts AS (SELECT rec_id, part, min(frame) AS first, max(frame) AS last, count(*) AS size FROM numbered GROUP BY ALL),
 solid AS (SELECT *, max(size) OVER (PARTITION BY rec_id) AS most FROM parts),
-regions AS (SELECT rec_id, min(first) AS first, max(last) AS last FROM solid WHERE size >= 12 OR size = most GROUP BY rec_id)""",
+regions AS (SELECT rec_id, min(first) AS first, max(last) AS last FROM solid WHERE size >= 12 OR size = most GROUP BY rec_id)"""
+
+
+@query(
+    """SELECT rec_id, min(frame)::INT AS first, max(frame)::INT AS last, bool_or(speech) AS found FROM (
+       SELECT b.rec_id, b.frame, CASE WHEN n < 4 THEN false WHEN peak - floor < 6 THEN floor > -35 ELSE coalesce(b.frame BETWEEN r.first AND r.last, false) END AS speech
+       FROM base b LEFT JOIN regions r USING (rec_id)) WHERE speech GROUP BY rec_id""",
+    _LEVELS,
 )
 def speech_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = frame_jobs.speech_frames(views.levels(spark, sf_dir)).filter("speech")
     return marked.groupBy("rec_id").agg(F.min("frame").cast("int").alias("first"), F.max("frame").cast("int").alias("last"), F.max("found").alias("found"))
 
 
-@query()
+@query(
+    """SELECT rec_id, found AS found_speech, CASE WHEN found THEN greatest(0, a * 160 - pad) ELSE 0 END::INT AS start, CASE WHEN found THEN least(n_samples, least(n_samples, b * 160 + 320) + pad) ELSE n_samples END::INT AS end,
+       CASE WHEN found THEN round_even((least(n_samples, b * 160 + 320) - a * 160) / 16000, 3) ELSE 0.0 END::DOUBLE AS speech_seconds,
+       CASE WHEN found THEN round_even(greatest(0.0, least(60.0, 10 * log10(power) - CASE WHEN len(o) >= 4 THEN o[floor(0.5 * (len(o) - 1))::INT + 1] ELSE floor END)), 1) ELSE 0.0 END::DOUBLE AS snr_db
+       FROM (SELECT rec_id, bool_or(speech) AS found, min(frame) FILTER (speech) AS a, max(frame) FILTER (speech) AS b, avg(pow(10.0, level_db / 10)) FILTER (speech) AS power,
+             coalesce(list_sort(list(level_db) FILTER (NOT speech)), []) AS o, any_value(floor) AS floor, (count(*) - 1) * 160 + 320 AS n_samples, @PAD@ AS pad FROM (
+             SELECT b.*, CASE WHEN n < 4 THEN false WHEN peak - floor < 6 THEN floor > -35 ELSE coalesce(b.frame BETWEEN r.first AND r.last, false) END AS speech FROM base b LEFT JOIN regions r USING (rec_id)) GROUP BY rec_id)""".replace("@PAD@", str(int(frame_jobs.PAD * frame_jobs.SAMPLE_RATE))),
+    _LEVELS,
+)
 def take_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = views.levels(spark, sf_dir)
     lengths = levels.groupBy("rec_id").agg(((F.count("*") - 1) * frame_jobs.HOP + frame_jobs.FRAME).cast("int").alias("n_samples"))
