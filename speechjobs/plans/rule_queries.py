@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from speechjobs import constants as K
 from speechjobs.functions import gates
 from speechjobs.functions.scoring import acoustic_certainty, combine_scores, score_attempts
+from speechjobs.functions.symbols import australian
 from speechjobs.operators import cohorts, evaluation, history
-from speechjobs.operators.lexicon import encode, text_problem, vocabulary
+from speechjobs.operators.lexicon import encode, practice_words, target_range, text_problem, vocabulary
 from speechjobs.plans import views
-from speechjobs.plans.queries import _ATTEMPTS, _HEARD, query
+from speechjobs.plans.queries import _ATTEMPTS, _HEARD, _LEXICON, ORACLE, query
 
 
 def _text(value: str) -> str:
@@ -273,3 +274,35 @@ def encoded_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.attempts(spark, sf_dir)
     coded = encode(a.select("id", "predicted_phonemes"), "predicted_phonemes", vocabulary(a, "target_phonemes"))
     return coded.select("id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query(
+    """SELECT id, array_to_string(list_concat([CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'AE1' ELSE 'AA1' END, 'N'], list_concat(t, CASE WHEN id % 5 < 2 THEN ['IH0', 'K'] ELSE ['AH0', 'T'] END)), ' ') AS form FROM attempts""", _ATTEMPTS
+)
+def australian_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.array(F.lit("IH0"), F.when(F.col("id") % 5 < 2, "K").otherwise("T"))
+    british = F.concat(F.array(F.lit("AA1"), F.lit("N")), "target_phonemes", last)
+    american = F.array(F.when(F.col("id") % 2 == 0, "AE1").otherwise("AA1"), F.lit("N"))
+    word = F.when(F.col("id") % 3 == 0, "aunt").otherwise(F.col("word"))
+    a = views.attempts(spark, sf_dir).withColumns({"british": british, "american": american, "head": word})
+    return a.select("id", F.array_join(australian(F.col("british"), F.col("american"), F.col("head")), " ").alias("form"))
+
+
+@query(
+    """SELECT word, CASE WHEN length(word) < 6 THEN 'easy' ELSE 'hard' END AS difficulty, CASE WHEN length(word) % 2 = 0 THEN upper(word) ELSE reverse(upper(word)) END AS target,
+       length(word) % 2 = 1 AND word <> reverse(word) AS differs, length(word) % 3 = 0 AS recorded FROM lexicon""",
+    _LEXICON,
+)
+def bank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = views.toy_lexicon(spark, sf_dir)
+    n = F.char_length("word")
+    bank = lexicon.select("word", F.col("word").alias("seq"), F.when(n < 6, "easy").otherwise("hard").alias("difficulty"))
+    recordings = lexicon.filter(n % 3 == 0).select("word", F.explode(F.array(F.lit("au"), F.lit("rp"))).alias("accent"))
+    found = practice_words(bank, lexicon, "au", recordings)
+    return found.select("word", "difficulty", F.array_join("target", "").alias("target"), F.col("distinct").alias("differs"), "recorded")
+
+
+@query(f"SELECT doc_id, n_phonemes AS fewest, n_phonemes AS most FROM ({ORACLE['lexicon_phonemes']})")
+def sentence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return target_range(docs, views.toy_lexicon(spark, sf_dir), id_col="doc_id")
