@@ -259,10 +259,15 @@ def _between_groups(shared: DataFrame, groups: DataFrame, own: DataFrame, hashes
     share blocks. Each pair of blocks that can hold a pair of different groups is one piece of work, so a bucket that is
     nearly one group sends its members to the few blocks of the others. Signatures go first; sets follow for the members
     of surviving pairs only. A pair is tested in the first bucket it shares, and not once its groups are connected.
+    Members meet what is known of their bucket or group by a salt as well, one for each BLOCK members of the bucket.
     """
-    member = shared.filter("members > 2").join(groups, "node", "left").select("key", "band", "node", "hub", F.coalesce("component", "node").alias("group"))
-    mixed = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
-    open_ = member.filter("node <> hub").join(mixed, "key", "left_semi")
+    salts = F.ceil(F.col("members") / BLOCK).cast("int")
+    member = shared.filter("members > 2").join(groups, "node", "left").select(
+        "key", "band", "node", "hub", "members", F.coalesce("component", "node").alias("group"), F.pmod(F.xxhash64("node", F.lit("salt")), salts).cast("int").alias("salt"),
+    )
+    bounds = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.first("members").alias("members"))
+    mixed = bounds.filter("low < high").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    open_ = member.filter("node <> hub").join(mixed, ["key", "salt"], "left_semi")
     # blocks of each bucket: first those of the large groups one after the other, then the shared ones
     sizes = open_.groupBy("key", "group").agg(F.count("*").alias("n"))
     large, blocks = F.col("n") >= BLOCK, F.ceil(F.col("n") / BLOCK).cast("int")
@@ -272,7 +277,8 @@ def _between_groups(shared: DataFrame, groups: DataFrame, own: DataFrame, hashes
     places = sizes.join(alone, ["key", "group"], "left").join(totals, "key").select(
         "key", "group", F.coalesce("first", "pure").alias("first"), F.coalesce("blocks", "rest").alias("blocks"), F.col("blocks").isNotNull().alias("alone"), (F.col("pure") + F.col("rest")).alias("all"),
     )
-    dealt = open_.join(places, ["key", "group"]).withColumn("mine", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    salted = open_.select("key", "group", "salt").distinct().join(places, ["key", "group"])
+    dealt = open_.join(salted, ["key", "group", "salt"]).withColumn("mine", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda b: ~F.col("alone") | (b < F.col("first")) | (b >= F.col("first") + F.col("blocks")))
     placed = dealt.withColumn("other", F.explode(met)).select("key", "band", "node", "group", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     work = placed.join(own.select("node", "bands", "signature"), "node")
