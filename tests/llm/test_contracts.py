@@ -12,6 +12,7 @@ from pathlib import Path
 import pytest
 
 from speechjobs.llm import queries
+from test_line_dedup import plain as plain_lines
 from test_operators import LOWER, WORD, linked_components, targets_by_rounds, without_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +126,13 @@ def test_op10(spark, table):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_op13(spark, table):
+    rows, kinds = result(spark, "op13_line_dedup")
+    types(kinds, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    expected = plain_lines([(r.doc_id, r.text) for r in table])
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in rows) == sorted((i, n, d, hashlib.sha256((t or "").encode()).hexdigest()) for (i, _), (n, d, t) in expected.items())
+
+
 def test_the_rest_works_without_the_subpackage(tmp_path):
     """A copy of the repository without the two folders and without the pipeline, and one that keeps the pipeline's file."""
     root = Path(__file__).resolve().parents[2]
