@@ -13,6 +13,7 @@ from speechjobs.llm.mixing import merit_of_length, mix_sources
 from speechjobs.llm.near_dedup import near_duplicates
 from speechjobs.llm.packing import pack_documents
 from speechjobs.llm.sharding import assign_shards
+from speechjobs.llm.spelling import count_words, group_spellings
 from speechjobs.llm.suffix_dedup import digest, remove_repeats
 from speechjobs.llm.topk import exact_top_k
 from speechjobs.llm.url_filters import filter_captures, host_of, url_keys
@@ -126,15 +127,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(count_words(documents(spark, sf_dir), typo_every=97))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = drop_common_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 OP13_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, t.i AS nth, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(parts, generate_series(1, len(parts))) AS t(line, i)),
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(generate_series(1, len(parts))) AS nth FROM split),
+lines AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM numbered),
 common AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper <> doc_id) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
@@ -143,6 +150,6 @@ FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ctw_scores, op2_suffix_array_dedup, op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup, op13_line_dedup)
+    for f in (op1_ctw_scores, op2_suffix_array_dedup, op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup, op12_spelling_variants, op13_line_dedup)
 }
 ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op13_line_dedup": OP13_SQL}

@@ -14,6 +14,8 @@ import pytest
 from speechjobs.llm import queries
 from test_line_dedup import plain as plain_lines
 from test_operators import LOWER, WORD, linked_components, targets_by_rounds, without_repeats
+from test_spelling import plain as plain_spellings
+from test_spelling import plain_counts
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -126,6 +128,12 @@ def test_op10(spark, table):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_op12(spark, table):
+    rows, kinds = result(spark, "op12_spelling_variants")
+    types(kinds, "word string, form string, root string, n bigint, n_near bigint, form_n bigint")
+    assert {r.word: tuple(r)[1:] for r in rows} == plain_spellings(plain_counts([(r.doc_id, r.text) for r in table]))
+
+
 def test_op13(spark, table):
     rows, kinds = result(spark, "op13_line_dedup")
     types(kinds, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
