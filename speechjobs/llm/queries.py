@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechjobs.llm.ctw import score_corpus
 from speechjobs.llm.fingerprints import fingerprint_edits
+from speechjobs.llm.hard_negatives import hard_negatives
 from speechjobs.llm.langid import identify, train
 from speechjobs.llm.line_dedup import drop_common_lines
 from speechjobs.llm.mixing import merit_of_length, mix_sources
@@ -127,6 +128,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, moved)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_dot_product(a.c, v.c)::BIGINT AS score
+  FROM v AS a JOIN v ON a.vec_id <> v.vec_id AND len(a.c) = len(v.c) WHERE a.vec_id % 100 = 0),
+best AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM best JOIN scored USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(count_words(documents(spark, sf_dir), typo_every=97))
 
@@ -150,6 +170,6 @@ FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ctw_scores, op2_suffix_array_dedup, op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup, op12_spelling_variants, op13_line_dedup)
+    for f in (op1_ctw_scores, op2_suffix_array_dedup, op3_document_fingerprints, op4_url_filters, op5_exact_top_k, op6_source_mix, op7_shards, op8_sequence_packing, op9_language_id, op10_minhash_near_dedup, op11_hard_negatives, op12_spelling_variants, op13_line_dedup)
 }
-ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op13_line_dedup": OP13_SQL}
+ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op13_line_dedup": OP13_SQL}

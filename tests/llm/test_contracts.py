@@ -12,6 +12,7 @@ from pathlib import Path
 import pytest
 
 from speechjobs.llm import queries
+from test_hard_negatives import plain as plain_negatives
 from test_line_dedup import plain as plain_lines
 from test_operators import LOWER, WORD, linked_components, targets_by_rounds, without_repeats
 from test_spelling import plain as plain_spellings
@@ -128,6 +129,13 @@ def test_op10(spark, table):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_op11(spark):
+    rows, kinds = result(spark, "op11_hard_negatives")
+    types(kinds, "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
+    vectors = [(r.vec_id, r.embedding, (r.label + 1) % 10 if r.label is not None and r.vec_id % 7 == 0 else r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    assert sorted(map(tuple, rows)) == plain_negatives(vectors, 100)
+
+
 def test_op12(spark, table):
     rows, kinds = result(spark, "op12_spelling_variants")
     types(kinds, "word string, form string, root string, n bigint, n_near bigint, form_n bigint")
