@@ -15,6 +15,8 @@ BROADCAST_SOURCES = 50_000
 SALTS = 32
 #: Merits are told apart down to this part of a doubling, so that a source has few classes of merit.
 MERIT_STEPS = 8
+#: Rows that are equal in all and numbered by one task.
+EQUAL_ROWS = 100_000
 
 
 def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], name: str) -> DataFrame:
@@ -61,7 +63,8 @@ class Mix:
     """What was decided for each source, so that any row's copies follow from the row and its source's plan alone.
 
     ``plan``: one row for each source: source_size, target, level (copies expected for a merit of 1), and cut and last, which
-    bound the ranks that are taken.
+    bound the ranks that are taken. Rows that are equal in id and text share a rank; where the cut is among them, ``take`` of
+    the ``same`` rows of ``cut_key`` are taken.
     """
 
     def __init__(self, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, merit: Column | None = None, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
@@ -69,13 +72,14 @@ class Mix:
         self.id_col, self.text_col, self.source_col = id_col, text_col, source_col
         self.plan: DataFrame | None = None
         self.sources = self.buckets = 0
+        self.split = False
 
     def facts(self, docs: DataFrame) -> dict[str, Column]:
         """Columns __size, __merit (a power of two to the nearest step; null for none), __key and __u of each row."""
         size = word_count(F.col(self.text_col)) if self.size is None else F.coalesce(self.size.cast("long"), F.lit(0).cast("long"))
         merit = F.lit(1.0) if self.merit is None else self.merit.cast("double")
         step = F.when(merit > 0, F.pow(F.lit(2.0), F.round(F.log2(merit) * MERIT_STEPS) / MERIT_STEPS))
-        key = row_key(docs, self.id_col, self.text_col)
+        key = row_key(docs, self.id_col, self.text_col, F.xxhash64(F.col(self.text_col)))
         uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(self.seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
         return {"__size": size, "__merit": step, "__key": key, "__u": uniform}
 
@@ -132,9 +136,16 @@ class Mix:
         cut = written(base.join(cut.withColumnRenamed("source", "__named"), F.col("source").eqNullSafe(F.col("__named")), "left").drop("__named"), "mix-cuts")
         edge = self.ranked(self.with_plan(rows, cut)).filter("bucket = cut.bucket")
         before = Window.partitionBy("__source").orderBy("rank", "__key").rowsBetween(Window.unboundedPreceding, -1)
-        last = edge.withColumn("before", F.coalesce(F.sum("__size").over(before), F.lit(0))).filter(F.col("before") + F.col("__size") / 2 <= F.col("cut.need"))
-        last = last.groupBy(F.col("__source").alias("__named")).agg(F.max("rank").alias("last"))
-        self.plan = written(cut.join(last, F.col("source").eqNullSafe(F.col("__named")), "left").select("source", "source_size", "target", "level", F.col("cut.bucket").alias("cut"), "last"), "mix-plan")
+        one = edge.groupBy("__source", "rank", "__key").agg(F.count("*").alias("same"), F.max("__size").alias("each"), F.max("cut.need").alias("need"))
+        one = one.withColumn("room", F.col("need") - F.coalesce(F.sum(F.col("same") * F.col("each")).over(before), F.lit(0)))
+        # a row is taken if that comes closer to what is needed
+        fit = F.when(F.col("each") > 0, F.floor(F.col("room") / F.col("each") + 0.5)).otherwise(F.when(F.col("room") >= 0, F.col("same")).otherwise(0))
+        one = one.withColumn("take", F.greatest(F.lit(0), F.least(F.col("same"), fit.cast("long"))))
+        part = F.when((F.col("take") > 0) & (F.col("take") < F.col("same")), F.struct("rank", F.col("__key").alias("cut_key"), "take", "same"))
+        last = one.groupBy(F.col("__source").alias("__named")).agg(F.max(F.when(F.col("take") == F.col("same"), F.col("rank"))).alias("last"), F.min(part).alias("part"))
+        joined = cut.join(last, F.col("source").eqNullSafe(F.col("__named")), "left")
+        self.plan = written(joined.select("source", "source_size", "target", "level", F.col("cut.bucket").alias("cut"), "last", "part.cut_key", "part.take", "part.same"), "mix-plan")
+        self.split = not self.plan.filter("take is not null").isEmpty()
         return self
 
     def copies(self, docs: DataFrame) -> DataFrame:
@@ -143,11 +154,25 @@ class Mix:
         rows = docs.withColumns({"__source": F.col(self.source_col), **self.facts(docs)})
         chosen = self.ranked(self.with_plan(rows, self.plan))
         within = F.coalesce((F.col("bucket") == F.col("cut")) & (F.col("rank") <= F.col("last")), F.lit(False))
+        if self.split:
+            chosen = self._numbered(chosen)
+            within |= F.col("__taken")
         extra = F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | within)
         count = F.least(F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long"), F.lit(self.most).cast("long"))
         found = F.struct(F.col("__size").alias("size"), "source_size", "target", count.alias("copies"), F.col("__key").alias("key"))
         return chosen.withColumn("__mix", found).select(*(F.col(f"`{c}`") for c in docs.columns), "__mix")
 
+    @staticmethod
+    def _numbered(chosen: DataFrame) -> DataFrame:
+        """Adds ``__taken``: of the equal rows among which a source's cut lies, as many as it says. They are numbered in parts of
+        about EQUAL_ROWS, of which each gives its share."""
+        at_cut = F.coalesce((F.col("__key") == F.col("cut_key")) & (F.col("bucket") == F.col("cut")), F.lit(False))
+        spread = chosen.filter(at_cut).withColumn("__part", F.pmod(F.monotonically_increasing_id(), 1 + F.floor(F.col("same") / EQUAL_ROWS)))
+        nth = F.row_number().over(Window.partitionBy("__source", "__key", "__part").orderBy(F.lit(0))).cast("long")
+        share = lambda n: F.floor(n * F.col("take") / F.col("same"))
+        equal = spread.withColumn("__nth", nth).withColumn("__taken", share(F.col("__nth")) > share(F.col("__nth") - 1))
+        return chosen.filter(~at_cut).withColumn("__taken", F.lit(False)).unionByName(equal.drop("__part", "__nth"))
+
 
 def _own(docs: DataFrame, mix: Mix) -> DataFrame:
     """The row as a struct beside the columns that the mix reads, so that no other column's name can clash."""
@@ -178,8 +203,8 @@ def mix_sources(
     Returns one row for each row of ``docs``: id, text's ``size``, ``source``, ``source_size``, ``target``, ``copies``,
     ``key`` (hash of the row's id, or of its text where there is none).
 
-    Defined cases: null text has size 0; null source is a source; rows that repeat an id are taken together; rows
-    without an id are told apart by their text; a merit that is null, 0 or below gives no copy unless its source needs
+    Defined cases: null text has size 0; null source is a source; rows that repeat an id are taken each on its own;
+    rows without an id are told apart by their text, and of rows that are equal in id and text as many are taken as fit; a merit that is null, 0 or below gives no copy unless its source needs
     all of its documents; sizes all 0 give targets 0; an empty table gives an empty table; further columns are
     ignored, whatever their names.
     """

@@ -107,7 +107,7 @@ def pack_documents(
 ) -> DataFrame:
     """Pack all words of all documents into sequences of permitted lengths.
 
-    Documents are dealt by a hash of the row into groups of at most about ``group_words`` words, smaller ones where there
+    Documents are dealt by a hash of the row and its place in the table into groups of at most about ``group_words`` words, smaller ones where there
     are shuffle partitions to spare; each group is packed on its own, so packing is spread over the cluster and a task
     holds one group. A document longer than the longest length is cut into pieces of that length and a rest. Words are
     counted once; texts pass through the packer only for ``with_text``, and groups are then sized by bytes.
@@ -118,7 +118,7 @@ def pack_documents(
     ``bin_start`` are its sequence.
 
     Defined cases: null texts and texts without words have no pieces; rows that repeat an id, or an id and a text, are
-    packed each on its own and share their id; null ids are kept as null; an empty table gives an empty table; further
+    packed each on its own, spread over the groups, and share their id; null ids are kept as null; an empty table gives an empty table; further
     columns are ignored, whatever their names.
     """
     longest = max(lengths)
@@ -131,7 +131,8 @@ def pack_documents(
         total = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BYTES_A_WORD
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = int(max(1, -(-total // group_words), min(tasks, -(-total // min(LEAST_WORDS, group_words)))))
-    dealt = sized.withColumn("pack", F.pmod("key", F.lit(groups)).cast("int"))
+    # with the place in the table, so that rows that repeat, as many as there may be, are spread
+    dealt = sized.withColumn("pack", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.take(np.lexsort((table["n"].to_numpy(), table["key"].to_numpy())))

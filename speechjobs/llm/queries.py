@@ -119,8 +119,8 @@ def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
-    model = train(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"))
+    model = train(docs.filter(~F.col("held_out")))
     return identify(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 

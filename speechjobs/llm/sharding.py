@@ -40,14 +40,18 @@ def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     moved by the count of the parts before, so no task sees a whole shard.
 
     Defined cases: a null id is keyed by its text; rows with the same id share a shard and get slots of their own, in the
-    order of the columns named in ``ties`` (rows equal in these too are told apart by nothing and may swap slots); a null text is allowed; an empty table gives an empty table; columns of the input that are called like the new ones
-    are replaced, others are kept.
+    order of the columns named in ``ties`` (rows equal in these too are told apart by nothing and may swap slots); a null
+    text is allowed; an empty table gives an empty table; columns of the input that are called like the new ones are replaced,
+    all others are kept, whatever their names and types.
     """
+    new = ("shard", "slot", "grown_shard")
     parts = max(1, -(-df.count() // (shards * rows_per_task)))
-    keyed = df.withColumn("__key", row_key(df, id_col, text_col))
-    keyed = keyed.withColumns({"shard": jump_shard(F.col("__key"), shards), "grown_shard": jump_shard(F.col("__key"), shards + 1), "__part": F.pmod(F.xxhash64("__key", F.lit("part")), F.lit(parts)).cast("int")})
-    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("shard", "__part").orderBy("__key", F.col(id_col), *ties)).cast("long"))
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("shard", "__part").agg(F.count("*").alias("__rows")).select("shard", "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    joined = numbered.join(offsets, ["shard", "__part"]).withColumn("slot", F.col("__before") + F.col("__nth") - 1)
-    return joined.select(*[c for c in df.columns if c not in ("shard", "slot", "grown_shard")], "shard", "slot", "grown_shard")
+    # the row as one column, so that its names cannot clash
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_key(df, id_col, text_col).alias("key"))
+    keyed = keyed.withColumns({"shard": jump_shard(F.col("key"), shards), "grown_shard": jump_shard(F.col("key"), shards + 1), "part": F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int")})
+    order = [F.col("row").getField(c) for c in (id_col, *ties)]
+    numbered = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", *order)).cast("long"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy("shard", "part").agg(F.count("*").alias("rows")).select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    joined = numbered.join(offsets, ["shard", "part"]).withColumn("slot", F.col("before") + F.col("nth") - 1)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in new], *new)

@@ -121,6 +121,13 @@ def test_op9(spark, table):
     assert sum(r.lang_pred == known[r.doc_id].lang for r in held) >= 0.95 * len(held)
 
 
+def test_op9_of_a_row_without_an_id(spark, tmp_path):
+    rows = [(None, "one two three four", "en"), (1, "un deux trois quatre", "fr"), (2, "one two three", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.held_out for r in queries.op9_language_id(spark, str(tmp_path)).collect()}
+    assert got == {None: False, 1: remainder(1, 4), 2: remainder(2, 4)}
+
+
 def test_op10(spark, table):
     rows, kinds = result(spark, "op10_minhash_near_dedup")
     types(kinds, "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean")

@@ -109,6 +109,17 @@ def test_jumps_equal_a_plain_walk(spark):
             assert r[f"s{n}"] == last
 
 
+def test_shards_of_columns_with_any_names(spark):
+    df = spark.createDataFrame([(i % 40, f"text {i}") for i in range(90)], "doc_id long, text string")
+    plain = {(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.assign_shards(df, 4, ties=("text",), rows_per_task=5).collect()}
+    names = ("__key", "__before", "key", "before", "part", "nth", "row", "rows", "a.b")
+    odd = df.select("*", *[F.lit(n).alias(n) for n in names], F.lit("replaced").alias("slot"))
+    got = sharding.assign_shards(odd, 4, ties=("text",), rows_per_task=5)
+    assert got.columns == ["doc_id", "text", *names, "shard", "slot", "grown_shard"]
+    for r in got.collect():
+        assert (r.shard, r.slot) == plain[r.doc_id, r.text] and all(r[n] == n for n in names)
+
+
 def test_slots_are_the_same_again(spark):
     rows = [(i % 3, f"text {i}", i) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, size long")
@@ -199,6 +210,19 @@ def test_mixing_equals_plain_pareto_sampling(spark, monkeypatch, many):
     assert {0, 1, 2} == set(expected.values())
 
 
+@pytest.mark.parametrize("text", ["the same words in each row", None])
+def test_mixing_takes_repeats_of_an_id_one_by_one(spark, monkeypatch, text):
+    """All rows of a source have one id; its target is no multiple of their words."""
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 50)
+    rows = [(1, text or words(100, i), "a") for i in range(300)] + [(i, words(100, i), "b") for i in range(1000, 1080)] + [(None, "no id", "c")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, share=0.8, rows_per_task=50)
+    found = got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(found) == 3 and all(abs(r.taken - r.target) <= 7 * r.most for r in found) and all(0 <= r.copies <= 2 for r in got.collect())
+    again = mixing.mix_sources(df.repartition(5), share=0.8, rows_per_task=50).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    assert all(abs({r.source: r.taken for r in found}[r.source] - r.taken) <= 7 * 100 for r in again)
+
+
 def test_mixing_prefers_merit(spark):
     df = spark.createDataFrame([(i, "a b c", "s") for i in range(2000)] + [(i, "d e f", "t") for i in range(2000, 4000)], "doc_id long, text string, source string")
     got = mixing.mix_sources(df, weights=(1, 1), share=0.5, merit=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)).collect()
@@ -357,6 +381,14 @@ def packed_plainly(sizes, lengths):
     return min(plans)[2:]
 
 
+@pytest.mark.parametrize("with_text", [False, True])
+def test_packing_spreads_rows_of_one_id(spark, with_text):
+    df = spark.createDataFrame([(1, "ten words " * 5)] * 400 + [(None, "no id here")] * 100, "doc_id long, text string")
+    got = packing.pack_documents(df, lengths=(16, 64), group_words=400, with_text=with_text).collect()
+    groups = Counter(r.bin.split("-")[0] for r in got)
+    assert sum(r.words for r in got) == 4300 and len(groups) > 5 and max(groups.values()) < 120 and len({r.row_id for r in got}) == 500
+
+
 def test_packing_equals_plain_best_fit():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 60):
