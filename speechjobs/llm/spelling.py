@@ -29,6 +29,8 @@ BEGIN, END = "^", "$"
 SHORTEST, LONGEST = 2, 5
 #: Distinct words of a task, and rows of lists, that are held before they are sent.
 HELD, SENT = 200_000, 100_000
+#: Words of a task that cuts them into grams.
+WORDS = 20_000
 #: Counters for the lengths of lists.
 SLOTS = 1 << 20
 #: Characters that are compared at once.
@@ -145,9 +147,8 @@ def lists_of(word: str, grams: GramDictionary, pairs: GramDictionary) -> set[tup
             for a, b in ((end, 0), (0, len(text) - start)):
                 if a + b > size or (a + b == size and kind == SAME):
                     continue  # the edit would be outside of the word
-                if 2 * (a + b) < size:  # the shorter of the two halves that are left is equal too, or the other
-                    rest = size - a - b
-                    out |= {(size, kind, a + rest // 2, b), (size, kind, a, b + rest - rest // 2)}
+                if 2 * (a + b) < size:  # too little for a list: one half of the word is equal, or the other
+                    out |= {(size, kind, size // 2, 0), (size, kind, 0, size - size // 2)}
                 else:
                     out.add((size, kind, a, b))
     return out
@@ -231,7 +232,7 @@ def near_in_lists(key: np.ndarray, size: np.ndarray, kind: np.ndarray, words: li
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def near_words(words: DataFrame, list_words: int = 4096, most_grams: int = 1 << 17, most_rows: int = 2048, bucket_bytes: int = 4 << 20) -> DataFrame:
+def near_words(words: DataFrame, list_words: int = 4096, most_grams: int = 1 << 17, most_rows: int = 256, bucket_bytes: int = 4 << 20) -> DataFrame:
     """All pairs of distinct words that differ by exactly one character that comes, goes or is replaced, in both directions:
     ``word``, ``n``, ``near``, ``near_n``. ``words`` has distinct ``word`` and ``n`` and is read several times.
 
@@ -258,23 +259,28 @@ def near_words(words: DataFrame, list_words: int = 4096, most_grams: int = 1 <<
         return rows.withColumn("key", F.xxhash64("size", "kind", "a", "b", F.left(text, F.col("a")), F.right(text, F.col("b"))))
 
     slot = F.pmod(F.col("key"), F.lit(SLOTS)).cast("int")
-    rows = written(keyed(words.select("word", "n").mapInArrow(look_up, "size int, kind int, a int, b int, word string, n long")), "lists")
-    total = rows.count()
     rest = F.col("size") - F.col("a") - F.col("b")
-    most = max(most_rows, 4 * total // SLOTS)
+    splits = F.when(F.col("kind") == SAME, rest > 1).otherwise(rest > 0)
+    spread = words.select("word", "n").repartition(max(1, -(-words.count() // WORDS)), "word")
+    rows = written(keyed(spread.mapInArrow(look_up, "size int, kind int, a int, b int, word string, n long")), "lists")
+    kept: list[DataFrame] = []
     while True:
-        splits = F.when(F.col("kind") == SAME, rest > 1).otherwise(rest > 0)
-        crowded = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("rows"), F.max(splits).alias("splits")).filter((F.col("rows") > most) & F.col("splits")).select("slot")
+        most = max(most_rows, 4 * rows.count() // SLOTS)
+        counted = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("rows"), F.max(splits).alias("splits"))
+        # at most a quarter of the slots have over four times the mean
+        crowded = written(counted.filter((F.col("rows") > most) & F.col("splits")).select("slot"), "crowded")
         if crowded.isEmpty():
             break
+        marked = rows.withColumn("slot", slot).join(F.broadcast(crowded.withColumn("crowded", F.lit(True))), "slot", "left").drop("slot")
+        goes = F.coalesce("crowded", F.lit(False)) & splits
+        kept.append(marked.filter(~goes).drop("crowded"))
         # the edit is behind the first half, or before the second; one that adds a character may also be at either end
         half = F.floor((rest + F.col("kind")) / 2).cast("int")
-        marked = rows.withColumn("slot", slot).join(crowded.withColumn("crowded", F.lit(True)), "slot", "left").drop("slot")
-        goes = F.coalesce("crowded", F.lit(False)) & splits
         finer = F.array(F.struct((F.col("a") + half).alias("a"), "b"), F.struct("a", (F.col("b") + rest - half + F.col("kind")).alias("b")))
         split = marked.filter(goes).withColumn("to", F.explode(finer)).select("size", "kind", F.col("to.a").alias("a"), F.col("to.b").alias("b"), "word", "n").distinct()
-        before, rows = rows, written(keyed(split).unionByName(marked.filter(~goes).drop("crowded")), "lists")
-        discard(before)
+        rows = written(keyed(split), "lists")
+    for part in kept:
+        rows = rows.unionByName(part)
     held = rows.agg(F.coalesce(F.sum(4 * F.char_length("word") + 32), F.lit(0))).first()[0]
     buckets = int(max(1, -(-held // bucket_bytes)))
 
@@ -285,7 +291,7 @@ def near_words(words: DataFrame, list_words: int = 4096, most_grams: int = 1 <<
         found = pa.table({"word": table["word"].take(left), "n": table["n"].take(left), "near": table["word"].take(right), "near_n": table["n"].take(right)})
         return found.group_by(found.column_names).aggregate([])
 
-    found = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(merge, "word string, n long, near string, near_n long")
+    found = rows.select("key", "size", "kind", "word", "n").groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(merge, "word string, n long, near string, near_n long")
     return found.repartition("word").distinct()
 
 
