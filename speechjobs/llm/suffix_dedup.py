@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -27,13 +27,13 @@ WORK_BYTES, FLUSH_BYTES = 1 << 20, 8 << 20
 #: Bytes of fragments that are sorted at once; a larger anchor is one piece of work.
 SORT_BYTES = 2 << 20
 REMOVE, COMPARE = 0, 1
-#: Fragments that one anchor may have, about, before its windows go apart; slots of counters for each chunk of text.
-HOT, SLOTS = 8192, 64
+#: Fragments that one anchor may have, about, before its windows go apart; slots of counters for each chunk of text, and in all.
+HOT, SLOTS, MOST_SLOTS = 8192, 64, 1 << 20
 #: Bits of an anchor's hash that choose it, over the place of the anchor: the same for every length of text.
 PLACE_BITS = np.uint64(32)
 #: Columns of what tasks send each other, in this order, one after the other in a binary value. A document is known by
 #: ``id`` and a hash ``tie`` of its text, for ids that repeat.
-DOC = [("id", "i8"), ("tie", "u4"), ("chunk", "i4"), ("start", "u4"), ("n", "u4")]
+DOC = [("id", "i8"), ("tie", "i8"), ("chunk", "i4"), ("start", "u4"), ("n", "u4")]
 FRAGMENT = [*DOC, ("off", "u1"), ("anchor", "u4")]
 
 
@@ -59,6 +59,11 @@ def _split(columns: dict[str, np.ndarray], kinds: list[tuple[str, str]], by: np.
         yield int(by[rows[0]]), _pack(columns, kinds, rows)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id, or without an id, apart."""
+    return F.xxhash64(text)
+
+
 def slot_of(anchor: np.ndarray, slots: int) -> np.ndarray:
     """The counter of each anchor."""
     return ((anchor >> np.uint64(16)) % np.uint64(slots)).astype(np.int64)
@@ -257,11 +262,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     chunks = int(max(1, -(-total // chunk_bytes)))
     last = (1 << 63) - 1
-    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(last))
-    keyed = docs.withColumns({"__id": number, "__tie": tie.bitwiseAND(F.lit((1 << 32) - 1)), "__chunk": F.pmod(F.xxhash64(number, F.when(number == last, tie)), F.lit(chunks)).cast("int")})
-
-    slots = SLOTS * chunks
+    new_types = {"kept": BinaryType(), "kept_text": StringType(), "n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType()}
+    names = [c for c in docs.columns if c not in new_types]
+    others = [F.col(f"`{c}`") for c in names if c != text_col]
+    body = F.col(f"`{text_col}`")
+    tie = text_hash(F.coalesce(body, F.lit("")))
+    number = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last))
+    # the other columns as one, so that their names cannot clash
+    keyed = docs.select(F.struct(*(others or [F.lit(0)])).alias("row"), body.alias("text"), number.alias("id"), tie.alias("tie"))
+    keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("id", F.when(F.col("id") == last, F.col("tie"))), F.lit(chunks)).cast("int"))
+    slots = min(SLOTS * chunks, MOST_SLOTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(slots, np.int64), [], 0
@@ -284,8 +294,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"slot": some, "n": counts[some]})
 
-    text = keyed.select(F.col(text_col).alias("text"), "__id", "__tie", "__chunk")
-    crowded = text.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > hot_fragments).collect()
+    text = keyed.select("text", "id", "tie", "chunk")
+    counted = written(text.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    # where slots have many anchors each, those that stand out; they are a quarter of all at most
+    mean = (counted.agg(F.sum("n")).first()[0] or 0) // slots
+    crowded = counted.filter(F.col("n") > max(hot_fragments, 4 * mean)).collect()
     hot = np.array(sorted(r["slot"] for r in crowded), np.int64)
     # as many more buckets as windows that go apart fill
     buckets = chunks + sum(r["n"] for r in crowded) * (WINDOW - ANCHOR + 1) // (1 << 20)
@@ -307,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held, blocks, size = [], [], 0
         for batch in sliced(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
-            facts = {k: batch[f"__{k}"].to_numpy() for k in ("id", "tie", "chunk")}
+            facts = {k: batch[k].to_numpy() for k in ("id", "tie", "chunk")}
             for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
                 found = fragments([raw[r] for r in rows], hot, slots)
                 if len(found["doc"]):
@@ -336,12 +349,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ask = {k: f[k][rows[several[which] > 1]] for k, _ in FRAGMENT}
             out += [(c, COMPARE, bucket, blob) for c, blob in _split(ask, FRAGMENT, ask["chunk"])]
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["__chunk", "kind", "bucket", "data"])
+        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["chunk", "kind", "bucket", "data"])
 
     def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if asked.num_rows:
-            raw = {(i, t): (x or "").encode("utf-8", "surrogatepass") for i, t, x in zip(*(texts[k].to_pylist() for k in ("__id", "__tie", text_col)), strict=True)}
+            raw = {(i, t): (x or "").encode("utf-8", "surrogatepass") for i, t, x in zip(*(texts[k].to_pylist() for k in ("id", "tie", "text")), strict=True)}
             for bucket, blob in zip(asked["bucket"].to_pylist(), asked["data"].to_pylist(), strict=True):
                 f = _unpack([blob], FRAGMENT)
                 cut = [raw[i, t][s : s + n + WINDOW - 1] for i, t, s, n in zip(*(f[k].tolist() for k in ("id", "tie", "start", "n")), strict=True)]
@@ -372,14 +385,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = repeated_windows({k: v[firsts] for k, v in own.items()}, [texts[r] for r in firsts.tolist()])
                 out += _split(gone, DOC, gone["chunk"])
         columns = list(zip(*out, strict=True)) if out else [[], []]
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["__chunk", "data"])
-
-    new_types = {"kept": BinaryType(), "kept_text": StringType(), "n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType()}
-    names = [c for c in docs.columns if c not in new_types]
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["chunk", "data"])
 
     def cut(texts: pa.Table, removed: pa.Table) -> pa.Table:
         f = _unpack(removed["data"].to_pylist() if removed.num_rows else [], DOC)
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[text_col].to_pylist()]
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts["text"].to_pylist()]
         order = np.lexsort((f["tie"], f["id"]))
         keys = list(zip(f["id"][order].tolist(), f["tie"][order].tolist(), strict=True))
         start, end = f["start"].astype(np.int64)[order], (f["start"].astype(np.int64) + f["n"] + WINDOW - 1)[order]
@@ -387,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for at, key in enumerate(keys):
             spans.setdefault(key, [at, at])[1] = at + 1
         kept, counts, runs = [], [], []
-        for r, key in zip(raw, zip(texts["__id"].to_pylist(), texts["__tie"].to_pylist(), strict=True), strict=True):
+        for r, key in zip(raw, zip(texts["id"].to_pylist(), texts["tie"].to_pylist(), strict=True), strict=True):
             a, b = spans.get(key, (0, 0))
             step = np.zeros(len(r) + 1, np.int64)
             np.add.at(step, start[a:b], 1)
@@ -397,15 +407,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             counts.append(int(covered.sum()))
             runs.append(int((np.diff(covered, prepend=False) & covered).sum()))
         new = {"kept": pa.array(kept, pa.binary()), "kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "n_removed": pa.array(counts, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
-        return pa.table({c: texts[c] for c in names} | new)
+        return pa.table({c: texts[c] for c in ("row", "text")} | new)
 
-    settled = written(text.mapInArrow(find, "at int, kind int, chunk int, data binary").groupBy("at").applyInArrow(settle, "__chunk int, kind int, bucket int, data binary"), "settled")
+    settled = written(text.mapInArrow(find, "at int, kind int, chunk int, data binary").groupBy("at").applyInArrow(settle, "chunk int, kind int, bucket int, data binary"), "settled")
     asked = settled.filter(F.col("kind") == COMPARE)
     # the same columns as for cutting below, so that both read one shuffle of the texts
-    sorted_ = keyed.groupBy("__chunk").cogroup(asked.groupBy("__chunk")).applyInArrow(fetch, "bucket int, data binary, text binary").groupBy("bucket").applyInArrow(sort, "__chunk int, data binary")
-    removed = settled.filter(F.col("kind") == REMOVE).select("__chunk", "data").union(sorted_)
-    schema = StructType([*(docs.schema[c] for c in names), *(StructField(c, t) for c, t in new_types.items())])
-    return keyed.groupBy("__chunk").cogroup(removed.groupBy("__chunk")).applyInArrow(cut, schema)
+    sorted_ = keyed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(fetch, "bucket int, data binary, text binary").groupBy("bucket").applyInArrow(sort, "chunk int, data binary")
+    removed = settled.filter(F.col("kind") == REMOVE).select("chunk", "data").union(sorted_)
+    schema = StructType([keyed.schema["row"], keyed.schema["text"], *(StructField(c, t) for c, t in new_types.items())])
+    done = keyed.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(cut, schema)
+    return done.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in names], *new_types)
 
 
 def _joined(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

@@ -601,6 +601,28 @@ def test_suffix_dedup_of_repeated_rows(spark):
         assert sorted(got, key=repr) == sorted([*expected.items()] * 3, key=repr)
 
 
+def test_suffix_dedup_tells_rows_without_an_id_apart(spark):
+    """Two texts whose hashes share 32 bits, without ids and under one id."""
+    line = words(40, 61)[:111]
+    texts = spark.range(300_000).select(F.concat(F.lit(line), F.lit(" "), F.col("id")).alias("a"), F.concat(F.col("id"), F.lit(" another text of some length "), F.col("id")).alias("b"))
+    low = lambda c: suffix_dedup.text_hash(F.col(c)).bitwiseAND(F.lit((1 << 32) - 1))
+    pair = texts.select("a", low("a").alias("low")).join(texts.select("b", low("b").alias("low")), "low").first()
+    for i in (None, 5):
+        rows = [(1, line), (i, pair.a), (i, pair.b)]
+        got = {r.text: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {line: 0, pair.a: 111, pair.b: 0}
+
+
+def test_suffix_dedup_keeps_columns_of_any_name(spark):
+    names = ("__id", "__tie", "__chunk", "id", "tie", "chunk", "row", "kind", "bucket", "data", "a.b")
+    rows = [(1, words(60, 62)), (2, words(60, 62)[:150]), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = suffix_dedup.remove_repeats(df.select("*", *[F.lit(n).alias(n) for n in names], F.lit("x").alias("n_spans")))
+    assert odd.columns == ["doc_id", "text", *names, "kept", "kept_text", "n_bytes", "n_removed", "n_spans"]
+    got = odd.collect()
+    assert {(r.doc_id, r.text, r.n_removed) for r in got} == {(*rows[0], 0), (*rows[1], 150), (3, None, 0)} and all(r[n] == n for n in names for r in got)
+
+
 def test_suffix_dedup_spreads_a_common_line(spark):
     """A line in many surroundings: no anchor keeps many fragments, and no window is lost."""
     line, longer = words(9, 41)[:40], words(40, 42)[:150]
