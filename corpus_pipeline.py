@@ -78,7 +78,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the proportion 3 : 1 : 2, repeating, at 150 % of all words and at most two copies of a document; longer
     documents are likelier to be taken. Copies are equal rows.
 
-    Defined cases: null texts have size 0; a missing source is a source; rows that repeat an id are taken together, rows
+    Defined cases: null texts have size 0; a missing source is a source; rows that repeat an id are taken each on its own, rows
     without one by their text; an empty table gives an empty table; other columns pass unchanged, whatever their names and types.
     """
     return apply_mix(docs, Mix(merit=merit_of_length()).fit(docs.select("doc_id", "text", "source")))
