@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from speechjobs import constants as K
 from speechjobs.functions.gates import route
 from speechjobs.operators.totals import SCHEMA, load_totals, merge_totals, partial_totals, save_totals
+from speechjobs.sources.runs import RunLog
+from speechjobs.sources.seen import SeenStore
 from speechjobs.sources.shared import discard, written
 
 ADDED, DUPLICATE, OVER_CAP, REFUSED = "added", "duplicate", "over_cap", "refused"
@@ -21,8 +24,9 @@ def digest(take_id):
     return F.substring(F.sha2(F.lower(take_id), 256), 1, 24)
 
 
-def judge(checked: DataFrame, seen: DataFrame, cap: int = K.MAX_TAKES_PER_CONTRIBUTOR) -> DataFrame:
-    """``checked`` with ``digest`` and ``status``: refused, duplicate, over_cap or added.
+def judge(checked: DataFrame, seen: DataFrame | Callable[[DataFrame], DataFrame], cap: int = K.MAX_TAKES_PER_CONTRIBUTOR) -> DataFrame:
+    """``checked`` with ``digest`` and ``status``: refused, duplicate, over_cap or added. ``seen``: the digests counted before, or
+    what gives of some digests those that were.
 
     As when takes are walked one by one in the order of path and position: a valid take whose id was counted before is a
     duplicate; the first of an id counts, unless its contributor already has ``cap`` takes; an id that was over the cap
@@ -37,7 +41,8 @@ def judge(checked: DataFrame, seen: DataFrame, cap: int = K.MAX_TAKES_PER_CONTRI
     # parsing and checking is the dear part and several passes follow: it is done once
     named = written(checked.withColumn("digest", F.when(valid, digest(F.col("id")))), "checked")
     order = F.struct("path", "pos")
-    known = seen.select(F.col("digest").alias("__seen")).distinct()
+    before = seen(named.filter("digest is not null").select("digest")) if callable(seen) else seen
+    known = before.select(F.col("digest").alias("__seen")).distinct()
     marked = named.join(known, F.col("digest") == F.col("__seen"), "left")
     firsts = marked.filter("reason is null and __seen is null").groupBy("digest", "contributor").agg(F.min(order).alias("at"))
     several = firsts.groupBy("digest").agg(F.count("*").alias("people")).agg(F.max("people")).first()[0] or 0
@@ -125,22 +130,32 @@ class Run:
     countries: DataFrame
 
 
+def seen_store(spark: SparkSession, store: str, version: int, fresh: bool) -> SeenStore:
+    """The digests that ``version`` and its forebears counted, back to the last rebuild; a new store for a new start."""
+    starts = sorted(int(p.rsplit("=", 1)[1]) for p in RunLog(spark, store, "digest string").names("seen/from=*"))
+    start = version + 1 if fresh else max((s for s in starts if s <= version), default=version + 1)
+    return SeenStore(spark, f"{store}/seen/from={start}")
+
+
 def ingest(spark: SparkSession, checked: DataFrame, skipped: DataFrame, store: str, feature_set: str, features: int, version: int, dry_run: bool = False, rebuild: bool = False, cap: int = K.MAX_TAKES_PER_CONTRIBUTOR) -> Run:
     """Fold all new, valid takes into the store of the next version.
 
-    The store is a folder of versions, each with totals and seen digests; ``version`` is the one to read (0: none), and
-    version + 1 is written, so nothing is read and written at once. ``rebuild`` ignores what is stored: the result is
+    The store is a folder of versions of totals and of seen digests by run; ``version`` is the one to read (0: none), and
+    version + 1 is written, so nothing is read and written at once. Of the digests only those that this run adds are
+    written, and only the parts that may hold one of its takes are read. ``rebuild`` ignores what is stored: the result is
     exactly the given files. ``dry_run`` writes nothing.
     """
     fresh = rebuild or version == 0
-    seen = spark.createDataFrame([], "digest string") if fresh else spark.read.schema("digest string").parquet(f"{store}/v{version}/seen")
-    judged = judge(checked, seen, cap)
+    seen = seen_store(spark, store, version, fresh)
+    judged = judge(checked, (lambda digests: seen.known(digests, version + 1)), cap)
     routes = routed(judged)
     parts = [partial_totals(routes, features)] + ([] if fresh else [load_totals(spark, f"{store}/v{version}/totals", feature_set)])
     totals = merge_totals(*parts)
     if not dry_run:
         save_totals(totals, f"{store}/v{version + 1}/totals", feature_set)
-        seen.unionByName(judged.filter(F.col("status") == ADDED).select("digest")).write.mode("overwrite").parquet(f"{store}/v{version + 1}/seen")
+        judged = written(judged, "judged")
+        routes = routed(judged)
+        seen.add(judged.filter(F.col("status") == ADDED).select("digest"), version + 1)
         totals = spark.read.schema(f"{SCHEMA}, feature_set string").parquet(f"{store}/v{version + 1}/totals").drop("feature_set")
     added = added_counts(routes)
     return Run(judged, skipped, totals, added, country_summary(totals, added, judged))

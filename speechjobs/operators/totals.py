@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechjobs.operators.cohorts import splits
+from speechjobs.sources.runs import RunLog
 
 SCHEMA = "kind string, key string, count long, total array<double>, outer array<double>"
 
@@ -40,25 +42,42 @@ def partial_totals(vectors: DataFrame, features: int) -> DataFrame:
                 held[1] += own.sum(0)
                 held[2] += own.T @ own
         if state:
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in state], pa.string()), pa.array([k[1] for k in state], pa.string()), pa.array([v[0] for v in state.values()], pa.int64()),
-                pa.array([v[1].tolist() for v in state.values()], pa.list_(pa.float64())), pa.array([v[2].ravel().tolist() for v in state.values()], pa.list_(pa.float64())),
-            ], ["kind", "key", "count", "total", "outer"])
+            yield _as_batch(state)
 
     return vectors.select("kind", "key", F.col("features").cast("array<double>").alias("features")).mapInArrow(fold, SCHEMA)
 
 
+def _as_batch(state: dict[tuple, list]) -> pa.RecordBatch:
+    """Totals by (kind, key) as one batch of SCHEMA; vectors and matrices go as flat buffers, without a Python list."""
+    rows = list(state.values())
+
+    def lists(column: int) -> pa.ListArray:
+        flat = np.concatenate([np.ravel(v[column]) for v in rows])
+        ends = np.cumsum([0, *(np.size(v[column]) for v in rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float64()))
+
+    names = [pa.array([k[i] for k in state], pa.string()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*names, pa.array([v[0] for v in rows], pa.int64()), lists(1), lists(2)], ["kind", "key", "count", "total", "outer"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One row of SCHEMA for the rows of one key."""
+    rows = table.num_rows
+    total, outer = (table[c].combine_chunks().flatten().to_numpy().reshape(rows, -1).sum(0) for c in ("total", "outer"))
+    batch = _as_batch({(table["kind"][0].as_py(), table["key"][0].as_py()): [sum(table["count"].to_pylist()), total, outer]})
+    return pa.Table.from_batches([batch])
+
+
 def merge_totals(*parts: DataFrame) -> DataFrame:
-    """Sum of totals by (kind, key), whatever their order: element by element, by built-in sums."""
-    rows = parts[0].select("kind", "key", "count", "total", "outer")
-    for p in parts[1:]:
-        rows = rows.unionByName(p.select("kind", "key", "count", "total", "outer"))
-    counts = rows.groupBy("kind", "key").agg(F.sum("count").alias("count"))
-    elements = rows.select("kind", "key", F.posexplode(F.concat("total", "outer")).alias("at", "x"), F.size("total").alias("features"))
-    sums = elements.groupBy("kind", "key", "at").agg(F.sum("x").alias("x"), F.max("features").alias("features"))
-    joined = sums.groupBy("kind", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("x"), F.max("features").alias("f"))
-    halves = joined.select("kind", "key", F.slice("x", F.lit(1), F.col("f")).alias("total"), F.slice("x", F.col("f") + 1, F.col("f") * F.col("f")).alias("outer"))
-    return counts.join(halves, ["kind", "key"]).select("kind", "key", "count", "total", "outer")
+    """Sum of totals by (kind, key), whatever their order.
+
+    Whole rows are added as arrays, in two levels: the partial totals of a key meet in as many groups as the root of their
+    tasks' number, then those groups meet. So no task holds more than that many matrices, and nothing is exploded.
+    """
+    rows = reduce(DataFrame.unionByName, [p.select("kind", "key", "count", "total", "outer") for p in parts])
+    groups = max(1, round(rows.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    some = rows.groupBy("kind", "key", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")).applyInArrow(_added, SCHEMA)
+    return some.groupBy("kind", "key").applyInArrow(_added, SCHEMA)
 
 
 def totals_of(vectors: DataFrame, features: int) -> DataFrame:
@@ -72,12 +91,42 @@ def save_totals(totals: DataFrame, path: str, feature_set: str) -> None:
 def load_totals(spark: SparkSession, path: str, feature_set: str) -> DataFrame:
     """Stored totals; refuses a store of another feature set."""
     stored = spark.read.schema(f"{SCHEMA}, feature_set string").parquet(path)
-    others = [r[0] for r in stored.select("feature_set").distinct().collect() if r[0] != feature_set]
-    if others:
-        raise ValueError(f"{path} was built with model {others[0]}; start a new totals store for {feature_set}")
+    _only(stored, feature_set, path)
     return stored.drop("feature_set")
 
 
+class TotalsLog:
+    """Totals that grow by runs or stream batches, each counted exactly once.
+
+    A batch stores only its own totals, under its number: one that is replayed takes its own place. total() adds all
+    batches; compact() makes one of them, so that a look-up reads few.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, feature_set: str):
+        self.runs, self.feature_set = RunLog(spark, path, f"{SCHEMA}, feature_set string"), feature_set
+
+    def add(self, totals: DataFrame, run: int, last: int | None = None) -> None:
+        self.runs.write(totals.withColumn("feature_set", F.lit(self.feature_set)), run, last)
+
+    def total(self, before: int | None = None) -> DataFrame:
+        """Totals of all runs, or of those before ``before``; refuses a log of another feature set."""
+        stored = self.runs.read(before)
+        _only(stored, self.feature_set, self.runs.path)
+        return merge_totals(stored)
+
+    def compact(self) -> None:
+        runs = self.runs.folders()
+        if len(runs) > 1:
+            self.add(self.total(), min(runs)[0], max(r[1] for r in runs))
+            self.runs.drop_replaced()
+
+
+def _only(stored: DataFrame, feature_set: str, path: str) -> None:
+    others = stored.filter(~F.col("feature_set").eqNullSafe(F.lit(feature_set))).select("feature_set").limit(1).collect()
+    if others:
+        raise ValueError(f"{path} was built with model {others[0][0]}; start a new totals store for {feature_set}")
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Linear discriminant: a few hundred keys at most, so it lives in plain arrays."""

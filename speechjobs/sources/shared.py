@@ -31,14 +31,19 @@ def _delete(context: SparkContext, path: str) -> None:
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses, and that goes with what written() wrote."""
+    shared_folder(spark)
+    return f"{_scratch(spark.sparkContext)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     The written files survive the loss of executors, so later jobs never go back further than this. They are deleted by
     release(), by discard() and when the driver ends.
     """
-    shared_folder(df.sparkSession)
-    path = f"{_scratch(df.sparkSession.sparkContext)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

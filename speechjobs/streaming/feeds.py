@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from speechjobs import constants as K
 from speechjobs.functions.gates import route
 from speechjobs.operators.ingest import digest
-from speechjobs.operators.totals import load_totals, merge_totals, partial_totals, save_totals
+from speechjobs.operators.totals import TotalsLog, totals_of
 from speechjobs.sources.exports import check_takes, parse_files
+from speechjobs.sources.seen import SeenStore
+from speechjobs.sources.shared import written
 
 
 def takes_stream(spark: SparkSession, folder: str, app: str, feature_set: str, features: int = K.FEATURES) -> DataFrame:
@@ -31,10 +33,12 @@ def once_within(stream: DataFrame, time: str, delay: str) -> DataFrame:
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["digest"])
 
 
-def once_forever(batch: DataFrame, seen: DataFrame) -> DataFrame:
-    """Each id once, ever: first of the batch, unless it was seen. Exact; the seen table grows and is joined by digest."""
+def once_forever(batch: DataFrame, seen: DataFrame | SeenStore, number: int | None = None) -> DataFrame:
+    """Each id once, ever: the first of the batch, unless it is in ``seen``, or a batch before ``number`` put it there.
+    Exact; of a store only the parts are read whose filters let an id of the batch pass."""
     first = batch.groupBy("digest").agg(F.min(F.struct("path", "pos")).alias("f")).select("digest", F.col("f.path").alias("path"), F.col("f.pos").alias("pos"))
-    return batch.join(first, ["digest", "path", "pos"], "left_semi").join(seen, "digest", "left_anti")
+    known = seen if isinstance(seen, DataFrame) else seen.known(first.select("digest"), number)
+    return batch.join(first, ["digest", "path", "pos"], "left_semi").join(known, "digest", "left_anti")
 
 
 def capped(stream: DataFrame, cap: int = K.MAX_TAKES_PER_CONTRIBUTOR) -> DataFrame:
@@ -101,15 +105,29 @@ def daily_stream(attempts: DataFrame, delay: str = "2 days") -> DataFrame:
     return days.select(F.to_date("window.start").alias("day"), "user_id", F.col("count").alias("attempts"))
 
 
-def fold_batches(store: str, feature_set: str, features: int):
-    """A foreachBatch function that merges each batch of (kind, key, features) into a versioned store, exactly once.
+def fold_batches(store: str, feature_set: str, features: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds each batch of (kind, key, features) to a log of totals, exactly once.
 
-    Batch n writes version n + 1 from version n; a batch that is replayed writes the same version again.
+    Batch n stores its own totals as run n of a TotalsLog, and no other batch's; replayed, it stores the same run again.
     """
 
+    def fold(batch: DataFrame, number: int) -> None:
+        TotalsLog(batch.sparkSession, store, feature_set).add(totals_of(batch, features), number)
+
+    return fold
+
+
+def fold_takes(store: str, feature_set: str, features: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for takes_stream(): each valid id counts once over all batches, and the totals of its
+    route's keys grow by it. A batch that is replayed finds what batches before it stored, and replaces its own."""
+
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        parts = [partial_totals(batch, features)] + ([load_totals(spark, f"{store}/v{number}", feature_set)] if number else [])
-        save_totals(merge_totals(*parts), f"{store}/v{number + 1}", feature_set)
+        seen = SeenStore(spark, f"{store}/seen")
+        new = written(once_forever(written(batch.filter("reason is null"), "batch"), seen, number), "new-takes")
+        routes = new.select(F.col("route.kind").alias("kind"), F.explode("route.keys").alias("key"), "features")
+        # the ids last: a batch that breaks off before them is folded again as a whole
+        TotalsLog(spark, f"{store}/totals", feature_set).add(totals_of(routes, features), number)
+        seen.add(new.select("digest"), number)
 
     return fold

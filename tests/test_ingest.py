@@ -209,7 +209,10 @@ def test_running_totals_are_idempotent(spark, tmp_path):
     fold(df.filter("key = 'A'"), 0)
     fold(df.filter("key <> 'A'"), 1)
     fold(df.filter("key <> 'A'"), 1)
-    assert {r.key: r["count"] for r in totals.load_totals(spark, str(tmp_path / "s" / "v2"), SET).collect()} == dict.fromkeys("ABC", 20)
+    log = totals.TotalsLog(spark, str(tmp_path / "s"), SET)
+    assert {r.key: r["count"] for r in log.total().collect()} == dict.fromkeys("ABC", 20)
+    with pytest.raises(ValueError, match="start a new totals store"):
+        totals.TotalsLog(spark, str(tmp_path / "s"), "m2").total()
 
 
 def test_held_out_check_and_reference(spark):

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from speechjobs.plans.queries import ORACLE, QUERIES
+from speechjobs.plans.queries import ORACLE, QUERIES  # the entry has registered those of the other modules
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
