@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from speechjobs import constants as K
 from speechjobs.functions.symbols import among, same_class, strip_all
+from speechjobs.sources.shared import written
 
 OPS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("ref_index", T.IntegerType()), T.StructField("hyp_index", T.IntegerType())]))
 ALIGNMENT = T.StructType([T.StructField("ops", OPS), *[T.StructField(n, T.IntegerType()) for n in ("hits", "substitutions", "deletions", "insertions")]])
@@ -63,16 +65,42 @@ def align_ops(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([done[k] if k is not None else empty for k in keys], columns=ALIGNMENT.names)
 
 
+#: Distinct pairs that are sent to all tasks; more of them are joined by a hash and a salt.
+PAIRS_SENT, SALTS = 50_000, 16
+
+
+def once_per_pair(df: DataFrame, ref: str, hyp: str, compute: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``df`` with a column ``name`` that depends on two sequence columns alone, worked out once for each distinct pair.
+
+    ``compute`` adds ``name`` to a table of (ref, hyp). Practice material repeats: the dictionary of pairs is written, and
+    joined back. Up to PAIRS_SENT pairs go to all tasks, so that no row of ``df`` is shuffled; more are joined by
+    their hash, with a salt, for one pair may have most of the rows.
+    """
+    pairs = written(compute(df.select(F.col(ref).alias("ref"), F.col(hyp).alias("hyp")).distinct()).select("ref", "hyp", name), "pairs")
+    key = lambda r, h: F.xxhash64(r, h)
+    held = pairs.select(key("ref", "hyp").alias("__k2"), F.col("ref").alias("__r2"), F.col("hyp").alias("__h2"), name)
+    keyed = df.withColumn("__k", key(F.col(ref), F.col(hyp)))
+    same = (F.col("__k") == F.col("__k2")) & F.col(ref).eqNullSafe(F.col("__r2")) & F.col(hyp).eqNullSafe(F.col("__h2"))
+    if pairs.count() <= PAIRS_SENT:
+        return keyed.join(F.broadcast(held), same, "left").select(*df.columns, name)
+    keyed = keyed.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    salted = held.withColumn("__salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.join(salted, same & (F.col("__salt") == F.col("__salted")), "left").select(*df.columns, name)
+
+
 def with_alignment(df: DataFrame, ref: str, hyp: str, name: str = "alignment", stress: bool = False) -> DataFrame:
     """``df`` with the alignment of two phoneme columns, stress ignored unless asked for.
 
-    Practice material repeats: distinct pairs are aligned once and joined back. Null sequences give a null alignment.
+    Distinct pairs are aligned once. Null sequences give a null alignment.
     """
     bare = (lambda c: c) if stress else strip_all
-    keyed = df.withColumns({"__r": bare(F.col(ref)), "__h": bare(F.col(hyp))}).withColumn("__k", F.xxhash64("__r", "__h"))
-    pairs = keyed.select("__k", "__r", "__h").distinct().withColumn(name, align_ops("__r", "__h")).select(F.col("__k").alias("__k2"), F.col("__r").alias("__r2"), F.col("__h").alias("__h2"), name)
-    same = (F.col("__k") == F.col("__k2")) & F.col("__r").eqNullSafe(F.col("__r2")) & F.col("__h").eqNullSafe(F.col("__h2"))
-    return keyed.join(pairs, same, "left").select(*df.columns, name)
+    return once_per_pair(df, ref, hyp, lambda pairs: pairs.withColumn(name, align_ops(bare(F.col("ref")), bare(F.col("hyp")))), name)
+
+
+def counted_pairs(df: DataFrame, keys: tuple[str, ...], ref: str, hyp: str) -> DataFrame:
+    """(keys, ref, hyp, n, alignment): how often each pair comes, combined before it is shuffled, and aligned once."""
+    counts = df.groupBy(*keys, F.col(ref).alias("ref"), F.col(hyp).alias("hyp")).agg(F.count("*").alias("n"))
+    return counts.withColumn("alignment", align_ops(strip_all(F.col("ref")), strip_all(F.col("hyp"))))
 
 
 def exact_share(ops: Column, target: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechjobs import constants as K
-from speechjobs.functions.align import sequence_ratio, with_alignment
-from speechjobs.functions.symbols import among, clarity_tips, edits, stress_of, strip_stress, tip
+from speechjobs.functions.align import align_ops, once_per_pair, sequence_ratio
+from speechjobs.functions.symbols import among, clarity_tips, edits, stress_of, strip_all, strip_stress, tip
 
 #: (low, high) of confidence and of margin.
 RANGES = {True: ((0.60, 0.90), (0.50, 0.90)), False: ((0.82, 0.96), (0.55, 0.80))}
@@ -27,27 +27,58 @@ def combine_scores(alignment: Column, learned: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), 0.6 * learned + 0.4 * alignment, alignment + 3.0))
 
 
-def score_attempts(attempts: DataFrame, phoneme_model: bool = True) -> DataFrame:
-    """Score attempts (target, predicted, confidence, margin; optional native_score, spans, word, recognized_text).
-
-    Adds ``result``: score, wer, per_with_stress, metrics, stress, phoneme_results, errors, feedback, coaching_tips, and
-    unrounded ``per``. Nothing heard gives the empty attempt.
-    """
-    have = set(attempts.columns)
-    col = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
-    df = with_alignment(attempts, "target", "predicted", "__a")
-    target, predicted = F.col("target"), F.col("predicted")
+def _pair_facts(pairs: DataFrame, phoneme_model: bool) -> DataFrame:
+    """Adds ``__f``: all of a score that follows from the target (``ref``) and the heard sounds (``hyp``) alone."""
+    target, predicted = F.col("ref"), F.col("hyp")
+    df = pairs.withColumn("__a", align_ops(strip_all(target), strip_all(predicted)))
     ops = F.col("__a.ops")
-    total = F.greatest(F.size(target), F.lit(1))
     sound = lambda i: strip_stress(F.get(target, i))
     skipped = lambda o: (o["kind"].isin("substitute", "delete") & among(sound(o["ref_index"]), K.UNSCORABLE)) if phoneme_model else F.lit(False)
     count = lambda test: F.size(F.filter(ops, test))
+    total = F.greatest(F.size(target), F.lit(1))
     free = count(skipped)
     subs = count(lambda o: (o["kind"] == "substitute") & ~skipped(o))
     dels = count(lambda o: (o["kind"] == "delete") & ~skipped(o))
-    hits, ins = F.col("__a.hits") + free, F.col("__a.insertions")
-    df = df.withColumns({"__hits": hits, "__subs": subs, "__per": (subs + dels + ins) / total, "__pers": edits(target, predicted, stress=True) / total})
-    accuracy = F.greatest(F.lit(0.0), 1 - F.col("__per"))
+    agrees = lambda o: F.coalesce(stress_of(F.get(target, o["ref_index"])) == stress_of(F.get(predicted, o["hyp_index"])), F.lit(False))
+    stressed = F.filter(ops, lambda o: (o["kind"] == "equal") & stress_of(F.get(target, o["ref_index"])).isNotNull())
+    stress = F.struct(F.size(F.filter(stressed, agrees)).alias("matched"), F.size(stressed).alias("total"))
+    # operations with a target sound stand in its order: one for each sound
+    placed = F.filter(ops, lambda o: o["ref_index"].isNotNull())
+
+    def result(o: Column) -> Column:
+        p = F.get(target, o["ref_index"])
+        heard = F.when(o["hyp_index"].isNotNull(), F.get(predicted, o["hyp_index"]))
+        status = F.when(skipped(o), "unscored").when(o["kind"] == "equal", "correct").when(o["kind"] == "substitute", "error").otherwise("missed")
+        words = F.when(status == "unscored", F.lit(K.UNSCORABLE_TIP)).when(status == "correct", "").when(status == "error", F.concat(F.lit("Heard "), strip_stress(heard), F.lit(" instead."))).otherwise(tip(p))
+        fits = F.when((o["kind"] == "equal") & stress_of(p).isNotNull(), agrees(o))
+        nowhere = F.lit(None).cast("double")
+        return F.struct(p.alias("phoneme"), status.alias("status"), heard.alias("heard"), words.alias("tip"), nowhere.alias("start"), nowhere.alias("end"), fits.alias("stress_match"), o["hyp_index"].alias("hyp_index"))
+
+    wrong = F.filter(ops, lambda o: o["kind"].isin("substitute", "delete") & ~skipped(o))
+    none = F.array().cast("array<string>")
+    errors = F.transform(wrong, lambda o: F.struct(
+        o["kind"].alias("type"), o["ref_index"].alias("index"), F.array(F.get(target, o["ref_index"])).alias("expected"),
+        F.when(o["kind"] == "substitute", F.array(F.get(predicted, o["hyp_index"]))).otherwise(none).alias("heard"), tip(F.get(target, o["ref_index"])).alias("tip")))
+    facts = F.struct(
+        total.alias("total"), (F.col("__a.hits") + free).alias("hits"), subs.alias("subs"), F.col("__a.insertions").alias("ins"), ((subs + dels + F.col("__a.insertions")) / total).alias("per"),
+        (edits(target, predicted, stress=True) / total).alias("pers"), stress.alias("stress"), F.transform(placed, result).alias("sounds"), errors.alias("errors"),
+        F.slice(F.array_distinct(F.transform(errors, lambda e: e["tip"])), 1, 3).alias("tips"), clarity_tips(target).alias("clarity"),
+    )
+    return df.withColumn("__f", facts)
+
+
+def score_attempts(attempts: DataFrame, phoneme_model: bool = True) -> DataFrame:
+    """Score attempts (target, predicted, confidence, margin; optional native_score, spans, word, recognized_text).
+
+    Adds ``result``: score, wer, per_with_stress, metrics, stress, phoneme_results, errors, feedback, coaching_tips, and
+    unrounded ``per``. Nothing heard gives the empty attempt. What follows from the sounds alone is worked out once for
+    each distinct pair of target and heard sounds; rows only weigh in how sure the recogniser was.
+    """
+    have = set(attempts.columns)
+    col = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    df = once_per_pair(attempts, "target", "predicted", lambda pairs: _pair_facts(pairs, phoneme_model), "__f")
+    target = F.col("target")
+    accuracy = F.greatest(F.lit(0.0), 1 - F.col("__f.per"))
     certainty = acoustic_certainty(F.col("confidence"), F.col("margin"), phoneme_model)
     heard_text, word = col("recognized_text", "string"), col("word", "string")
     close = F.coalesce(F.lower(heard_text) == F.lower(word), F.lit(False)) & F.lit(not phoneme_model)
@@ -60,36 +91,28 @@ def score_attempts(attempts: DataFrame, phoneme_model: bool = True) -> DataFrame
         base = 10 * (0.55 * accuracy + 0.15 * match + 0.30 * certainty)
         score = F.when(close & (certainty < 0.92), F.least(base, F.lit(8.4))).otherwise(base)
     df = df.withColumn("__score", F.bround(score, 1))
+    total, hits = F.col("__f.total"), F.col("__f.hits")
     tolerated = F.greatest(F.lit(2), F.floor(total / 2))
     whole = lambda x: F.bround(x, 0).cast("int")
     metrics = F.struct(
-        whole(F.col("__hits") / total * 100).alias("accuracy"), whole((F.col("__hits") + F.col("__subs")) / total * 100).alias("completeness"),
-        whole((0.55 * F.greatest(F.lit(0.0), 1 - F.col("__a.insertions") / tolerated) + 0.45 * certainty) * 100).alias("fluency"),
+        whole(hits / total * 100).alias("accuracy"), whole((hits + F.col("__f.subs")) / total * 100).alias("completeness"),
+        whole((0.55 * F.greatest(F.lit(0.0), 1 - F.col("__f.ins") / tolerated) + 0.45 * certainty) * 100).alias("fluency"),
     )
-    stressed = F.filter(ops, lambda o: (o["kind"] == "equal") & stress_of(F.get(target, o["ref_index"])).isNotNull())
-    agrees = lambda o: F.coalesce(stress_of(F.get(target, o["ref_index"])) == stress_of(F.get(predicted, o["hyp_index"])), F.lit(False))
-    stress = F.struct(F.size(F.filter(stressed, agrees)).alias("matched"), F.size(stressed).alias("total"))
     spans = col("spans", "array<struct<start:double,end:double>>")
 
-    def result(p: Column, i: Column) -> Column:
-        o = F.get(F.filter(ops, lambda x: x["ref_index"] == i), F.lit(0))
-        heard = F.when(o["hyp_index"].isNotNull(), F.get(predicted, o["hyp_index"]))
-        span = F.when(o["hyp_index"].isNotNull(), F.get(spans, o["hyp_index"]))
-        status = F.when(skipped(o), "unscored").when(o["kind"] == "equal", "correct").when(o["kind"] == "substitute", "error").otherwise("missed")
-        words = F.when(status == "unscored", F.lit(K.UNSCORABLE_TIP)).when(status == "correct", "").when(status == "error", F.concat(F.lit("Heard "), strip_stress(heard), F.lit(" instead."))).otherwise(tip(p))
-        fits = F.when((o["kind"] == "equal") & stress_of(p).isNotNull(), agrees(o))
-        return F.struct(p.alias("phoneme"), status.alias("status"), heard.alias("heard"), words.alias("tip"), span["start"].alias("start"), span["end"].alias("end"), fits.alias("stress_match"))
+    def with_span(r: Column) -> Column:
+        span = F.when(r["hyp_index"].isNotNull(), F.get(spans, r["hyp_index"]))
+        return F.struct(*[r[c].alias(c) for c in ("phoneme", "status", "heard", "tip")], span["start"].alias("start"), span["end"].alias("end"), r["stress_match"].alias("stress_match"))
 
-    wrong = F.filter(ops, lambda o: o["kind"].isin("substitute", "delete") & ~skipped(o))
+    errors = F.col("__f.errors")
+    faultless = F.size(errors) == 0
     none = F.array().cast("array<string>")
-    errors = F.transform(wrong, lambda o: F.struct(
-        o["kind"].alias("type"), o["ref_index"].alias("index"), F.array(F.get(target, o["ref_index"])).alias("expected"),
-        F.when(o["kind"] == "substitute", F.array(F.get(predicted, o["hyp_index"]))).otherwise(none).alias("heard"), tip(F.get(target, o["ref_index"])).alias("tip")))
-    df = df.withColumn("__errors", errors)
-    faultless = F.size("__errors") == 0
     feedback = F.when(faultless & (F.col("__score") >= 8.5), K.FEEDBACK["great"]).when(close, F.concat(F.lit(K.FEEDBACK["close"][0]), heard_text, F.lit(K.FEEDBACK["close"][1]))).when(faultless, K.FEEDBACK["clear"]).otherwise(K.FEEDBACK["focus"])
-    tips = F.when(faultless & (F.col("__score") >= 8.5), none).when(close | faultless, clarity_tips(target)).otherwise(F.slice(F.array_distinct(F.transform("__errors", lambda e: e["tip"])), 1, 3))
-    full = F.struct(F.col("__score").alias("score"), F.bround("__per", 2).alias("wer"), F.bround("__pers", 2).alias("per_with_stress"), metrics.alias("metrics"), stress.alias("stress"), F.transform(target, result).alias("phoneme_results"), F.col("__errors").alias("errors"), feedback.alias("feedback"), tips.alias("coaching_tips"), F.col("__per").alias("per"))
+    tips = F.when(faultless & (F.col("__score") >= 8.5), none).when(close | faultless, F.col("__f.clarity")).otherwise(F.col("__f.tips"))
+    full = F.struct(
+        F.col("__score").alias("score"), F.bround("__f.per", 2).alias("wer"), F.bround("__f.pers", 2).alias("per_with_stress"), metrics.alias("metrics"), F.col("__f.stress").alias("stress"),
+        F.transform("__f.sounds", with_span).alias("phoneme_results"), errors.alias("errors"), feedback.alias("feedback"), tips.alias("coaching_tips"), F.col("__f.per").alias("per"),
+    )
     zero, nothing = F.lit(0), F.lit(None).cast("string")
     missed = F.transform(target, lambda p: F.struct(p.alias("phoneme"), F.lit("missed").alias("status"), nothing.alias("heard"), tip(p).alias("tip"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(None).cast("boolean").alias("stress_match")))
     empty = F.struct(F.lit(0.0).alias("score"), F.lit(1.0).alias("wer"), F.lit(1.0).alias("per_with_stress"), F.struct(zero.alias("accuracy"), zero.alias("completeness"), zero.alias("fluency")).alias("metrics"), F.struct(zero.alias("matched"), zero.alias("total")).alias("stress"), missed.alias("phoneme_results"), F.array().cast("array<struct<type:string,index:int,expected:array<string>,heard:array<string>,tip:string>>").alias("errors"), F.lit(K.FEEDBACK["empty"]).alias("feedback"), none.alias("coaching_tips"), F.lit(1.0).alias("per"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechjobs.functions.align import RULES, align_ops, with_alignment, word_owner
+from speechjobs.functions.align import RULES, align_ops, counted_pairs, once_per_pair, with_alignment, word_owner
 from speechjobs.functions.gates import allowed_sounds, heard_no_speech
 from speechjobs.functions.symbols import edits, strip_all
 
@@ -74,14 +74,29 @@ def operations(df: DataFrame, reference: str = "canonical", heard: str = "predic
     return rows.select(*keep, "op", "o.kind", "o.ref_index", F.get("r", F.col("o.ref_index")).alias("expected"), F.get("h", F.col("o.hyp_index")).alias("heard"))
 
 
+def operation_counts(df: DataFrame, keys: tuple[str, ...] = (), reference: str = "canonical", heard: str = "predicted") -> DataFrame:
+    """(keys, kind, expected, heard, n): operations by what they do to which sounds. Pairs are counted first, then each
+    is aligned and taken apart once."""
+    pairs = counted_pairs(df, keys, reference, heard)
+    rows = pairs.select(*keys, "n", strip_all(F.col("ref")).alias("r"), strip_all(F.col("hyp")).alias("h"), F.explode("alignment.ops").alias("o"))
+    sounds = rows.select(*keys, "n", "o.kind", F.get("r", F.col("o.ref_index")).alias("expected"), F.get("h", F.col("o.hyp_index")).alias("heard"))
+    return sounds.groupBy(*keys, "kind", "expected", "heard").agg(F.sum("n").alias("n"))
+
+
+def _weight(ops: DataFrame) -> Column:
+    """Rows stand for themselves, or for ``n`` of their kind."""
+    return F.col("n") if "n" in ops.columns else F.lit(1)
+
+
 def confusions(ops: DataFrame, most: int = 15) -> DataFrame:
-    """The most frequent substitutions; ties by the two sounds."""
-    return ops.filter("kind = 'substitute'").groupBy("expected", "heard").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "expected", "heard").limit(most)
+    """The most frequent substitutions of operations() or operation_counts(); ties by the two sounds."""
+    return ops.filter("kind = 'substitute'").groupBy("expected", "heard").agg(F.sum(_weight(ops)).alias("n")).orderBy(F.desc("n"), "expected", "heard").limit(most)
 
 
 def sound_rates(ops: DataFrame) -> DataFrame:
-    """Count and error rate of each target sound, the worst first."""
-    return ops.filter("kind <> 'insert'").groupBy("expected").agg(F.count("*").alias("n"), F.avg((F.col("kind") != "equal").cast("int")).alias("error_rate")).orderBy(F.desc("error_rate"), "expected")
+    """Count and error rate of each target sound in operations() or operation_counts(), the worst first."""
+    n, wrong = F.sum(_weight(ops)), F.sum(F.when(F.col("kind") != "equal", _weight(ops)).otherwise(0))
+    return ops.filter("kind <> 'insert'").groupBy("expected").agg(n.alias("n"), (wrong / n).alias("error_rate")).orderBy(F.desc("error_rate"), "expected")
 
 
 def detection(flags: DataFrame, flagged: str = "flagged", wrong: str = "wrong") -> DataFrame:
@@ -112,18 +127,32 @@ def corpus_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def match_measures(pairs: DataFrame, target: str = "target", heard: str = "heard", rules: dict | None = None) -> DataFrame:
-    """``pairs`` with one column for each rule, percent of target sounds attempted."""
-    aligned = with_alignment(pairs, target, heard, "__a")
-    made = {name: rule(F.col("__a.ops"), F.col(target), F.col(heard)) for name, rule in (rules or RULES).items()}
-    return aligned.withColumns(made).drop("__a")
+    """``pairs`` with one column for each rule, percent of target sounds attempted, worked out once for each distinct pair."""
+    made = rules or RULES
+
+    def measured(distinct: DataFrame) -> DataFrame:
+        aligned = distinct.withColumn("__a", align_ops(strip_all(F.col("ref")), strip_all(F.col("hyp"))))
+        return aligned.withColumn("__m", F.struct(*[rule(F.col("__a.ops"), F.col("ref"), F.col("hyp")).alias(name) for name, rule in made.items()]))
+
+    return once_per_pair(pairs, target, heard, measured, "__m").select(*pairs.columns, *[F.col("__m").getField(name).alias(name) for name in made])
+
+
+def counted_measures(pairs: DataFrame, keys: tuple[str, ...], target: str = "target", heard: str = "heard", rules: dict | None = None) -> DataFrame:
+    """(keys, target, heard, n, one column for each rule): the same of counted pairs, for rates by ``keys``."""
+    counted = counted_pairs(pairs, keys, target, heard)
+    made = {name: rule(F.col("alignment.ops"), F.col("ref"), F.col("hyp")) for name, rule in (rules or RULES).items()}
+    return counted.select(*keys, F.col("ref").alias(target), F.col("hyp").alias(heard), "n", *[m.alias(name) for name, m in made.items()])
 
 
 def pass_rates(measured: DataFrame, keys: tuple[str, ...], rules: tuple[str, ...] = tuple(RULES), thresholds=THRESHOLDS) -> DataFrame:
-    """(keys, rule, threshold, n, kept): share of pairs at or above each threshold, all in one pass."""
-    sums = measured.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg((F.col(r) >= t).cast("int")).alias(f"{r}|{t}") for r in rules for t in thresholds])
+    """(keys, rule, threshold, n, kept): share of the pairs of match_measures() or counted_measures() at or above each
+    threshold, all in one pass."""
+    weight = _weight(measured)
+    kept = lambda r, t: F.sum(F.when(F.col(r) >= t, weight).otherwise(0)) / F.sum(weight)
+    sums = measured.groupBy(*keys).agg(F.sum(weight).alias("__n"), *[kept(r, t).alias(f"{r}|{t}") for r in rules for t in thresholds])
     columns = [f"{r}|{t}" for r in rules for t in thresholds]
-    long = sums.unpivot([*keys, "n"], columns, "name", "kept")
-    return long.select(*keys, F.split("name", r"\|")[0].alias("rule"), F.split("name", r"\|")[1].cast("int").alias("threshold"), "n", "kept")
+    long = sums.unpivot([*keys, "__n"], columns, "name", "kept")
+    return long.select(*keys, F.split("name", r"\|")[0].alias("rule"), F.split("name", r"\|")[1].cast("int").alias("threshold"), F.col("__n").alias("n"), "kept")
 
 
 def choose_rule(rates: DataFrame, group: str, wrong: str, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
@@ -134,7 +163,9 @@ def choose_rule(rates: DataFrame, group: str, wrong: str, rules: tuple[str, ...]
 
 
 def kept_by_length(measured: DataFrame, group: str, rule: str, threshold: int, target: str = "target", lengths=(3, 4, 5)) -> DataFrame:
-    return measured.filter(F.size(target).isin(*lengths)).groupBy(group, F.size(target).alias("length")).agg(F.count("*").alias("n"), F.avg((F.col(rule) >= threshold).cast("int")).alias("kept"))
+    weight = _weight(measured)
+    kept = F.sum(F.when(F.col(rule) >= threshold, weight).otherwise(0)) / F.sum(weight)
+    return measured.filter(F.size(target).isin(*lengths)).groupBy(group, F.size(target).alias("length")).agg(F.sum(weight).alias("n"), kept.alias("kept"))
 
 
 def wrong_targets(pairs: DataFrame, slack: float = 0.25, id_col: str = "id", target: str = "target", heard: str = "heard") -> DataFrame:

@@ -50,13 +50,15 @@ def insights(attempts: DataFrame, keys: tuple[str, ...] = ("accent",)) -> DataFr
     """Attempts and errors of each sound by ``keys``: (keys, sound, attempts, errors, rate, error_rate, position).
 
     Sounds with two attempts or more, sorted in ``position`` by rounded rate, then attempts, then the sound that the
-    newest attempt shows first. Counts are combined before they are shuffled.
+    newest attempt shows first. Attempts of the same sounds and errors are counted before they are taken apart.
     """
-    base = attempts.select(*keys, "id", strip_all(F.col("target_phonemes")).alias("t"), strip_all(F.flatten(F.transform("errors", lambda e: e["expected"]))).alias("e"))
+    rows = attempts.select(*keys, "id", strip_all(F.col("target_phonemes")).alias("t"), strip_all(F.flatten(F.transform("errors", lambda e: e["expected"]))).alias("e"))
+    base = rows.groupBy(*keys, "t", "e").agg(F.count("*").alias("n"), F.max("id").alias("id"))
+    zero = F.lit(0).cast("long")
     order = F.struct((-F.col("id")).alias("id"), F.lit(0).alias("late"), "pos")
-    tried = base.select(*keys, "id", F.posexplode("t").alias("pos", "sound")).select(*keys, "sound", order.alias("seen"), F.lit(1).alias("a"), F.lit(0).alias("e"))
+    tried = base.select(*keys, "id", "n", F.posexplode("t").alias("pos", "sound")).select(*keys, "sound", order.alias("seen"), F.col("n").alias("a"), zero.alias("e"))
     late = F.struct((-F.col("id")).alias("id"), F.lit(1).alias("late"), "pos")
-    wrong = base.select(*keys, "id", F.posexplode("e").alias("pos", "sound")).select(*keys, "sound", late.alias("seen"), F.lit(0).alias("a"), F.lit(1).alias("e"))
+    wrong = base.select(*keys, "id", "n", F.posexplode("e").alias("pos", "sound")).select(*keys, "sound", late.alias("seen"), zero.alias("a"), F.col("n").alias("e"))
     sums = tried.unionByName(wrong).groupBy(*keys, "sound").agg(F.sum("a").alias("attempts"), F.sum("e").alias("errors"), F.min("seen").alias("seen"))
     rate = F.least(F.lit(1.0), F.col("errors") / F.col("attempts"))
     kept = sums.filter(F.col("attempts") >= MIN_ATTEMPTS).withColumns({"rate": rate, "error_rate": F.bround(rate, 2)})

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from speechjobs import constants as K
 from speechjobs.functions.symbols import australian, from_ipa
+from speechjobs.sources.shared import written
+
+#: Copies of a large lexicon, for frequent words.
+SALTS = 16
 
 
 def normalised_words(text: Column) -> Column:
@@ -48,14 +58,63 @@ def entry(accent: Column) -> Column:
     return known.otherwise(F.array(F.raise_error(F.concat(F.lit("unknown accent "), F.coalesce(accent, F.lit("null")))).cast("string")))
 
 
-def text_phonemes(texts: DataFrame, lexicon: DataFrame, text: str = "text", id_col: str = "id", accent: str = "accent") -> DataFrame:
+class PhonemeTable:
+    """The phonemes of words in each accent, as one Arrow list with a block of entries for each accent."""
+
+    def __init__(self, rows: pa.Table):
+        self.words = rows["word"].combine_chunks()
+        blocks = [rows[a].combine_chunks() for a in K.ACCENTS]
+        self.lists = pa.concat_arrays(blocks)
+        self.sizes = pc.fill_null(pc.list_value_length(self.lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.without = self.lists.is_null().to_numpy(zero_copy_only=False)
+
+    def look_up(self, words: pa.ListArray, accents: list[str]) -> tuple[pa.ListArray, pa.Array]:
+        """Phonemes of each text's words, one after the other, and the first word of each text that is not there."""
+        if unknown := set(accents) - set(K.ACCENTS):
+            raise ValueError(f"unknown accent {min(unknown, key=str)}")
+        bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
+        flat = words.flatten()
+        at = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = np.repeat(np.arange(len(words)), np.diff(bounds))
+        missing = np.flatnonzero(at < 0)
+        first = np.full(len(words), -1)
+        first[text[missing][::-1]] = missing[::-1]
+        block = np.array([K.ACCENTS.index(a) for a in accents], np.int64) * len(self.words)
+        entry = at + block[text]
+        lost = first >= 0
+        lost[text[(at >= 0) & self.without[np.maximum(entry, 0)]]] = True
+        use = ~lost[text]
+        size = np.zeros(len(text), np.int64)
+        size[use] = self.sizes[entry[use]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(text, size, len(words)))]).astype(np.int32)
+        values = self.lists.take(pa.array(entry[use])).flatten()
+        phonemes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(lost)) if len(words) else pa.array([], pa.list_(pa.string()))
+        return phonemes, flat.take(pa.array(first, mask=first < 0))
+
+
+def text_phonemes(texts: DataFrame, lexicon: DataFrame, text: str = "text", id_col: str = "id", accent: str = "accent", most_words: int = 200_000) -> DataFrame:
     """(id, phonemes, unknown_word) for each row of (id, text, accent). A text with a word that is not in the lexicon has
     null phonemes, and the first such word is named. Ids must be unique.
 
-    The join is by word; Spark broadcasts the lexicon where its size allows it and else shuffles by word.
+    A lexicon of up to ``most_words`` words goes to all tasks, which look the words of a text up where they are: no word is
+    shuffled. A larger one is joined by word, with a salt, for a few words make up most of any text.
     """
-    words = texts.select(F.col(id_col).alias("id"), F.col(accent).alias("accent"), F.posexplode_outer(normalised_words(F.col(text))).alias("pos", "word"))
-    found = words.join(lexicon.select("word", "ga", "rp", "au", F.lit(True).alias("known")), "word", "left")
+    held = written(lexicon.select("word", "ga", "rp", "au"), "lexicon")
+    words = normalised_words(F.col(text))
+    if held.count() <= most_words:
+        shared = texts.sparkSession.sparkContext.broadcast(PhonemeTable(held.select("word", *[entry(F.lit(a)).alias(a) for a in K.ACCENTS]).toArrow()))
+        id_type = texts.schema[id_col].dataType
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                phonemes, unknown = shared.value.look_up(batch["words"], batch["accent"].to_pylist())
+                yield pa.RecordBatch.from_arrays([batch["id"], phonemes, unknown], [id_col, "phonemes", "unknown_word"])
+
+        schema = T.StructType([T.StructField(id_col, id_type), T.StructField("phonemes", T.ArrayType(T.StringType())), T.StructField("unknown_word", T.StringType())])
+        return texts.select(F.col(id_col).alias("id"), F.col(accent).alias("accent"), words.alias("words")).mapInArrow(spell, schema)
+    each = texts.select(F.col(id_col).alias("id"), F.col(accent).alias("accent"), F.posexplode_outer(words).alias("pos", "word")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salted = held.withColumns({"known": F.lit(True), "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+    found = each.join(salted, ["word", "salt"], "left")
     missing = F.col("word").isNotNull() & F.col("known").isNull()
     parts = F.when(F.col("known"), F.struct("pos", entry(F.col("accent")).alias("p")))
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(parts)), lambda s: s["p"]))

@@ -317,7 +317,7 @@ def symbol_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.attempts(spark, sf_dir).withColumn("variant", F.col("id") % 5)
-    rates = evaluation.pass_rates(evaluation.match_measures(pairs, "target_phonemes", "predicted_phonemes"), ("variant",))
+    rates = evaluation.pass_rates(evaluation.counted_measures(pairs, ("variant",), "target_phonemes", "predicted_phonemes"), ("variant",))
     return rates.filter("rule = 'exact'").withColumn("kept", F.round("kept", 9))
 
 
@@ -327,7 +327,7 @@ def match_rule_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.attempts(spark, sf_dir).select("id", F.col("target_phonemes").alias("target"), F.col("predicted_phonemes").alias("heard"))
     wrong = evaluation.wrong_targets(pairs).filter("target is not null")
     both = pairs.withColumn("group", F.concat(F.lit("variant "), (F.col("id") % 5).cast("string"))).unionByName(wrong.withColumn("group", F.lit("wrong")))
-    return evaluation.choose_rule(evaluation.pass_rates(evaluation.match_measures(both), ("group",)), "group", "wrong")
+    return evaluation.choose_rule(evaluation.pass_rates(evaluation.counted_measures(both, ("group",)), ("group",)), "group", "wrong")
 
 
 _HEARD = """
@@ -448,7 +448,7 @@ def condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT expected, heard, count(*) AS n FROM (SELECT unnest(e) AS expected, CASE n WHEN 2 THEN 'AH' ELSE 'L' END AS heard FROM wrong WHERE n IN (2, 4)) GROUP BY ALL ORDER BY n DESC, expected, heard LIMIT 15""", _ATTEMPTS
 )
 def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.confusions(evaluation.operations(views.attempts(spark, sf_dir), "target_phonemes", "predicted_phonemes"))
+    return evaluation.confusions(evaluation.operation_counts(views.attempts(spark, sf_dir), (), "target_phonemes", "predicted_phonemes"))
 
 
 @query(
@@ -456,7 +456,7 @@ def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ATTEMPTS,
 )
 def sound_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.sound_rates(evaluation.operations(views.attempts(spark, sf_dir), "target_phonemes", "predicted_phonemes")).withColumn("error_rate", F.round("error_rate", 9))
+    return evaluation.sound_rates(evaluation.operation_counts(views.attempts(spark, sf_dir), (), "target_phonemes", "predicted_phonemes")).withColumn("error_rate", F.round("error_rate", 9))
 
 
 @query(

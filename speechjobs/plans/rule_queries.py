@@ -302,7 +302,10 @@ def bank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "difficulty", F.array_join("target", "").alias("target"), F.col("distinct").alias("differs"), "recorded")
 
 
-@query(f"SELECT doc_id, n_phonemes AS fewest, n_phonemes AS most FROM ({ORACLE['lexicon_phonemes']})")
+@query(f"""SELECT doc_id, n_phonemes AS fewest, (n_phonemes + CASE WHEN n_phonemes IS NOT NULL THEN even END)::INT AS most FROM ({ORACLE['lexicon_phonemes']}) JOIN (
+       SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z'' ]+', ' ', 'g'), ' +'), lambda w: w <> '' AND length(w) % 2 = 0)) AS even FROM documents) USING (doc_id)""")
 def sentence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one more sound in Australian words of even length, so that the accents differ."""
     docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return target_range(docs, views.toy_lexicon(spark, sf_dir), id_col="doc_id")
+    lexicon = views.toy_lexicon(spark, sf_dir).withColumn("au", F.array_append("au", F.lit("R")))
+    return target_range(docs, lexicon, id_col="doc_id")

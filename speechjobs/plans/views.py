@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechjobs import constants as K
-from speechjobs.functions.align import with_alignment
+from speechjobs.functions.align import align_ops, once_per_pair
 from speechjobs.functions.gates import home_accent
-from speechjobs.functions.symbols import table, tip
+from speechjobs.functions.symbols import strip_all, table, tip
 from speechjobs.operators.lexicon import normalised_words
 
 WORDS = {"click": "K L IH1 K", "purchase": "P ER1 CH AH0 S", "signup": "S AY1 N AH2 P", "view": "V Y UW1", "error": "EH1 R ER0"}
@@ -42,11 +42,13 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = with_alignment(attempts(spark, sf_dir), "target_phonemes", "predicted_phonemes", "al")
-    wrong = F.filter("al.ops", lambda o: o["kind"].isin("substitute", "delete"))
-    sound = lambda o: F.get("target_phonemes", o["ref_index"])
-    errors = F.transform(wrong, lambda o: F.struct(o["kind"].alias("type"), o["ref_index"].alias("index"), F.array(sound(o)).alias("expected"), F.array_compact(F.array(F.get("predicted_phonemes", o["hyp_index"]))).alias("heard"), tip(sound(o)).alias("tip")))
-    return a.withColumns({"errors": errors, "wer": F.lit(0.0)}).drop("al")
+    def errors(pairs: DataFrame) -> DataFrame:
+        aligned = pairs.withColumn("al", align_ops(strip_all(F.col("ref")), strip_all(F.col("hyp"))))
+        wrong = F.filter("al.ops", lambda o: o["kind"].isin("substitute", "delete"))
+        sound = lambda o: F.get("ref", o["ref_index"])
+        return aligned.withColumn("errors", F.transform(wrong, lambda o: F.struct(o["kind"].alias("type"), o["ref_index"].alias("index"), F.array(sound(o)).alias("expected"), F.array_compact(F.array(F.get("hyp", o["hyp_index"]))).alias("heard"), tip(sound(o)).alias("tip"))))
+
+    return once_per_pair(attempts(spark, sf_dir), "target_phonemes", "predicted_phonemes", errors, "errors").withColumn("wer", F.lit(0.0))
 
 
 def takes(spark: SparkSession, sf_dir: str) -> DataFrame:

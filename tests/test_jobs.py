@@ -67,6 +67,8 @@ def test_lexicon(spark):
     assert got[1].phonemes == "D AE1 N S R AE1 B AH0 T".split() and got[2].unknown_word == "zzyzx" and got[2].phonemes is None and got[3].phonemes == []
     with pytest.raises(Exception, match="unknown accent"):
         lexicon.text_phonemes(texts.withColumn("accent", F.lit("xx")), lex).collect()
+    joined = {r.id: r for r in lexicon.text_phonemes(texts, lex, most_words=0).collect()}  # as with a lexicon too large to be sent
+    assert all(joined[i].phonemes == got[i].phonemes and joined[i].unknown_word == got[i].unknown_word for i in got)
     assert lexicon.target_range(texts.filter("id = 1"), lex).first()[1:] == (9, 9)
     vocab = lexicon.vocabulary(spark.createDataFrame([(["K", "AE1"],)], "s array<string>"), "s")
     assert [r.ids for r in lexicon.encode(spark.createDataFrame([(["k", "zz"],)], "s array<string>"), "s", vocab).collect()] == [[1, 2]]
