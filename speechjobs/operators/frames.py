@@ -14,6 +14,10 @@ SAMPLE_RATE, FRAME, HOP = 16000, 320, 160
 FLOOR_DB, LOUD_DB, ABOVE_NOISE, BELOW_PEAK, LEAST_RANGE = -80.0, -35.0, 6.0, 32.0, 6.0
 RUN, GAP, GROUP, PAD, CLIP = 4, 35, 12, 0.5, 0.985
 CUTOFF_HZ = 70.0
+#: Samples of a block of the scan; recordings that are filtered at once.
+BLOCK, AT_ONCE = 256, 32
+#: Pieces before one whose state still counts: each fades by a^FRAME at least, so after these by under 1e-30.
+KEPT = 8
 
 
 def collapse(frames: DataFrame, blank: int) -> DataFrame:
@@ -96,28 +100,97 @@ def clipped_share(samples: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(samples, lambda x: F.abs(x) >= CLIP)), F.size(samples)), F.lit(0.0))
 
 
+def decay() -> float:
+    """What a high-pass at CUTOFF_HZ keeps of its state from one sample to the next."""
+    rc = 1 / (2 * np.pi * CUTOFF_HZ)
+    return rc / (rc + 1 / SAMPLE_RATE)
+
+
+def high_pass(samples: list[np.ndarray], carries: np.ndarray) -> list[np.ndarray]:
+    """y[t] = a (y[t-1] + x[t] - x[t-1]) of several recordings at once; ``carries``: y - x before each one's first sample.
+
+    A blocked scan. Within a block the steps are summed with weights a^-t, for all blocks of all recordings together; the state
+    then goes from block to block, again for all recordings together. Blocks are short enough for the weights to stay
+    small, so the result is that of the plain loop but for rounding.
+    """
+    a, sizes = decay(), np.array([len(x) for x in samples])
+    blocks = -(-sizes // BLOCK)
+    steps = np.zeros((len(samples), int(blocks.max(initial=0)), BLOCK))
+    for row, x in zip(steps.reshape(len(samples), -1), samples, strict=True):
+        row[: len(x)] = np.diff(x, prepend=0.0)
+    weights = a ** np.arange(BLOCK)
+    out = np.cumsum(steps / weights, axis=2) * (a * weights)
+    state = np.asarray(carries, float).copy()
+    for k in range(out.shape[1]):
+        out[:, k] += state[:, None] * (a * weights)
+        state = out[:, k, -1].copy()
+    return [row[:n] for row, n in zip(out.reshape(len(samples), -1), sizes.tolist(), strict=True)]
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames of pieces: rec_id, offset (of the piece in its recording), carry, own (samples of the piece itself) and samples
+    (the piece, and what frames that begin in it need of the next)."""
+    for batch in batches:
+        for rows in np.array_split(np.arange(batch.num_rows), -(-batch.num_rows // AT_ONCE)) if batch.num_rows else ():
+            part = batch.slice(int(rows[0]), len(rows))
+            samples = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.float32).astype(float) if x.is_valid else np.zeros(0) for x in part["samples"]]
+            found = high_pass(samples, part["carry"].to_numpy())
+            out: list[list] = [[], [], []]
+            for rec, offset, own, y in zip(part["rec_id"].to_pylist(), part["offset"].to_pylist(), part["own"].to_pylist(), found, strict=True):
+                first = -(-offset // HOP)  # frames that begin in this piece
+                starts = np.arange(first * HOP - offset, min(own, len(y) - FRAME + 1), HOP)
+                if len(starts):
+                    power = np.lib.stride_tricks.sliding_window_view(y.astype(np.float32).astype(float) ** 2, FRAME)[starts].mean(1)
+                    out[0] += [rec] * len(starts)
+                    out[1].append(first + np.arange(len(starts), dtype=np.int32))
+                    out[2].append(np.maximum(FLOOR_DB, 10 * np.log10(np.maximum(power, 1e-300))))
+            if out[0]:
+                yield pa.RecordBatch.from_pydict({"rec_id": out[0], "frame": np.concatenate(out[1]), "level_db": np.concatenate(out[2])})
+
+
+LEVELS = "rec_id string, frame int, level_db double"
+
+
 def frame_levels(recordings: DataFrame) -> DataFrame:
-    """(rec_id, frame, level_db) of (rec_id, samples): energy of 20 ms frames every 10 ms after a 70 Hz high-pass."""
+    """(rec_id, frame, level_db) of (rec_id, samples): energy of 20 ms frames every 10 ms after a 70 Hz high-pass. Null
+    and short recordings have no frames."""
+    whole = F.coalesce(F.size("samples"), F.lit(0)).cast("long")
+    return recordings.select(F.col("rec_id").cast("string").alias("rec_id"), F.lit(0).cast("long").alias("offset"), F.lit(0.0).alias("carry"), whole.alias("own"), "samples").mapInArrow(_levels, LEVELS)
+
+
+def frame_levels_of_pieces(pieces: DataFrame) -> DataFrame:
+    """The same of recordings in pieces, (rec_id, piece, samples), in the order of ``piece``: a recording of any length is
+    spread over tasks.
+
+    Tasks first filter each piece as if nothing came before it. What the filter's state adds is a power of its decay, so
+    the states before all pieces follow from one number a piece. Every piece but a recording's last must have at least FRAME
+    samples, so that the frames that begin in it end in the next.
+    """
+    named = pieces.select(F.col("rec_id").cast("string").alias("rec_id"), "piece", F.col("samples").cast("array<float>").alias("samples"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rc = 1 / (2 * np.pi * CUTOFF_HZ)
-        a = rc / (rc + 1 / SAMPLE_RATE)
+    def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rec, values in zip(batch["rec_id"].to_pylist(), batch["samples"].to_pylist(), strict=True):
-                x = np.asarray(values, np.float32).astype(float)
-                y, last = np.empty(len(x)), 0.0
-                for i, step in enumerate(np.diff(x, prepend=0.0).tolist()):
-                    last = a * (last + step)
-                    y[i] = last
-                y = y.astype(np.float32).astype(float)
-                n = max(0, 1 + (len(x) - FRAME) // HOP)
-                if not n:
-                    continue
-                power = np.lib.stride_tricks.sliding_window_view(y * y, FRAME)[::HOP][:n].mean(1)
-                level = np.maximum(FLOOR_DB, 10 * np.log10(np.maximum(power, 1e-300)))
-                yield pa.RecordBatch.from_pydict({"rec_id": [rec] * n, "frame": np.arange(n, dtype=np.int32), "level_db": level})
-
-    return recordings.select(F.col("rec_id").cast("string").alias("rec_id"), "samples").mapInArrow(measure, "rec_id string, frame int, level_db double")
+            samples = [np.asarray(x.values.to_numpy(zero_copy_only=False), float) if x.is_valid else np.zeros(0) for x in batch["samples"]]
+            found = high_pass(samples, np.zeros(len(samples))) if samples else []
+            adds = [float(y[-1] - x[-1]) if len(x) else 0.0 for x, y in zip(samples, found, strict=True)]
+            yield pa.RecordBatch.from_pydict({"rec_id": batch["rec_id"], "piece": batch["piece"], "n": pa.array([len(x) for x in samples], pa.int64()), "adds": pa.array(adds, pa.float64())})
+
+    kind = named.schema["piece"].dataType.simpleString()
+    facts = named.mapInArrow(respond, f"rec_id string, piece {kind}, n long, adds double")
+    before = Window.partitionBy("rec_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    # state before a piece: what each earlier one added, faded by the samples since its end
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")
+    last = Window.partitionBy("rec_id").orderBy("piece")
+    placed = facts.withColumns({"offset": offset, "is_last": F.lead("piece").over(last).isNull()}).withColumn("end", F.col("offset") + F.col("n"))
+    earlier = F.collect_list(F.struct("end", "adds")).over(before.rowsBetween(-KEPT, -1))
+    faded = lambda s, e: s + e["adds"] * F.pow(F.lit(decay()), F.col("offset") - e["end"])
+    placed = placed.withColumn("carry", F.aggregate(earlier, F.lit(0.0), faded))
+    short = ~F.col("is_last") & (F.col("n") < FRAME)
+    checked = placed.withColumn("offset", F.when(short, F.raise_error(F.lit(f"only the last piece of a recording may have under {FRAME} samples")).cast("long")).otherwise(F.col("offset")))
+    heads = named.select("rec_id", "piece", F.slice("samples", 1, FRAME).alias("head"))
+    following = heads.withColumns({"head": F.lead("head").over(last)}).select("rec_id", "piece", "head")
+    joined = named.join(checked.select("rec_id", "piece", "offset", "carry", F.col("n").alias("own")), ["rec_id", "piece"]).join(following, ["rec_id", "piece"])
+    return joined.select("rec_id", "offset", "carry", "own", F.concat("samples", F.coalesce("head", F.array().cast("array<float>"))).alias("samples")).mapInArrow(_levels, LEVELS)
 
 
 def pool_layers(frames: DataFrame, seconds: int = 50) -> DataFrame:

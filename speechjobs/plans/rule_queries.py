@@ -10,6 +10,7 @@ from speechjobs.functions import gates
 from speechjobs.functions.scoring import acoustic_certainty, combine_scores, score_attempts
 from speechjobs.functions.symbols import australian
 from speechjobs.operators import cohorts, evaluation, history
+from speechjobs.operators.frames import frame_levels_of_pieces
 from speechjobs.operators.lexicon import encode, practice_words, target_range, text_problem, vocabulary
 from speechjobs.plans import views
 from speechjobs.plans.queries import _ATTEMPTS, _HEARD, _LEXICON, ORACLE, query
@@ -309,3 +310,19 @@ def sentence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = views.toy_lexicon(spark, sf_dir).withColumn("au", F.array_append("au", F.lit("R")))
     return target_range(docs, lexicon, id_col="doc_id")
+
+
+@query(
+    """SELECT rec_id::VARCHAR AS rec_id, f::INT AS frame, round(greatest(-80.0, 10 * log10(avg(y * y))), 4) AS level_db FROM (
+       SELECT rec_id, t, (pow(a, t + 1) * sum(d * pow(a, -t)) OVER (PARTITION BY rec_id ORDER BY t))::FLOAT::DOUBLE AS y, n FROM (
+         SELECT rec_id, t, x - coalesce(lag(x) OVER (PARTITION BY rec_id ORDER BY t), 0) AS d, count(*) OVER (PARTITION BY rec_id) AS n, (1 / (2 * pi() * 70)) / (1 / (2 * pi() * 70) + 1 / 16000.0) AS a FROM (
+           SELECT vec_id // 25 AS rec_id, vec_id % 25 * 64 + unnest(generate_series(0, 63)) AS t, unnest(embedding)::DOUBLE AS x FROM embeddings)))
+       , unnest([t // 160, t // 160 - 1]) AS u(f) WHERE f >= 0 AND f * 160 + 320 <= n GROUP BY rec_id, f"""
+)
+def sample_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings, one after the other, as recordings of 1,600 samples in three pieces."""
+    e = views.read(spark, sf_dir, "embeddings")
+    nth = F.col("vec_id") % 25
+    rows = e.groupBy(F.floor(F.col("vec_id") / 25).alias("rec_id"), F.floor(nth / 10).cast("int").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("e"))
+    pieces = rows.select("rec_id", "piece", F.flatten(F.transform("e", lambda x: x["embedding"])).alias("samples"))
+    return frame_levels_of_pieces(pieces).withColumn("level_db", F.round("level_db", 4))

@@ -135,3 +135,38 @@ def test_cohorts(spark):
     assert got["e"].max_steps is None and got["e"].optimizer is None
     votes = spark.createDataFrame([("s", 0, "b"), ("s", 1, "a"), ("s", 2, "a"), ("s", 3, "b")], "speaker string, seq int, prediction string")
     assert cohorts.majority_votes(votes).first().vote == "b"
+
+
+def loop(x):
+    """The filter sample by sample."""
+    a, out, last, before = frames.decay(), [], 0.0, 0.0
+    for v in x:
+        last, before = a * (last + v - before), v
+        out.append(last)
+    return np.array(out)
+
+
+def test_the_blocked_filter_equals_the_loop():
+    rng = np.random.default_rng(2)
+    samples = [rng.normal(size=n) for n in (0, 1, 255, 256, 257, 5000, 40_000)]
+    for x, y in zip(samples, frames.high_pass(samples, np.zeros(len(samples))), strict=True):
+        assert len(x) == len(y) and np.allclose(y, loop(x), rtol=0, atol=1e-9)
+    whole, at = loop(samples[-1]), 12_345
+    rest = frames.high_pass([samples[-1][at:]], np.array([whole[at - 1] - samples[-1][at - 1]]))[0]
+    assert np.allclose(rest, whole[at:], rtol=0, atol=1e-9)
+
+
+def test_pieces_have_the_frames_of_the_whole(spark):
+    rng = np.random.default_rng(3)
+    whole = {name: rng.normal(size=n, scale=0.1).astype(np.float32).astype(float) for name, n in (("a", 7000), ("b", 3333), ("c", 100), ("d", 321))}
+    cuts = {"a": [0, 320, 1000, 1320, 4001, 6999, 7000], "b": [0, 3333], "c": [0, 100], "d": [0, 320, 321]}
+    rows = [(n, k, whole[n][i:j].tolist()) for n, c in cuts.items() for k, (i, j) in enumerate(zip(c, c[1:], strict=False))]
+    read = lambda df: {(r.rec_id, r.frame): r.level_db for r in df.collect()}
+    at_once = read(frames.frame_levels(spark.createDataFrame([(n, x.tolist()) for n, x in whole.items()] + [("e", None), ("f", [])], "rec_id string, samples array<float>")))
+    in_pieces = read(frames.frame_levels_of_pieces(spark.createDataFrame(rows, "rec_id string, piece int, samples array<float>").repartition(5)))
+    assert at_once.keys() == in_pieces.keys() and len(at_once) == 42 + 19 + 1
+    assert all(abs(at_once[k] - in_pieces[k]) < 1e-5 for k in at_once)
+    y = loop(whole["a"]).astype(np.float32).astype(float)
+    assert at_once["a", 7] == pytest.approx(10 * np.log10((y[7 * 160 : 7 * 160 + 320] ** 2).mean()), abs=1e-5)
+    with pytest.raises(Exception, match="only the last piece"):
+        frames.frame_levels_of_pieces(spark.createDataFrame([("a", 0, [0.1] * 10), ("a", 1, [0.1] * 400)], "rec_id string, piece int, samples array<float>")).collect()
