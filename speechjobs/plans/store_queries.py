@@ -79,3 +79,80 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = totals.TotalsLog(spark, store, views.FEATURE_SET)
     log.compact()
     return log.total().select("key", F.col("count").alias("n"), F.posexplode("total").alias("i", "x")).select("key", "i", "n", F.round("x", 6).alias("total"))
+
+
+#: What is wrong with a take, by vec_id % 14, in the order in which it is looked for; the last two are in order.
+FAULTS = (
+    "not a take", "bad take id", "bad contributor id", "bad country", "bad region", "bad labels", "bad target accent", "labels disagree", "made with a different model version", "wrong feature length", "non-finite feature", "feature out of range",
+)
+APP = "speechapp"
+
+
+def _export_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Embeddings as export files of 50 takes, as text on disk: of seven files one is cut short, one is of another app and
+    one of another version; every kind of fault that a take can have occurs; every fifth take has a key for sound."""
+    e = views.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    v, fault = F.col("vec_id"), F.col("vec_id") % 14
+    uuid = lambda n, head: F.concat(F.lpad(F.lower(F.hex(n)), 8, "0"), F.lit(f"-{head}-4000-8000-000000000000"))
+    natural = (v % 3 == 0) & (fault != 6)
+    features = F.transform("embedding", lambda x: x.cast("double"))
+    features = F.when(fault == 9, F.slice(features, 2, views.FEATURES)).when(fault == 11, F.concat(F.array(F.lit(-99.0)), F.slice(features, 2, views.FEATURES))).otherwise(features)
+    # a British accent is the home accent of British takes
+    matches = ~natural & (fault != 6)
+    body = F.struct(
+        F.when(fault == 1, "x").otherwise(uuid(v, "0000")).alias("id"), F.when(fault == 2, "me").otherwise(uuid(v % 11, "c000")).alias("contributor"), F.when(fault == 3, "GBR").otherwise("GB").alias("country"),
+        F.when(fault == 4, "QQ").when(v % 2 == 0, "SCT").alias("region"), natural.alias("natural_voice"), F.when(fault == 7, ~matches).otherwise(matches).alias("matches_home_accent"),
+        F.when(~natural & (fault != 6), "rp").alias("target_accent"), F.when(fault == 8, "m0").otherwise(views.FEATURE_SET).alias("model_version"), features.alias("features"),
+    )
+    plain = F.to_json(body, {"ignoreNullFields": "false"})
+    sound = F.when(v % 5 == 0, F.regexp_replace(plain, "^\\{", '{"wav":"UklGRg==",')).otherwise(plain)
+    take = F.when(fault == 0, "5").when(fault == 5, F.regexp_replace(sound, '"natural_voice":(true|false)', '"natural_voice":"yes"')).when(fault == 10, F.regexp_replace(sound, r'"features":\[[^,\]]*', '"features":[NaN')).otherwise(sound)
+    files = e.select(F.floor(v / 50).alias("file"), "vec_id", take.alias("take")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("vec_id", "take"))).alias("t"))
+    state = F.col("file") % 7
+    head = F.concat(F.lit('{"app":"'), F.when(state == 1, "other").otherwise(APP), F.lit('","kind":"contributions","version":'), F.when(state == 2, "1").otherwise("2"), F.lit(',"exported":"2024-01-01","takes":['))
+    document = F.concat(head, F.array_join(F.transform("t", lambda x: x["take"]), ","), F.when(state == 0, "").otherwise("]}"))
+    folder = new_folder(spark, "exports")
+    files.select("file", document.alias("value")).repartition("file").write.partitionBy("file").text(folder)
+    return folder
+
+
+_EXPORTED = f"""
+exported AS (
+  SELECT vec_id, vec_id // 50 % 7 AS state, {list(FAULTS)}[vec_id % 14 + 1] AS reason, vec_id % 5 = 0 AND vec_id % 14 <> 0 AS holds_audio,
+         CASE WHEN vec_id % 14 < 12 THEN NULL WHEN vec_id % 3 = 0 THEN CASE WHEN vec_id % 2 = 0 THEN 'GB GB-SCT' ELSE 'GB' END ELSE 'GB>rp' END AS route FROM embeddings),
+counted AS (
+  SELECT 'file' AS level, CASE state WHEN 0 THEN 'invalid json' ELSE 'unrecognised file' END AS reason, NULL::BOOLEAN AS holds_audio, NULL::VARCHAR AS route, count(DISTINCT vec_id // 50) AS n FROM exported WHERE state < 3 GROUP BY ALL
+  UNION ALL SELECT 'take', reason, holds_audio, route, count(*) FROM exported WHERE state >= 3 GROUP BY ALL)"""
+
+
+@query("SELECT * FROM counted", _EXPORTED)
+def export_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written, read again and judged: skipped files and refused takes by reason, routes of the others."""
+    takes, skipped = exports.parse_files(exports.read_files(spark, _export_folder(spark, sf_dir), "*.txt"), APP)
+    takes = written(takes, "parsed")
+    judged = exports.audit(exports.check_takes(takes, views.FEATURE_SET, views.FEATURES), takes)
+    per_take = judged.groupBy(F.lit("take").alias("level"), "reason", "holds_audio", F.array_join("route.keys", " ").alias("route")).agg(F.count("*").alias("n"))
+    per_file = skipped.groupBy(F.lit("file").alias("level"), "reason").agg(F.count("*").alias("n"))
+    return per_take.unionByName(per_file, allowMissingColumns=True)
+
+
+@query("SELECT reason, sum(n)::BIGINT AS takes FROM counted WHERE level = 'take' GROUP BY reason", _EXPORTED)
+def streamed_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream, with the same checks."""
+    stream = feeds.takes_stream(spark, _export_folder(spark, sf_dir), APP, views.FEATURE_SET, views.FEATURES, "*.txt")
+    out = new_folder(spark, "streamed")
+    stream.select("path", "pos", "reason").writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, pos int, reason string").parquet(out).groupBy("reason").agg(F.count("*").alias("takes"))
+
+
+@query("SELECT key, count(*) AS takes, round(sum(list_sum(embedding::DOUBLE[])), 4) AS total FROM (SELECT embedding, unnest(string_split(route, ' ')) AS key FROM exported JOIN embeddings USING (vec_id) WHERE state >= 3 AND route IS NOT NULL) GROUP BY key", _EXPORTED)
+def folded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of files folded into a store, each id once; the whole stream then comes again as new batches, and adds
+    nothing."""
+    folder, store = _export_folder(spark, sf_dir), new_folder(spark, "folded")
+    fold = feeds.fold_takes(store, views.FEATURE_SET, views.FEATURES)
+    for first in (0, 1000):
+        stream = feeds.takes_stream(spark, folder, APP, views.FEATURE_SET, views.FEATURES, "*.txt")
+        stream.writeStream.foreachBatch(lambda b, n, first=first: fold(b, first + n)).option("checkpointLocation", new_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    found = totals.TotalsLog(spark, f"{store}/totals", views.FEATURE_SET).total()
+    return found.select("key", F.col("count").alias("takes"), F.round(F.aggregate("total", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))

@@ -16,9 +16,9 @@ NOT_A_NUMBER = '"not a number"'
 AUDIO_KEYS = "(?i)samples|wav|audio|blob|recording"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value) of a JSON file, or of all JSON files below a folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+def read_files(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(path, value) of a JSON file, or of all files below a folder whose name fits ``names``."""
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names)
     return reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 

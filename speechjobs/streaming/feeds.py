@@ -19,9 +19,9 @@ from speechjobs.sources.seen import SeenStore
 from speechjobs.sources.shared import written
 
 
-def takes_stream(spark: SparkSession, folder: str, app: str, feature_set: str, features: int = K.FEATURES) -> DataFrame:
+def takes_stream(spark: SparkSession, folder: str, app: str, feature_set: str, features: int = K.FEATURES, names: str = "*.json") -> DataFrame:
     """Validated, routed takes of export files as they arrive; the same column functions as in batch."""
-    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
     takes, _ = parse_files(files.select(F.col("_metadata.file_path").alias("path"), "value"), app)
     checked = check_takes(takes, feature_set, features)
     where = F.when(F.col("reason").isNull(), route(F.col("country"), F.col("region"), F.col("target_accent"), F.col("natural_voice")))
