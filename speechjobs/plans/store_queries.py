@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechjobs.operators import ingest, totals
 from speechjobs.plans import views
-from speechjobs.plans.queries import _TAKES, _labelled, query
+from speechjobs.plans.queries import _ATTEMPTS, _TAKES, ORACLE, _labelled, query
 from speechjobs.sources import exports
 from speechjobs.sources.shared import new_folder, written
 from speechjobs.streaming import feeds
@@ -156,3 +156,56 @@ def folded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream.writeStream.foreachBatch(lambda b, n, first=first: fold(b, first + n)).option("checkpointLocation", new_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     found = totals.TotalsLog(spark, f"{store}/totals", views.FEATURE_SET).total()
     return found.select("key", F.col("count").alias("takes"), F.round(F.aggregate("total", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _arriving(spark: SparkSession, table: DataFrame, steps: DataFrame, make, schema: str) -> DataFrame:
+    """All that ``make`` of a stream gives over a folder in which the rows of each of four steps arrive in turn; ``steps``:
+    ``table`` with ``step`` 0 to 3. State is carried from run to run by the checkpoint."""
+    folder, out, offsets = (new_folder(spark, name) for name in ("arriving", "out", "offsets"))
+    held = written(steps, "steps")
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        for step in range(4):
+            held.filter(F.col("step") == step).drop("step").write.mode("append").parquet(folder)
+            stream = make(spark.readStream.schema(table.schema).parquet(folder))
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(schema).parquet(out)
+
+
+@query(ORACLE["streaks"])
+def streamed_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that arrive in four steps, in the order of their ids."""
+    a = views.attempts(spark, sf_dir).select("user_id", "id", "score")
+    n = a.agg(F.max("id")).first()[0] + 1
+    return _arriving(spark, a, a.withColumn("step", F.floor(F.col("id") * 4 / n)), feeds.streak_stream, "user_id long, id long, streak int")
+
+
+@query(f"SELECT user_id, day, attempts FROM ({ORACLE['daily_counts']})")
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts in the order of time, but one in seven arrives with the third step, most of these late; an attempt
+    after all others closes their days."""
+    # an instant of UTC, whatever the session's time zone
+    instant = F.expr("timestamp_millis(timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', timestamp))")
+    a = views.attempts(spark, sf_dir).select("user_id", instant.alias("timestamp"), "source")
+    at = F.unix_millis("timestamp")
+    first, last = a.agg(F.min(at), F.max(at)).first()
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.timestamp_millis(F.lit(last + 9 * feeds.DAY_MS)).alias("timestamp"), F.lit("real").alias("source"))
+    steps = a.withColumn("step", F.when(at % 7 == 0, 2).otherwise(F.floor((at - first) * 3 / (last - first + 1)))).unionByName(end.withColumn("step", F.lit(3)))
+    found = _arriving(spark, a, steps, feeds.day_stream, "user_id long, day date, attempts long, late boolean").filter("user_id >= 0")
+    return found.groupBy("user_id", "day").agg(F.sum("attempts").alias("attempts"))
+
+
+@query("SELECT user_id::VARCHAR AS contributor, least(40, count(*)) AS kept FROM attempts GROUP BY user_id", _ATTEMPTS)
+def streamed_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many attempts of each learner are kept, 40 at most, over all steps."""
+    a = views.attempts(spark, sf_dir).select(F.col("user_id").cast("string").alias("contributor"), F.col("id").cast("string").alias("digest"))
+    kept = _arriving(spark, a, a.withColumn("step", F.pmod(F.xxhash64("digest"), F.lit(4))), feeds.capped, "contributor string, digest string")
+    return kept.groupBy("contributor").agg(F.countDistinct("digest").alias("kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +57,13 @@ def capped(stream: DataFrame, cap: int = K.MAX_TAKES_PER_CONTRIBUTOR) -> DataFra
 
 
 class _Streak(StatefulProcessor):
-    """Attempts in a row at or above the pass score, for each learner."""
+    """Attempts in a row at or above the pass score, for each learner; a learner who stays away for ``keep_ms`` is forgotten."""
 
-    def __init__(self, pass_score: float):
-        self.pass_score = pass_score
+    def __init__(self, pass_score: float, keep_ms: int | None):
+        self.pass_score, self.keep_ms = pass_score, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "streak int")
+        self.state = handle.getValueState("streak", "streak int", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("id")
@@ -78,9 +79,52 @@ class _Streak(StatefulProcessor):
         pass
 
 
-def streak_stream(attempts: DataFrame, pass_score: float = 8.0) -> DataFrame:
-    """(user_id, id, streak) of each attempt as it arrives. Needs the RocksDB state store."""
-    return attempts.select("user_id", "id", "score").groupBy("user_id").transformWithStateInPandas(_Streak(pass_score), "user_id long, id long, streak int", "Append", "None")
+def streak_stream(attempts: DataFrame, pass_score: float = 8.0, keep_ms: int | None = None) -> DataFrame:
+    """(user_id, id, streak) of each attempt as it arrives. Needs the RocksDB state store. With ``keep_ms`` the streak of a
+    learner who left is dropped from the state after that time, and begins again at 0; such a stream has timers without end, so it needs a trigger other than availableNow."""
+    mode = "None" if keep_ms is None else "ProcessingTime"
+    return attempts.select("user_id", "id", "score").groupBy("user_id").transformWithStateInPandas(_Streak(pass_score, keep_ms), "user_id long, id long, streak int", "Append", mode)
+
+
+DAY_MS = 86_400_000
+
+
+class _Days(StatefulProcessor):
+    """Attempts of each learner by day of UTC: a day's count when the watermark has passed its end, and late rows by themselves."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day long", "attempts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        day, n = np.unique(pd.concat(list(rows))["at"].to_numpy() // DAY_MS, return_counts=True)
+        late = (day + 1) * DAY_MS <= timerValues.getCurrentWatermarkInMs()
+        for d, k in zip(day[~late].tolist(), n[~late].tolist(), strict=True):
+            if self.days.containsKey((d,)):
+                k += self.days.getValue((d,))[0]
+            else:
+                self.handle.registerTimer((d + 1) * DAY_MS)
+            self.days.updateValue((d,), (k,))
+        yield pd.DataFrame({"user_id": key[0], "day": day[late], "attempts": n[late], "late": True})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        d = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
+        yield pd.DataFrame({"user_id": [key[0]], "day": [d], "attempts": [self.days.getValue((d,))[0]], "late": [False]})
+        self.days.removeKey((d,))
+
+    def close(self) -> None:
+        pass
+
+
+def day_stream(attempts: DataFrame, delay: str = "2 days") -> DataFrame:
+    """(user_id, day, attempts, late): each day of a learner once, when the watermark has passed its end, and for rows that
+    come later than that a correction, marked late, in place of dropping them: the sum over a day is the whole count. State:
+    open days only. Needs the RocksDB state store."""
+    real = attempts.filter(F.col("source") == "real").withWatermark("timestamp", delay)
+    # without the watermarked column itself Spark hands late rows over
+    rows = real.select("user_id", F.unix_millis("timestamp").alias("at"))
+    found = rows.groupBy("user_id").transformWithStateInPandas(_Days(), "user_id long, day long, attempts long, late boolean", "Append", "EventTime")
+    return found.withColumn("day", F.date_from_unix_date(F.col("day").cast("int")))
 
 
 def streak_feed(attempts: DataFrame, pass_score: float = 8.0) -> DataFrame:
