@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechjobs.operators import ingest, totals
+from speechjobs import constants as K
+from speechjobs.functions.scoring import accent_coaching
+from speechjobs.functions.symbols import table
+from speechjobs.operators import history, ingest, totals
+from speechjobs.operators.lexicon import build_lexicon, dictionary_lines
 from speechjobs.plans import views
-from speechjobs.plans.queries import _ATTEMPTS, _TAKES, ORACLE, _labelled, query
+from speechjobs.plans.queries import _ATTEMPTS, _TAKES, ORACLE, _judged, _labelled, query
 from speechjobs.sources import exports
 from speechjobs.sources.shared import new_folder, written
 from speechjobs.streaming import feeds
@@ -209,3 +213,99 @@ def streamed_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.attempts(spark, sf_dir).select(F.col("user_id").cast("string").alias("contributor"), F.col("id").cast("string").alias("digest"))
     kept = _arriving(spark, a, a.withColumn("step", F.pmod(F.xxhash64("digest"), F.lit(4))), feeds.capped, "contributor string, digest string")
     return kept.groupBy("contributor").agg(F.countDistinct("digest").alias("kept"))
+
+
+@query(
+    """SELECT word, count(*) AS added, round(sum(score), 4) AS total FROM attempts WHERE user_id % 5 <> 0 AND (ts, word) NOT IN (SELECT (ts, word) FROM attempts WHERE id % 3 = 0) GROUP BY word
+       UNION ALL SELECT 'rejected files', count(DISTINCT user_id), NULL FROM attempts WHERE user_id % 5 = 0""",
+    _ATTEMPTS,
+)
+def imported_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backup file for each learner, read and added to a history that has every third attempt; in every fifth file the
+    oldest attempt has a text for a score."""
+    a = views.attempts(spark, sf_dir)
+    body = F.struct("word", "accent", "target_phonemes", "predicted_phonemes", F.array().cast("array<string>").alias("errors"), "score", F.lit(0.0).alias("wer"), F.col("timestamp").cast("string").alias("timestamp"), "source")
+    files = a.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json(body).alias("json")))), lambda x: x["json"]), ",").alias("rows"))
+    spoilt = F.when(F.col("user_id") % 5 == 0, F.regexp_replace("rows", r'^(.*?"score":)[0-9.]+', '$1"ten"')).otherwise(F.col("rows"))
+    folder = new_folder(spark, "backups")
+    files.select("user_id", F.concat(F.lit('{"attempts":['), spoilt, F.lit("]}")).alias("value")).repartition("user_id").write.partitionBy("user_id").text(folder)
+    rows, rejected = history.import_backup(spark, folder, a.filter("id % 3 = 0"))
+    added = rows.groupBy("word").agg(F.count("*").alias("added"), F.round(F.sum("score"), 4).alias("total"))
+    return added.unionByName(rejected.agg(F.count("*").alias("added")).withColumn("word", F.lit("rejected files")), allowMissingColumns=True)
+
+
+@query(
+    """SELECT key, takes, contributors, takes >= 5 AS enough_takes, contributors >= 3 AS enough_contributors, takes >= 5 AND coalesce(contributors >= 3, true) AS ready FROM (
+       SELECT key, takes, CASE WHEN key NOT LIKE '%-%' AND key <> 'FR' THEN people END AS contributors FROM (SELECT key, count(*) AS takes FROM routes WHERE kind = 'native' GROUP BY key)
+       LEFT JOIN (SELECT country, count(DISTINCT contributor) AS people FROM routes WHERE kind = 'native' GROUP BY country) ON country = split_part(key, '-', 1))""",
+    _TAKES,
+)
+def place_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places with five takes and, where people are known (not in France), three people."""
+    native = ingest.routed(_judged(spark, sf_dir)).filter("kind = 'native'")
+    people = native.filter("country <> 'FR'").groupBy("country").agg(F.countDistinct("contributor").alias("contributors"))
+    return totals.place_report(native.groupBy("key").agg(F.count("*").alias("count")), people, 3, 5)
+
+
+@query(
+    """SELECT word, accent, license, url, coalesce(nullif(trim(author), ''), 'unknown') AS author FROM (
+       SELECT page_id // 12 AS word, ['ga', 'rp', 'au'][page_id % 3 + 1] AS accent, page_id, url, ['All rights reserved', 'CC BY-SA 4.0', 'cc0', 'GFDL', 'Public domain'][page_id % 5 + 1] AS license, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'Author ' || page_id % 9 END AS author FROM pages)
+       WHERE license NOT IN ('All rights reserved', 'GFDL') QUALIFY row_number() OVER (PARTITION BY word, accent ORDER BY page_id) = 1"""
+)
+def reference_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as candidates of recordings: the first with a free licence for each word and accent."""
+    p = views.read(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    author = F.concat(F.lit('<a href="x">'), F.when(n % 4 == 0, " ").otherwise(F.concat(F.lit("Author "), (n % 9).cast("string"))), F.lit("</a>"))
+    found = p.select(F.floor(n / 12).alias("word"), pick(("ga", "rp", "au"), n % 3).alias("accent"), n.alias("seq"), pick(("All rights reserved", "CC BY-SA 4.0", "cc0", "GFDL", "Public domain"), n % 5).alias("license"), author.alias("author"), "url")
+    return exports.pick_recordings(found, "unknown").select("word", "accent", "license", "url", "author")
+
+
+#: Letters as sounds in IPA and ARPABET, for dictionaries made of words.
+SOUNDS = {
+    "a": ("æ", "AE"), "b": ("b", "B"), "c": ("k", "K"), "d": ("d", "D"), "e": ("ɛ", "EH"), "f": ("f", "F"), "g": ("g", "G"), "h": ("h", "HH"), "i": ("ɪ", "IH"), "j": ("dʒ", "JH"), "k": ("k", "K"), "l": ("l", "L"), "m": ("m", "M"),
+    "n": ("n", "N"), "o": ("ɒ", "AA"), "p": ("p", "P"), "q": ("k", "K"), "r": ("ɹ", "R"), "s": ("s", "S"), "t": ("t", "T"), "u": ("ʊ", "UH"), "v": ("v", "V"), "w": ("w", "W"), "x": ("z", "Z"), "y": ("j", "Y"), "z": ("z", "Z"),
+}
+_SPELLED = f"""
+split_words AS (SELECT DISTINCT unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z'' ]+', ' ', 'g'), ' +'), lambda w: regexp_full_match(w, '[a-z]+'))) AS word FROM benchmark),
+spelled AS (
+  SELECT word, list_transform(string_split(word, ''), lambda l, i: map {{{', '.join(f"'{k}': '{v}'" for k, (_, v) in SOUNDS.items())}}}[l] || CASE WHEN l NOT IN ('a','e','i','o','u') THEN '' WHEN i = length(regexp_extract(word, '^[^aeiou]*')) + 1 THEN '1' ELSE '0' END) AS rp
+  FROM split_words WHERE length(word) % 5 <> 0 AND length(word) % 7 <> 0),
+built AS (
+  SELECT word, rp, list_transform(rp, lambda p: CASE WHEN p IN ('AA0', 'AA1') THEN 'AO' || p[3:] ELSE p END) AS ga,
+         list_transform(rp, lambda p, i: CASE WHEN p = 'AA1' AND rp[i + 1] IN ('N', 'M') AND i + 1 < len(rp) AND len(list_filter(rp, lambda q: starts_with(q, 'AE'))) > 0 AND word NOT IN ({", ".join(f"'{w}'" for w in K.AUSTRALIAN_LONG_A if w.isalpha())}) THEN 'AE1'
+           WHEN p = 'IH0' AND i < len(rp) AND rp[i + 1] NOT IN ('K', 'G', 'NG', 'SH', 'CH', 'JH', 'ZH') AND NOT regexp_matches(rp[i + 1], '[012]$') THEN 'AH0' ELSE p END) AS au FROM spelled)"""
+
+
+@query("SELECT word, array_to_string(ga, ' ') AS ga, array_to_string(rp, ' ') AS rp, CASE WHEN au <> rp THEN array_to_string(au, ' ') END AS au FROM built", _SPELLED)
+def built_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon from two dictionaries made of the words of benchmark: a British one in lines of IPA, with second variants and
+    heads that are no words, and an American one with variants; each lacks some words."""
+    words = views.toy_lexicon(spark, sf_dir).select("word").filter("word rlike '^[a-z]+$'")
+    vowel = F.length(F.regexp_extract("word", "^[^aeiou]*", 0))
+    letters = F.split("word", "(?!^)")
+    ipa, arpabet = ({k: v[i] for k, v in SOUNDS.items()} for i in (0, 1))
+    british = F.array_join(F.transform(letters, lambda c, i: F.concat(F.when(c.isin(*"aeiou") & (i == vowel), "ˈ").otherwise(""), table(ipa)[c])), " ")
+    plain = F.transform(letters, lambda c, i: F.concat(F.when(c == "o", "AO").otherwise(table(arpabet)[c]), F.when(~c.isin(*"aeiou"), "").when(i == vowel, "1").otherwise("0")))
+    n = F.length("word")
+    lines = F.array_compact(F.array(F.when(n % 5 != 0, F.concat(F.upper("word"), F.lit(", "), british)), F.when(n % 2 == 0, F.concat(F.upper("word"), F.lit("(2), z z"))), F.when(n % 3 == 0, F.concat(F.lit("'"), F.col("word"), F.lit(", z")))))
+    # second variants of words without a first one would be first: they have none
+    files = words.filter(n % 5 != 0).groupBy(F.substring("word", 1, 1).alias("letter")).agg(F.array_join(F.flatten(F.collect_list(lines)), "\n").alias("value"))
+    american = words.filter(n % 7 != 0).select("word", F.explode(F.array(F.struct(F.lit(1).alias("variant"), F.array(F.lit("X")).alias("phonemes")), F.struct(F.lit(0).alias("variant"), plain.alias("phonemes")))).alias("p")).select("word", "p.*")
+    found = build_lexicon(american, dictionary_lines(files))
+    return found.select("word", *[F.array_join(c, " ").alias(c) for c in ("ga", "rp", "au")])
+
+
+@query(
+    f"""SELECT id, CASE WHEN accent = 'ga' AND n = 2 AND word IN ('purchase', 'error') THEN '{K.ACCENT_NAMES["ga"]} English keeps the r. Curl your tongue back as the vowel finishes.' END AS tip,
+       least(3, len(list_distinct(e)) + (accent = 'ga' AND n = 2 AND word IN ('purchase', 'error'))::INT)::INT AS tips FROM wrong""",
+    _ATTEMPTS,
+)
+def accent_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coaching of attempts: an accent's own tip first, three in all."""
+    a = views.attempts_with_errors(spark, sf_dir)
+    plain = F.array_distinct(F.transform("errors", lambda e: e["tip"]))
+    tips = accent_coaching(F.col("errors"), plain, F.col("accent"), F.col("target_phonemes"))
+    own = F.filter(tips, lambda t: ~F.array_contains(plain, t))
+    return a.select("id", F.get(own, F.lit(0)).alias("tip"), F.size(tips).alias("tips"))
