@@ -812,4 +812,4 @@ def test_scores(spark, docs, empty):
 
 
 def test_queries_are_registered():
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 14))
