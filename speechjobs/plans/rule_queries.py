@@ -205,13 +205,18 @@ def attempt_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT page_id, CASE WHEN n < 1 THEN 'empty' WHEN n > 8 THEN 'too many words' WHEN length(text) > 60 THEN 'too long' END AS problem FROM (
-       SELECT page_id, text, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z'' ]+', ' ', 'g'), ' +'), lambda w: w <> '')) AS n FROM (
-       SELECT page_id, left(url, 20 + page_id % 60) AS text FROM pages))"""
+    r"""SELECT id, CASE WHEN n < 1 THEN 'empty' WHEN n > 8 THEN 'too many words' WHEN length(text) > 60 THEN 'too long' END AS problem FROM (
+       SELECT id, text, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z'' ]+', ' ', 'g'), ' +'), lambda w: w <> '')) AS n FROM (
+       SELECT 'page ' || page_id AS id, url AS text FROM pages
+       UNION ALL SELECT 'event ' || event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN repeat(event_type, 20) ELSE repeat(event_type || ' ', 12) END FROM events))"""
 )
 def text_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.left("url", (F.lit(20) + F.col("page_id") % 60).cast("int"))
-    return views.read(spark, sf_dir, "pages").select("page_id", text_problem(text).alias("problem"))
+    """Whole addresses of pages, and names, numbers and repeated names of events."""
+    pages = views.read(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("id"), F.col("url").alias("text"))
+    n, name = F.col("event_id") % 4, F.col("event_type")
+    made = F.when(n == 0, name).when(n == 1, F.col("event_id").cast("string")).when(n == 2, F.repeat(name, F.lit(20))).otherwise(F.repeat(F.concat(name, F.lit(" ")), F.lit(12)))
+    events = views.read(spark, sf_dir, "events").select(F.concat(F.lit("event "), "event_id").alias("id"), made.alias("text"))
+    return pages.unionByName(events).select("id", text_problem(F.col("text")).alias("problem"))
 
 
 @query(
