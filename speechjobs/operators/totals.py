@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from speechjobs.operators.cohorts import splits
 from speechjobs.sources.runs import RunLog
+from speechjobs.sources.shared import written
 
 SCHEMA = "kind string, key string, count long, total array<double>, outer array<double>"
 
@@ -127,64 +128,118 @@ def _only(stored: DataFrame, feature_set: str, path: str) -> None:
         raise ValueError(f"{path} was built with model {others[0][0]}; start a new totals store for {feature_set}")
 
 
-@dataclass(frozen=True)
-class Classifier:
-    """Linear discriminant: a few hundred keys at most, so it lives in plain arrays."""
+#: Keys whose means are with the tasks at one time.
+KEYS_AT_ONCE = 4096
 
-    keys: list[str]
-    means: np.ndarray
-    precision: np.ndarray
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        away = x[:, None, :] - self.means[None]
-        return -np.einsum("nkf,fg,nkg->nk", away, self.precision, away)
+@dataclass(frozen=True)
+class Classifier:
+    """Linear discriminant as a table: ``means`` holds a row (key, mean) for each key. ``whiten`` is features by features;
+    with it, distances are plain ones, for its product with itself is the inverse of the pooled covariance."""
+
+    means: DataFrame
+    whiten: np.ndarray
+
+    @property
+    def precision(self) -> np.ndarray:
+        return self.whiten.T @ self.whiten
+
+    def blocks(self, size: int = KEYS_AT_ONCE) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Keys in order and their whitened means, at most ``size`` at a time."""
+        rest = self.means
+        while rows := rest.sort("key").limit(size).collect():
+            yield [r["key"] for r in rows], np.array([r["mean"] for r in rows]) @ self.whiten.T
+            if len(rows) < size:
+                return
+            rest = self.means.filter(F.col("key") > rows[-1]["key"])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scatter of vectors about the means of their keys: one row of SCHEMA a task, with the number of keys as its total."""
+    state = [0, np.zeros(1), None]
+    for batch in batches:
+        for n, total, outer in zip(*(batch[c] for c in ("count", "total", "outer")), strict=True):
+            s = total.values.to_numpy()
+            scatter = outer.values.to_numpy().reshape(len(s), len(s)) - np.outer(s, s) / n.as_py()
+            state = [state[0] + n.as_py(), state[1] + 1, scatter if state[2] is None else state[2] + scatter]
+    if state[0]:
+        yield _as_batch({("within", ""): state})
 
 
 def fit_classifier(totals: DataFrame, min_count: int = 1) -> Classifier | None:
-    """Classifier of the keys of ``totals`` with at least ``min_count`` vectors; None for fewer than two.
+    """Classifier of the keys of ``totals`` (of one kind) with at least ``min_count`` vectors; None for fewer than two.
 
-    Only the totals rows come to the driver: one for each key, of a size that the features fix.
+    The totals of each key become its scatter in a task, and scatters are added in two levels: one matrix comes to the
+    driver, whatever the number of keys. The means stay a table. Rows without a key are no class.
     """
-    rows = sorted(totals.filter(F.col("count") >= max(min_count, 1)).select("key", "count", "total", "outer").collect())
-    if len(rows) < 2:
+    classes = totals.filter((F.col("count") >= max(min_count, 1)) & F.col("key").isNotNull()).select("kind", "key", "count", "total", "outer")
+    classes = written(classes, "classes")
+    pooled = merge_totals(classes.mapInArrow(_within, SCHEMA)).first()
+    if pooled is None or pooled["total"][0] < 2:
         return None
-    counts = np.array([r["count"] for r in rows], float)
-    sums = np.array([r["total"] for r in rows])
-    f = sums.shape[1]
-    means = sums / counts[:, None]
-    within = sum(np.array(r["outer"]).reshape(f, f) for r in rows) - (sums.T @ means)
-    within = within / max(counts.sum() - len(rows), 1)
+    f = round(len(pooled["outer"]) ** 0.5)
+    within = np.array(pooled["outer"]).reshape(f, f) / max(pooled["count"] - pooled["total"][0], 1)
     within = within + np.eye(f) * (1e-3 * np.trace(within) / f)
-    return Classifier([r["key"] for r in rows], means, np.linalg.inv(within))
-
+    means = classes.select("key", F.transform("total", lambda x: x / F.col("count")).alias("mean"))
+    return Classifier(means, np.linalg.inv(np.linalg.cholesky(within)))
 
-def classify(vectors: DataFrame, model: Classifier, column: str = "features", name: str = "prediction") -> DataFrame:
-    """``vectors`` with the key of the nearest mean; ties go to the first key."""
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StringType())
-    def nearest(x: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.keys[i] for i in m.scores(np.stack(x.to_numpy()).astype(float)).argmax(1)] if len(x) else [], dtype=object)
+def classify(vectors: DataFrame, model: Classifier, column: str = "features", name: str = "prediction", keys_at_once: int = KEYS_AT_ONCE) -> DataFrame:
+    """``vectors`` with the key of the nearest mean; ties go to the first key, a null vector has a null key.
 
-    return vectors.withColumn(name, nearest(F.col(column).cast("array<double>")))
+    The means go to the tasks in blocks of ``keys_at_once``, each of which betters the nearest so far; a plan has at most
+    eight blocks, then the rows are written.
+    """
+    found = vectors
+    for nth, (keys, centres) in enumerate(model.blocks(keys_at_once)):
+        if nth and nth % 8 == 0:
+            found = written(found, "nearest")
+        new = _nearest(vectors.sparkSession, keys, centres, model.whiten)(F.col(column).cast("array<double>"))
+        if nth:
+            found = found.withColumn(name, F.struct(F.col(name).alias("old"), new.alias("new")))
+            new = F.when(F.col(name).new.distance < F.col(name).old.distance, F.col(name).new).otherwise(F.col(name).old)
+        found = found.withColumn(name, new)
+    return found.withColumn(name, F.col(name).key)
+
+
+def _nearest(spark: SparkSession, keys: list[str], centres: np.ndarray, whiten: np.ndarray):
+    shared = spark.sparkContext.broadcast((keys, centres, whiten))
+
+    @F.pandas_udf("key string, distance double")
+    def nearest(x: pd.Series) -> pd.DataFrame:
+        keys, centres, whiten = shared.value
+        found = pd.DataFrame({"key": pd.Series([None] * len(x), dtype=object), "distance": pd.Series([None] * len(x), dtype="Float64")})
+        there = np.flatnonzero(x.notna().to_numpy())
+        for rows in np.array_split(there, range(1024, len(there), 1024)):  # rows by keys in memory
+            if len(rows):
+                turned = np.stack(x.iloc[rows].to_numpy()) @ whiten.T
+                far = ((turned**2).sum(1)[:, None] - 2 * turned @ centres.T) + (centres**2).sum(1)
+                best = far.argmin(1)
+                found.iloc[rows, 0] = [keys[i] for i in best]
+                found.iloc[rows, 1] = far[np.arange(len(rows)), best]
+        return found
+
+    return nearest
 
 
 def mean_distances(totals: DataFrame, model: Classifier, features: int) -> DataFrame:
     """(kind, key, count, accent, distance): the mean squared distance of each group from each of the model's means, from
     totals alone; NaN for an empty group."""
-    shared = totals.sparkSession.sparkContext.broadcast(model)
+    spark = totals.sparkSession
+    return reduce(DataFrame.unionByName, [_distances(totals, spark.sparkContext.broadcast((*block, model.whiten)), features) for block in model.blocks()])
+
 
+def _distances(totals: DataFrame, shared, features: int) -> DataFrame:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        keys, centres, whiten = shared.value
         for pdf in batches:
-            rows = []
+            parts = []
             for kind, key, count, total, outer in zip(pdf["kind"], pdf["key"], pdf["count"], pdf["total"], pdf["outer"], strict=True):
-                x, xx = np.asarray(total), np.asarray(outer).reshape(features, features)
-                for accent, c in zip(m.keys, m.means, strict=True):
-                    far = (np.sum(m.precision * xx) - 2 * c @ m.precision @ x) / count + c @ m.precision @ c if count else float("nan")
-                    rows.append((kind, key, count, accent, far))
-            yield pd.DataFrame(rows, columns=["kind", "key", "count", "accent", "distance"])
+                x, xx = whiten @ np.asarray(total), np.asarray(outer).reshape(features, features)
+                far = (np.sum((whiten @ xx) * whiten) - 2 * centres @ x) / count + (centres**2).sum(1) if count else np.full(len(keys), np.nan)
+                parts.append(pd.DataFrame({"kind": kind, "key": key, "count": count, "accent": keys, "distance": far}))
+            if parts:
+                yield pd.concat(parts)
 
     return totals.mapInPandas(measure, "kind string, key string, count long, accent string, distance double")
 
@@ -196,25 +251,88 @@ class Projection:
     directions: np.ndarray
 
 
-def fit_projection(vectors: DataFrame, dims: int, keep: int, column: str = "stats") -> Projection:
-    """Standardisation and the first principal directions, from one pass of totals over all rows. Directions are equal to
-    those of a singular value decomposition up to their sign."""
-    row = totals_of(vectors.select(F.lit("all").alias("kind"), F.lit("all").alias("key"), F.col(column).alias("features")), dims).first()
-    n, s, xx = row["count"], np.array(row["total"]), np.array(row["outer"]).reshape(dims, dims)
-    mean = s / n
-    cov = xx / n - np.outer(mean, mean)
-    scale = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-6
-    values, directions = np.linalg.eigh(cov / np.outer(scale, scale))
-    return Projection(mean, scale, directions[:, np.argsort(-values)[:keep]])
+def _folded(vectors: DataFrame, fold: Callable[[np.ndarray], np.ndarray], join: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray | None:
+    """One matrix of all vectors (x array<double>, of one length): ``fold`` makes one of some rows, ``join`` one of several,
+    in each task and then in two levels, so that no task holds more of them than the root of the number of tasks."""
+    schema = "height int, cells array<double>"
+
+    def batch(m: np.ndarray) -> pa.RecordBatch:
+        cells = pa.ListArray.from_arrays(pa.array([0, m.size], pa.int32()), pa.array(m.ravel(), pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([len(m)], pa.int32()), cells], ["height", "cells"])
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for b in batches:
+            if b.num_rows:
+                made = fold(b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                state = made if state is None else join([state, made])
+        if state is not None:
+            yield batch(state)
+
+    def joined(table: pa.Table) -> pa.Table:
+        parts = [c.values.to_numpy().reshape(h.as_py(), -1) for h, c in zip(table["height"], table["cells"], strict=True)]
+        return pa.Table.from_batches([batch(join(parts))])
+
+    groups = max(1, round(vectors.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    some = vectors.mapInArrow(tasks, schema).groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")).applyInArrow(joined, schema)
+    row = some.groupBy(F.lit("all")).applyInArrow(joined, schema).first()
+    return None if row is None else np.array(row["cells"]).reshape(row["height"], -1)
+
+
+def _triangle(parts: list[np.ndarray]) -> np.ndarray:
+    return np.linalg.qr(np.vstack(parts), mode="r")
+
+
+def fit_projection(vectors: DataFrame, dims: int, keep: int, column: str = "stats", passes: int = 4, seed: int = 7) -> Projection:
+    """Standardisation and the first principal directions, by a randomised range finder; no dims by dims matrix is made.
+
+    A random start of ``keep`` + 10 directions is widened ``passes`` - 1 times by what the data makes of its last part (a
+    block Krylov space). The rows in that space are brought to a triangle by tall and skinny QR over tasks, whose singular
+    vectors give the directions: exactly, where the space has all ``dims``, else about as exactly as the singular values
+    fall off. Each direction's component of largest size (the first of equals) is positive, so that results compare.
+
+    The vectors are read ``passes`` + 1 times; write them first where they are dear. Null vectors take no part; without
+    any vector this is an error.
+    """
+    x = vectors.filter(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("x"))
+    sums = _folded(x, lambda r: np.vstack([np.full(dims, float(len(r))), r.sum(0), (r * r).sum(0)]), sum)
+    if sums is None:
+        raise ValueError("no vectors to project")
+    mean = sums[1] / sums[0]
+    scale = np.sqrt(np.maximum(sums[2] / sums[0] - mean**2, 0)) + 1e-6
+    standard = lambda r: (r - mean) / scale
+    last = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, min(dims, keep + 10))))[0]
+    space = last
+    for _ in range(passes - 1):
+        if space.shape[1] == dims:
+            break
+        wide = _folded(x, lambda r, last=last: standard(r).T @ (standard(r) @ last), sum)
+        new = wide[:, : dims - space.shape[1]]
+        for _ in range(2):  # twice, for rounding
+            new = new - space @ (space.T @ new)
+        last, size = np.linalg.qr(new)
+        last = last[:, np.abs(np.diag(size)) > 1e-10 * max(np.abs(wide).max(), 1e-300)]
+        if not last.shape[1]:
+            break
+        space = np.hstack([space, last])
+    turned = np.linalg.svd(_folded(x, lambda r: _triangle([standard(r) @ space]), _triangle))[2]
+    directions = space @ turned.T[:, :keep]
+    largest = directions[np.abs(directions).argmax(0), np.arange(directions.shape[1])]
+    return Projection(mean, scale, directions * np.where(largest < 0, -1, 1))
 
 
 def project(vectors: DataFrame, projection: Projection, column: str = "stats", name: str = "features") -> DataFrame:
+    """``vectors`` with their components along the projection's directions; null for a null vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(projection)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def turn(x: pd.Series) -> pd.Series:
         p = shared.value
-        return pd.Series(list(((np.stack(x.to_numpy()).astype(float) - p.mean) / p.scale) @ p.directions) if len(x) else [], dtype=object)
+        found = pd.Series([None] * len(x), dtype=object)
+        there = np.flatnonzero(x.notna().to_numpy())
+        if len(there):
+            found.iloc[there] = list(((np.stack(x.iloc[there].to_numpy()) - p.mean) / p.scale) @ p.directions)
+        return found
 
     return vectors.withColumn(name, turn(F.col(column).cast("array<double>")))
 
@@ -233,7 +351,7 @@ def place_report(native: DataFrame, contributors: DataFrame, min_contributors: i
 def tell_apart(native: DataFrame, report: DataFrame) -> list[str]:
     """Ready places that a classifier can be built of."""
     model = fit_classifier(native.join(report.filter("ready").select("key"), "key", "left_semi"))
-    return model.keys if model else []
+    return [key for keys, _ in model.blocks() for key in keys] if model else []
 
 
 def landing_report(groups: DataFrame, reference: DataFrame, features: int) -> DataFrame | None:

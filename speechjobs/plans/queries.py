@@ -196,25 +196,67 @@ def totals_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("key", F.posexplode("outer").alias("at", "x")).select("key", "at", F.round("x", 6).alias("x"))
 
 
-@query()
+def _precision(rows: str) -> str:
+    """SQL of ``mu`` (accent, m) and ``precision`` (p) of the classifier of ``rows`` (accent, x): the pooled covariance is
+    inverted by elimination beside a unit matrix; it is positive definite, so no rows need to be swapped."""
+    return f"""
+cells AS (SELECT accent, i, avg(x[i]) AS m FROM {rows}, unnest(generate_series(1, 64)) AS u(i) GROUP BY ALL),
+mu AS (SELECT accent, list(m ORDER BY i) AS m FROM cells GROUP BY accent),
+away AS (SELECT list_transform(list_zip(x, m), lambda z: z[1] - z[2]) AS d FROM {rows} JOIN mu USING (accent)),
+pooled AS (SELECT i, j, sum(d[i] * d[j]) / (count(*) - (SELECT count(*) FROM mu)) AS c FROM away, unnest(generate_series(1, 64)) AS u(i), unnest(generate_series(1, 64)) AS w(j) GROUP BY ALL),
+ridge AS (SELECT i, j, c + CASE WHEN i = j THEN 0.001::DOUBLE * (SELECT sum(c) FROM pooled WHERE i = j) / 64 ELSE 0 END AS c FROM pooled),
+beside AS (SELECT i, j, c FROM ridge UNION ALL SELECT i, j + 64, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM ridge),
+steps AS (
+  SELECT 1 AS k, list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM beside GROUP BY i)
+  UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda c, j: c - r[k] * p[j]) END)
+  FROM (SELECT k, m, list_transform(m[k], lambda c: c / divisor) AS p FROM (SELECT k, m, m[k][k] AS divisor FROM steps WHERE k <= 64))),
+precision AS (SELECT list_transform(m, lambda r: r[65:]) AS p FROM steps WHERE k = 65)"""
+
+
+#: The distance of a vector from a mean, of d, their difference, and p.
+_FAR = "list_inner_product(d, list_transform(p, lambda r: list_inner_product(r, d)))"
+
+
+@query(
+    f"""SELECT count(*) AS classes, round(avg(r), 9) AS balanced_accuracy FROM (SELECT avg((accent = nearest)::INT) AS r FROM (
+       SELECT v, any_value(accent) AS accent, arg_min(guess, far) AS nearest FROM (
+         SELECT v, accent, guess, {_FAR} AS far FROM (SELECT v, t.accent, mu.accent AS guess, list_transform(list_zip(x, m), lambda z: z[1] - z[2]) AS d, p FROM labelled t, mu, precision)) GROUP BY v) GROUP BY accent)""",
+    "RECURSIVE labelled AS (SELECT vec_id AS v, label::VARCHAR AS accent, embedding::DOUBLE[] AS x FROM embeddings)",
+    _precision("labelled"),
+)
 def classify_from_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _labelled(spark, sf_dir)
     model = totals.fit_classifier(totals.totals_of(vectors, views.FEATURES))
-    return cohorts.balanced_accuracy(totals.classify(vectors, model), "key")
+    return cohorts.balanced_accuracy(totals.classify(vectors, model), "key").withColumn("balanced_accuracy", F.round("balanced_accuracy", 9))
 
 
-@query()
+@query(
+    f"""SELECT key, takes, kind, target, accent, round_even(far, 2) AS distance, closest, CASE WHEN target IN ('ga', 'rp') THEN closest = target END AS lands_on_target FROM (
+       SELECT *, first_value(accent) OVER (PARTITION BY key ORDER BY round_even(far, 2), accent) AS closest FROM (
+         SELECT key, accent, count(*) AS takes, CASE WHEN own_voice THEN 'native' ELSE 'attempt' END AS kind, any_value(target) AS target, avg(far) AS far FROM (
+           SELECT key, accent, own_voice, target, {_FAR} AS far FROM (
+             SELECT key, own_voice, target, accent, list_transform(list_zip(x, m), lambda z: z[1] - z[2]) AS d, p FROM placed, mu, precision)) GROUP BY key, accent, own_voice))""",
+    "RECURSIVE " + _TAKES.strip(),
+    """placed AS (
+  SELECT own_voice, CASE WHEN NOT own_voice THEN target END AS target, embedding::DOUBLE[] AS x,
+         unnest(CASE WHEN NOT own_voice THEN [country || '>' || target] WHEN region IS NULL THEN [country] ELSE [country, country || '-' || region] END) AS key FROM judged WHERE status = 'added'),
+reference AS (SELECT CASE label WHEN 0 THEN 'ga' ELSE 'rp' END AS accent, embedding::DOUBLE[] AS x FROM embeddings WHERE label IN (0, 1))""",
+    _precision("reference"),
+)
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = ingest.routed(_judged(spark, sf_dir))
     reference = _labelled(spark, sf_dir).filter("key in ('0', '1')").withColumn("key", F.when(F.col("key") == "0", "ga").otherwise("rp"))
-    return totals.landing_report(totals.totals_of(routes, views.FEATURES), totals.totals_of(reference, views.FEATURES), views.FEATURES)
+    report = totals.landing_report(totals.totals_of(routes, views.FEATURES), totals.totals_of(reference, views.FEATURES), views.FEATURES)
+    return report.select("key", "takes", "kind", "target", F.explode("distance_to").alias("accent", "distance"), "closest", "lands_on_target")
 
 
 @query()
 def project_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first component, with its sign, and the power of the first eight."""
     vectors = views.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("stats"))
     turned = totals.project(vectors, totals.fit_projection(vectors, 64, 8))
-    return turned.select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x), 6).alias("power"))
+    power = F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)
+    return turned.select("vec_id", F.round(F.col("features")[0], 6).alias("lead"), F.round(power, 6).alias("power"))
 
 
 @query(

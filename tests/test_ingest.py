@@ -150,7 +150,7 @@ def test_classifier_equals_direct_fit(spark):
     scatter = sum((x - x.mean(0)).T @ (x - x.mean(0)) for x in xs.values()) / (600 - 3)
     scatter += np.eye(5) * 1e-3 * np.trace(scatter) / 5
     np.testing.assert_allclose(model.precision, np.linalg.inv(scatter))
-    assert model.keys == ["A", "B", "C"] and totals.fit_classifier(totals.totals_of(df.filter("key = 'A'"), 5)) is None
+    assert [keys for keys, _ in model.blocks()] == [["A", "B", "C"]] and totals.fit_classifier(totals.totals_of(df.filter("key = 'A'"), 5)) is None
     hit = totals.classify(df, model).agg(F.avg((F.col("key") == F.col("prediction")).cast("int"))).first()[0]
     assert hit > 0.9
     far = totals.mean_distances(totals.totals_of(df, 5), model, 5).filter("key = 'A' and accent = 'B'").first().distance
@@ -158,6 +158,38 @@ def test_classifier_equals_direct_fit(spark):
     assert far == pytest.approx(np.einsum("nf,fg,ng->n", away, model.precision, away).mean())
 
 
+def test_means_in_blocks(spark):
+    """Twelve keys, two or all at a time; ties go to the first key, null vectors have none."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "k", f"{i % 12:02d}", (rng.normal(size=4) + i % 12).tolist()) for i in range(600)]
+    df = spark.createDataFrame([*rows, (600, "k", "00", None)], "old long, kind string, key string, features array<double>")
+    t = totals.totals_of(df.filter("features is not null"), 4)
+    twin = t.filter("key = '03'").withColumn("key", F.lit("99"))
+    model = totals.fit_classifier(t.unionByName(twin).unionByName(twin.withColumn("key", F.lit(None).cast("string"))))
+    assert [k for keys, _ in model.blocks(5) for k in keys] == [f"{i:02d}" for i in range(12)] + ["99"]
+    whole = {r.old: r.new for r in totals.classify(df, model, name="new").collect()}
+    assert {r.old: r.new for r in totals.classify(df, model, name="new", keys_at_once=1).collect()} == whole
+    assert whole[600] is None and "03" in whole.values() and "99" not in whole.values()
+
+
+@pytest.mark.parametrize(("dims", "keep"), [(12, 3), (90, 4)])
+def test_projection_equals_a_decomposition(spark, dims, keep):
+    """With the whole space, and with a part of it where the singular values fall off."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(400, dims)) * 0.3 + (rng.normal(size=(400, 6)) * [9, 7, 5, 3, 2, 1]) @ rng.normal(size=(6, dims)) + 5
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(400, None)], "id long, stats array<double>").repartition(5)
+    p = totals.fit_projection(df, dims, keep)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    right = np.linalg.svd(z, full_matrices=False)[2][:keep].T
+    right = right * np.sign(right[np.abs(right).argmax(0), np.arange(keep)])
+    np.testing.assert_allclose(p.directions, right, atol=1e-6)
+    turned = {r.id: r.features for r in totals.project(df, p).collect()}
+    assert turned.pop(400) is None
+    np.testing.assert_allclose([turned[i] for i in range(400)], z @ right, atol=1e-4)
+    with pytest.raises(ValueError, match="no vectors"):
+        totals.fit_projection(df.filter("id = 400"), dims, keep)
+
+
 def test_reports(spark):
     df, _ = vectors(spark)
     t = totals.totals_of(df, 5)
