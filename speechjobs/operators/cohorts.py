@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def corpus_index(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
@@ -11,6 +18,48 @@ def corpus_index(spark: SparkSession, path: str, columns: tuple[str, ...]) -> Da
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_group, first, rows): which rows of each Parquet file stand in which of its row groups. Only the footers are
+    read, each by a task."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch["file"].to_pylist():
+                with _opened(file) as parquet:
+                    rows = [parquet.metadata.row_group(g).num_rows for g in range(parquet.metadata.num_row_groups)]
+                first = list(accumulate(rows, initial=0))[:-1]
+                yield pa.RecordBatch.from_pydict({"file": [file] * len(rows), "row_group": pa.array(range(len(rows)), pa.int32()), "first": pa.array(first, pa.int64()), "rows": pa.array(rows, pa.int64())})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("_metadata.file_path").alias("file"))
+    return files.mapInArrow(footers, "file string, row_group int, first long, rows long")
+
+
+def fetch(places: DataFrame, groups: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows at ``places`` (file, row; see corpus_index), with the columns of ``schema``; ``groups`` are row_groups().
+
+    A task reads the columns of one row group at a time, and of no other than those in which a place lies. A place that is
+    given twice is one row; a place that no file has gives none; an empty table of places gives an empty table.
+    """
+    near = groups.withColumnRenamed("file", "__file")
+    inside = (F.col("file") == F.col("__file")) & (F.col("row") >= F.col("first")) & (F.col("row") < F.col("first") + F.col("rows"))
+    wanted = places.select("file", "row").join(near, inside).groupBy("file", "row_group").agg(F.collect_set((F.col("row") - F.col("first")).cast("long")).alias("at"))
+    columns = schema.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, group, at in zip(*(batch[c].to_pylist() for c in ("file", "row_group", "at")), strict=True):
+                with _opened(file) as parquet:
+                    yield from parquet.read_row_group(group, columns=columns).select(columns).take(sorted(at)).to_batches(1024)
+
+    return wanted.mapInArrow(read, schema)
+
+
+def _opened(file: str) -> pq.ParquetFile:
+    """A file by the address that Spark gives it."""
+    system, path = fs.FileSystem.from_uri(file)
+    return pq.ParquetFile(path, filesystem=system)
+
+
 def read_manifest(spark: SparkSession, path: str, metadata: DataFrame, key: str = "utt_id") -> DataFrame:
     """Manifest lines "utt_id path" with the annotation of the utterance; lines without one are dropped."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).filter(F.size("p") >= 2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechjobs import constants as K
 from speechjobs.functions import gates
 from speechjobs.functions.scoring import score_attempts
+from speechjobs.functions.symbols import edits
 from speechjobs.operators import cohorts, evaluation, history, ingest, totals
 from speechjobs.operators import frames as frame_jobs
 from speechjobs.operators.lexicon import lexicon_statistics, text_phonemes, vocabulary
@@ -464,26 +465,34 @@ def usable_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS utterances, sum(len(e) + (n = 3)::INT) / sum(len(t)) AS per_one, 0.0::DOUBLE AS per_two, count(*) FILTER (len(e) > 0 OR n = 3 OR (n = 2 AND len(list_filter(t, lambda p: regexp_matches(p, '[012]$') AND p <> 'AH0')) > 0)) AS changed, round(avg(abs(score - 5)) * 10, 6) AS score_gap, round(avg(abs(value - 1)), 6) AS feature_gap FROM wrong""",
+    """SELECT count(*) AS utterances, round(sum(errors) / sum(len(t)), 9) AS per_one, round(sum(CASE WHEN id % 3 = 0 THEN 1 ELSE errors END) / sum(len(t)), 9) AS per_two,
+       count(*) FILTER (id % 3 = 0 AND h <> t[:len(t) - 1]) AS changed, round(avg(abs(score - CASE WHEN id % 3 = 0 THEN 5 ELSE score END)) * 10, 6) AS score_gap, round(avg((abs(value - value * 0.5::DOUBLE) + (id % 4)) / 2), 6) AS feature_gap
+       FROM (SELECT heard.id, heard.t, h, score, value, len(e) + (wrong.n = 3)::INT AS errors FROM heard JOIN wrong USING (id))""",
     _ATTEMPTS,
+    _HEARD,
 )
 def run_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = views.attempts(spark, sf_dir)
-    one = a.select(F.col("id").alias("utt_id"), F.col("target_phonemes").alias("reference"), F.col("predicted_phonemes").alias("heard"), "score", F.array("value").alias("features"))
-    two = a.select(F.col("id").alias("utt_id"), F.col("target_phonemes").alias("heard"), F.lit(5.0).alias("score"), F.array(F.lit(1.0)).alias("features"))
-    return evaluation.compare_runs(one, two).withColumns({"score_gap": F.round("score_gap", 6), "feature_gap": F.round("feature_gap", 6)})
+    """The second run hears every third target without its last sound, with another score; features differ everywhere."""
+    a, third, t = views.attempts(spark, sf_dir), F.col("id") % 3 == 0, F.col("target_phonemes")
+    one = a.select(F.col("id").alias("utt_id"), t.alias("reference"), F.col("predicted_phonemes").alias("heard"), "score", F.array("value", F.lit(0.0)).alias("features"))
+    heard = F.when(third, F.slice(t, F.lit(1), F.size(t) - 1)).otherwise(F.col("predicted_phonemes"))
+    two = a.select(F.col("id").alias("utt_id"), heard.alias("heard"), F.when(third, 5.0).otherwise(F.col("score")).alias("score"), F.array(F.col("value") * 0.5, (F.col("id") % 4).cast("double")).alias("features"))
+    r = evaluation.compare_runs(one, two)
+    return r.withColumns({c: F.round(c, 9 if c.startswith("per") else 6) for c in ("per_one", "per_two", "score_gap", "feature_gap")})
 
 
 @query(
-    """SELECT 'clean' AS condition, 'raw' AS variant, count(*) AS n, 0.0::DOUBLE AS per, 0.0::DOUBLE AS score_gap FROM wrong UNION ALL
-       SELECT 'noise', word, count(*), sum(len(e) + (n = 3)::INT) / sum(len(t)), round(avg(abs(score - 10)), 6) FROM wrong GROUP BY word""",
+    """SELECT 'clean' AS condition, 'raw' AS variant, count(*) AS n, round(sum(errors) / sum(len(t)), 9) AS per, 0.0::DOUBLE AS score_gap FROM both_runs UNION ALL
+       SELECT 'noise', word, count(*), round(sum(least(errors, 1)) / sum(len(t)), 9), round(avg(abs(score - value / 10)), 6) FROM both_runs WHERE id % 7 <> 0 GROUP BY word""",
     _ATTEMPTS,
+    "both_runs AS (SELECT *, len(e) + (n = 3)::INT AS errors FROM wrong)",
 )
 def condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = views.attempts(spark, sf_dir)
-    run = lambda cond, variant, heard, score: a.select(F.col("id").alias("utt_id"), F.lit(cond).alias("condition"), variant.alias("variant"), F.col("target_phonemes").alias("reference"), F.col(heard).alias("heard"), score.alias("score"))
-    runs = run("clean", F.lit("raw"), "target_phonemes", F.lit(10.0)).unionByName(run("noise", F.col("word"), "predicted_phonemes", F.col("score")))
-    return evaluation.condition_table(runs, ("clean", "raw")).withColumn("score_gap", F.round("score_gap", 6))
+    """The clean run hears what the view says; with noise one sound is wrong where any was, and some utterances are missing."""
+    a = views.attempts(spark, sf_dir).withColumn("once", F.when(edits(F.col("target_phonemes"), F.col("predicted_phonemes")) > 0, F.concat(F.array(F.lit("ZH")), F.slice("target_phonemes", F.lit(2), F.size("target_phonemes") - 1))).otherwise(F.col("target_phonemes")))
+    run = lambda rows, cond, variant, heard, score: rows.select(F.col("id").alias("utt_id"), F.lit(cond).alias("condition"), variant.alias("variant"), F.col("target_phonemes").alias("reference"), F.col(heard).alias("heard"), score.alias("score"))
+    runs = run(a, "clean", F.lit("raw"), "predicted_phonemes", F.col("value") / 10).unionByName(run(a.filter("id % 7 <> 0"), "noise", F.col("word"), "once", F.col("score")))
+    return evaluation.condition_table(runs, ("clean", "raw")).withColumns({"per": F.round("per", 9), "score_gap": F.round("score_gap", 6)})
 
 
 @query(
@@ -511,19 +520,25 @@ def scored_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, (reason IS NULL) AS stored, reason, coalesce(retake, false) AS retake FROM (
-       SELECT id, len_extra AS retake, CASE WHEN user_id % 7 = 0 THEN '"Help it learn" is off' WHEN len_few THEN 'too few sounds heard' WHEN len_extra THEN 'extra sounds, likely background noise'
-         WHEN speech OR noisy THEN 'did not pass: ' || array_to_string(list_filter([CASE WHEN speech THEN 'speech found' END, CASE WHEN noisy THEN 'quiet background' END], lambda x: x IS NOT NULL), ', ') END AS reason FROM (
-       SELECT id, user_id, value / 40 < 0.25 AS speech, value < 20 AS noisy, h < ceil(0.5 * len(t)) AS len_few, h > floor(1.5 * len(t)) AS len_extra FROM (SELECT *, id % 9 AS h FROM attempts)))""",
+    f"""SELECT id, (reason IS NULL) AS stored, reason, coalesce(len_extra, false) AS retake FROM (
+       SELECT id, len_extra, CASE WHEN user_id % 7 = 0 THEN '"Help it learn" is off' WHEN user_id % 11 = 0 THEN 'no country in your profile, so the take cannot be placed in a region'
+         WHEN user_id % 13 = 0 THEN 'this device already holds {K.MAX_STORED} takes, the most it keeps' WHEN len_few THEN 'too few sounds heard' WHEN len_extra THEN 'extra sounds, likely background noise'
+         WHEN len(names) > 0 THEN 'did not pass: ' || array_to_string(names, ', ') END AS reason FROM (
+       SELECT id, user_id, h < ceil(0.5 * len(t)) AS len_few, h > floor(CASE WHEN id % 3 = 0 THEN {K.VIABILITY["longest_voice"]} ELSE {K.VIABILITY["longest_practice"]} END * len(t)) AS len_extra,
+              list_filter([CASE WHEN id % 17 = 0 OR value / 40 < 0.25 THEN 'speech found' END, CASE WHEN value < 20 THEN 'quiet background' END, CASE WHEN id % 11 > 5 THEN 'not clipped' END, CASE WHEN id % 13 / 13 < 0.5 THEN 'model was confident' END,
+                           CASE WHEN id % 3 <> 0 AND id * 7 % 100 < 30 THEN 'recognisably the target word' END, CASE WHEN id % 19 < 2 THEN 'summary is well formed' END], lambda x: x IS NOT NULL) AS names
+       FROM (SELECT *, id % 9 AS h FROM attempts)))""",
     _ATTEMPTS,
 )
 def take_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = views.attempts(spark, sf_dir)
-    quality = F.struct(F.lit(True).alias("foundSpeech"), (F.col("value") / 40).alias("speechSeconds"), F.col("value").alias("snrDb"), F.lit(0.0).alias("clipped"))
+    """Every check and every reason of a device fails for some takes."""
+    a, i, user = views.attempts(spark, sf_dir), F.col("id"), F.col("user_id")
+    quality = F.struct((i % 17 != 0).alias("foundSpeech"), (F.col("value") / 40).alias("speechSeconds"), F.col("value").alias("snrDb"), (i % 11 / 1000).alias("clipped"))
     n = F.size("target_phonemes")
-    checks = gates.viability(quality, F.lit(0.9), F.lit(False), F.lit(100.0), (F.col("id") % 9).cast("int"), n, n, F.array(F.lit(1.0)), 1)
-    d = gates.decision(checks, gates.eligibility(F.col("user_id") % 7 != 0, F.lit("GB"), F.lit(0)))
-    return a.select("id", d.alias("d")).select("id", "d.*")
+    features = F.when(i % 19 == 0, F.array(F.lit(float("nan")))).when(i % 19 == 1, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0)))
+    checks = gates.viability(quality, i % 13 / 13, i % 3 == 0, (i * 7 % 100).cast("double"), (i % 9).cast("int"), n, n, features, 1)
+    able = gates.eligibility(user % 7 != 0, F.when(user % 11 != 0, "GB").otherwise(""), F.when(user % 13 == 0, K.MAX_STORED).otherwise(0))
+    return a.select("id", gates.decision(checks, able).alias("d")).select("id", "d.*")
 
 
 @query(

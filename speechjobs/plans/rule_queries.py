@@ -14,6 +14,7 @@ from speechjobs.operators.frames import frame_levels_of_pieces
 from speechjobs.operators.lexicon import encode, practice_words, target_range, text_problem, vocabulary
 from speechjobs.plans import views
 from speechjobs.plans.queries import _ATTEMPTS, _HEARD, _LEXICON, ORACLE, query
+from speechjobs.sources.shared import new_folder
 
 
 def _text(value: str) -> str:
@@ -243,13 +244,26 @@ def flattened_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("id", F.size("phone_scores").alias("n_sounds"), F.aggregate("phone_scores", F.lit(0.0), lambda s, x: s + x).alias("total"), "human", F.array_join("canonical", " ").alias("canonical"))
 
 
-@query("SELECT doc_id, md5(text) AS digest, quality FROM documents JOIN labels USING (doc_id)")
+@query("SELECT doc_id, md5(text) AS digest, lang AS accent, quality FROM documents JOIN labels USING (doc_id)")
 def annotated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have labels, against those labels: both sides name the same rows and texts."""
+    """Predictions of the documents that have labels, written as lines and read again, against the annotations."""
     docs, labels = views.read(spark, sf_dir, "documents"), views.read(spark, sf_dir, "labels")
-    both = docs.join(labels.select("doc_id", "quality"), "doc_id")
-    checked = evaluation.with_annotations(both.select("doc_id", "text"), both.select("doc_id", "text", "quality"), "doc_id")
-    return checked.select("doc_id", F.md5("text").alias("digest"), "quality")
+    folder = new_folder(spark, "predictions")
+    made = docs.join(labels, "doc_id", "left_semi")
+    evaluation.write_predictions(made.select(F.col("doc_id").cast("string").alias("utt_id"), F.col("source").alias("speaker"), F.col("lang").alias("accent"), "text", F.split("text", " ").alias("predicted")), folder)
+    annotated = labels.join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("utt_id"), "text", "quality")
+    checked = evaluation.with_annotations(evaluation.read_predictions(spark, folder), annotated)
+    return checked.select(F.col("utt_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "accent", "quality")
+
+
+@query("SELECT doc_id, md5(text) AS digest, n_chars, quality FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
+def fetched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows of the documents that are labelled toxic, by their places in the files."""
+    path = f"{sf_dir}/documents.parquet"
+    toxic = views.read(spark, sf_dir, "labels").filter("toxic = 1")
+    places = cohorts.corpus_index(spark, path, ("doc_id",)).join(toxic, "doc_id")
+    found = cohorts.fetch(places.select("file", "row"), cohorts.row_groups(spark, path), spark.read.parquet(path).select("doc_id", "text", "n_chars").schema)
+    return found.join(toxic, "doc_id").select("doc_id", F.md5("text").alias("digest"), "n_chars", "quality")
 
 
 @query(
@@ -263,10 +277,11 @@ def cohort_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts["shared"].select(F.lit("shared").alias("part"), "key").unionByName(parts["only"].select(F.lit("only").alias("part"), "key"))
 
 
-@query("SELECT user_id AS speaker_id, id, accent FROM attempts", _ATTEMPTS)
+@query("SELECT user_id AS speaker_id, id, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS accent FROM attempts WHERE user_id IN (SELECT c_custkey FROM customer)", _ATTEMPTS)
 def accented_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = views.attempts(spark, sf_dir).withColumnRenamed("user_id", "speaker_id")
-    return cohorts.with_accents(a.select("speaker_id", "id"), a.select("speaker_id", "accent").distinct())
+    """Attempts of users who are customers; the others have no speaker's entry."""
+    speakers = views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("speaker_id"), F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd").alias("accent"))
+    return cohorts.with_accents(views.attempts(spark, sf_dir).select(F.col("user_id").alias("speaker_id"), "id"), speakers)
 
 
 @query(

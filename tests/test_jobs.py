@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from speechjobs.operators import cohorts, evaluation, frames, history, lexicon
 
@@ -170,3 +171,34 @@ def test_pieces_have_the_frames_of_the_whole(spark):
     assert at_once["a", 7] == pytest.approx(10 * np.log10((y[7 * 160 : 7 * 160 + 320] ** 2).mean()), abs=1e-5)
     with pytest.raises(Exception, match="only the last piece"):
         frames.frame_levels_of_pieces(spark.createDataFrame([("a", 0, [0.1] * 10), ("a", 1, [0.1] * 400)], "rec_id string, piece int, samples array<float>")).collect()
+
+
+def test_rows_are_fetched_from_their_row_groups_alone(spark, tmp_path):
+    """Ten groups of ten rows, all but two of them spoilt: rows of the two can be fetched, of the others not."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "a corpus"
+    folder.mkdir()
+    table = pa.table({"id": list(range(100)), "text": [f"text {i}" * 50 for i in range(100)], "other": list(range(100))})
+    pq.write_table(table, folder / "a.parquet", row_group_size=10, compression="none", use_dictionary=False)
+    pq.write_table(table.slice(0, 5), folder / "b.parquet")
+    index = cohorts.corpus_index(spark, str(folder), ("id",)).cache()
+    groups = cohorts.row_groups(spark, str(folder)).cache()
+    assert sorted((r.file[-9:], r.row_group, r.first, r.rows) for r in groups.collect()) == [*(("a.parquet", i, 10 * i, 10) for i in range(10)), ("b.parquet", 0, 0, 5)]
+    index.count()
+    raw = bytearray((folder / "a.parquet").read_bytes())
+    meta = pq.ParquetFile(folder / "a.parquet").metadata
+    for g in set(range(10)) - {3, 7}:
+        for c in range(3):
+            column = meta.row_group(g).column(c)
+            raw[column.data_page_offset : column.data_page_offset + column.total_compressed_size] = b"\xff" * column.total_compressed_size
+    (folder / "a.parquet").write_bytes(raw)
+    (folder / ".a.parquet.crc").unlink(missing_ok=True)
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("id", T.LongType())])
+    get = lambda where: [tuple(r) for r in cohorts.fetch(index.filter(where), groups, schema).collect()]
+    places = "file like '%a.parquet' and id in (31, 39, 70) or file like '%b.parquet' and id = 2"
+    assert sorted(get(places), key=lambda r: r[1]) == [(f"text {i}" * 50, i) for i in (2, 31, 39, 70)]
+    assert get("id < 0") == []
+    with pytest.raises(Exception, match="(?i)error|page|thrift"):
+        get("file like '%a.parquet' and id = 5")
