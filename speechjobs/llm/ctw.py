@@ -299,14 +299,79 @@ def upper_nodes(strings: DataFrame, near: int = NEAR) -> DataFrame:
     return found
 
 
+#: A row for each bucket: nodes of one depth, packed.
+PACKED = "bucket int, depth int, key binary, zeros binary, ones binary, ahead binary"
+KINDS = {"key": np.uint64, "zeros": np.int64, "ones": np.int64, "ahead": np.float64}
+
+
+def extended(key: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For nodes of depth ``depth``: (node, bucket) for each bucket that has a context of one more byte, by bucket."""
+    context = np.zeros(len(key), np.uint64)
+    for i in range(depth):
+        # the nearest byte is the highest of a key, and the lowest of a string's context
+        context |= ((key >> np.uint64(8 * (depth - 1 - i))) & np.uint64(255)) << np.uint64(8 * i)
+    known, which = np.unique(context, return_inverse=True)
+    longer = known[:, None] | (np.arange(256, dtype=np.uint64) << np.uint64(8 * depth))[None]
+    to = np.sort((mix(longer + np.uint64(1)) % np.uint64(buckets)).astype(np.int64), axis=1)
+    first = np.column_stack([np.ones(len(to), bool), to[:, 1:] != to[:, :-1]])
+    n = first.sum(1)
+    begin = np.cumsum(n) - n
+    node = np.repeat(np.arange(len(key)), n[which])
+    nth = np.arange(len(node)) - np.repeat(np.cumsum(n[which]) - n[which], n[which])
+    bucket = to[first][begin[which[node]] + nth]
+    order = np.argsort(bucket, kind="stable")
+    return node[order], bucket[order]
+
+
+def shipped(nodes: DataFrame, buckets: int, first: np.ndarray, salts: np.ndarray, near: int = NEAR) -> DataFrame:
+    """Nodes above depth ``near``, as packed rows of the parts ``first`` to ``first`` + ``salts`` - 1 of each bucket.
+
+    Nodes of the last depth go only to the buckets of contexts that are one byte longer, 256 at most. Those above are
+    65,535 at most, whatever the corpus, and go to all parts.
+    """
+    spark, names = nodes.sparkSession, list(KINDS)
+
+    def packed(columns: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
+        return tuple(squeeze(columns[c][rows].astype(KINDS[c])) for c in names)
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * len(names))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "depth", *names])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch[c].to_numpy() for c in names}
+            node, bucket = extended(columns["key"].astype(np.uint64), near - 1, buckets)
+            rows: list[tuple] = []
+            for x, y in slices(bucket):
+                one = (near - 1, *packed(columns, node[x:y]))
+                rows += [(int(first[bucket[x]]) + salt, *one) for salt in range(salts[bucket[x]])]
+                if len(rows) >= 1024:
+                    yield as_batch(rows)
+                    rows = []
+            if rows:
+                yield as_batch(rows)
+
+    def pack(table: pa.Table) -> pa.Table:
+        columns = {c: table[c].to_numpy() for c in names}
+        return pa.Table.from_batches([as_batch([(-1, table["depth"][0].as_py(), *packed(columns, np.arange(table.num_rows)))])])
+
+    by_context = F.col("key").bitwiseAND(F.lit((1 << (8 * (near - 1))) - 1))
+    last = nodes.filter(F.col("depth") == near - 1).select(*names).repartition(by_context).sortWithinPartitions(by_context).mapInArrow(send, PACKED)
+    above = nodes.filter(F.col("depth") < near - 1).groupBy("depth").applyInArrow(pack, PACKED).drop("bucket")
+    parts = spark.range(int(first[0]), int(first[-1] + salts[-1])).select(F.col("id").cast("int").alias("bucket"))
+    return last.unionByName(parts.crossJoin(F.broadcast(above)))
+
+
 def upper_arrays(table: pa.Table, near: int = NEAR) -> dict[int, tuple[np.ndarray, ...]]:
-    """The nodes of a table by depth, sorted."""
-    depth, columns = table["depth"].to_numpy(), [table[c].to_numpy() for c in ("key", "zeros", "ones", "ahead")]
+    """The nodes of packed rows by depth, sorted."""
+    depth = np.array(table["depth"].to_pylist(), np.int64)
     out = {}
     for d in range(near):
         rows = np.flatnonzero(depth == d)
-        rows = rows[np.argsort(columns[0][rows])]
-        out[d] = (columns[0][rows].astype(np.uint64), *(c[rows] for c in columns[1:]))
+        columns = [np.concatenate([np.zeros(0, kind), *(expand(table[c][i].as_py(), kind) for i in rows)]) for c, kind in KINDS.items()]
+        order = np.argsort(columns[0])
+        out[d] = tuple(c[order] for c in columns)
     return out
 
 
@@ -349,10 +414,8 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     # buckets: 0 .. chunks - 1 of words, then (bucket, salt) of strings; the salt is the chunk's
     spread = F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("salts") - 1).cast("int"))).alias("bucket")
-    none = lambda kind: F.lit(None).cast(kind)
-    learned = strings.join(F.broadcast(parts), F.col("bucket") == F.col("at")).select(spread, none("int").alias("depth"), none("long").alias("key"), none("long").alias("zeros"), none("long").alias("ones"), none("double").alias("ahead"), "codes", "counts")
-    above = upper_nodes(strings, near).crossJoin(F.broadcast(parts)).select(spread, "depth", "key", "zeros", "ones", "ahead", none("binary").alias("codes"), none("binary").alias("counts"))
-    tree = learned.unionByName(above)
+    learned = strings.join(F.broadcast(parts), F.col("bucket") == F.col("at")).select(spread, "codes", "counts")
+    tree = learned.unionByName(shipped(upper_nodes(strings, near), buckets, first, salts, near), allowMissingColumns=True)
 
     def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
         """Distinct word hashes in the order of buckets; each word's place among them; each word's text."""

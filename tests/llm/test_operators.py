@@ -813,3 +813,18 @@ def test_scores(spark, docs, empty):
 
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 14))
+
+
+def test_ctw_nodes_reach_all_buckets_that_ask():
+    """Every string's bucket has the node of two bytes of its context; a node goes to a bucket once."""
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, 1 << 63, 300, np.uint64))
+    key, _ = ctw.decisions(codes, 3)
+    nodes = np.unique(key >> np.uint64(8 * (ctw.DEPTH - 2)))
+    for buckets in (1, 7, 5000):
+        node, bucket = ctw.extended(nodes, 2, buckets)
+        assert np.all(np.diff(bucket) >= 0)
+        sent = list(zip(nodes[node].tolist(), bucket.tolist(), strict=True))
+        assert len(sent) == len(set(sent)) <= 256 * len(nodes)
+        asked = zip((key >> np.uint64(8 * (ctw.DEPTH - 2))).tolist(), ctw.near_bucket(codes, buckets, 3).tolist(), strict=True)
+        assert set(asked) <= set(sent)
