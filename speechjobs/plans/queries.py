@@ -365,14 +365,6 @@ def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query()
-def match_rule_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = views.attempts(spark, sf_dir).select("id", F.col("target_phonemes").alias("target"), F.col("predicted_phonemes").alias("heard"))
-    wrong = evaluation.wrong_targets(pairs).filter("target is not null")
-    both = pairs.withColumn("group", F.concat(F.lit("variant "), (F.col("id") % 5).cast("string"))).unionByName(wrong.withColumn("group", F.lit("wrong")))
-    return evaluation.choose_rule(evaluation.pass_rates(evaluation.counted_measures(both, ("group",)), ("group",)), "group", "wrong")
-
-
 _HEARD = """
 heard AS (SELECT id, word, t, s, n, CASE n WHEN 0 THEN t WHEN 1 THEN t[2:] WHEN 2 THEN list_transform(t, lambda p: CASE WHEN regexp_matches(p, '[012]$') THEN 'AH0' ELSE p END)
           WHEN 3 THEN list_append(t, 'T') ELSE list_transform(t, lambda p: CASE WHEN p = 'R' THEN 'L' ELSE p END) END AS h FROM attempts)"""
@@ -383,6 +375,40 @@ mispaired AS (
   SELECT h.id, h.n, o.other, h.h, own.total FROM heard h JOIN ring own ON own.w = array_to_string(h.s, ' ') AND own.other = own.w
   LEFT JOIN ring o ON own.total > 1 AND o.w = own.w AND o.k = (own.k + 1 + (h.id * 31) % nullif(own.total - 1, 0)) % own.total)"""
 
+def _listed(sounds: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in sounds) + ")"
+
+
+_ALIKE = " OR ".join(f"(t[i] IN {_listed(g)} AND h[j] IN {_listed(g)})" for g in (K.VOWELS, *K.CONSONANT_GROUPS))
+#: Pairs by group, then the walk back through each distinct pair: the costs are edit distances of what stands before.
+_CHOICE = f"""
+grouped AS (SELECT grp, t, h, count(*) AS n FROM (SELECT 'variant ' || n AS grp, s AS t, list_transform(h, lambda p: rtrim(p, '012')) AS h FROM heard
+  UNION ALL SELECT 'wrong', string_split(other, ' '), list_transform(h, lambda p: rtrim(p, '012')) FROM mispaired WHERE other IS NOT NULL) GROUP BY ALL),
+spelled AS (SELECT t, h, array_to_string(list_transform(t, lambda p: chr((64 + list_position(every, p))::INT)), '') AS a, array_to_string(list_transform(h, lambda p: chr((64 + list_position(every, p))::INT)), '') AS b
+  FROM (SELECT DISTINCT t, h, {[*K.CONSONANTS, *K.VOWELS]} AS every FROM grouped)),
+walk AS (
+  SELECT t, h, a, b, length(a)::INT AS i, length(b)::INT AS j, 0 AS same, 0 AS other, 0 AS close FROM spelled
+  UNION ALL SELECT t, h, a, b, i - (step <> 'insert')::INT, j - (step <> 'delete')::INT, same + (step = 'across' AND t[i] = h[j])::INT, other + (step = 'across' AND t[i] <> h[j])::INT,
+    close + (step <> 'insert' AND (t[i] IN {_listed(K.UNSCORABLE)} OR (step = 'across' AND (t[i] = h[j] OR {_ALIKE}))))::INT
+  FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND here = levenshtein(left(a, i - 1), left(b, j - 1)) + (t[i] <> h[j])::INT THEN 'across' WHEN i > 0 AND here = levenshtein(left(a, i - 1), left(b, j)) + 1 THEN 'delete' ELSE 'insert' END AS step
+    FROM (SELECT *, levenshtein(left(a, i), left(b, j)) AS here FROM walk WHERE i > 0 OR j > 0))),
+shares AS (SELECT grp, n, unnest(['exact', 'same_class', 'any_sound']) AS rule, unnest([1, 2, 3]) AS place, unnest([100.0::DOUBLE * same / len(t), round_even(100.0::DOUBLE * close / len(t), 0), 100.0::DOUBLE * (same + other) / len(t)]) AS share FROM grouped JOIN walk USING (t, h) WHERE i = 0 AND j = 0),
+kept AS (SELECT grp, rule, place, threshold, sum(CASE WHEN share >= threshold THEN n ELSE 0 END) / sum(n) AS kept FROM shares, unnest([30, 40, 50, 60, 70, 80]) AS u(threshold) GROUP BY ALL)"""
+
+
+@query(
+    """SELECT rule, threshold::INT AS threshold, round(separation, 9) AS separation FROM (SELECT rule, place, threshold, avg(kept) FILTER (grp <> 'wrong') - max(kept) FILTER (grp = 'wrong') AS separation FROM kept GROUP BY ALL) ORDER BY round(separation, 9) DESC, place, threshold LIMIT 1""",
+    "RECURSIVE " + _ATTEMPTS.strip(),
+    _HEARD,
+    _PLACED,
+    _CHOICE,
+)
+def match_rule_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = views.attempts(spark, sf_dir).select("id", F.col("target_phonemes").alias("target"), F.col("predicted_phonemes").alias("heard"))
+    wrong = evaluation.wrong_targets(pairs).filter("target is not null")
+    both = pairs.withColumn("group", F.concat(F.lit("variant "), (F.col("id") % 5).cast("string"))).unionByName(wrong.withColumn("group", F.lit("wrong")))
+    return evaluation.choose_rule(evaluation.pass_rates(evaluation.counted_measures(both, ("group",)), ("group",)), "group", "wrong").withColumn("separation", F.round("separation", 9))
+
 
 @query("SELECT id, other AS target, array_to_string(h, ' ') AS heard FROM mispaired", _ATTEMPTS, _HEARD, _PLACED)
 def wrong_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
