@@ -87,44 +87,67 @@ def streak_stream(attempts: DataFrame, pass_score: float = 8.0, keep_ms: int | N
 
 
 DAY_MS = 86_400_000
+#: Stands for the day of rows without a time: it is over before any watermark, so they are handed on at once.
+NO_DAY = -1_000_000_000
+
+
+def _summed(users: list[np.ndarray], attempts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each user once, in order, with all of its attempts."""
+    found, place = np.unique(np.concatenate(users), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, place, np.concatenate(attempts))
+    return found, total
 
 
 class _Days(StatefulProcessor):
-    """Attempts of each learner by day of UTC: a day's count when the watermark has passed its end, and late rows by themselves."""
+    """Attempts by learner of one bucket of learners and day of UTC: a day's counts when the watermark has passed its end, and
+    late rows by themselves. State: two arrays for each bucket and open day, so the calls to the state do not grow with the
+    learners."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day long", "attempts long")
+        self.counts = handle.getValueState("counts", "users binary, attempts binary")
+
+    def _stored(self) -> tuple[np.ndarray, np.ndarray]:
+        users, attempts = self.counts.get()
+        return np.frombuffer(users, np.int64), np.frombuffer(attempts, np.int64)
+
+    def _rows(self, key, users: np.ndarray, attempts: np.ndarray, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": key[0], "user": users, "day": key[1], "attempts": attempts, "late": late})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        day, n = np.unique(pd.concat(list(rows))["at"].to_numpy() // DAY_MS, return_counts=True)
-        late = (day + 1) * DAY_MS <= timerValues.getCurrentWatermarkInMs()
-        for d, k in zip(day[~late].tolist(), n[~late].tolist(), strict=True):
-            if self.days.containsKey((d,)):
-                k += self.days.getValue((d,))[0]
-            else:
-                self.handle.registerTimer((d + 1) * DAY_MS)
-            self.days.updateValue((d,), (k,))
-        yield pd.DataFrame({"user_id": key[0], "day": day[late], "attempts": n[late], "late": True})
+        users, attempts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for pdf in rows:
+            users, attempts = _summed([users, pdf["user"].to_numpy(np.int64)], [attempts, np.ones(len(pdf), np.int64)])
+        if (key[1] + 1) * DAY_MS <= timerValues.getCurrentWatermarkInMs():
+            yield self._rows(key, users, attempts, True)
+            return
+        if self.counts.exists():
+            stored = self._stored()
+            users, attempts = _summed([stored[0], users], [stored[1], attempts])
+        else:
+            self.handle.registerTimer((key[1] + 1) * DAY_MS)
+        self.counts.update((users.tobytes(), attempts.tobytes()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        d = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
-        yield pd.DataFrame({"user_id": [key[0]], "day": [d], "attempts": [self.days.getValue((d,))[0]], "late": [False]})
-        self.days.removeKey((d,))
+        yield self._rows(key, *self._stored(), False)
+        self.counts.clear()
 
     def close(self) -> None:
         pass
 
 
-def day_stream(attempts: DataFrame, delay: str = "2 days") -> DataFrame:
+def day_stream(attempts: DataFrame, delay: str = "2 days", buckets: int = 128) -> DataFrame:
     """(user_id, day, attempts, late): each day of a learner once, when the watermark has passed its end, and for rows that
     come later than that a correction, marked late, in place of dropping them: the sum over a day is the whole count. State:
-    open days only. Needs the RocksDB state store."""
+    open days only, one value for each of ``buckets`` parts of the learners; their number stays as it is while a stream lives.
+    Needs the RocksDB state store."""
     real = attempts.filter(F.col("source") == "real").withWatermark("timestamp", delay)
-    # without the watermarked column itself Spark hands late rows over
-    rows = real.select("user_id", F.unix_millis("timestamp").alias("at"))
-    found = rows.groupBy("user_id").transformWithStateInPandas(_Days(), "user_id long, day long, attempts long, late boolean", "Append", "EventTime")
-    return found.withColumn("day", F.date_from_unix_date(F.col("day").cast("int")))
+    user = F.col("user_id").cast("long")
+    # without the watermarked column itself Spark hands late rows over; learners without an id have a bucket of their own
+    rows = real.select(F.when(user.isNull(), -1).otherwise(F.pmod(F.xxhash64(user), F.lit(buckets))).alias("bucket"), F.coalesce(F.floor(F.unix_millis("timestamp") / DAY_MS), F.lit(NO_DAY)).alias("day"), F.coalesce(user, F.lit(0)).alias("user"))
+    found = rows.groupBy("bucket", "day").transformWithStateInPandas(_Days(), "bucket long, user long, day long, attempts long, late boolean", "Append", "EventTime")
+    return found.select(F.when(F.col("bucket") >= 0, F.col("user")).alias("user_id"), F.when(F.col("day") > NO_DAY, F.date_from_unix_date(F.col("day").cast("int"))).alias("day"), "attempts", "late")
 
 
 def streak_feed(attempts: DataFrame, pass_score: float = 8.0) -> DataFrame:

@@ -1,5 +1,6 @@
 """Stores that grow by runs: nothing is lost, nothing counts twice, and little is read."""
 
+import datetime as dt
 import hashlib
 import re
 
@@ -106,3 +107,30 @@ def test_merging_adds_matrices_in_two_levels(spark):
         assert r["count"] == len(x) and np.allclose(r.total, x.sum(0)) and np.allclose(np.array(r.outer).reshape(3, 3), x.T @ x)
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("FlatMapGroupsInArrow") == 2 and "Generate" not in plan
+
+
+def test_day_state_does_not_grow_with_learners(spark, tmp_path):
+    """An open day of many learners is a few values of state; late rows, learners without an id and rows without a time count too."""
+    rocks = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(rocks, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    at = lambda day: F.timestamp_seconds(F.lit(day).cast("long") * 86_400 + 60)
+    rows = lambda n, day: spark.range(n).select(F.nullif("id", F.lit(7)).alias("user_id"), at(day).alias("timestamp"), F.lit("real").alias("source"))
+    steps = [rows(300, 100).union(rows(300, 101)).union(rows(100, 101)), rows(1, 120), rows(50, 100).union(rows(2, None)), rows(1, 140)]
+    kept = []
+    try:
+        for step in steps:
+            step.write.mode("append").parquet(folder)
+            stream = feeds.day_stream(spark.readStream.schema(step.schema).parquet(folder))
+            q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+            q.awaitTermination()
+            kept.append(q.recentProgress[0].stateOperators[0].numRowsTotal)
+    finally:
+        spark.conf.unset(rocks)
+    found = spark.read.parquet(out)
+    got = {(r.user_id, r.day and (r.day - dt.date(1970, 1, 1)).days): r.n for r in found.groupBy("user_id", "day").agg(F.sum("attempts").alias("n")).collect()}
+    ids = [None if i == 7 else i for i in range(300)]
+    want = {(u, 100): 2 if i < 50 else 1 for i, u in enumerate(ids)} | {(u, 101): 2 if i < 100 else 1 for i, u in enumerate(ids)} | {(0, 120): 1} | {(u, None): 1 for u in ids[:2]}
+    assert got == want and found.filter("late").agg(F.sum("attempts")).first()[0] == 52
+    # two days of 128 buckets and one of the learners without an id: a value and the two entries of a timer each
+    assert kept[0] <= 2 * 129 * 3
