@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechjobs import constants as K
 from speechjobs.functions.symbols import strip_all, strip_stress
+from speechjobs.sources.shared import written
 
 ATTEMPT = (
     "id long, user_id long, word string, accent string, target_phonemes array<string>, predicted_phonemes array<string>, score double, wer double, "
@@ -146,27 +147,35 @@ def backup(attempts: DataFrame, path: str) -> None:
     attempts.write.json(path, ignoreNullFields=False)
 
 
+def backup_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of backup files, one document each."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def import_backup(spark: SparkSession, path: str, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to add, rejected files) of backup files {"attempts": [...]}.
+    """import_documents() of all backup files of a path."""
+    return import_documents(backup_files(spark, path), existing)
+
+
+def import_documents(documents: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to add, rejected paths) of backup documents (path, value) {"attempts": [...]}.
 
-    A file counts only if all of its attempts are valid. Rows whose timestamp and word exist already are left out; rows
-    that repeat inside a file are all added. Oldest first.
+    A document counts only if all of its attempts are valid. Rows whose timestamp and word exist already are left out; rows
+    that repeat inside a document are all added. Oldest first. Each document is read and parsed once.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
     kind = lambda v, p: F.coalesce(F.schema_of_variant(F.variant_get(v, p, "variant")), F.lit("VOID"))
-    listed = files.withColumn("ok", F.col("doc").isNotNull() & F.coalesce(kind(F.col("doc"), "$.attempts").startswith("ARRAY"), F.lit(False)))
-    rows = listed.filter("ok").select("path", F.posexplode_outer(F.try_variant_get("doc", "$.attempts", "array<variant>")).alias("pos", "a"))
-    numeric = kind(F.col("a"), "$.score").rlike("^(BIGINT|DOUBLE|DECIMAL)")
-    texts = (kind(F.col("a"), "$.word") == "STRING") & (kind(F.col("a"), "$.timestamp") == "STRING")
-    lists = kind(F.col("a"), "$.target_phonemes").startswith("ARRAY") & kind(F.col("a"), "$.predicted_phonemes").startswith("ARRAY") & kind(F.col("a"), "$.errors").startswith("ARRAY")
-    judged = rows.withColumn("valid", F.coalesce(F.col("pos").isNull() | (numeric & texts & lists), F.lit(False)))
-    fine = judged.groupBy("path").agg(F.bool_and("valid").alias("fine"))
-    rejected = listed.join(fine, "path", "left").filter("not ok or not fine").select("path")
+    parsed = documents.select("path", F.try_parse_json("value").alias("doc"))
+    listed = parsed.select("path", F.when(kind(F.col("doc"), "$.attempts").startswith("ARRAY"), F.try_variant_get("doc", "$.attempts", "array<variant>")).alias("attempts"))
+    numeric = lambda a: kind(a, "$.score").rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    texts = lambda a: (kind(a, "$.word") == "STRING") & (kind(a, "$.timestamp") == "STRING")
+    lists = lambda a: kind(a, "$.target_phonemes").startswith("ARRAY") & kind(a, "$.predicted_phonemes").startswith("ARRAY") & kind(a, "$.errors").startswith("ARRAY")
+    fine = F.coalesce(F.forall("attempts", lambda a: F.coalesce(numeric(a) & texts(a) & lists(a), F.lit(False))), F.lit(False))
+    judged = written(listed.select("path", F.when(fine, F.col("attempts")).alias("attempts")), "backups")
     get = lambda p, t: F.try_variant_get("a", p, t).alias(p[2:])
-    parsed = judged.filter("pos is not null").join(fine.filter("fine"), "path", "left_semi").select("path", "pos", get("$.word", "string"), get("$.accent", "string"), get("$.target_phonemes", "array<string>"), get("$.predicted_phonemes", "array<string>"), get("$.score", "double"), get("$.wer", "double"), get("$.timestamp", "string"), get("$.source", "string"))
+    rows = judged.select("path", F.posexplode("attempts").alias("pos", "a")).select("path", "pos", get("$.word", "string"), get("$.accent", "string"), get("$.target_phonemes", "array<string>"), get("$.predicted_phonemes", "array<string>"), get("$.score", "double"), get("$.wer", "double"), get("$.timestamp", "string"), get("$.source", "string"))
     have = existing.select(F.col("timestamp").cast("timestamp").alias("timestamp"), "word")
-    fresh = parsed.withColumn("timestamp", F.try_to_timestamp("timestamp")).join(have, ["timestamp", "word"], "left_anti")
-    return fresh.orderBy("timestamp", "path", "pos"), rejected
+    fresh = rows.withColumn("timestamp", F.try_to_timestamp("timestamp")).join(have, ["timestamp", "word"], "left_anti")
+    return fresh.orderBy("timestamp", "path", "pos"), judged.filter("attempts is null").select("path")
 
 
 def stored_within_cap(takes: DataFrame, device: str = "contributor", order: str = "created", most: int = K.MAX_STORED) -> DataFrame:

@@ -202,3 +202,20 @@ def test_rows_are_fetched_from_their_row_groups_alone(spark, tmp_path):
     assert get("id < 0") == []
     with pytest.raises(Exception, match="(?i)error|page|thrift"):
         get("file like '%a.parquet' and id = 5")
+
+
+def test_backups_are_read_once(spark, tmp_path):
+    """Rows and rejected files come from one reading, so files that change behind it change neither."""
+    a = attempts(spark)
+    good = {"word": "new", "timestamp": "2024-01-05 10:00:00", "score": 5, "wer": 0.1, "target_phonemes": ["K"], "predicted_phonemes": ["K"], "errors": []}
+    texts = {"good": {"attempts": [good]}, "bad": {"attempts": [good, {"word": 3}]}, "none": {"attempts": None}, "empty": {"attempts": []}, "text": {"attempts": [good | {"score": "5"}]}}
+    for name, body in texts.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body))
+    rows, rejected = history.import_backup(spark, str(tmp_path / "*.json"), a)
+    for name in texts:
+        (tmp_path / f"{name}.json").write_text("{}")
+    assert [(r.word, r.score, r.pos) for r in rows.collect()] == [("new", 5.0, 0)]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in rejected.collect()) == ["bad.json", "none.json", "text.json"]
+    documents = spark.createDataFrame([(n, json.dumps(b)) for n, b in texts.items()] + [("gone", None)], "path string, value string")
+    rows, rejected = history.import_documents(documents, a)
+    assert rows.count() == 1 and sorted(r.path for r in rejected.collect()) == ["bad", "gone", "none", "text"]
