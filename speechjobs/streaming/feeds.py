@@ -191,7 +191,9 @@ def fold_takes(store: str, feature_set: str, features: int) -> Callable[[DataFra
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         seen = SeenStore(spark, f"{store}/seen")
-        new = written(once_forever(written(batch.filter("reason is null"), "batch"), seen, number), "new-takes")
+        # judged once: a filter before the write would have every take's rules worked out a second time
+        judged = written(batch.select("path", "pos", "reason", "digest", "route", "features"), "batch")
+        new = written(once_forever(judged.filter("reason is null").drop("reason"), seen, number), "new-takes")
         routes = new.select(F.col("route.kind").alias("kind"), F.explode("route.keys").alias("key"), "features")
         # the ids last: a batch that breaks off before them is folded again as a whole
         TotalsLog(spark, f"{store}/totals", feature_set).add(totals_of(routes, features), number)

@@ -3,11 +3,13 @@
 import datetime as dt
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from speechjobs.operators import totals
+from speechjobs.plans import store_queries
 from speechjobs.sources import seen
 from speechjobs.sources.runs import RunLog
 from speechjobs.sources.seen import SeenStore
@@ -134,3 +136,12 @@ def test_day_state_does_not_grow_with_learners(spark, tmp_path):
     assert got == want and found.filter("late").agg(F.sum("attempts")).first()[0] == 52
     # two days of 128 buckets and one of the learners without an id: a value and the two entries of a timer each
     assert kept[0] <= 2 * 129 * 3
+
+
+def test_export_files_lie_in_one_folder(spark, tmp_path):
+    """As many files as documents, and no folder for each of them, which a stream would have to list."""
+    vectors = spark.range(500).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i / 64).cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    folder = Path(store_queries._export_folder(spark, str(tmp_path)).removeprefix("file:"))
+    texts = [f.read_text() for f in folder.glob("*.txt")]
+    assert len(texts) == 10 and all(t.count('"app"') == 1 for t in texts) and not any(f.is_dir() for f in folder.iterdir())
