@@ -17,16 +17,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-_known: dict[int, np.ndarray] = {}
+#: A worker outlives its tasks, so longer lists of powers are not kept.
+MOST_KEPT = (1 << 21) + (1 << 18)
+_known: dict[int | tuple[int, int], np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64; the longest list of each base is kept."""
-    if len(_known.get(base, ())) <= n:
+    """base^0 .. base^n modulo 2^64; the longest list of each base is kept, up to MOST_KEPT."""
+    if len(found := _known.get(base, ())) <= n:
         steps = np.full((n // (1 << 18) + 1 << 18) + 1, base, np.uint64)
         steps[0] = 1
-        _known[base] = np.cumprod(steps)
-    return _known[base][: n + 1]
+        found = np.cumprod(steps)
+        if n < MOST_KEPT:
+            _known[base] = found
+    return found[: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,14 +62,16 @@ class PrefixHashes:
 
 
 def prime_powers(n: int, base: int, prime: int) -> np.ndarray:
-    """base^0 .. base^n modulo a prime below 2^31, by doubling."""
+    """base^0 .. base^n modulo a prime below 2^31, by doubling; kept like powers()."""
     key = (base, prime)
-    if len(_known.get(key, ())) <= n:
+    if len(out := _known.get(key, ())) <= n:
         out = np.ones(1, np.uint64)
         while len(out) <= n:
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
-        _known[key] = out
-    return _known[key][: n + 1]
+            out = np.concatenate([out, out[: n + 1 - len(out)] * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+        out = out.astype(np.uint32)
+        if n < MOST_KEPT:
+            _known[key] = out
+    return out[: n + 1]
 
 
 class PrimeHashes:

@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from speechjobs.llm.common import WORD, row_key, word_count, written
 
@@ -22,8 +23,6 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD, ATTENTION = 128, 16384
 #: Words of a group of documents that is packed on its own: at most, and at least where there are tasks to spare.
 GROUP_WORDS, LEAST_WORDS = 2_000_000, 100_000
-#: Where texts go through the packer, groups are dealt by bytes rather than by words.
-BYTES_A_WORD = 6
 
 _word = re.compile(WORD)
 
@@ -94,12 +93,31 @@ def pack_sizes(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[
     return where, best[2] if best else []
 
 
-def _cut(text: str, first: int, words: int, total: int) -> str:
-    """The part of a text from one word to another, with the white space between them."""
-    if words == total:
-        return text
-    spans = [m.span() for m in _word.finditer(text)][first : first + words]
-    return text[spans[0][0] : spans[-1][1]]
+def _cuts(text: str, longest: int) -> list[str]:
+    """A text in pieces of ``longest`` words and a rest, each with the white space between its words."""
+    out, begin, end = [], 0, 0
+    for k, m in enumerate(_word.finditer(text)):
+        if k % longest == 0:
+            if k:
+                out.append(text[begin:end])
+            begin = m.start()
+        end = m.end()
+    return [*out, text[begin:end]]
+
+
+def _with_texts(packed: DataFrame, texts: DataFrame, longest: int) -> DataFrame:
+    """Give pieces the texts of their rows. A row meets its text once, with all its pieces; only texts of several pieces
+    are cut, a batch at a time."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def cuts(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else _cuts(t, longest))
+
+    columns = [c for c in packed.columns if c not in ("row", "piece")]
+    rows = packed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("piece", F.struct(*columns).alias("rest")))).alias("pieces")).join(texts, "row")
+    rows = rows.select("pieces", "text", cuts(F.when(F.size("pieces") > 1, F.col("text"))).alias("cuts"))
+    each = rows.select(F.explode(F.arrays_zip("pieces", F.coalesce("cuts", F.array("text")).alias("text"))).alias("p"))
+    return each.select(*[(F.col("p.pieces.piece") if c == "piece" else F.col(f"p.pieces.rest.{c}")).alias(c) for c in packed.columns if c != "row"], F.col("p.text").alias("text"))
 
 
 def pack_documents(
@@ -109,8 +127,9 @@ def pack_documents(
 
     Documents are dealt by a hash of the row and its place in the table into groups of at most about ``group_words`` words, smaller ones where there
     are shuffle partitions to spare; each group is packed on its own, so packing is spread over the cluster and a task
-    holds one group. A document longer than the longest length is cut into pieces of that length and a rest. Words are
-    counted once; texts pass through the packer only for ``with_text``, and groups are then sized by bytes.
+    holds the sizes of one group. A document longer than the longest length is cut into pieces of that length and a rest. Words are
+    counted once; texts do not pass through the packer. For ``with_text`` they are written once with a number for each row,
+    by which the pieces find them again.
 
     Returns one row for each piece: id, ``row_id`` (string, one for each row of ``docs``), ``piece`` (from 0), ``first_word``,
     ``words``, ``bin`` (string, unique in the table), ``bin_length`` (permitted length), ``bin_words`` (words in the bin),
@@ -123,16 +142,14 @@ def pack_documents(
     """
     longest = max(lengths)
     columns = [F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("n"), row_key(docs, id_col, text_col).alias("key")]
-    sized = docs.select(*columns, *([F.col(text_col).alias("text")] if with_text else [])).filter("n > 0")
-    if not with_text:
-        sized = written(sized, "sizes")
-        total = sized.agg(F.sum("n")).first()[0] or 0
-    else:
-        total = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BYTES_A_WORD
+    texts = [F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")] if with_text else []
+    sized = written(docs.select(*columns, *texts).filter("n > 0"), "sizes")
+    total = sized.agg(F.sum("n")).first()[0] or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = int(max(1, -(-total // group_words), min(tasks, -(-total // min(LEAST_WORDS, group_words)))))
     # with the place in the table, so that rows that repeat, as many as there may be, are spread
-    dealt = sized.withColumn("pack", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    place = F.col("row") if with_text else F.monotonically_increasing_id()
+    dealt = sized.drop("text").withColumn("pack", F.pmod(F.xxhash64("key", place), F.lit(groups)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.take(np.lexsort((table["n"].to_numpy(), table["key"].to_numpy())))
@@ -149,10 +166,10 @@ def pack_documents(
             "bin_length": np.array([shrunk[b] for b in where], np.int32), "bin_words": np.array([used[b] for b in where], np.int64), "bin_start": np.array(start, np.int64),
         }
         if with_text:
-            counts = table["n"].to_pylist()
-            out["text"] = pa.array((_cut(table["text"][r].as_py(), f, w, counts[r]) for r, f, w in zip(row.tolist(), first.tolist(), words.tolist(), strict=True)), pa.string())
+            out["row"] = table["row"].take(row)
         return pa.table(out)
 
     kinds = {"row_id": StringType(), "piece": IntegerType(), "first_word": LongType(), "words": LongType(), "bin": StringType(), "bin_length": IntegerType(), "bin_words": LongType(), "bin_start": LongType()}
-    schema = StructType([StructField("id", docs.schema[id_col].dataType), *(StructField(c, t) for c, t in kinds.items()), *([StructField("text", StringType())] if with_text else [])])
-    return dealt.groupBy("pack").applyInArrow(pack, schema).withColumnRenamed("id", id_col)
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *(StructField(c, t) for c, t in kinds.items()), *([StructField("row", LongType())] if with_text else [])])
+    packed = dealt.groupBy("pack").applyInArrow(pack, schema)
+    return (_with_texts(packed, sized.select("row", "text"), longest) if with_text else packed).withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechjobs.llm import ctw, fingerprints, langid, mixing, near_dedup, packing, queries, sharding, suffix_dedup, topk, url_filters
+from speechjobs.llm import ctw, fingerprints, hashing, langid, mixing, near_dedup, packing, queries, sharding, suffix_dedup, topk, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -356,6 +356,20 @@ def test_packing(spark, docs, empty):
     assert [w for r in long for w in WORD.findall(r.text)] == WORD.findall(dict((i, t) for i, t, *_ in corpus())[12])
 
 
+def test_packing_keeps_texts_out_of_the_packer(spark, monkeypatch):
+    """A group holds sizes only, and every piece is what stands between its first and last word."""
+    long = "".join(f" w{k}" + "\n" * (k % 3) for k in range(150))
+    rows = [(1, long), (1, long), (None, "\tno id "), (2, None), (3, " \n"), (4, "\u00e9t\u00e9 " * 64)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), lengths=(16, 64), with_text=True)
+    plan = got._jdf.queryExecution().logical().toString()
+    assert not any("text" in line for line in plan.split("\n") if "FlatMapGroupsInArrow" in line)
+    starts = [m.span() for m in WORD.finditer(long)]
+    expected = [(1, k, long[starts[64 * k][0] : starts[min(64 * k + 63, 149)][1]]) for k in range(3)] * 2
+    expected += [(None, 0, "\tno id "), (4, 0, "\u00e9t\u00e9 " * 64)]
+    assert sorted(((r.doc_id, r.piece, r.text) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), with_text=True).count() == 0
+
+
 def packed_plainly(sizes, lengths):
     """Every set of lengths in turn; bins and what is still to come are looked through one by one."""
     plans = []
@@ -811,6 +825,16 @@ def test_scores(spark, docs, empty):
     assert all(r.bits_per_byte == pytest.approx(8.0, rel=1e-5) and r.n_known == 0 for r in nothing)
 
 
+def test_powers_kept_by_a_worker_are_bounded(monkeypatch):
+    monkeypatch.setattr(hashing, "_known", {})
+    monkeypatch.setattr(hashing, "MOST_KEPT", 1000)
+    prime, base = hashing.PRIMES[0]
+    for n in (10, 900, 5000, 700):
+        assert hashing.prime_powers(n, base, prime)[[0, 1, n]].tolist() == [pow(base, k, prime) for k in (0, 1, n)]
+        assert hashing.powers(n, 3)[[0, 1, n]].tolist() == [pow(3, k, 1 << 64) for k in (0, 1, n)] and len(hashing.powers(n, 3)) == n + 1
+    assert len(hashing._known[base, prime]) <= 1000 and len(hashing._known[3]) <= (1 << 18) + 1
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 14))
 
