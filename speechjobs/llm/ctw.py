@@ -43,12 +43,19 @@ SCALE = 2.0**20
 
 def squeeze(x: np.ndarray) -> bytes:
     """Numbers as bytes, all first bytes before all second ones, compressed; sorted numbers take little room."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    rows = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+    flat = np.empty((x.itemsize, len(x)), np.uint8)
+    for i in range(x.itemsize):  # a column at a time is faster than the whole transposed
+        flat[i] = rows[:, i]
+    return zstandard.ZstdCompressor(level=1).compress(flat)
 
 
 def expand(data: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    rows = np.empty(flat.shape[::-1], np.uint8)
+    for i in range(len(flat)):
+        rows[:, i] = flat[i]
+    return rows.view(kind).ravel()
 
 
 def squeeze_logs(x: np.ndarray) -> bytes:
@@ -74,6 +81,17 @@ def byte_strings(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[np.arange(len(doc)) + doc * DEPTH], doc
 
 
+def sorted_strings(raw: list[bytes]) -> np.ndarray:
+    """The numbers of byte_strings() for all texts, sorted in one array."""
+    every, end = np.empty(sum(len(r) + 1 for r in raw), np.uint64), 0
+    for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
+        new = byte_strings([raw[r] for r in rows])[0]
+        every[end : end + len(new)] = new
+        end += len(new)
+    every.sort()
+    return every
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x > 0: Stirling's series at x + 8."""
     down = np.zeros_like(x)
@@ -101,28 +119,50 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Odd numbers, from which a slot's number is made.
+SLOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
 class Places:
-    """Finds the places of codes in ``known`` (distinct, sorted): through two tables of slots, else by binary search."""
+    """Finds the places of codes in ``known`` (distinct, sorted): through tables of slots, each for the codes that found no
+    slot of their own in the ones before, else by binary search."""
 
     def __init__(self, known: np.ndarray):
-        self.known, self.bits = known, min(24, max(8, len(known).bit_length() + 1))
-        self.tables = []
-        for nth in (0, 1):
-            table = np.zeros(1 << self.bits, np.int32)
-            table[self.slot(known, nth)] = np.arange(len(known), dtype=np.int32)
-            self.tables.append(table)
-
-    def slot(self, codes: np.ndarray, nth: int) -> np.ndarray:
-        return ((mix(codes) >> np.uint64(64 - self.bits * (nth + 1))) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        self.known, self.tables = known, []
+        left = np.arange(len(known), dtype=np.int32)
+        for odd in SLOTS:
+            bits = min(24, max(8, len(left).bit_length() + 1))
+            table = np.zeros(1 << bits, np.int32)
+            self.tables.append((np.uint64(odd), np.uint64(64 - bits), table))
+            slot = self.slot(known[left], *self.tables[-1][:2])
+            table[slot] = left
+            left = left[table[slot] != left]
+            if not len(left):
+                break
+
+    @staticmethod
+    def slot(codes: np.ndarray, odd: np.uint64, shift: np.uint64) -> np.ndarray:
+        product = codes * odd
+        product >>= shift
+        return product.view(np.int64)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """Places of codes that are all known."""
-        at = self.tables[0][self.slot(codes, 0)]
-        open_ = np.flatnonzero(self.known[at] != codes)
-        at[open_] = self.tables[1][self.slot(codes[open_], 1)]
-        open_ = open_[self.known[at[open_]] != codes[open_]]
-        at[open_] = np.searchsorted(self.known, codes[open_])
-        return at
+        out, open_ = np.zeros(len(codes), np.int32), None
+        for odd, shift, table in self.tables:
+            at = table[self.slot(codes, odd, shift)]
+            wrong = np.flatnonzero(self.known[at] != codes)
+            if open_ is None:
+                out, open_ = at, wrong
+            else:
+                out[open_] = at
+                open_ = open_[wrong]
+            codes = codes[wrong]
+            if not len(wrong):
+                break
+        else:
+            out[open_] = np.searchsorted(self.known, codes)
+        return out
 
 
 def heads(x: np.ndarray) -> np.ndarray:
@@ -133,10 +173,10 @@ def heads(x: np.ndarray) -> np.ndarray:
 
 
 def joined(parts: list[np.ndarray]) -> np.ndarray:
-    """Sorted distinct values of some arrays, which are given up."""
+    """Sorted distinct values of some sorted arrays, which are given up."""
     every = np.concatenate(parts)
     parts.clear()
-    every.sort()
+    every.sort(kind="stable")  # merges what is sorted
     return every[heads(every)]
 
 
@@ -150,8 +190,16 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def near_bucket(codes: np.ndarray, buckets: int, near: int) -> np.ndarray:
-    context = (codes >> np.uint64(8)) & np.uint64((1 << (8 * near)) - 1)
-    return (mix(context + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    out = np.empty(len(codes), np.int32)
+    for a in range(0, len(codes), WORK_BYTES // 8):  # what lies between is eight bytes wide
+        context = (codes[a : a + WORK_BYTES // 8] >> np.uint64(8)) & np.uint64((1 << (8 * near)) - 1)
+        out[a : a + len(context)] = mix(context + np.uint64(1)) % np.uint64(buckets)
+    return out
+
+
+def in_order(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows by bucket, in their order within each; numbers of two bytes are sorted by their bytes."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= MOST_BUCKETS else bucket, kind="stable")
 
 
 def slices(by: np.ndarray) -> list[tuple[int, int]]:
@@ -165,18 +213,13 @@ def count_strings(docs: DataFrame, buckets: int = 1, text_col: str = "text", nea
     ``n`` is their number. Null texts count as empty."""
 
     def send(held: list[bytes]) -> pa.RecordBatch:
-        every, end = np.empty(sum(len(r) + 1 for r in held), np.uint64), 0
-        for rows in runs_of(np.array([len(r) for r in held]), WORK_BYTES):
-            new = byte_strings([held[r] for r in rows])[0]
-            every[end : end + len(new)] = new
-            end += len(new)
-        every.sort()
+        every = sorted_strings(held)
         at = heads(every)
         codes, counts = every[at], np.diff(at, append=len(every))
         del every, at
         bucket = near_bucket(codes, buckets, near)
-        order = np.argsort(bucket, kind="stable")
-        codes, counts, bucket = codes[order], counts[order], bucket[order]
+        order = in_order(bucket, buckets)
+        codes, counts, bucket = codes[order], counts[order].astype(np.uint32), bucket[order]
         rows = [(int(bucket[a]), b - a, squeeze(codes[a:b]), squeeze(counts[a:b])) for a, b in slices(bucket)]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "codes", "counts"])
 
@@ -401,7 +444,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), number.alias("chunk"))
 
     def gather(table: pa.Table) -> pa.Table:
-        codes, counts = merged([expand(x, np.uint64) for x in table["codes"].to_pylist()], [expand(x, np.int64) for x in table["counts"].to_pylist()])
+        codes, counts = merged([expand(x, np.uint64) for x in table["codes"].to_pylist()], [expand(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist()])
         return pa.table({"bucket": table["bucket"][:1], "asked": pa.array([sum(table["n"].to_pylist())], pa.int64()), "codes": pa.array([squeeze(codes)], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary())})
 
     strings = written(count_strings(keyed.filter("not held_out"), buckets, near=near).groupBy("bucket").applyInArrow(gather, "bucket int, asked long, codes binary, counts binary"), "strings")
@@ -426,8 +469,8 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
             docs.append(rows[doc])
         doc = np.concatenate(docs)
         every = np.concatenate(hashes)
-        words = joined(hashes)
-        order = np.argsort(words % np.uint64(chunks), kind="stable")
+        words = distinct(every)
+        order = in_order(words % np.uint64(chunks), chunks)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return words[order], place[Places(words).of(every)], doc
@@ -435,24 +478,29 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     def strings_of(raw: list[bytes]) -> np.ndarray:
         """Distinct strings, sorted."""
         found = [np.zeros(0, np.uint64)]
-        for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
-            found.append(distinct(byte_strings([raw[r] for r in rows])[0]))
+        for rows in runs_of(np.array([len(r) for r in raw]), HELD_BYTES):
+            every = sorted_strings([raw[r] for r in rows])
+            found.append(every[heads(every)])
+            del every
         return joined(found)
 
-    def string_bucket(codes: np.ndarray, chunk: int) -> np.ndarray:
+    def by_bucket(codes: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of strings by the bucket that is asked, and these buckets in that order."""
         near_one = near_bucket(codes, buckets, near)
-        return first[near_one] + chunk % salts[near_one]
+        order = in_order(near_one, buckets)  # parts of a bucket follow each other
+        near_one = near_one[order]
+        return order, first[near_one] + chunk % salts[near_one]
 
     def ask(table: pa.Table) -> pa.Table:
-        texts, chunk = table["text"].to_pylist(), table["chunk"][0].as_py()
-        words, which, doc = words_of(texts)
+        chunk = table["chunk"][0].as_py()
+        words, which, doc = words_of(table["text"].to_pylist())
         counts = np.bincount(which, ~table["held_out"].to_numpy()[doc], len(words)).astype(np.int64)
+        del which, doc
         bucket = (words % np.uint64(chunks)).astype(np.int64)
         rows = [(int(bucket[a]), chunk, squeeze(words[a:b]), squeeze(counts[a:b])) for a, b in slices(bucket)]
-        codes = strings_of([t.encode("utf-8", "surrogatepass") for t in texts])
-        bucket = string_bucket(codes, chunk)
-        order = np.argsort(bucket, kind="stable")
-        codes, bucket = codes[order], bucket[order]
+        codes = strings_of([t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()])
+        order, bucket = by_bucket(codes, chunk)
+        codes = codes[order]
         rows += [(int(bucket[a]), chunk, squeeze(codes[a:b]), b"") for a, b in slices(bucket)]
         columns = zip(*rows, strict=True)
         return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "keys", "counts"])
@@ -485,27 +533,31 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         n_words = int((bucket < chunks).sum())
         _, which, doc = words_of(texts["text"].to_pylist())
         counts = np.concatenate([np.zeros(0, np.int64), *(expand(x, np.int64) for x in blobs[:n_words])])[which]
+        of_words = {"n": np.bincount(doc, minlength=n).astype(np.int64), "known": np.bincount(doc, counts > 0, n).astype(np.int64), "logs": np.bincount(doc, np.log10(counts + 1.0), n)}
+        del which, doc, counts
         raw = [t.encode("utf-8", "surrogatepass") for t in texts["text"].to_pylist()]
         codes = strings_of(raw)
-        value = np.empty(len(codes))
-        value[np.argsort(string_bucket(codes, chunk), kind="stable")] = np.concatenate([np.zeros(0), *map(expand_logs, blobs[n_words:])])
+        value, order, end = np.empty(len(codes)), by_bucket(codes, chunk)[0], 0
+        for logs in map(expand_logs, blobs[n_words:]):
+            value[order[end : end + len(logs)]] = logs
+            end += len(logs)
+        del order, data, blobs
         places, score, length = Places(codes), np.zeros(n), np.zeros(n, np.int64)
         for rows in runs_of(np.array([len(r) for r in raw]), WORK_BYTES):
             mine, of = byte_strings([raw[r] for r in rows])
             score[rows] = np.bincount(of, value[places.of(mine)], len(rows))
             length[rows] = np.bincount(of, minlength=len(rows)) - 1
-        return pa.table({
-            "id": texts["id"], "held_out": texts["held_out"], "n": np.bincount(doc, minlength=n).astype(np.int64), "known": np.bincount(doc, counts > 0, n).astype(np.int64),
-            "logs": np.bincount(doc, np.log10(counts + 1.0), n), "score": score, "bytes": length,
-        })
+        scored = pa.table({"id": texts["id"], "held_out": texts["held_out"], **of_words, "score": score, "bytes": length})
+        # and a row for the distinct words and tokens of the word buckets that this chunk was told of
+        told = {"n": pa.array([sum(answers["types"].to_pylist())], pa.int64()), "known": pa.array([sum(answers["tokens"].to_pylist())], pa.int64())}
+        return pa.concat_tables([scored, pa.table({k.name: told.get(k.name, pa.nulls(1, k.type)) for k in scored.schema})])
 
     asked = keyed.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary, counts binary")
     answers = asked.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, data binary, types long, tokens long")
     figures_of = {"n": LongType(), "known": LongType(), "logs": DoubleType(), "score": DoubleType(), "bytes": LongType()}
     schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("held_out", BooleanType()), *(StructField(c, t) for c, t in figures_of.items())])
-    summed = keyed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "data").groupBy("chunk")).applyInArrow(add, schema)
-    figures = answers.filter("types > 0").select(F.col("types").alias("n"), F.col("tokens").alias("known"))
-    both = written(summed.unionByName(figures, allowMissingColumns=True), "scores")
+    # read once: answers that a second branch of the plan took would be computed twice
+    both = written(keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, schema), "scores")
     is_text = F.col("held_out").isNotNull()
     words, types, ends = both.agg(F.sum(F.when(~is_text, F.col("known"))), F.sum(F.when(~is_text, F.col("n"))), F.count_if(~F.col("held_out"))).first()
     # the end of a text is a token too: one in each training text

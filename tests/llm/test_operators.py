@@ -825,6 +825,38 @@ def test_scores(spark, docs, empty):
     assert all(r.bits_per_byte == pytest.approx(8.0, rel=1e-5) and r.n_known == 0 for r in nothing)
 
 
+def test_ctw_answers_are_computed_once(spark, monkeypatch):
+    """The plan that sums up the chunks asks the tree once, and the figures of the words come with the sums."""
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    written = ctw.written
+    monkeypatch.setattr(ctw, "written", kept)
+    rows = list(enumerate(CTW_TEXTS))
+    got = ctw.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), chunk_bytes=30).collect()
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {sum(len(WORD.findall(t)) + 1 for t in CTW_TEXTS)}
+    assert plans["scores"].count("FlatMapCoGroupsInArrow") == 2
+
+
+def test_ctw_places():
+    """Codes that share slots are found all the same, also those left without one by every table."""
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 255, 100_000):
+        known = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        asked = rng.permutation(np.repeat(known, 2))
+        assert (known[ctw.Places(known).of(asked)] == asked).all()
+    apart = int(pow(ctw.SLOTS[0], -1, 1 << 64))
+    same = np.unique(np.array([apart * i % (1 << 64) for i in range(5000)], np.uint64))  # all in slot 0 of the first table
+    places = ctw.Places(same)
+    for _, _, table in places.tables:
+        table[:] = 0
+    places.tables += places.tables[:1] * (len(ctw.SLOTS) - len(places.tables))
+    assert (places.of(same[::-1]) == np.arange(len(same))[::-1]).all()
+
+
 def test_powers_kept_by_a_worker_are_bounded(monkeypatch):
     monkeypatch.setattr(hashing, "_known", {})
     monkeypatch.setattr(hashing, "MOST_KEPT", 1000)
