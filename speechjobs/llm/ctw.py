@@ -189,6 +189,20 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return both[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def merged_in_steps(parts: Iterator[tuple[np.ndarray, np.ndarray]], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """merged() of many parts that are made one by one, of which no more is held than ``step`` strings, a part, and twice
+    the distinct ones."""
+    codes, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for c, n in parts:
+        codes.append(c)
+        counts.append(n)
+        size += len(c)
+        if size >= max(step, len(codes[0])):
+            one, sums = merged(codes, counts)
+            codes, counts, size = [one], [sums], 0
+    return merged(codes, counts)
+
+
 def near_bucket(codes: np.ndarray, buckets: int, near: int) -> np.ndarray:
     out = np.empty(len(codes), np.int32)
     for a in range(0, len(codes), WORK_BYTES // 8):  # what lies between is eight bytes wide
@@ -444,7 +458,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), number.alias("chunk"))
 
     def gather(table: pa.Table) -> pa.Table:
-        codes, counts = merged([expand(x, np.uint64) for x in table["codes"].to_pylist()], [expand(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist()])
+        codes, counts = merged_in_steps((expand(x, np.uint64), expand(y, np.uint32).astype(np.int64)) for x, y in zip(table["codes"].to_pylist(), table["counts"].to_pylist(), strict=True))
         return pa.table({"bucket": table["bucket"][:1], "asked": pa.array([sum(table["n"].to_pylist())], pa.int64()), "codes": pa.array([squeeze(codes)], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary())})
 
     strings = written(count_strings(keyed.filter("not held_out"), buckets, near=near).groupBy("bucket").applyInArrow(gather, "bucket int, asked long, codes binary, counts binary"), "strings")

@@ -841,6 +841,18 @@ def test_ctw_answers_are_computed_once(spark, monkeypatch):
     assert plans["scores"].count("FlatMapCoGroupsInArrow") == 2
 
 
+def test_ctw_counts_are_merged_in_steps(monkeypatch):
+    rng = np.random.default_rng(0)
+    parts = [(np.unique(rng.integers(0, 500, 300).astype(np.uint64)),) for _ in range(40)]
+    parts = [(c, rng.integers(1, 9, len(c))) for (c,) in parts]
+    whole = ctw.merged(*map(list, zip(*parts)))
+    most, plain = [], ctw.merged
+    monkeypatch.setattr(ctw, "merged", lambda codes, counts: most.append(sum(map(len, codes))) or plain(codes, counts))
+    got = ctw.merged_in_steps(iter(parts), 600)
+    assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all() and max(most) <= 500 + 600 + 300
+    assert [len(x) for x in ctw.merged_in_steps(iter(()))] == [0, 0]
+
+
 def test_ctw_places():
     """Codes that share slots are found all the same, also those left without one by every table."""
     rng = np.random.default_rng(0)
